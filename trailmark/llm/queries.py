@@ -124,7 +124,7 @@ p AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0
   (DATE '2024-01-01' + (page_id % 366)::INTEGER)::DATE AS fetched FROM pages),
 m AS (SELECT p.page_id, v.domain, v.list, row_number() OVER (PARTITION BY p.page_id, p.host ORDER BY length(v.domain) DESC, v.list DESC) AS r
   FROM p JOIN v ON (p.host = v.domain OR ends_with(p.host, '.' || v.domain)) AND v.action = 'add' AND v.f <= p.fetched AND (v.t IS NULL OR p.fetched < v.t))
-SELECT p.page_id, p.host, p.fetched, m.domain, m.list AS verdict, coalesce(m.list, '') <> 'block' AS kept
+SELECT p.page_id, p.host, p.fetched::VARCHAR AS fetched, m.domain, m.list AS verdict, coalesce(m.list, '') <> 'block' AS kept
 FROM p LEFT JOIN m ON m.page_id = p.page_id AND m.r = 1
 """,
 )
@@ -133,7 +133,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     entries = spark.sql(f"SELECT * FROM VALUES {_LIST_SQL} AS e(list, domain, action, at)")
     captures = table(spark, sf_dir, "pages").withColumn("fetched", F.expr("date_add(DATE '2024-01-01', cast(page_id % 366 as int))"))
-    return filter_urls(captures, entries)
+    return filter_urls(captures, entries).withColumn("fetched", F.col("fetched").cast("string"))
 
 
 # --------------------------------------------------------- 5: quality rules
