@@ -189,3 +189,37 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
     )
+
+
+# -------------------------------------------------------- 9: near duplicates
+
+
+@query(
+    "op9_near_dups",
+    rf"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM w WHERE len(w) >= 3
+    UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) IN (1, 2))),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+rare AS MATERIALIZED (
+  SELECT s.doc_id, s.g, n.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY f.f, s.g) AS r
+  FROM s JOIN (SELECT g, count(*) AS f FROM s GROUP BY g) f USING (g) JOIN n USING (doc_id)),
+p AS MATERIALIZED (
+  SELECT DISTINCT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny FROM rare a JOIN rare b ON a.g = b.g AND a.doc_id < b.doc_id
+  WHERE 100 * a.r <= 15 * a.n + 100 AND 100 * b.r <= 15 * b.n + 100 AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n),
+c AS (SELECT p.x, p.y, p.nx, p.ny, count(*) AS c FROM p JOIN s a ON a.doc_id = p.x JOIN s b ON b.doc_id = p.y AND b.g = a.g GROUP BY ALL),
+l AS MATERIALIZED (
+  SELECT x AS a, y AS b FROM c WHERE 100 * c >= 85 * (nx + ny - c) UNION ALL SELECT y, x FROM c WHERE 100 * c >= 85 * (nx + ny - c)),
+reach(doc_id, other) AS (SELECT a, b FROM l UNION SELECT r.doc_id, l.b FROM reach r JOIN l ON l.a = r.other),
+m AS (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.m, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(m.m, d.doc_id)) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+""",
+)
+def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dups import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, similarity=85)
