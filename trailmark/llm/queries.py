@@ -223,3 +223,14 @@ def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dups import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, similarity=85)
+
+
+# -------------------------------------------------------------- 2: lm scoring
+
+
+@query("op2_lm_score")
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_texts, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score_texts(docs, train(docs))
