@@ -11,12 +11,11 @@ never holds, so the probabilities of all texts sum to one.
 
 Training is counting: each task counts its (context, byte) grams and words with
 few keys sent; counts are summed by partial aggregation.  A gram's code holds the
-most recent context byte highest, so a subtree is a range of codes; subtrees of
-the two most recent bytes (at most 256^3 grams, whatever the corpus) are weighted
-independently, and the 256 x 255 nodes above them on their results.  Every gram
-of the corpus, seen in training or not, gets its log probability, so scoring is a
-lookup.  The table is looked up in slices of bounded size that are broadcast one
-at a time; words likewise: the most frequent ones (a bounded number) by broadcast,
+most recent context byte highest, so a subtree is a range of codes.  Whole
+subtrees of the three most recent bytes are weighted together, many to a group;
+the levels above follow by aggregation upwards, and the weights that they leave
+to each subtree by joins downwards.  Every gram of the corpus, seen in training or not, gets its log probability, so scoring is a
+lookup.  The table is looked up in slices of bounded size; words likewise: the most frequent ones (a bounded number) by broadcast,
 the rest by a shuffle join.
 
 Lower-casing of A-Z applies to both scores.  Defined results: a null or empty
@@ -37,7 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slices, text_buffer
 
-DEPTH = 4
+DEPTH = 5
+SUBTREE = 3  # depth below which a subtree is weighted as a whole
 END = 0xFF
 _LOG_HALF = log(0.5)
 
@@ -151,63 +151,78 @@ def _weigh(levels: list[_Level]) -> None:
         upper.weighted = _LOG_HALF + np.logaddexp(upper.estimate, below)
 
 
-def _subtrees(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """The depth-2 nodes of a subtree, for the levels above."""
-    code, n = np.asarray(table["gram"].combine_chunks()), np.asarray(table["n"].combine_chunks()).astype(float)
-    levels = [_Level(code, n, d) for d in range(2, DEPTH + 1)]
+def _arrays(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [np.asarray(table[c].combine_chunks()) for c in names]
+
+
+def _levels(table: pa.Table) -> tuple[np.ndarray, list[_Level]]:
+    code, n = _arrays(table, "gram", "n")
+    levels = [_Level(code, n.astype(float), d) for d in range(SUBTREE, DEPTH + 1)]
     _weigh(levels)
-    top = levels[0]
-    return pa.table({"node": top.key, "n0": top.n0, "n1": top.n1, "weighted": top.weighted})
-
-
-def _middle(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Depth-1 nodes from their depth-2 children (at most 256 x 255 rows)."""
-    node = np.asarray(table["node"].combine_chunks())
-    up, of = np.unique((node >> 16 << 8) | (node & 0xFF), return_inverse=True)
-    n0, n1, below = (np.bincount(of, np.asarray(table[c].combine_chunks()), len(up)) for c in ("n0", "n1", "weighted"))
-    estimate = _kt(n0, n1)
-    return pa.table({"node": up, "n0": n0, "n1": n1, "weighted": _LOG_HALF + np.logaddexp(estimate, below)})
-
-
-def gram_scores(grams: DataFrame) -> DataFrame:
-    """``grams(gram, n)`` to (gram, score): the log10 probability of the byte."""
-    keyed = grams.withColumn("key", F.shiftright("gram", 8 * (DEPTH - 1)))
-    second = materialize(keyed.groupBy("key").applyInArrow(_subtrees, "node long, n0 double, n1 double, weighted double"), "ctw-depth2")
-    first = second.groupBy(F.shiftright("node", 16).alias("key")).applyInArrow(_middle, "node long, n0 double, n1 double, weighted double")
-    rows = first.toArrow()  # at most 256 x 255 nodes
-    node = np.asarray(rows["node"].combine_chunks())
+    return code, levels
+
+
+def _subtrees(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The top nodes of some whole subtrees, for the levels above."""
+    top = _levels(table)[1][0]
+    end = np.zeros(len(top.key))  # the subtrees' own weights are taken while scoring
+    return pa.table({"node": top.key, "n0": top.n0, "n1": top.n1, "weighted": top.weighted, "ends": end})
+
+
+def _mixed(batches):
+    """Nodes with their children's weighted sum to nodes with their own weighted
+    probability and the weight of ending in them."""
+    for batch in batches:
+        node, n0, n1, below = (np.asarray(batch.column(i)) for i in range(4))
+        estimate = _kt(n0, n1) if len(node) else n0
+        weighted = _LOG_HALF + np.logaddexp(estimate, below)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(weighted), pa.array(np.exp(_LOG_HALF + estimate - weighted))], names=["node", "n0", "n1", "weighted", "ends"])
+
+
+def _scored(grams: pa.Table, above: pa.Table) -> pa.Table:
+    """Log probabilities of some whole subtrees' grams.  above: for every top node
+    the weight left for it by its ancestors, and their share of a one."""
+    if not grams.num_rows:
+        return pa.table({"gram": np.zeros(0, np.int64), "score": np.zeros(0)})
+    code, levels = _levels(grams)
+    node, left, ones = _arrays(above, "node", "left", "ones")
+    _, bit = _bit_nodes(code, 0)
+
+    def kt(level):
+        n1, total = level.n1[level.of], (level.n0 + level.n1)[level.of]
+        return np.where(bit == 1, n1 + 0.5, total - n1 + 0.5) / (total + 1.0)
+
+    mixture = kt(levels[-1])
+    for level in levels[-2::-1]:
+        end = np.exp(_LOG_HALF + level.estimate - level.weighted)[level.of]
+        mixture = end * kt(level) + (1 - end) * mixture
     order = np.argsort(node)
-    node = node[order]
-    n0, n1, weighted = (np.asarray(rows[c].combine_chunks())[order] for c in ("n0", "n1", "weighted"))
-    root, of = np.unique(node & 0xFF, return_inverse=True)
-    r0, r1, below = (np.bincount(of, x, len(root)) for x in (n0, n1, weighted))
-    estimate = _kt(r0, r1)
-    above = [
-        (root, r1, r0 + r1, _LOG_HALF + estimate - (_LOG_HALF + np.logaddexp(estimate, below))),
-        (node, n1, n0 + n1, _LOG_HALF + _kt(n0, n1) - weighted),
-    ]  # node, ones, all, log of the weight of ending there
-
-    def score(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        code, n = np.asarray(table["gram"].combine_chunks()), np.asarray(table["n"].combine_chunks()).astype(float)
-        levels = [_Level(code, n, d) for d in range(2, DEPTH + 1)]
-        _weigh(levels)
-        deep = levels[-1]
-        _, bit = _bit_nodes(code, 0)
-
-        def kt(ones, total):
-            return np.where(bit == 1, ones + 0.5, total - ones + 0.5) / (total + 1.0)
-
-        mixture = kt(deep.n1[deep.of], (deep.n0 + deep.n1)[deep.of])
-        for level in levels[-2::-1]:
-            end = np.exp(_LOG_HALF + level.estimate - level.weighted)[level.of]
-            mixture = end * kt(level.n1[level.of], (level.n0 + level.n1)[level.of]) + (1 - end) * mixture
-        for depth in (1, 0):
-            key_, ones, total, end = above[depth]
-            at = np.searchsorted(key_, _bit_nodes(code, depth)[0])
-            mixture = np.exp(end)[at] * kt(ones[at], total[at]) + (1 - np.exp(end)[at]) * mixture
-        return pa.table({"gram": code, "score": np.log10(mixture).sum(axis=1)})
-
-    return keyed.groupBy("key").applyInArrow(score, "gram long, score double")
+    at = order[np.searchsorted(node, levels[0].key, sorter=order)][levels[0].of]
+    mixture = np.where(bit == 1, ones[at], 1 - left[at] - ones[at]) + left[at] * mixture
+    return pa.table({"gram": code, "score": np.log10(mixture).sum(axis=1)})
+
+
+def gram_scores(grams: DataFrame, group: int = 200_000) -> DataFrame:
+    """``grams(gram, n)`` to (gram, score): the log10 probability of the byte.
+    Subtrees are spread over groups of about ``group`` grams."""
+    groups = F.lit(max(1, -(-grams.count() // group)))
+    bucket = lambda context: F.pmod(F.xxhash64(context), groups)
+    keyed = grams.withColumn("bucket", bucket(F.shiftright("gram", 8 * (DEPTH + 1 - SUBTREE))))
+    kind = "node long, n0 double, n1 double, weighted double, ends double"
+    levels = [materialize(keyed.groupBy("bucket").applyInArrow(_subtrees, kind), "ctw-top")]
+    parent = F.shiftright("node", 16) * 256 + F.col("node").bitwiseAND(255)  # drops the oldest context byte
+    for _ in range(SUBTREE):
+        below = levels[0].groupBy(parent.alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("below"))
+        levels.insert(0, materialize(below.mapInArrow(_mixed, kind), "ctw-level"))
+    down = levels[0].select("node", F.lit(1.0).alias("left"), F.lit(0.0).alias("ones"), "n0", "n1", "ends")
+    for level in levels[1:]:
+        passed = down.select(
+            F.col("node").alias("up"), (F.col("left") * (1 - F.col("ends"))).alias("left"),
+            (F.col("ones") + F.col("left") * F.col("ends") * (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)).alias("ones"),
+        )
+        down = level.withColumn("up", parent).join(passed, "up").select("node", "left", "ones", "n0", "n1", "ends")
+    above = down.select("node", "left", "ones", bucket(F.shiftright("node", 8)).alias("bucket"))
+    return keyed.groupBy("bucket").cogroup(above.groupBy("bucket")).applyInArrow(_scored, "gram long, score double")
 
 
 # ---------------------------------------------------------------------- scoring
@@ -261,12 +276,16 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
                 inner = offsets[a : b + 1] - offsets[a]
                 part = data[offsets[a] : offsets[b]]
                 code, at = gram_codes(part, inner)
-                found = np.zeros(len(code))
+                distinct, which = np.unique(code, return_inverse=True)
+                found = np.zeros(len(distinct))
                 for table in tables:
                     gram, value = table.value
-                    i = np.minimum(np.searchsorted(gram, code), len(gram) - 1)
-                    found += value[i] if len(tables) == 1 else np.where(gram[i] == code, value[i], 0.0)
-                total = np.add.reduceat(found, at[:-1])
+                    if len(tables) > 1:
+                        del table._value  # one slice at a time
+                    if len(gram):
+                        i = np.minimum(np.searchsorted(gram, distinct), len(gram) - 1)
+                        found += np.where(gram[i] == distinct, value[i], 0.0)
+                total = np.add.reduceat(found[which], at[:-1])
                 raw = part.tobytes().lower()
                 n_tokens, n_known, base, rare = [], [], [], []
                 for i in range(b - a):
