@@ -234,3 +234,28 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return score_texts(docs, train(docs))
+
+
+# ------------------------------------------------------- 10: substring dedup
+
+
+@query(
+    "op10_substring_dedup",
+    rf"""
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+g AS MATERIALIZED (
+  SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) AS h FROM w WHERE len(w) >= 50),
+f AS (SELECT h, min(doc_id) AS m FROM g GROUP BY h),
+hit AS MATERIALIZED (SELECT g.doc_id, g.i FROM g JOIN f USING (h) WHERE f.m < g.doc_id),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, i + j AS i FROM hit, (SELECT unnest(range(50)) AS j)),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM words WHERE (doc_id, i) NOT IN (SELECT (doc_id, i) FROM gone) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
+)
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .window_index import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
