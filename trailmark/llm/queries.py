@@ -259,3 +259,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .window_index import dedup_substrings
 
     return dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
+
+
+# --------------------------------------------------------- 8: suffix dedup
+
+
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import dedup_suffixes
+
+    return dedup_suffixes(table(spark, sf_dir, "documents")).drop("kept")
