@@ -269,3 +269,13 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixes import dedup_suffixes
 
     return dedup_suffixes(table(spark, sf_dir, "documents")).drop("kept")
+
+
+# ------------------------------------------------------ 4: nearest neighbours
+
+
+@query("op4_nearest")
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
