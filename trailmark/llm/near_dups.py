@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, in_filter, key_filter, materialize, mix, slices, text_buffer, word_stream
+from .common import WordHashes, components, in_filter, key_filter, materialize, mix, row_key, slices, text_buffer, word_stream
 
 SIGNATURE = 252
 _C1, _C2, _C3 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -99,9 +99,9 @@ def band_shape(similarity: int, m: int = SIGNATURE, miss: float = 1e-6) -> tuple
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, similarity: int) -> DataFrame:
-    """(id, n_shingles, hi, lo, bands): the set's size, its digest and band keys."""
+    """(id, row, n, hi, lo, bands): the set's size, its digest and band keys."""
     bands, rows = band_shape(similarity)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row"))
 
     def sketch(batches):
         hashes = WordHashes()
@@ -117,13 +117,13 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, similarity: in
                 digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()),
+                        batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, (len(sets) + 1) * bands, bands, dtype=np.int32)), pa.array(key.view(np.int64).ravel())),
                     ],
-                    names=["id", "n", "hi", "lo", "bands"],
+                    names=["id", "row", "n", "hi", "lo", "bands"],
                 )
 
-    return source.mapInArrow(sketch, "id long, n long, hi long, lo long, bands array<long>")
+    return source.mapInArrow(sketch, "id long, row long, n long, hi long, lo long, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
@@ -161,8 +161,9 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) ->
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id, kept): ``component_id`` is the smallest id
-    reachable over links of ``similarity`` percent or more."""
+    """(id, row, n_shingles, component_id, kept): ``component_id`` is the smallest
+    id reachable over links of ``similarity`` percent or more, ``row`` is
+    ``common.row_key``."""
     sketch = materialize(sketches(docs, id_col, text_col, k, similarity), "sketches")
     classes = materialize(sketch.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("node"), F.first("n").alias("n")), "classes")
     own = sketch.where("n > 0").join(classes.select("hi", "lo", "node"), ["hi", "lo"]).where("id = node")
@@ -193,6 +194,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = found.groupBy("root").agg(F.min("node").alias("least"))
     members = found.join(smallest, "root").select("node", F.least("least", "root").alias("component"))
     classed = classes.join(members, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
-    rows = sketch.select("id", "n", "hi", "lo").join(classed, ["hi", "lo"], "left")
+    rows = sketch.select("id", "row", "n", "hi", "lo").join(classed, ["hi", "lo"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return rows.select(F.col("id").alias(id_col), "row", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: that of the smallest id, once if
+    its row is repeated.  Rows without an id go only if an identified document has
+    an equal set."""
+    found = materialize(near_duplicates(docs, id_col, text_col, k, similarity), "near-duplicates")
+    gone = found.where("not kept").select("row").distinct()
+    again = found.where(F.col("kept") & F.col(id_col).isNotNull()).groupBy("row").agg(F.count("*").alias("c")).where("c > 1").select("row")
+    left = docs.withColumn("__tm_row", row_key(id_col, text_col))
+    left = left.join(gone.withColumnRenamed("row", "__tm_row"), "__tm_row", "left_anti")
+    again = materialize(again, "repeated-rows").withColumnRenamed("row", "__tm_row")
+    if not again.isEmpty():
+        once = left.join(again, "__tm_row", "left_semi").dropDuplicates(["__tm_row"])
+        left = left.join(again, "__tm_row", "left_anti").unionByName(once)
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -222,7 +222,7 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dups import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), k=3, similarity=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, similarity=85).drop("row")
 
 
 # -------------------------------------------------------------- 2: lm scoring
