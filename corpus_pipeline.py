@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import mixing, packing, quality, secrets
+from trailmark.llm import mixing, near_dups, packing, quality, secrets
 from trailmark.llm.common import materialize
 from trailmark.llm.queries import prepare, tokenizer_path
 
@@ -19,6 +19,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_quality(docs)
 
 
+def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (5-word shingles, 0.8)."""
+    prepare(spark)
+    return near_dups.drop_near_duplicates(docs)
+
+
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the text; every document stays."""
     prepare(spark)
@@ -36,9 +42,15 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("quality rules", quality_stage), ("secret scans", secrets_stage), ("mixing sources", mixing_stage), ("best-fit packing", packing_stage)]
+STAGES = [
+    ("quality rules", quality_stage),
+    ("near duplicates", near_dups_stage),
+    ("secret scans", secrets_stage),
+    ("mixing sources", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
 
-#: SQL can express neither the secret scanner's positions nor the packing.
+#: SQL can express neither the secret scanner nor the packing.
 ORACLE_SQL = None
 
 
