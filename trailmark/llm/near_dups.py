@@ -14,10 +14,15 @@ its places, after a few steps for all but tiny documents.
    share a bucket.
 3. Each class is first verified against the bucket leader with which it shares
    most bands.  Union-find over these links settles most of every bucket.
-4. Then every remaining pair of one bucket that lies in two components, and
-   whose sizes allow the similarity, is verified on the full sets.  A pair is
-   left out only if its classes are connected already, so no component is lost;
-   a group of near copies, however large, is linear work.
+4. Buckets that still hold several components go on to an exact prefix filter:
+   with a document's shingles in one global order, rare ones first, two similar
+   documents share one of their first ``n - ceil(similarity n) + 1``.  The order
+   is by counts in a table of fixed size, which any two documents read alike.
+   Pairs that share such a shingle, lie in two components and whose sizes and
+   places allow the similarity are verified on the full sets.  A pair is left out
+   only if it can't be similar or its classes are connected already, so no
+   component is lost; a group of near copies, however large, is linear work, and
+   so are many documents that share a frequent passage.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  Defined results: fewer
 words than a shingle form one shingle; a null or empty text has the empty set
@@ -160,6 +165,63 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) ->
     return source.mapInArrow(some, "id long, text string").join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
 
 
+def crossing_pairs(nodes: DataFrame, texts: DataFrame, k: int, similarity: int, slots: int = 1 << 21) -> DataFrame:
+    """``nodes(node, label)`` to the pairs (a, b) of different labels that the prefix
+    filter leaves.  slots: how many counters order the shingles; more only prune
+    better."""
+    rows = materialize(texts.join(nodes.withColumnRenamed("node", "id"), "id").select("id", "label", "text"), "open-texts")
+
+    def each(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(2))
+            for a, b in slices(offsets, 4 << 20):
+                yield batch.slice(a, b - a), shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k, hashes)
+
+    def count(batches):
+        total = np.zeros(slots, np.int64)
+        for _, sets in each(batches):
+            for shingles in sets:
+                np.add.at(total, (shingles & np.uint64(slots - 1)).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        for i in range(0, len(used), 1 << 16):
+            some = used[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "c"])
+
+    counted = rows.mapInArrow(count, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+    weights = np.zeros(slots, np.int32)
+    weights[np.asarray(counted["slot"].combine_chunks())] = np.minimum(np.asarray(counted["c"].combine_chunks()), np.iinfo(np.int32).max)
+    shared = nodes.sparkSession.sparkContext.broadcast(weights)
+
+    def prefixes(batches):
+        weight = shared.value
+        for part, sets in each(batches):
+            heads, places, sizes = [], [], []
+            for shingles in sets:
+                n = len(shingles)
+                head = n - -(-similarity * n // 100) + 1 if n else 0
+                order = np.lexsort((shingles, weight[(shingles & np.uint64(slots - 1)).astype(np.int64)]))[:head]
+                heads.append(shingles[order])
+                places.append(np.arange(1, len(order) + 1))
+                sizes.append(n)
+            lengths = [len(h) for h in heads]
+            take = pa.array(np.repeat(np.arange(len(sets)), lengths))
+            token = np.concatenate(heads).view(np.int64) if heads else np.zeros(0, np.int64)
+            place = np.concatenate(places) if places else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(token), pa.array(place), pa.array(np.repeat(np.array(sizes, np.int64), lengths))], names=["node", "label", "token", "i", "n"])
+
+    heads = materialize(rows.mapInArrow(prefixes, "node long, label long, token long, i long, n long"), "prefixes")
+    by_label = heads.groupBy("token", "label").agg(F.count("*").alias("c"))
+    main = by_label.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("m.label").alias("main"))
+    inside = materialize(heads.join(main, "token"), "shared-prefixes")
+    few = inside.where("label <> main").selectExpr("token", "node as x", "label as lx", "i as ix", "n as nx")
+    all_ = inside.selectExpr("token", "node as y", "label as ly", "i as iy", "n as ny")
+    sizes = f"nx * 100 >= ny * {similarity} and ny * 100 >= nx * {similarity}"
+    places = f"(1 + least(nx - ix, ny - iy)) * {100 + similarity} >= {similarity} * (nx + ny)"
+    crossing = few.join(all_, "token").where(f"lx <> ly and {sizes} and {places}")
+    return crossing.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: int = 80) -> DataFrame:
     """(id, row, n_shingles, component_id, kept): ``component_id`` is the smallest
     id reachable over links of ``similarity`` percent or more, ``row`` is
@@ -167,9 +229,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = materialize(sketches(docs, id_col, text_col, k, similarity), "sketches")
     classes = materialize(sketch.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("node"), F.first("n").alias("n")), "classes")
     own = sketch.where("n > 0").join(classes.select("hi", "lo", "node"), ["hi", "lo"]).where("id = node")
-    banded = own.select("node", "n", F.explode("bands").alias("key"))
+    banded = own.select("node", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last")
-    buckets = materialize(banded.join(shared.select("key", "leader"), "key").select("key", "node", "n", "leader").distinct(), "buckets")
+    buckets = materialize(banded.join(shared.select("key", "leader"), "key").distinct(), "buckets")
     nodes = materialize(buckets.select("node").distinct(), "nodes")
     texts = materialize(_texts_of(docs, nodes, id_col, text_col), "texts")
 
@@ -179,17 +241,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links)
 
     label = F.coalesce("root", "node").alias("label")
-    labelled = materialize(buckets.drop("leader").join(found, "node", "left").select("key", "node", "n", label), "labelled")
-    counts = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
-    mixed = counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("m.label").alias("main"))
-    mixed = materialize(mixed, "mixed-buckets")
-    inside = labelled.join(mixed, "key")
-    few = inside.where("label <> main").selectExpr("key", "node as x", "n as nx", "label as lx")
-    fits = "nx * 100 >= ny * {s} and ny * 100 >= nx * {s}".format(s=similarity)
-    crossing = few.join(inside.selectExpr("key", "node as y", "n as ny", "label as ly"), "key").where(f"lx <> ly and {fits}")
-    pairs = materialize(crossing.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "crossing-pairs")
-    more = materialize(verified(pairs, texts, k, similarity), "crossing-links")
-    found = components(links.unionByName(more)) if not more.isEmpty() else found
+    labelled = materialize(buckets.select("key", "node").join(found, "node", "left").select("key", "node", label), "labelled")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+    open_ = materialize(labelled.join(mixed, "key", "left_semi").select("node", "label").distinct(), "open-nodes")
+    pairs = materialize(crossing_pairs(open_, texts, k, similarity), "crossing-pairs")
+    if not pairs.isEmpty():
+        more = materialize(verified(pairs, texts, k, similarity), "crossing-links")
+        found = components(links.unionByName(more))
 
     smallest = found.groupBy("root").agg(F.min("node").alias("least"))
     members = found.join(smallest, "root").select("node", F.least("least", "root").alias("component"))
