@@ -110,7 +110,7 @@ BASE_RULES = (
 MORE_RULES = (
     Rule("word_length", lambda f: (f["word_chars"] < f["n_words"] * 2) | (f["word_chars"] > f["n_words"] * 25)),
     Rule("symbols", lambda f: f["n_symbols"] * 10 > f["n_words"] * 4),
-    Rule("repeated_lines", lambda f: f["n_dup_lines"] * 10 > f["n_lines"] * 3),
+    Rule("repeated_lines", lambda f: f["n_dup_lines"] * 10 > f["n_lines"] * 4),
 )
 RULES = BASE_RULES + MORE_RULES
 
