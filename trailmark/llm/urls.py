@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
 
@@ -44,6 +46,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     hosts = rows.where("host <> ''").select("host").distinct().select("host", F.explode(suffixes).alias("domain"))
     item = F.struct(F.length("domain").alias("n"), F.when(F.col("list") == "block", 1).otherwise(0).alias("block"), "domain", "list", "valid_from", "valid_to")
     listed = hosts.join(validity_intervals(entries), "domain").groupBy("host").agg(F.collect_set(item).alias("spans"))
+    listed = materialize(listed, "listed-hosts")  # its size is then known, and captures of one host can be split over tasks
     joined = rows.join(listed, "host", "left")
     active = F.filter("spans", lambda s: (s["valid_from"] <= F.col(time_col)) & (s["valid_to"].isNull() | (F.col(time_col) < s["valid_to"])))
     best = F.array_max(active)
