@@ -27,6 +27,7 @@ training rows every probability is one half a bit.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import repeat
 from math import lgamma, log, pi
 
 import numpy as np
@@ -228,6 +229,43 @@ def gram_scores(grams: DataFrame, group: int = 200_000) -> DataFrame:
 # ---------------------------------------------------------------------- scoring
 
 
+class Lookup:
+    """An open-addressing table from codes to scores, in arrays."""
+
+    _spread = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, codes: np.ndarray, scores: np.ndarray) -> None:
+        self.bits = max(4, int(2 * len(codes)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)  # codes are not negative
+        self.values = np.zeros(1 << self.bits, np.float32)
+        slot, left = self._slot(codes), np.arange(len(codes))
+        while len(left):
+            free = self.keys[slot] == -1
+            self.keys[slot[free]] = codes[left[free]]  # of several for a slot, the last stays
+            won = self.keys[slot] == codes[left]
+            self.values[slot[won]] = scores[left[won]]
+            slot, left = (slot[~won] + 1) & (len(self.keys) - 1), left[~won]
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.view(np.uint64) * self._spread) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def add(self, codes: np.ndarray, to: np.ndarray) -> None:
+        """Adds the scores of the codes that the table holds."""
+        slot = self._slot(codes)
+        keys = self.keys.take(slot)
+        hit = keys == codes
+        to += np.where(hit, self.values.take(slot), 0.0)
+        left = np.flatnonzero(~hit & (keys != -1))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & (len(self.keys) - 1)
+            keys = self.keys.take(slot)
+            hit = keys == codes[left]
+            to[left[hit]] += self.values.take(slot[hit])
+            go = ~hit & (keys != -1)
+            left, slot = left[go], slot[go]
+
+
 class Model:
     """Trained counts: ``scores(gram, score)``, ``words(word, n)`` and totals."""
 
@@ -244,9 +282,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     return Model(materialize(gram_scores(grams), "lm-scores"), words, int(total[0]), int(total[1]))
 
 
-def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", slice_grams: int = 4_000_000, frequent: int = 1 << 16) -> DataFrame:
+def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", slice_grams: int = 2_000_000, frequent: int = 1 << 18, resident: int = 2) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes,
-    bits_per_byte).  slice_grams and frequent bound what one broadcast holds."""
+    bits_per_byte).  slice_grams and frequent bound what one broadcast holds, and
+    resident how many slices a worker keeps between batches."""
     context = docs.sparkSession.sparkContext
     n = model.scores.count()
     parts = max(1, -(-n // slice_grams))
@@ -254,49 +293,44 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     for part in range(parts):  # the driver holds one slice at a time
         rows = model.scores.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == part).toArrow()
         gram, value = np.asarray(rows["gram"].combine_chunks()), np.asarray(rows["score"].combine_chunks())
-        order = np.argsort(gram)
-        tables.append(context.broadcast((gram[order], value[order])))
+        tables.append(context.broadcast(Lookup(gram, value)))
         del rows, gram, value
     common = model.words.orderBy(F.desc("n"), "word").limit(frequent)
     rows = common.toArrow()
-    known = context.broadcast(dict(zip(rows["word"].to_pylist(), rows["n"].to_pylist())))
+    known = context.broadcast((rows["word"].to_pylist(), rows["n"].to_numpy().astype(float)))
     floor = 0.1 * (model.distinct + 1) + model.tokens
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("out"))
     head = source.select("id").schema["id"].dataType.simpleString()
     tokens = model.tokens
 
     def score(batches):
-        frequent_words = known.value
-        values = np.log10((np.fromiter(frequent_words.values(), float, len(frequent_words)) + 0.1) / floor)
-        place = {w: i for i, w in enumerate(frequent_words)}
+        frequent_words, counts = known.value
+        values = np.log10((counts + 0.1) / floor)
+        place, unknown = {w: i for i, w in enumerate(frequent_words)}, repeat(-1)
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             ids, outs = batch.column(0), batch.column(2)
-            for a, b in slices(offsets, 4 << 20):
+            for a, b in slices(offsets, 2 << 20):
                 inner = offsets[a : b + 1] - offsets[a]
                 part = data[offsets[a] : offsets[b]]
                 code, at = gram_codes(part, inner)
-                distinct, which = np.unique(code, return_inverse=True)
-                found = np.zeros(len(distinct))
+                found = np.zeros(len(code))
                 for table in tables:
-                    gram, value = table.value
-                    if len(tables) > 1:
-                        del table._value  # one slice at a time
-                    if len(gram):
-                        i = np.minimum(np.searchsorted(gram, distinct), len(gram) - 1)
-                        found += np.where(gram[i] == distinct, value[i], 0.0)
-                total = np.add.reduceat(found[which], at[:-1])
+                    table.value.add(code, found)
+                    if len(tables) > resident:
+                        del table._value  # a worker holds one slice at a time
+                total = np.add.reduceat(found, at[:-1])
                 raw = part.tobytes().lower()
                 n_tokens, n_known, base, rare = [], [], [], []
                 for i in range(b - a):
                     words = raw[inner[i] : inner[i + 1]].split()
                     words.append(END_TOKEN)
-                    seen = np.fromiter((place.get(w, -1) for w in words), np.int64, len(words))
+                    seen = np.fromiter(map(place.get, words, unknown), np.int64, len(words))
                     hit = seen >= 0
                     n_tokens.append(len(words))
                     n_known.append(int(hit.sum()))
                     base.append(float(values[seen[hit]].sum()) if len(values) else 0.0)
-                    rare.append([{"word": w, "k": k} for w, k in Counter(w for w, h in zip(words, hit.tolist()) if not h).items()])
+                    rare.append([{"word": w, "k": k} for w, k in Counter(words[j] for j in np.flatnonzero(~hit).tolist()).items()])
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(a, b - a), outs.slice(a, b - a), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(total), pa.array(np.diff(inner)),
