@@ -137,7 +137,7 @@ def gram_hashes(sums: np.ndarray, k: int, base: np.uint64 = _B) -> np.ndarray:
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash, remembered for a bounded number of words."""
 
-    limit = 400_000
+    limit = 120_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -204,24 +204,82 @@ def minimisers(grams: np.ndarray, offsets: np.ndarray, k: int, window: int) -> t
     return owner[lo], lo, hi, np.searchsorted(offsets, lo, "right") - 1
 
 
+# ------------------------------------------------------------- grouped batches
+
+
+def whole_groups(batches, limit: int = 20_000):
+    """Record batches, cut so that no group (equal ``h``, in order) is in two."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= limit:
+            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            h = np.asarray(table.column(0))
+            cut = int(np.flatnonzero(h != h[-1])[-1]) + 1 if h[0] != h[-1] else 0
+            if cut:
+                for start in _group_cuts(h[:cut], limit):
+                    yield table.slice(*start)
+            held = [table.slice(cut)]
+            rows = table.num_rows - cut
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        for start in _group_cuts(np.asarray(table.column(0)), limit):
+            yield table.slice(*start)
+
+
+def _group_cuts(h: np.ndarray, limit: int):
+    """(start, length) of pieces of about ``limit`` rows that end where h changes."""
+    ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
+    start = 0
+    while start < len(h):
+        stop = int(ends[min(np.searchsorted(ends, start + limit), len(ends) - 1)])
+        yield start, stop - start
+        start = stop
+
+
+def binary_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2], np.uint8)[edges[0] : edges[-1]], edges - edges[0]
+
+
 # ------------------------------------------------------------- bounded filters
 
 
-def key_filter(keys: DataFrame, column: str, bits: int = 1 << 25) -> np.ndarray:
-    """A one-hash Bloom filter over a long column: a bit array of fixed size,
-    whatever the number of keys.  It only saves work: who uses it joins the
-    exact keys afterwards."""
-    words = bits >> 6
-    slot = F.pmod(F.col(column), F.lit(bits))
-    rows = (
-        keys.select((slot / 64).cast("long").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod({column}, {bits}L), 64) as int))").alias("b"))
-        .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    )
-    out = np.zeros(words, np.uint64)
-    out[rows["w"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
+BITS = 1 << 25
+
+
+def key_bits(keys: DataFrame, column: str, bits: int = BITS) -> DataFrame:
+    """A one-hash Bloom filter over a long column as a table (w, b) of 64-bit words:
+    ``bits / 64`` rows at most, whatever the number of keys.  It only saves work:
+    who uses it joins the exact keys afterwards."""
+    word, bit = _place(column, bits)
+    return keys.select(word.alias("w"), F.expr(f"shiftleft(1L, {bit})").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+
+
+def _place(column: str, bits: int) -> tuple[Column, str]:
+    return F.expr(f"pmod({column}, {bits}L) div 64"), f"cast(pmod({column}, 64L) as int)"
+
+
+def key_filter(keys: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
+    """The same as an array of ``bits`` bits, for tasks that compute their keys."""
+    rows = key_bits(keys, column, bits).toArrow()
+    out = np.zeros(bits >> 6, np.uint64)
+    out[np.asarray(rows["w"].combine_chunks())] = np.asarray(rows["b"].combine_chunks()).view(np.uint64)
     return out
 
 
+def split_by_bits(source: DataFrame, table: DataFrame, key: str, inside: bool, bits: int = BITS) -> DataFrame:
+    """The rows whose long ``key`` passes a filter, or those that do not.  The filter's
+    size is fixed, so it is broadcast."""
+    word, bit = _place(key, bits)
+    passes = (word == F.col("__tm_w")) & F.expr(f"(shiftrightunsigned(__tm_b, {bit}) & 1L) = 1L")
+    return source.join(F.broadcast(table.toDF("__tm_w", "__tm_b")), passes, "left_semi" if inside else "left_anti")
+
+
 def in_filter(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """``keys``: uint64 views of the longs."""
     bits = len(table) << 6

@@ -19,8 +19,8 @@ ORACLES: dict[str, str] = {}
 def prepare(spark: SparkSession) -> None:
     """Bounds what one Arrow batch holds, so that very long texts fit a worker."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def query(name: str, sql: str | None = None):
@@ -153,7 +153,7 @@ f AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))
   FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR word_chars < n_words * 2 OR word_chars > n_words * 25 OR n_symbols * 10 > n_words * 4 OR n_dup_lines * 10 > n_lines * 3) AS kept
+  NOT (base_failed OR word_chars < n_words * 2 OR word_chars > n_words * 25 OR n_symbols * 10 > n_words * 4 OR n_dup_lines * 10 > n_lines * 4) AS kept
 FROM b
 """,
 )

@@ -34,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, in_filter, key_filter, materialize, minimisers, mix, prefix_sums, range_hash, row_key, slices, text_buffer
+from .common import (
+    binary_buffer, gram_hashes, in_filter, key_bits, key_filter, materialize, minimisers, mix, prefix_sums, range_hash, row_key, slices, split_by_bits, text_buffer, whole_groups,
+)
 
 WIDTH = 200
 GRAM = 50
-SLICE = 1 << 20
+SLICE = 1 << 19
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SECOND = np.uint64(0xD1342543DE82EF95)
 _SECOND_INV = np.uint64(pow(int(_SECOND), -1, 1 << 64))
@@ -153,7 +155,7 @@ class Suffixes:
 
     def agree(self, p: np.ndarray, q: np.ndarray, size: np.ndarray) -> bool:
         """Whether the bytes at p and q are equal over ``size``: no collision."""
-        step = max(1, (8 << 20) // max(1, int(size.max(initial=1))))
+        step = max(1, (1 << 20) // max(1, int(size.max(initial=1))))
         for i in range(0, len(p), step):
             n = size[i : i + step]
             inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -208,45 +210,6 @@ def _plain(group, data, edges, n, width):
     return np.array([i for i, _ in hits], np.int64), np.array([k for _, k in hits], np.int64)
 
 
-def _whole_groups(batches, limit: int = 20_000):
-    """Record batches, cut so that no group (equal ``h``, in order) is in two."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= limit:
-            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            h = np.asarray(table.column(0))
-            cut = int(np.flatnonzero(h != h[-1])[-1]) + 1 if h[0] != h[-1] else 0
-            if cut:
-                for start in _cuts(h[:cut], limit):
-                    yield table.slice(*start)
-            held = [table.slice(cut)]
-            rows = table.num_rows - cut
-    if held:
-        table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        for start in _cuts(np.asarray(table.column(0)), limit):
-            yield table.slice(*start)
-
-
-def _cuts(h: np.ndarray, limit: int):
-    """(start, length) of pieces of about ``limit`` rows that end where h changes."""
-    ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
-    start = 0
-    while start < len(h):
-        stop = int(ends[min(np.searchsorted(ends, start + limit), len(ends) - 1)])
-        yield start, stop - start
-        start = stop
-
-
-def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    return np.frombuffer(column.buffers()[2], np.uint8)[edges[0] : edges[-1]], edges - edges[0]
-
-
 # -------------------------------------------------------------------- operator
 
 
@@ -254,18 +217,18 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most:
     """``docs(row, text)`` to (row, first, n): starts of repeated strings."""
     shared = _fingerprints(docs, width, gram).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     filter_ = key_filter(shared, "h")
-    found = materialize(_stretches(docs, filter_, width, gram), "suffix-stretches").withColumn("occurrence", F.xxhash64("row", "first"))
+    found = materialize(_stretches(docs, filter_, width, gram).withColumn("occurrence", F.xxhash64("row", "first")), "suffix-stretches")
     distinct = materialize(found.groupBy("h", "stretch").agg(F.count("*").alias("copies"), F.min("occurrence").alias("holder")), "suffix-distinct")
     copied = found.select("h", "stretch", "row", "first", "n").join(distinct.where("copies > 1").select("h", "stretch"), ["h", "stretch"]).select("row", "first", "n")
 
     sizes = distinct.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-    holders = distinct.join(sizes, "h").select("h", "stretch", "holder", "size")
-    held = found.join(holders.withColumnRenamed("holder", "occurrence"), ["h", "stretch", "occurrence"])
+    holders = materialize(distinct.join(sizes, "h").select("h", "stretch", F.col("holder").alias("occurrence"), "size"), "suffix-holders")
+    held = split_by_bits(found, materialize(key_bits(holders, "occurrence"), "holder-bits"), "occurrence", True).join(holders, ["h", "stretch", "occurrence"])
 
     def compare(batches):
-        for chunk in _whole_groups(batches):
+        for chunk in whole_groups(batches):
             h, at, n = (np.asarray(chunk.column(i)) for i in (0, 3, 4))
-            data, edges = _binary(chunk.column(5))
+            data, edges = binary_buffer(chunk.column(5))
             group = np.cumsum(np.append(0, h[1:] != h[:-1]))
             which, place = repeated_strings(group, data, edges, at, n, width)
             order = np.lexsort((place, which))
@@ -283,7 +246,7 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most:
     def unpack(batches):
         for batch in batches:
             first, n = np.asarray(batch.column(2)), np.asarray(batch.column(4))
-            data, edges = _binary(batch.column(5))
+            data, edges = binary_buffer(batch.column(5))
             start = np.repeat(edges[:-1], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             which = np.repeat(np.arange(len(n)), n)
             one = mix(range_hash(prefix_sums(_VALUES[data]), start, start + width))
@@ -300,9 +263,11 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) of every row."""
     source = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     ranges = repeated_ranges(source, width, gram, most)
-    packed = ranges.groupBy("row").agg(F.collect_set(F.struct("first", "n")).alias("cut"))
-    joined = source.join(packed, "row", "left").select("id", "text", "cut")
-    head = joined.schema["id"].dataType.simpleString()
+    packed = materialize(ranges.groupBy("row").agg(F.collect_set(F.struct("first", "n")).alias("cut")), "suffix-cuts")
+    hit = materialize(key_bits(packed, "row"), "cut-bits")  # texts without a cut need not move
+    joined = split_by_bits(source, hit, "row", True).join(packed, "row", "left").select("id", "text", "cut")
+    whole = split_by_bits(source, hit, "row", False).select("id", "text", F.lit(None).cast(packed.schema["cut"].dataType).alias("cut"))
+    kind = f"id {source.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
     def cut(batches):
         for batch in batches:
@@ -325,4 +290,4 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(left)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return joined.mapInArrow(cut, f"id {head}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
+    return joined.mapInArrow(cut, kind).unionByName(whole.mapInArrow(cut, kind)).withColumnRenamed("id", id_col)
