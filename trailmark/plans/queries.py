@@ -12,7 +12,7 @@ from ..functions import vectors as V
 from ..operators import answers as A
 from ..operators import audit, corpus, dense, docids, evaluation, lexical, multihop
 from ..session import ship
-from . import views
+from . import pipelines, views
 from .views import with_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -694,3 +694,81 @@ def fingerprint(spark, d):
 )
 def table_fingerprint(spark, d):
     return audit.table_fingerprint(views.table(spark, d, "documents"), ["doc_id", "source", "text"])
+
+
+# ------------------------------------------------------------------ compositions
+
+
+def _samples(spark, d):
+    p = views.positives(spark, d)
+    return p.select("query_id", F.concat(F.lit("qa_"), "query_id").alias("source_qa_id"), F.col("doc_ids").alias("positive_doc_ids")), p.select(F.concat(F.lit("qa_"), "query_id").alias("source_qa_id"), "question", F.concat(F.lit("answer "), "query_id").alias("answer"))
+
+
+@query(
+    "abstractive_examples",
+    f"""{with_('passages', 'queries', 'qrels', 'positives')},{INDEX_SQL},
+s AS (SELECT query_id, doc_id, count(*)::DOUBLE AS score FROM (SELECT DISTINCT query_id, unnest({words_sql('text')}) AS term FROM queries) JOIN postings USING (term) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM qrels)),
+n AS (SELECT query_id, list(doc_id ORDER BY rank) AS negatives FROM r WHERE rank <= 8 GROUP BY query_id)
+SELECT query_id, 'qa_' || query_id AS source_qa_id, question, 'answer ' || query_id AS answer, doc_ids AS positive_doc_ids, len(doc_ids) >= 2 AS multihop, list_concat(doc_ids, negatives) AS candidate_doc_ids FROM positives JOIN n USING (query_id)""",
+)
+def abstractive_examples(spark, d):
+    samples, qa = _samples(spark, d)
+    return pipelines.abstractive_examples(samples, qa, overlap_negatives(spark, d)).drop("contexts")
+
+
+def _extractive(spark, d):
+    contexts = views.qa_contexts(spark, d).withColumn("is_positive", F.col("ctx") % 4 != 1)
+    return pipelines.extractive_examples(contexts, _answers(spark, d))
+
+
+@query("extractive_examples")
+def extractive_examples(spark, d):
+    return _extractive(spark, d).select("query_id", "start_position", "end_position", "label_method", F.round("overlap_score", 6).alias("overlap_score"), F.size("passages").alias("n_passages"), "input_context_count", "multihop")
+
+
+@query("label_counts")
+def label_counts(spark, d):
+    return pipelines.label_counts(_extractive(spark, d))
+
+
+@query("answer_metrics")
+def answer_metrics(spark, d):
+    qa = views.qa_samples(spark, d).where("question is not null and answer is not null")
+    m = pipelines.answer_metrics(qa.select("query_id", F.col("answer").alias("prediction"), F.col("question").alias("reference")))
+    return m.select("num_examples", F.round("rouge_l", 6).alias("rouge_l"), F.round("meteor", 6).alias("meteor"), "bertscore_f1")
+
+
+@query(
+    "align_subwords",
+    """WITH s AS (SELECT item_id AS id, i, i * 3 AS a, least(i * 3 + 3, length(text)) AS b FROM benchmark, (SELECT unnest(range(2000)) AS i) WHERE i * 3 < length(text)),
+t AS (SELECT item_id AS id, i AS t, i * 5 AS a, i * 5 + 4 AS b FROM benchmark, (SELECT unnest(range(2000)) AS i) WHERE i * 5 < length(text))
+SELECT s.id, s.i, coalesce(min(t.t), -1) AS token FROM s LEFT JOIN t ON s.id = t.id AND s.a < t.b AND t.a < s.b GROUP BY s.id, s.i""",
+)
+def align_subwords(spark, d):
+    """Three-character pieces against five-character tokens with a gap."""
+    items = views.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.length("text").alias("n"))
+
+    def cut(step: int, width: int, name: str):
+        rows = items.select("id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / step).cast("int") - 1, F.lit(0)))).alias(name)).where("n > 0")
+        return rows.select("id", F.col(name).cast("long").alias(name), (F.col(name) * step).alias("start"), F.when(F.lit(width == step), F.least(F.col(name) * step + width, F.col("n"))).otherwise(F.col(name) * step + width).alias("end"))
+
+    return pipelines.align_subwords(cut(3, 3, "i"), cut(5, 4, "t")).select("id", "i", F.coalesce("token", F.lit(-1)).alias("token"))
+
+
+@query("corpus_counts", f"""{with_('sections')}, a AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN '2' WHEN 1 THEN '99' END AS article FROM sections)
+SELECT count(*) AS passages, count(*) FILTER (article = '2' AND len(paragraphs) >= 2) AS article_passages, count(DISTINCT CASE WHEN article = '2' AND len(paragraphs) >= 2 THEN doc_id END) AS distinct_articles, count(DISTINCT doc_id) AS documents FROM a""")
+def corpus_counts(spark, d):
+    return pipelines.corpus_counts(find_article(spark, d))
+
+
+@query("run_comparison", f"WITH {RUNS_SQL} SELECT method, seed, metric, round(value, 4) AS value FROM runs")
+def run_comparison(spark, d):
+    runs = _runs(spark, d).withColumn("track", F.lit("all_matched"))
+    return pipelines.comparison(runs, ["track"], ["metric"], {"track": "all_matched"}).select("method", "seed", "metric", F.round("value", 4).alias("value"))
+
+
+@query("first_rows", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 25")
+def first_rows(spark, d):
+    rows = views.table(spark, d, "documents").select("doc_id", "n_chars", (-F.col("n_chars")).alias("order"))
+    return pipelines.first_rows(rows, ["order", "doc_id"], 25).drop("order")
