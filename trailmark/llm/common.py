@@ -16,6 +16,8 @@ Conventions
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -56,6 +58,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trimmed(f):
+    """``f`` for mapInArrow, giving memory back when a partition ends: Spark keeps the
+    worker for later tasks of any kind."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
+def release_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
 
@@ -309,26 +330,43 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         parent = up
 
 
-def _local_forests(batches):
+def _gathered(batches, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """A partition's edges as a forest (node, root); memory follows its nodes."""
+    a, b, held = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    rows = 0
     for batch in batches:
-        a, b = (np.asarray(batch.column(i)) for i in (0, 1))
-        nodes, roots = _forest(a, b)
-        keep = nodes != roots
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(roots[keep])], names=["a", "b"])
+        held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1))))
+        rows += batch.num_rows
+        if rows > keep:
+            a, b = _forest(np.concatenate([a, *(x for x, _ in held)]), np.concatenate([b, *(y for _, y in held)]))
+            held, rows = [], 0
+    return _forest(np.concatenate([a, *(x for x, _ in held)]), np.concatenate([b, *(y for _, y in held)]))
+
+
+def _local_forests(batches):
+    nodes, roots = _gathered(batches, 200_000)
+    keep = nodes != roots
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(roots[keep])], names=["a", "b"])
+
+
+def _whole_forest(batches):
+    nodes, roots = _gathered(batches, 200_000)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["node", "up"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, few: int = 250_000) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: (node, root).
 
-    Union-find within each batch thins the edges to forests; then every node
+    Union-find within each partition thins the edges to forests; then every node
     joins the neighbour of smallest hash (fresh hashes each round, so chains
-    shrink by a constant factor) until no edge is left.  Aggregation is by
-    partial minima, so a node with very many edges is no hot spot."""
+    shrink by a constant factor) until at most ``few`` edges are left, which one
+    task settles by union-find.  Aggregation is by partial minima, so a node with
+    very many edges is no hot spot."""
     links = materialize(edges.select("a", "b").where("a <> b").distinct(), "links")
     steps: list[DataFrame] = []
-    while not links.isEmpty():
+    while (n := links.count()) > few:
         seed = len(steps)
-        links = links.repartition("b").mapInArrow(_local_forests, "a long, b long")
+        links = links.mapInArrow(trimmed(_local_forests), "a long, b long")
         both = links.unionByName(links.selectExpr("b as a", "a as b"))
         order = lambda c: F.struct(F.xxhash64(F.lit(seed), F.col(c)).alias("h"), F.col(c).alias("n"))
         near = both.groupBy("a").agg(F.min(order("b")).alias("m"))
@@ -336,6 +374,8 @@ def components(edges: DataFrame) -> DataFrame:
         steps.append(step)
         p, q = step.selectExpr("node as a", "up as pa"), step.selectExpr("node as b", "up as pb")
         links = materialize(links.join(p, "a").join(q, "b").selectExpr("pa as a", "pb as b").where("a <> b").distinct(), "links")
+    if n:
+        steps.append(materialize(links.coalesce(1).mapInArrow(trimmed(_whole_forest), "node long, up long"), "parents"))
     if not steps:
         return links.selectExpr("a as node", "b as root")
     out = steps[0].withColumnRenamed("up", "root")

@@ -12,10 +12,12 @@ the words of all documents that hold them; then the new run is appended, and run
 of like size are compacted into one.  Batches come in order of document id, so
 history is what has a smaller id; within a batch the smallest id counts.
 
-Verification compares 128-bit hashes of the whole windows.  An owner with the
-windows around it is a *stretch*; equal stretches are merged by partial
+Verification compares owner and window hashes, 128 bits together.  An owner with
+the windows around it is a *stretch*; equal stretches are merged by partial
 aggregation first, so a passage in a third of all documents is a few rows, and
-only the first holder of each stretch is compared window by window.
+only the first holders of an owner's different stretches are compared window by
+window: in the task of the owner, or, if more than ``most`` stretches share an
+owner, by partial minima over the windows.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` unchanged.  Defined results: a null or empty
 text, or one shorter than a window, keeps all its words; windows are judged on
@@ -33,10 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, in_filter, key_filter, materialize, minimisers, mix, new_path, prefix_sums, range_hash, row_key, slices, text_buffer, word_stream
+from .common import (
+    trimmed, WordHashes, binary_buffer, gram_hashes, in_filter, key_bits, key_filter, materialize, minimisers, mix, new_path, prefix_sums, range_hash, row_key, slices, split_by_bits, text_buffer,
+    whole_groups, word_stream,
+)
 
 WIDTH = 50
-GRAM = 20
+GRAM = 25
 _SECOND = np.uint64(0xD1342543DE82EF95)
 _SECOND_INV = np.uint64(pow(int(_SECOND), -1, 1 << 64))
 
@@ -55,35 +60,33 @@ def fingerprints(docs: DataFrame, width: int, gram: int) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            for a, b in slices(offsets, 4 << 20):
+            for a, b in slices(offsets, 1 << 20):
                 _, _, _, grams, (owner, _, _, row) = _owners(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], hashes, width, gram)
                 ids = batch.column(0).slice(a, b - a).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(grams[owner].view(np.int64)), ids], names=["h", "id"])
 
-    return docs.select("id", "text").mapInArrow(scan, "h long, id long")
+    return docs.select("id", "text").mapInArrow(trimmed(scan), "h long, id long")
 
 
 def stretches(docs: DataFrame, filter_: np.ndarray, width: int, gram: int) -> DataFrame:
     """(h, id, row, first, n, stretch, windows): owners that pass the filter, the
     place and number of their windows, a hash of the whole stretch, and the
-    windows' hashes (two longs each)."""
+    windows' hashes."""
 
     def scan(batches):
         hashes = WordHashes()
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            for a, b in slices(offsets, 4 << 20):
+            for a, b in slices(offsets, 1 << 20):
                 stream, at, sums, grams, (owner, lo, hi, row) = _owners(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], hashes, width, gram)
                 hit = in_filter(filter_, grams[owner])
                 owner, lo, hi, row = owner[hit], lo[hit], hi[hit], row[hit]
                 n = hi - lo + 1
                 second = prefix_sums(mix(stream), _SECOND_INV)
                 start = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                windows = np.empty((len(start), 2), np.uint64)
-                windows[:, 0] = mix(range_hash(sums, start, start + width))
-                windows[:, 1] = mix(range_hash(second, start, start + width, _SECOND))
+                windows = mix(range_hash(sums, start, start + width) + mix(range_hash(second, start, start + width, _SECOND)))
                 whole = mix(mix(range_hash(sums, lo, hi + width)) + mix(range_hash(second, lo, hi + width, _SECOND)) + n.astype(np.uint64))
-                edges = np.concatenate([[0], np.cumsum(n * 16)]).astype(np.int32)
+                edges = np.concatenate([[0], np.cumsum(n * 8)]).astype(np.int32)
                 rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -93,27 +96,48 @@ def stretches(docs: DataFrame, filter_: np.ndarray, width: int, gram: int) -> Da
                     names=["h", "id", "row", "first", "n", "stretch", "windows"],
                 )
 
-    return docs.select("id", "text", "row").mapInArrow(scan, "h long, id long, row long, first long, n long, stretch long, windows binary")
+    return docs.select("id", "text", "row").mapInArrow(trimmed(scan), "h long, id long, row long, first long, n long, stretch long, windows binary")
+
+
+def _flat(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of stretches (h, id, row, first, n, windows) every window: its hash,
+    its stretch and its place in the document."""
+    first, n = np.asarray(batch.column(3)), np.asarray(batch.column(4))
+    windows = binary_buffer(batch.column(5))[0].view(np.int64)
+    which = np.repeat(np.arange(len(n)), n)
+    return windows, which, first[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _later(batches):
+    """Windows that a smaller id holds, within whole groups of owners: (row, first, n)."""
+    for batch in whole_groups(batches):
+        h, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        windows, which, place = _flat(batch)
+        group = np.cumsum(np.append(0, h[1:] != h[:-1]))[which]
+        order = np.lexsort((ids[which], windows, group))
+        w, g, i = windows[order], group[order], ids[which][order]
+        start = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (g[1:] != g[:-1])))
+        least = np.repeat(i[start], np.diff(np.append(start, len(order))))
+        hit = np.sort(order[i > least])
+        which, place = which[hit], place[hit]
+        begin = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (place[1:] != place[:-1] + 1))) if len(hit) else hit
+        yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(which[begin])), pa.array(place[begin]), pa.array(np.diff(np.append(begin, len(hit))))], names=["row", "first", "n"])
 
 
 def _unpacked(batches):
-    """Stretches to their windows: (h, w1, w2, id, row, place)."""
+    """Stretches to their windows: (h, w, id, row, place)."""
     for batch in batches:
-        h, id_, row, first, n = (batch.column(i) for i in range(5))
-        counts = np.asarray(n)
-        joined = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.int64).reshape(-1, 2)
-        rows = np.repeat(np.arange(len(counts)), counts)
-        place = np.repeat(np.asarray(first), counts) + np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
-        take = pa.array(rows)
-        yield pa.RecordBatch.from_arrays([h.take(take), pa.array(joined[:, 0].copy()), pa.array(joined[:, 1].copy()), id_.take(take), row.take(take), pa.array(place)], names=["h", "w1", "w2", "id", "row", "place"])
+        windows, which, place = _flat(batch)
+        take = pa.array(which)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(windows.copy()), batch.column(1).take(take), batch.column(2).take(take), pa.array(place)], names=["h", "w", "id", "row", "place"])
 
 
 class FingerprintIndex:
     """The log of runs.  ``add`` takes batches whose ids are larger than all before
     and returns the word ranges to remove."""
 
-    def __init__(self, width: int = WIDTH, gram: int = GRAM, fanout: int = 2) -> None:
-        self.width, self.gram, self.fanout = width, gram, fanout
+    def __init__(self, width: int = WIDTH, gram: int = GRAM, fanout: int = 2, most: int = 20_000) -> None:
+        self.width, self.gram, self.fanout, self.most = width, gram, fanout, most
         self.runs: list[tuple[int, DataFrame]] = []  # (level, run), newest last
         self.documents: DataFrame | None = None
 
@@ -156,25 +180,35 @@ class FingerprintIndex:
         found = stretches(docs, filter_, self.width, self.gram).withColumn("new", F.lit(True))
         if history is not None:
             found = found.unionByName(stretches(history, filter_, self.width, self.gram).withColumn("new", F.lit(False)))
-        found = materialize(found, "stretches")
-        firsts = materialize(found.groupBy("h", "stretch").agg(F.min("id").alias("holder"), F.count("*").alias("copies")), "firsts")
-        tied = found.join(firsts, ["h", "stretch"])
-        again = tied.where("new and id > holder").select("row", "first", "n")
-        own = tied.where("id = holder").select("h", "id", "row", "first", "n", "windows", "new")
-        windows = own.drop("new").mapInArrow(_unpacked, "h long, w1 long, w2 long, id long, row long, place long")
-        earliest = windows.groupBy("h", "w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "w1", "w2", "least")
-        hits = windows.join(earliest, ["h", "w1", "w2"]).where("id > least").select("row", F.col("place").alias("first"), F.lit(1).cast("long").alias("n"))
-        if history is not None:  # a holder in the history has been judged in its own batch
-            fresh = docs.select("row").distinct()
-            hits = hits.join(fresh, "row", "left_semi")
-        return again.unionByName(hits)
+        found = materialize(found.withColumn("place", F.xxhash64("row", "first")), "stretches")
+        narrow = found.drop("windows")
+        firsts = materialize(narrow.groupBy("h", "stretch").agg(F.min("id").alias("holder"), F.max("id").alias("last")), "firsts")
+        repeated = firsts.where("holder < last").select("h", "stretch", "holder")
+        again = narrow.where("new").join(repeated, ["h", "stretch"]).where("id > holder").select("row", "first", "n")
+        # only owners with different stretches are compared window by window
+        sizes = firsts.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
+        holders = narrow.join(firsts.join(sizes, "h").select("h", "stretch", "holder", "size"), ["h", "stretch"]).where("id = holder")
+        holders = materialize(holders.select("h", "place", "size"), "holders")
+        held = split_by_bits(found.select("h", "id", "row", "first", "n", "windows", "place"), materialize(key_bits(holders, "place"), "holder-bits"), "place", True)
+        held = held.join(holders.distinct(), ["h", "place"])
+        columns = ["h", "id", "row", "first", "n", "windows"]
+        normal = held.where(F.col("size") <= self.most).select(columns).repartition("h").sortWithinPartitions("h")
+        compared = normal.mapInArrow(trimmed(_later), "row long, first long, n long")
+        windows = held.where(F.col("size") > self.most).select(columns).mapInArrow(trimmed(_unpacked), "h long, w long, id long, row long, place long")
+        earliest = windows.groupBy("h", "w").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "w", "least")
+        counted = windows.join(earliest, ["h", "w"]).where("id > least").select("row", F.col("place").alias("first"), F.lit(1).cast("long").alias("n"))
+        # rows of the history come again, as they came in their own batch; sets take no notice
+        return again.unionByName(compared).unionByName(counted)
 
 
 def remove_ranges(docs: DataFrame, ranges: DataFrame, width: int) -> DataFrame:
     """``docs(id, row, text)`` and window starts (row, first, n) to (id, n_words,
     n_removed, kept_sha256, kept): the words left, joined by one space."""
-    packed = ranges.groupBy("row").agg(F.collect_set(F.struct("first", "n")).alias("cut"))
-    joined = docs.join(packed, "row", "left").select("id", "text", "cut")
+    packed = materialize(ranges.groupBy("row").agg(F.collect_set(F.struct("first", "n")).alias("cut")), "cuts")
+    hit = materialize(key_bits(packed, "row"), "cut-bits")
+    source = docs.select("id", "text", "row")
+    joined = split_by_bits(source, hit, "row", True).join(packed, "row", "left").select("id", "text", "cut")
+    whole = split_by_bits(source, hit, "row", False).select("id", "text", F.lit(None).cast(packed.schema["cut"].dataType).alias("cut"))
 
     def cut(batches):
         for batch in batches:
@@ -193,7 +227,8 @@ def remove_ranges(docs: DataFrame, ranges: DataFrame, width: int) -> DataFrame:
                 kept.append(left.decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return joined.mapInArrow(cut, "id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    kind = "id long, n_words long, n_removed long, kept_sha256 string, kept string"
+    return joined.mapInArrow(trimmed(cut), kind).unionByName(whole.mapInArrow(trimmed(cut), kind))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, batches: int = 2) -> DataFrame:
