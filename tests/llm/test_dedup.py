@@ -110,10 +110,11 @@ def test_signature_estimates_similarity():
         assert (1 - (similarity / 100) ** rows) ** bands <= 1e-6
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("few", [0, 20, 10**6])
+def test_components_of_chains_and_stars(spark, few):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, i) for i in range(1001, 1100)] + [(rng.randint(2000, 2100), rng.randint(2000, 2100)) for _ in range(60)]
-    got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
     root = components_of(2101, [(a, b) for a, b in edges])
     for a, b in edges:
         if a != b:
@@ -302,3 +303,27 @@ def test_partition_is_balanced():
     label = neighbours.balanced_partition(unit, graph, 8)
     assert np.bincount(label, minlength=8).max() <= 1.1 * 2000 / 8 + 1
     assert (label[graph] == label[:, None]).mean() > 0.5
+
+
+def test_long_texts_come_in_parts(spark, monkeypatch):
+    """Parts of long texts give what whole texts give."""
+    rng = np.random.default_rng(12)
+    raw = rng.integers(97, 100, 5000).astype(np.uint8)
+    data, offsets = np.concatenate([raw, raw[:900], raw[:30]]), np.array([0, 5000, 5900, 5930])
+    whole, at = lm.gram_codes(data, offsets)
+    for limit in (7, 100, 10_000):
+        total = defaultdict(list)
+        for a, b, code, places in lm.code_parts(data, offsets, limit):
+            for row, (x, y) in enumerate(zip(places, places[1:])):
+                total[a + row] += code[x:y].tolist()
+        assert [total[i] for i in range(3)] == [whole[at[i] : at[i + 1]].tolist() for i in range(3)]
+    text = b"ab  cd\n" * 50 + b"e" * 99
+    assert [w for part in lm.word_parts(text, 10) for w in part.split()] == text.split()
+    strings = lambda size: {(int(r), int(lo - inner[i] + place), int(hi - lo)) for part, inner, numbers, place in _parts(size) for _, lo, hi, i in zip(*suffixes._owners(part, inner, 40, 10)[2]) for r in [numbers[i]]}
+
+    def _parts(size):
+        monkeypatch.setattr(suffixes, "SLICE", size)
+        return list(suffixes._parts(data, offsets, 40))
+
+    starts = lambda found: {(r, s + k) for r, s, n in found for k in range(n + 1)}
+    assert starts(strings(300)) == starts(strings(1 << 20)) == {(r, s) for r, n in enumerate(np.diff(offsets)) for s in range(n - 39)}

@@ -158,6 +158,12 @@ def test_fast_ids_equal_the_tokenizer(text):
     assert list(encode(text)) == encode.exact.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "a<|endoftext|> b", "don't  stop\t\tit's\n\n x", "\x85a\x1c \x1d", "é \u200b x \u3000y", " " * 500, "a" * 2000, "\x00\x01", "½ ² ① Ⅷ"])
+def test_fast_ids_of_odd_texts(text):
+    encode = _encoder()
+    assert list(encode(text)) == encode.exact.encode(text, add_special_tokens=False).ids == encode.fast.encode_ordinary(text)
+
+
 def _encoder(made=[]):  # noqa: B006
     if not made:
         made.append(packing.Encoder(tokenizer_path()))

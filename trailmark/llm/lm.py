@@ -26,6 +26,7 @@ training rows every probability is one half a bit.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from itertools import repeat
 from math import lgamma, log, pi
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, text_buffer
+from .common import materialize, slices, text_buffer, trimmed
 
 DEPTH = 5
 SUBTREE = 3  # depth below which a subtree is weighted as a whole
@@ -71,6 +72,36 @@ def gram_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return code[keep], np.concatenate([[0], np.cumsum(size + 1)])
 
 
+def code_parts(data: np.ndarray, offsets: np.ndarray, limit: int):
+    """(first row, last row + 1, codes, offsets among them) of about ``limit`` bytes; the
+    codes of a longer row come in several parts."""
+    for a, b in slices(offsets, limit):
+        part, inner = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        if len(part) <= 2 * limit:
+            yield a, b, *gram_codes(part, inner)
+            continue
+        for start in range(0, len(part), limit):
+            before = min(start, DEPTH)
+            piece = part[start - before : start + limit]
+            code, _ = gram_codes(piece, np.array([0, len(piece)]))
+            code = code[before : None if start + limit >= len(part) else -1]
+            yield a, b, code, np.array([0, len(code)])
+
+
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_parts(raw: bytes, limit: int = 16 << 20):
+    """A text as it is, or, if it is long, in parts cut between words."""
+    start = 0
+    while len(raw) - start > limit:
+        found = _SPACE.search(raw, start + limit)
+        stop = found.start() if found else len(raw)
+        yield raw[start:stop]
+        start = stop
+    yield raw[start:]
+
+
 def _count(batches):
     """(kind, gram, word, n, d): counts of grams (kind 0) and words (kind 1) in
     training rows; grams of other rows come with n = 0."""
@@ -87,22 +118,22 @@ def _count(batches):
     for batch in batches:
         data, offsets = text_buffer(batch.column(0))
         train = ~np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
-        for a, b in slices(offsets, 4 << 20):
-            inner = offsets[a : b + 1] - offsets[a]
-            part = data[offsets[a] : offsets[b]]
-            code, at = gram_codes(part, inner)
+        for a, b, code, at in code_parts(data, offsets, 4 << 20):
             weight = np.repeat(train[a:b], np.diff(at))
             seen, n = np.unique(code[weight], return_counts=True)
             other = np.unique(code[~weight])
             merged, inverse = np.unique(np.concatenate([codes, seen, other]), return_inverse=True)
             codes, counts = merged, np.bincount(inverse, np.concatenate([counts, n, np.zeros(len(other))]), len(merged)).astype(np.int64)
-            raw = part.tobytes().lower()
-            for i in np.flatnonzero(train[a:b]).tolist():
-                words.update(raw[inner[i] : inner[i + 1]].split())
-                words[END_TOKEN] += 1
-            if len(codes) > 1_000_000 or len(words) > 300_000:
-                yield from out((codes, counts), words)
-                codes, counts, words = codes[:0], counts[:0], Counter()
+            if len(codes) > 1_000_000:
+                yield from out((codes, counts), None)
+                codes, counts = codes[:0], counts[:0]
+        for i in np.flatnonzero(train).tolist():
+            for part in word_parts(data[offsets[i] : offsets[i + 1]].tobytes().lower()):
+                words.update(part.split())
+            words[END_TOKEN] += 1
+            if len(words) > 300_000:
+                yield from out(None, words)
+                words = Counter()
     yield from out((codes, counts), words)
 
 
@@ -214,7 +245,7 @@ def gram_scores(grams: DataFrame, group: int = 200_000) -> DataFrame:
     parent = F.shiftright("node", 16) * 256 + F.col("node").bitwiseAND(255)  # drops the oldest context byte
     for _ in range(SUBTREE):
         below = levels[0].groupBy(parent.alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("below"))
-        levels.insert(0, materialize(below.mapInArrow(_mixed, kind), "ctw-level"))
+        levels.insert(0, materialize(below.mapInArrow(trimmed(_mixed), kind), "ctw-level"))
     down = levels[0].select("node", F.lit(1.0).alias("left"), F.lit(0.0).alias("ones"), "n0", "n1", "ends")
     for level in levels[1:]:
         passed = down.select(
@@ -275,7 +306,7 @@ class Model:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     source = docs.select(F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("out"))
-    counted = materialize(source.mapInArrow(_count, "kind int, gram long, word binary, n long"), "lm-partial")
+    counted = materialize(source.mapInArrow(trimmed(_count), "kind int, gram long, word binary, n long"), "lm-partial")
     grams = materialize(counted.where("kind = 0").groupBy("gram").agg(F.sum("n").alias("n")), "lm-grams")
     words = materialize(counted.where("kind = 1").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -310,37 +341,39 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             ids, outs = batch.column(0), batch.column(2)
-            for a, b in slices(offsets, 2 << 20):
-                inner = offsets[a : b + 1] - offsets[a]
-                part = data[offsets[a] : offsets[b]]
-                code, at = gram_codes(part, inner)
+            rows = batch.num_rows
+            total = np.zeros(rows)
+            for a, b, code, at in code_parts(data, offsets, 2 << 20):
                 found = np.zeros(len(code))
                 for table in tables:
                     table.value.add(code, found)
                     if len(tables) > resident:
                         del table._value  # a worker holds one slice at a time
-                total = np.add.reduceat(found, at[:-1])
-                raw = part.tobytes().lower()
-                n_tokens, n_known, base, rare = [], [], [], []
-                for i in range(b - a):
-                    words = raw[inner[i] : inner[i + 1]].split()
-                    words.append(END_TOKEN)
+                total[a:b] += np.add.reduceat(found, at[:-1])
+            n_tokens, n_known, base, rare = np.ones(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows), []
+            end = place.get(END_TOKEN)
+            for i in range(rows):
+                others: Counter = Counter()
+                if end is None:
+                    others[END_TOKEN] = 1
+                else:
+                    n_known[i], base[i] = 1, values[end]
+                for part in word_parts(data[offsets[i] : offsets[i + 1]].tobytes().lower()):
+                    words = part.split()
                     seen = np.fromiter(map(place.get, words, unknown), np.int64, len(words))
                     hit = seen >= 0
-                    n_tokens.append(len(words))
-                    n_known.append(int(hit.sum()))
-                    base.append(float(values[seen[hit]].sum()) if len(values) else 0.0)
-                    rare.append([{"word": w, "k": k} for w, k in Counter(words[j] for j in np.flatnonzero(~hit).tolist()).items()])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(a, b - a), outs.slice(a, b - a), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(total), pa.array(np.diff(inner)),
-                        pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))),
-                    ],
-                    names=["id", "held_out", "n_tokens", "known", "base", "score", "n_bytes", "rare"],
-                )
+                    n_tokens[i] += len(words)
+                    n_known[i] += int(hit.sum())
+                    base[i] += values[seen[hit]].sum()
+                    others.update(words[j] for j in np.flatnonzero(~hit).tolist())
+                rare.append([{"word": w, "k": k} for w, k in others.items()])
+            yield pa.RecordBatch.from_arrays(
+                [ids, outs, pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(total), pa.array(np.diff(offsets)), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])))],
+                names=["id", "held_out", "n_tokens", "known", "base", "score", "n_bytes", "rare"],
+            )
 
     schema = f"id {head}, held_out boolean, n_tokens long, known long, base double, score double, n_bytes long, rare array<struct<word:binary,k:long>>"
-    scored = materialize(source.mapInArrow(score, schema), "lm-scored").withColumn("row", F.monotonically_increasing_id())
+    scored = materialize(source.mapInArrow(trimmed(score), schema), "lm-scored").withColumn("row", F.monotonically_increasing_id())
     others = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k")
     counts = model.words.join(common.select("word"), "word", "left_anti").select("word", F.col("n").alias("c"))
     c = F.coalesce("c", F.lit(0))

@@ -79,7 +79,10 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
             shares = state.groupBy(key).agg(F.pow(F.sum("weight"), F.lit(powers.get(d, 1.0))).alias("want"))
         sum_ = shares.agg(F.sum("want").alias("sum"))
         wanted[d] = materialize(shares.crossJoin(F.broadcast(sum_)).select(key, (F.col("want") / F.col("sum")).alias("want")), f"target-{d}")
-    state = materialize(state, "cells")
+    few = state.count() <= 100_000  # in one partition, so that no round needs a shuffle
+    local = (lambda df: df.coalesce(1)) if few else (lambda df: df)
+    state = local(materialize(state, "cells"))
+    wanted = {d: local(w) for d, w in wanted.items()}
     for _ in range(rounds):
         step = state.withColumn("before", F.col("weight"))
         for d in DIMENSIONS:
@@ -87,7 +90,7 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
             have = step.groupBy(key).agg(F.sum("weight").alias("have"))
             factor = wanted[d].join(have, key).select(key, (F.col("want") / F.col("have")).alias("factor"))
             step = step.join(factor, key, "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))).drop("factor")
-        step = materialize(step, "cells")
+        step = local(materialize(step, "cells"))
         moved = step.agg(F.max(F.abs(F.col("weight") - F.col("before")))).first()[0]
         state = step.drop("before")
         if moved is None or moved < tolerance:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, in_filter, key_filter, materialize, mix, row_key, slices, text_buffer, word_stream
+from .common import WordHashes, components, key_bits, materialize, mix, row_key, slices, split_by_bits, text_buffer, trimmed, word_stream
 
 SIGNATURE = 252
 _C1, _C2, _C3 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -128,7 +128,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, similarity: in
                     names=["id", "row", "n", "hi", "lo", "bands"],
                 )
 
-    return source.mapInArrow(sketch, "id long, row long, n long, hi long, lo long, bands array<long>")
+    return source.mapInArrow(trimmed(sketch), "id long, row long, n long, hi long, lo long, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
@@ -150,19 +150,14 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: int) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(keep))
 
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(check, "a long, b long")
+    return joined.mapInArrow(trimmed(check), "a long, b long")
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The texts of some ids; a filter of fixed size spares most others the shuffle."""
-    table = key_filter(nodes.select(F.xxhash64("node").alias("h")), "h")
+    bits = materialize(key_bits(nodes.select(F.xxhash64("node").alias("h")), "h"), "node-bits")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("long")).alias("h"))
-
-    def some(batches):
-        for batch in batches:
-            yield batch.select(["id", "text"]).filter(pa.array(in_filter(table, np.asarray(batch.column(2)).view(np.uint64))))
-
-    return source.mapInArrow(some, "id long, text string").join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
+    return split_by_bits(source, bits, "h", True).select("id", "text").join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
 
 
 def crossing_pairs(nodes: DataFrame, texts: DataFrame, k: int, similarity: int, slots: int = 1 << 21) -> DataFrame:
@@ -188,7 +183,7 @@ def crossing_pairs(nodes: DataFrame, texts: DataFrame, k: int, similarity: int,
             some = used[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "c"])
 
-    counted = rows.mapInArrow(count, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+    counted = rows.mapInArrow(trimmed(count), "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
     weights = np.zeros(slots, np.int32)
     weights[np.asarray(counted["slot"].combine_chunks())] = np.minimum(np.asarray(counted["c"].combine_chunks()), np.iinfo(np.int32).max)
     shared = nodes.sparkSession.sparkContext.broadcast(weights)
@@ -210,7 +205,7 @@ def crossing_pairs(nodes: DataFrame, texts: DataFrame, k: int, similarity: int,
             place = np.concatenate(places) if places else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(token), pa.array(place), pa.array(np.repeat(np.array(sizes, np.int64), lengths))], names=["node", "label", "token", "i", "n"])
 
-    heads = materialize(rows.mapInArrow(prefixes, "node long, label long, token long, i long, n long"), "prefixes")
+    heads = materialize(rows.mapInArrow(trimmed(prefixes), "node long, label long, token long, i long, n long"), "prefixes")
     by_label = heads.groupBy("token", "label").agg(F.count("*").alias("c"))
     main = by_label.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("m.label").alias("main"))
     inside = materialize(heads.join(main, "token"), "shared-prefixes")
@@ -262,10 +257,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     its row is repeated.  Rows without an id go only if an identified document has
     an equal set."""
     found = materialize(near_duplicates(docs, id_col, text_col, k, similarity), "near-duplicates")
-    gone = found.where("not kept").select("row").distinct()
+    gone = materialize(found.where("not kept").select("row").distinct(), "dropped-rows").withColumnRenamed("row", "__tm_row")
     again = found.where(F.col("kept") & F.col(id_col).isNotNull()).groupBy("row").agg(F.count("*").alias("c")).where("c > 1").select("row")
-    left = docs.withColumn("__tm_row", row_key(id_col, text_col))
-    left = left.join(gone.withColumnRenamed("row", "__tm_row"), "__tm_row", "left_anti")
+    every = docs.withColumn("__tm_row", row_key(id_col, text_col))
+    bits = materialize(key_bits(gone, "__tm_row"), "dropped-bits")  # most rows stay where they are
+    left = split_by_bits(every, bits, "__tm_row", False).unionByName(split_by_bits(every, bits, "__tm_row", True).join(gone, "__tm_row", "left_anti"))
     again = materialize(again, "repeated-rows").withColumnRenamed("row", "__tm_row")
     if not again.isEmpty():
         once = left.join(again, "__tm_row", "left_semi").dropDuplicates(["__tm_row"])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trimmed
 
 #: Bound of the sample that the partition and the network are fitted on.
 SAMPLE = 10_000
@@ -199,7 +199,7 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
             part = model.ranked(_unit(x), 1)[:, 0] if len(x) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(part, pa.int32())], names=["id", "v", "q", "part"])
 
-    index = materialize(source.mapInArrow(place, "id long, v array<double>, q boolean, part int"), "ann-index")
+    index = materialize(source.mapInArrow(trimmed(place), "id long, v array<double>, q boolean, part int"), "ann-index")
     asked = index.where("q").select("id", "v")
 
     def route(n: int):
@@ -217,7 +217,7 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     stored = index.select("part", F.pmod(F.xxhash64("id"), blocks[F.col("part")]).cast("int").alias("slot"), "id", "v")
 
     def search(some: DataFrame, n: int) -> DataFrame:
-        sent = some.mapInArrow(route(n), "id long, v array<double>, part int")
+        sent = some.mapInArrow(trimmed(route(n)), "id long, v array<double>, part int")
         copies = F.sequence(F.lit(0), blocks[F.col("part")].cast("int") - 1)
         lot = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(lots)).cast("int")
         sent = sent.select("part", F.explode(copies).alias("slot"), lot.alias("lot"), "id", "v")

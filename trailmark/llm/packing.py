@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trimmed
 
 # ------------------------------------------------------------------- tokenising
 
@@ -93,7 +93,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 names=[id_col, "piece", "start", "length", "ids_crc32", "task", "nth"],
             )
 
-    return source.mapInArrow(cut, f"{head}, piece int, start long, length long, ids_crc32 long, task long, nth long")
+    return source.mapInArrow(trimmed(cut), f"{head}, piece int, start long, length long, ids_crc32 long, task long, nth long")
 
 
 # --------------------------------------------------------------------- planning
@@ -255,4 +255,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     head = ranked.select(id_col, "piece", "start", "length", "ids_crc32").schema.simpleString()[len("struct<") : -1]
     head = ", ".join(x.replace(":", " ", 1) for x in head.split(","))
-    return ranked.mapInArrow(place, f"{head}, sequence_id long, offset long")
+    return ranked.mapInArrow(trimmed(place), f"{head}, sequence_id long, offset long")

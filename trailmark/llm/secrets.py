@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices, text_buffer
+from .common import slices, text_buffer, trimmed
 
 
 @dataclass(frozen=True)
@@ -181,7 +181,7 @@ class Automaton:
         keep = np.unique(block, return_index=True)[1]
         self.width = len(member)
         self.table = block[table[keep]].astype(np.uint16).ravel()
-        self.accepts = accepts[keep]
+        self.accepts = accepts[keep].astype(np.min_scalar_type(int(accepts.max())))
         none = self.accepts == 0
         rows = self.table.reshape(-1, self.width)
         self.dead = {int(s) for s in np.flatnonzero(none & (rows == np.arange(len(rows))[:, None]).all(axis=1))}
@@ -346,7 +346,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=[id_col, "spans"])
 
-    return source.mapInArrow(scan, schema)
+    return source.mapInArrow(trimmed(scan), schema)
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", rules: tuple[Rule, ...] = RULES, length_col: str | None = None) -> DataFrame:
@@ -383,4 +383,4 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret
                     batch = batch.set_column(at, batch.schema.field(at), pa.array(sizes, batch.column(at).type))
             yield batch
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(trimmed(scan), docs.schema)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    binary_buffer, gram_hashes, in_filter, key_bits, key_filter, materialize, minimisers, mix, prefix_sums, range_hash, row_key, slices, split_by_bits, text_buffer, whole_groups,
+    trimmed, binary_buffer, gram_hashes, in_filter, key_bits, key_filter, materialize, minimisers, mix, prefix_sums, range_hash, row_key, slices, split_by_bits, text_buffer, whole_groups,
 )
 
 WIDTH = 200
@@ -52,15 +52,28 @@ def _owners(data: np.ndarray, offsets: np.ndarray, width: int, gram: int):
     return sums, grams, minimisers(grams, offsets, gram, width)
 
 
+def _parts(data: np.ndarray, offsets: np.ndarray, width: int):
+    """(bytes, offsets, row numbers, places) of about ``SLICE`` bytes.  A longer text
+    comes in overlapping parts, so that each of its strings begins in one of them."""
+    for a, b in slices(offsets, SLICE):
+        size = int(offsets[b] - offsets[a])
+        if size <= 2 * SLICE:
+            yield data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], np.arange(a, b), 0
+            continue
+        for start in range(0, size - width + 1, SLICE):
+            part = data[offsets[a] + start : min(offsets[a] + start + SLICE + width - 1, offsets[b])]
+            yield part, np.array([0, len(part)]), np.array([a]), start
+
+
 def _fingerprints(docs: DataFrame, width: int, gram: int) -> DataFrame:
     def scan(batches):
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
-            for a, b in slices(offsets, SLICE):
-                _, grams, (owner, *_) = _owners(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width, gram)
+            for part, inner, _, _ in _parts(data, offsets, width):
+                _, grams, (owner, *_) = _owners(part, inner, width, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(grams[owner].view(np.int64))], names=["h"])
 
-    return docs.select("text").mapInArrow(scan, "h long")
+    return docs.select("text").mapInArrow(trimmed(scan), "h long")
 
 
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -77,21 +90,20 @@ def _stretches(docs: DataFrame, filter_: np.ndarray, width: int, gram: int) -> D
     def scan(batches):
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
-            for a, b in slices(offsets, SLICE):
-                part, inner = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            for part, inner, numbers, place in _parts(data, offsets, width):
                 sums, grams, (owner, lo, hi, row) = _owners(part, inner, width, gram)
                 hit = in_filter(filter_, grams[owner])
                 owner, lo, hi, row = owner[hit], lo[hit], hi[hit], row[hit]
                 n = hi - lo + 1
                 second = prefix_sums(_VALUES[part] >> np.uint64(7), _SECOND_INV)
                 whole = mix(mix(range_hash(sums, lo, hi + width)) + mix(range_hash(second, lo, hi + width, _SECOND)) + n.astype(np.uint64))
-                rows = batch.column(1).slice(a, b - a).take(pa.array(row))
+                rows = batch.column(1).take(pa.array(numbers[row]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[owner].view(np.int64)), rows, pa.array(lo - inner[row]), pa.array(owner - lo), pa.array(n), pa.array(whole.view(np.int64)), _gather(part, lo, n + width - 1)],
+                    [pa.array(grams[owner].view(np.int64)), rows, pa.array(lo - inner[row] + place), pa.array(owner - lo), pa.array(n), pa.array(whole.view(np.int64)), _gather(part, lo, n + width - 1)],
                     names=["h", "row", "first", "at", "n", "stretch", "bytes"],
                 )
 
-    return docs.select("text", "row").mapInArrow(scan, "h long, row long, first long, at long, n long, stretch long, bytes binary")
+    return docs.select("text", "row").mapInArrow(trimmed(scan), "h long, row long, first long, at long, n long, stretch long, bytes binary")
 
 
 # ----------------------------------------------------------------- suffix sort
@@ -241,7 +253,7 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most:
 
     columns = ["h", "row", "first", "at", "n", "bytes"]
     normal = held.where(F.col("size") <= most).select(columns).repartition("h").sortWithinPartitions("h")
-    compared = normal.mapInArrow(compare, "row long, first long, n long")
+    compared = normal.mapInArrow(trimmed(compare), "row long, first long, n long")
 
     def unpack(batches):
         for batch in batches:
@@ -253,7 +265,7 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most:
             two = mix(range_hash(prefix_sums(_VALUES[data] >> np.uint64(7), _SECOND_INV), start, start + width, _SECOND))
             yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column(1).take(pa.array(which)), pa.array(first[which] + start - edges[which])], names=["w1", "w2", "row", "first"])
 
-    strings = held.where(F.col("size") > most).select(columns).mapInArrow(unpack, "w1 long, w2 long, row long, first long")
+    strings = held.where(F.col("size") > most).select(columns).mapInArrow(trimmed(unpack), "w1 long, w2 long, row long, first long")
     twice = strings.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
     counted = strings.join(twice, ["w1", "w2"]).select("row", "first", F.lit(1).cast("long").alias("n"))
     return copied.unionByName(compared).unionByName(counted)
@@ -290,4 +302,4 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(left)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return joined.mapInArrow(cut, kind).unionByName(whole.mapInArrow(cut, kind)).withColumnRenamed("id", id_col)
+    return joined.mapInArrow(trimmed(cut), kind).unionByName(whole.mapInArrow(trimmed(cut), kind)).withColumnRenamed("id", id_col)
