@@ -111,3 +111,18 @@ def test_command_line(spark, tmp_path):
     assert spark.read.csv(at("summary"), sep="\t", header=True).count() == 1
     with pytest.raises(SystemExit):
         main(["retrieve", "--corpus", "x", "--queries", "x", "--output", "x", "--top-k", "200"], spark)
+
+
+def test_readers(spark):
+    from trailmark.plans import readers
+
+    assert [readers.model_family(n) for n in ("x/mBART-50", "bartpho", "ViT5", "google/mt5", "other")] == ["mbart", "bartpho", "vit5", "mt5", "generic"]
+    assert readers.greedy_settings("mt5") == {"num_beams": 1, "do_sample": False}
+    assert readers.greedy_settings("mbart", {"vi_VN": 7})["forced_bos_token_id"] == 7
+    with pytest.raises(ValueError):
+        readers.greedy_settings("mbart", {})
+    rows = spark.createDataFrame([("q", "which law", " A ", [("d", "T", "No match. The law here.")])], "query_id string, question string, answer string, contexts array<struct<doc_id:string,title:string,text:string>>")
+    row = readers.predict(rows, "msg", readers.extractive_reader).first()
+    assert row["prediction"].startswith("The law here.") and row["reference"] == "A"
+    with pytest.raises(Exception, match="empty"):
+        readers.predict(rows.withColumn("answer", F.lit(" ")), "msg", readers.extractive_reader).collect()
