@@ -154,3 +154,11 @@ def test_seed_summary(spark):
     assert audit.varying_columns(runs, ["metric"], ["method"]).count() == 1
     assert audit.unexpected(runs, {"method": "m"}).count() == 1
     assert audit.table_fingerprint(runs, runs.columns).first() == audit.table_fingerprint(runs.orderBy(F.desc("value")), runs.columns).first()
+
+
+def test_partial_index_ranks_alike(spark):
+    p = passages(spark, [(i, f"t{i % 3}", f"alpha w{i} w{i % 4} beta" if i % 2 else f"w{i % 5} gamma") for i in range(30)])
+    queries = spark.createDataFrame([(1, "w1 w3 alpha"), (2, "gamma t1"), (3, "absent")], "query_id long, text string")
+    full = lexical.bm25(queries, lexical.build_index(p)).orderBy("query_id", "rank").collect()
+    part = lexical.bm25(queries, lexical.build_index(p, lexical.query_terms(queries))).orderBy("query_id", "rank").collect()
+    assert full == part and len(full) > 10

@@ -36,12 +36,22 @@ def top_k(scored: DataFrame, k: int, group: str = "query_id", item: str = "doc_i
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def build_index(passages: DataFrame) -> LexicalIndex:
-    """``passages(doc_id, title, text)``; all words are indexed, stopwords too."""
+def query_terms(queries: DataFrame) -> DataFrame:
+    """The distinct lexical terms of all queries."""
+    return queries.select(F.explode(T.lexical_terms(F.col("text"))).alias("term")).distinct()
+
+
+def build_index(passages: DataFrame, only: DataFrame | None = None) -> LexicalIndex:
+    """``passages(doc_id, title, text)``; all words are indexed, stopwords too.  With
+    ``only(term)`` other words are counted in the lengths but get no postings: enough
+    for the queries with these terms, and no other word is shuffled."""
     fields = passages.select("doc_id", T.word_list(F.col("title")).alias("a"), T.word_list(F.col("text")).alias("b"))
     title = fields.select("doc_id", F.explode("a").alias("term"), F.lit(1).alias("in_title"))
     body = fields.select("doc_id", F.explode("b").alias("term"), F.lit(0).alias("in_title"))
-    postings = title.unionAll(body).groupBy("term", "doc_id").agg(F.sum("in_title").alias("tf_title"), F.sum(1 - F.col("in_title")).alias("tf_text"))
+    words = title.unionAll(body)
+    if only is not None:
+        words = words.join(only, "term", "left_semi")
+    postings = words.groupBy("term", "doc_id").agg(F.sum("in_title").alias("tf_title"), F.sum(1 - F.col("in_title")).alias("tf_text"))
     lengths = fields.select("doc_id", (F.size("a") + F.size("b")).cast("long").alias("length"))
     return LexicalIndex(postings, lengths, postings.groupBy("term").agg(F.count("*").alias("df")))
 
