@@ -13,6 +13,9 @@ from trailmark.llm import mixing, near_dups, packing, quality, secrets
 from trailmark.llm.common import materialize
 from trailmark.llm.queries import prepare, tokenizer_path
 
+#: The share of all tokens that the mixing stage's sample is expected to hold at least.
+LEAST = 0.4
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
@@ -32,9 +35,10 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents drawn for the target weights."""
+    """The documents drawn for the target weights; rare categories don't bring the
+    sample below ``LEAST`` of the tokens."""
     prepare(spark)
-    return mixing.mix_sources(docs).where("__tm_sampled").select(*docs.columns)
+    return mixing.mix_sources(docs, least=LEAST).where("__tm_sampled").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

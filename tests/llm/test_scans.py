@@ -187,6 +187,26 @@ def test_mixing_meets_its_targets(spark):
     assert (drawn / drawn.sum())["big"] == pytest.approx(0.5, abs=0.06)
 
 
+@pytest.mark.parametrize("stray", ["lone", None])
+def test_mixing_is_not_scaled_by_a_stray_source(spark, stray):
+    rng = random.Random(6)
+    rows = [(i, "word " * rng.randint(1, 40), "hot" if i % 3 == 0 else f"s{i % 7}", rng.choice(["en", "en", "de"])) for i in range(3000)]
+    rows.append((3000, "word " * 20, stray, "en"))
+    docs = spark.createDataFrame(rows, DOCS + ", source string, lang string").withColumn("topic", F.lit("t"))
+    exact = mixing.cell_probabilities(docs).toPandas()
+    assert (exact["tokens"] * exact["probability"]).sum() < 0.1 * exact["tokens"].sum()
+    plan = mixing.cell_probabilities(docs, least=0.4).toPandas()
+    expected = plan["tokens"] * plan["probability"]
+    assert plan["probability"].between(0, 1, inclusive="right").all() and expected.sum() == pytest.approx(0.4 * plan["tokens"].sum())
+    lone = plan["__tm_source"] == (stray or "(none)")
+    assert plan[lone]["probability"].tolist() == [1.0]
+    # the others' shares stay in the proportions of their targets
+    by = plan[~lone].assign(expected=expected).groupby("__tm_source")[["weight", "expected"]].sum()
+    assert (by["expected"] / by["expected"].sum()).to_dict() == pytest.approx((by["weight"] / by["weight"].sum()).to_dict(), abs=1e-4)
+    lang = plan.assign(expected=expected).groupby("__tm_lang")[["weight", "expected"]].sum()
+    assert (lang["expected"] / lang["expected"].sum()).to_dict() == pytest.approx(lang["weight"].to_dict(), abs=1e-4)
+
+
 def test_mixing_edge_rows(spark):
     docs = spark.createDataFrame([(1, None, None, None), (None, "", "s", "en"), (3, "a b", "s", "en"), (3, "a b", "s", "en")], DOCS + ", source string, lang string")
     rows = mixing.mix_sources(docs).collect()

@@ -4,9 +4,13 @@ Documents fall into cells (source, language, topic).  Iterative proportional
 fitting rakes the cells' token weights to the target marginals of the three
 dimensions in turn until all agree.  A cell's sampling rate is its raked weight
 over its tokens; rates are scaled so that the largest is 1, which gives the
-largest sample whose expected token shares meet the targets exactly.  A document
-is drawn when a hash of its id falls below its cell's probability, so draws need
-no coordination and repeat.
+largest sample whose expected token shares meet the targets exactly.  One rare
+category makes that sample tiny, as its cell has the largest rate; ``least``
+states the share of all tokens that is expected at least.  Where the exact sample
+holds less, rates are scaled to that size instead, cells with rates above 1 are
+taken whole, and what they can't supply is raked over the others.  A document is
+drawn when a hash of its id falls below its cell's probability, so draws need no
+coordination and repeat.
 
 The cells are the product of three category lists; documents are only ever
 summed by partial aggregation and joined to their cell, so a source with a third
@@ -20,7 +24,7 @@ that occur (others are ignored and the rest rescaled).
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +87,10 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     local = (lambda df: df.coalesce(1)) if few else (lambda df: df)
     state = local(materialize(state, "cells"))
     wanted = {d: local(w) for d, w in wanted.items()}
+    return _fit(state, wanted, local, rounds, tolerance)
+
+
+def _fit(state: DataFrame, wanted: Mapping[str, DataFrame], local: Callable[[DataFrame], DataFrame], rounds: int, tolerance: float) -> DataFrame:
     for _ in range(rounds):
         step = state.withColumn("before", F.col("weight"))
         for d in DIMENSIONS:
@@ -98,15 +106,52 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     return state
 
 
-def cell_probabilities(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, powers: Mapping[str, float] = POWERS, text_col: str = "text") -> DataFrame:
+def calibrate(raked: DataFrame, least: float, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
+    """``raked`` of ``rake`` with ``probability``; see ``least`` above.  Every pass but
+    the last takes one more cell whole at least."""
+    rate = F.col("weight") / F.col("tokens")
+    one = raked.agg(F.max(rate).alias("top"), F.sum("weight").alias("weight"), F.sum("tokens").alias("tokens"), F.sum(F.when(F.col("weight") > 0, F.col("tokens"))).alias("live")).first()
+    size = min(least * (one["tokens"] or 0), one["live"] or 0)  # a cell of weight 0 supplies nothing
+    if not size or one["weight"] / one["top"] >= size:
+        top = raked.agg(F.max(rate).alias("top"))  # one row
+        return raked.crossJoin(F.broadcast(top)).withColumn("probability", F.least(rate / F.col("top"), F.lit(1.0))).drop("top")
+    few = raked.count() <= 100_000
+    local = (lambda df: df.coalesce(1)) if few else (lambda df: df)
+    rest, whole = raked.withColumn("raked", F.col("weight")), None
+    left, sum_ = size, one["weight"]
+    while True:
+        part = rest.withColumn("expected", F.col("weight") * F.lit(left / sum_))
+        part = local(materialize(part.withColumn("over", F.col("expected") > F.col("tokens")), "mix-expected"))
+        full = part.where("over").withColumn("probability", F.lit(1.0))
+        taken = full.agg(F.sum("tokens")).first()[0]
+        open_ = part.where("not over")
+        if taken is None or open_.where("weight > 0").isEmpty():
+            break
+        whole = full if whole is None else whole.unionByName(full)
+        left = max(left - taken, 0.0)
+        wanted = {}
+        for d in DIMENSIONS:  # what a category's whole cells can't supply falls to its others, or to other categories
+            key = f"__tm_{d}"
+            want = part.groupBy(key).agg(
+                F.sum(F.when(F.col("over"), F.col("expected") - F.col("tokens")).otherwise(F.col("expected"))).alias("want"),
+                F.sum(F.when(~F.col("over"), F.col("expected"))).alias("open"),
+            ).where("open > 0").select(key, "want")
+            all_ = want.agg(F.sum("want").alias("sum"))
+            wanted[d] = local(materialize(want.crossJoin(F.broadcast(all_)).select(key, (F.col("want") / F.col("sum")).alias("want")), f"target-{d}"))
+        rest = _fit(open_.drop("expected", "over"), wanted, local, rounds, tolerance)
+        sum_ = rest.agg(F.sum("weight")).first()[0]
+    part = part.withColumn("probability", F.least(F.col("expected") / F.col("tokens"), F.lit(1.0)))
+    every = part if whole is None else part.unionByName(whole)
+    return every.drop("expected", "over", "weight").withColumnRenamed("raked", "weight")
+
+
+def cell_probabilities(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, powers: Mapping[str, float] = POWERS, text_col: str = "text", least: float = 0.0) -> DataFrame:
     """(cell columns, tokens, weight, probability), a row per cell."""
     keys = [f"__tm_{d}" for d in DIMENSIONS]
     counted = with_cells(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c in (*DIMENSIONS, text_col)]), text_col)
     cells = materialize(counted.groupBy(*keys).agg(F.sum("__tm_tokens").alias("tokens")), "mix-cells")
     raked = rake(cells, targets, powers)
-    rated = raked.withColumn("rate", F.col("weight") / F.col("tokens"))
-    top = rated.agg(F.max("rate").alias("top"))  # one row
-    found = rated.crossJoin(F.broadcast(top)).select(*keys, "weight", F.least(F.col("rate") / F.col("top"), F.lit(1.0)).alias("probability"))
+    found = calibrate(raked, least).select(*keys, "weight", "probability")
     return materialize(cells.join(found, keys, "left").select(*keys, "tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("probability", F.lit(1.0)).alias("probability")), "mix-plan")
 
 
@@ -116,9 +161,9 @@ def draw(id_col: Column, seed: int = 1) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: Mapping[str, Mapping[str, float]] | None = None, powers: Mapping[str, float] = POWERS, seed: int = 1) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: Mapping[str, Mapping[str, float]] | None = None, powers: Mapping[str, float] = POWERS, seed: int = 1, least: float = 0.0) -> DataFrame:
     """``docs`` with ``__tm_*`` cell columns, ``weight``, ``probability`` and ``sampled``."""
     keys = [f"__tm_{d}" for d in DIMENSIONS]
-    plan = cell_probabilities(docs, targets, powers, text_col)
+    plan = cell_probabilities(docs, targets, powers, text_col, least)
     plan = plan.select(*keys, F.col("weight").alias("__tm_weight"), F.col("probability").alias("__tm_probability"))
     return with_cells(docs, text_col).join(plan, keys).withColumn("__tm_sampled", draw(F.col(id_col), seed) < F.col("__tm_probability"))
