@@ -164,6 +164,20 @@ def test_fast_ids_of_odd_texts(text):
     assert list(encode(text)) == encode.exact.encode(text, add_special_tokens=False).ids == encode.fast.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> <|endoftext|><|endoftext|>\n x", "é<|endoftext|>\x85", "<|endoftext|", "<|<|endoftext|>|>", "don't <|endoftext|>don't"])
+def test_added_tokens_are_those_of_the_plain_tokenizer(text, tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    ids = plain.encode(text, add_special_tokens=False).ids
+    assert list(_encoder()(text)) == ids and ids.count(50256) == text.count("<|endoftext|>")
+    plain.add_special_tokens([AddedToken("<|end", lstrip=True)])  # one that takes in the space before it
+    plain.save(str(tmp_path / "more.json"))
+    more = packing.Encoder(str(tmp_path / "more.json"))
+    for t in (text, "x  <|end y", text + " <|end"):
+        assert list(more(t)) == plain.encode(t, add_special_tokens=False).ids
+
+
 def _encoder(made=[]):  # noqa: B006
     if not made:
         made.append(packing.Encoder(tokenizer_path()))

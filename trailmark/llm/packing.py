@@ -37,7 +37,9 @@ class Encoder:
     """Ids of a byte-level BPE file of the ``tokenizers`` library.  The merges run
     in tiktoken over the same vocabulary, which gives the same ids several times
     as fast; texts with the control characters that the two pattern engines
-    class differently go to ``tokenizers`` itself."""
+    class differently go to ``tokenizers`` itself, and so do texts with the file's
+    added tokens, which are ids of their own, where there are several or any that
+    take in what stands beside them."""
 
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     odd = re.compile("[\x1c-\x1f\x85᠎​-‏ - ⁠﻿]")
@@ -47,13 +49,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
         letters = [b for r in (range(33, 127), range(161, 173), range(174, 256)) for b in r]
         others = [b for b in range(256) if b not in letters]
         byte = {chr(b): b for b in letters} | {chr(256 + i): b for i, b in enumerate(others)}
-        added = {t.content for t in self.exact.get_added_tokens_decoder().values()}
+        tokens = self.exact.get_added_tokens_decoder()
+        added = {t.content: i for i, t in tokens.items()}
         ranks = {bytes(byte[c] for c in token): i for token, i in self.exact.get_vocab(False).items() if token not in added}
-        self.fast = tiktoken.Encoding("file", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+        alone = len(added) < 2 and not any(t.lstrip or t.rstrip or t.single_word for t in tokens.values())
+        if not alone:
+            self.odd = re.compile("|".join([self.odd.pattern, *map(re.escape, added)]))
+
+        class Merges(tiktoken.Encoding):
+            def encode_ordinary(self, text: str) -> list[int]:  # of a text as tokenizers reads it, added tokens included
+                return self.encode(text, allowed_special="all")
+
+        self.fast = Merges("file", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens=added)
 
     def __call__(self, text: str) -> list[int]:
         if self.odd.search(text):
