@@ -93,6 +93,17 @@ def test_near_duplicates_edge_rows(spark):
     assert near_dups.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_near_duplicates_without_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, other, far = " ".join([*base[:-1], "new"]), " ".join(f"v{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    rows = [(None, " ".join(base)), (None, " ".join(base)), (None, " ".join(base).upper()), (None, near), (None, other), (5, other + " end"), (None, far), (None, None), (None, ""), (None, ""), (9, None)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    kept = sorted(map(tuple, near_dups.drop_near_duplicates(docs).collect()), key=str)
+    group = [r for r in kept if r[1] in (" ".join(base), " ".join(base).upper(), near)]
+    assert len(group) == 1 and group[0][0] is None
+    assert sorted((r for r in kept if r not in group), key=str) == sorted([(5, other + " end"), (None, far), (None, None), (None, ""), (None, ""), (9, None)], key=str)
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(0)
     for similarity in (0.3, 0.85):

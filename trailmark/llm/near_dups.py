@@ -27,8 +27,9 @@ its places, after a few steps for all but tiny documents.
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  Defined results: fewer
 words than a shingle form one shingle; a null or empty text has the empty set
 and links with nothing; rows that share an id count as one document with
-several texts; rows without an id link only with rows of equal sets; an empty
-table gives an empty result.
+several texts; in ``near_duplicates``, which reports ids, rows without one link
+only with rows of equal sets, while ``drop_near_duplicates`` takes each as a
+document of its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -252,10 +253,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select(F.col("id").alias(id_col), "row", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest id, once if
-    its row is repeated.  Rows without an id go only if an identified document has
-    an equal set."""
+def _drop(docs: DataFrame, id_col: str, text_col: str, k: int, similarity: int) -> DataFrame:
     found = materialize(near_duplicates(docs, id_col, text_col, k, similarity), "near-duplicates")
     gone = materialize(found.where("not kept").select("row").distinct(), "dropped-rows").withColumnRenamed("row", "__tm_row")
     again = found.where(F.col("kept") & F.col(id_col).isNotNull()).groupBy("row").agg(F.count("*").alias("c")).where("c > 1").select("row")
@@ -267,3 +265,17 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         once = left.join(again, "__tm_row", "left_semi").dropDuplicates(["__tm_row"])
         left = left.join(again, "__tm_row", "left_anti").unionByName(once)
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: that of the smallest id, once if
+    its row is repeated.  Rows without an id group and link by a key of their text
+    that comes after all ids below 2**62, and equal texts among them are one row."""
+    missing = F.col(id_col).isNull()
+    if docs.where(missing).isEmpty():
+        return _drop(docs, id_col, text_col, k, similarity)
+    unnamed = missing & F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")  # texts without words link with nothing
+    once = materialize(docs.where(unnamed).dropDuplicates([text_col]), "unnamed")
+    key = F.when(unnamed, F.xxhash64(text_col).bitwiseAND((1 << 62) - 1) + F.lit(1 << 62)).otherwise(F.col(id_col).cast("long"))
+    keyed = docs.where(~unnamed).unionByName(once).withColumn("__tm_id", key)
+    return _drop(keyed, "__tm_id", text_col, k, similarity).drop("__tm_id")
