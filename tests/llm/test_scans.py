@@ -1,5 +1,6 @@
 """Secrets, quality, packing, mixing and url filters against plain versions."""
 
+import decimal
 import random
 import re
 import zlib
@@ -62,6 +63,15 @@ def test_secrets_extra_rules():
     assert kinds == ["github", "pem", "assign", "slack"]
 
 
+def test_private_keys_go_with_their_bodies(spark):
+    body = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n" + "MIIB+a/b9==\n" * 20
+    whole = f"-----BEGIN RSA PRIVATE KEY-----\n{body}-----END RSA PRIVATE KEY-----"
+    cut_off = "-----BEGIN PRIVATE KEY-----\n" + "MIIBabc\n" * 3
+    rows = [(1, f"before {whole} after."), (2, f"a {whole}\n{whole} b"), (3, f"x {cut_off} y: it's over."), (4, "-----BEGIN PRIVATE KEY----- is how keys begin")]
+    got = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: "before [secret] after.", 2: "a [secret]\n[secret] b", 3: "x [secret] y: it's over.", 4: "[secret] is how keys begin"}
+
+
 def plain_features(text):
     t = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -86,6 +96,25 @@ def test_quality_features(spark):
     assert quality.score_quality(docs.where("false")).count() == 0 == quality.filter_quality(docs.where("false")).count()
 
 
+def test_a_rejected_row_stops_the_cascade(spark):
+    docs = spark.createDataFrame([(1, "few words"), (2, "w " * 50)], DOCS)
+    boom = F.raise_error(F.lit("evaluated")).cast("long")
+    of = {"n_words": F.size(quality.words(F.col("text"))).cast("long"), "later": boom}
+    rules = [quality.BASE_RULES[0], quality.Rule("later", lambda f: f["later"] > 0)]
+    assert docs.where("doc_id = 1").select(quality.verdict(rules, of).alias("v")).first()[0] == "few_words"
+    with pytest.raises(Exception, match="evaluated"):
+        docs.where("doc_id = 2").select(quality.verdict(rules, of).alias("v")).collect()
+
+
+def test_quality_of_long_texts(spark):
+    """The sample that orders the rules is bounded in characters; verdicts are of whole texts."""
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(400_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " # " * 200_000), (3, " " * 1_000_000)], DOCS)
+    got = {r["doc_id"]: (r["n_words"], r["n_symbols"], r["rejected_by"]) for r in quality.score_quality(docs).collect()}
+    assert got[1] == (400_000, 0, None) and got[2][:2] == (600_000, 200_000) and got[2][2] in ("symbols", "repeated_words") and got[3] == (0, 0, "few_words")
+
+
 def test_quality_order_changes_no_verdict(spark):
     docs = spark.createDataFrame([(1, "one two three"), (2, "w " * 50), (3, "clean words that stand in one long enough line here")], DOCS)
     base = quality.score_quality(docs, rules=quality.RULES).collect()
@@ -164,6 +193,31 @@ def test_fast_ids_of_odd_texts(text):
     assert list(encode(text)) == encode.exact.encode(text, add_special_tokens=False).ids == encode.fast.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "\t" * 1_000_000, "a " + " \n\t " * 250_000 + "b"], ids=["spaces", "line ends", "tabs", "mixed"])
+def test_long_white_space(text):
+    encode = _encoder()
+    assert encode.array(text, 2).tolist() == [*encode.exact.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_parts_of_a_long_text_give_the_ids_of_the_whole(monkeypatch):
+    rng = random.Random(7)
+    pieces = ["word", "it's", "wörld", "<|endoftext|>", "  ", "\n\n", "12", "--", "\x85", "\u200b", "é", "\t"]
+    encode = _encoder()
+    monkeypatch.setattr(packing.Encoder, "PART", 40)
+    monkeypatch.setattr(packing.Encoder, "RUN", 9)
+    for _ in range(200):
+        text = "".join(rng.choice(pieces) + rng.choice(["", " ", " ", " " * rng.randint(0, 30)]) for _ in range(rng.randint(0, 80)))
+        assert encode.array(text, 2).tolist() == [*encode.exact.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_packing_of_a_very_long_text(spark):
+    text = "some words of a text " * 2_500_000  # 50 MB
+    docs = spark.createDataFrame([(decimal.Decimal("1.5"), text), (decimal.Decimal("2.5"), " " * 1_000_000)], "doc_id decimal(4,1), text string")
+    sizes = {r["doc_id"]: r["n"] for r in packing.pack(docs, tokenizer_path()).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert sizes[decimal.Decimal("1.5")] == len(_encoder()("some words of a text")) + 2_499_999 * len(_encoder()(" some words of a text")) + 2
+    assert sizes[decimal.Decimal("2.5")] == 1_000_001
+
+
 @pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> <|endoftext|><|endoftext|>\n x", "é<|endoftext|>\x85", "<|endoftext|", "<|<|endoftext|>|>", "don't <|endoftext|>don't"])
 def test_added_tokens_are_those_of_the_plain_tokenizer(text, tmp_path):
     from tokenizers import AddedToken, Tokenizer
@@ -228,6 +282,31 @@ def test_mixing_edge_rows(spark):
     assert mixing.mix_sources(docs.where("false")).count() == 0
 
 
+def test_mixing_with_targets_that_cannot_be_met(spark):
+    rows = [(i, "word " * 10, "s1" if i % 3 else "s2", "en" if i % 3 else "de") for i in range(60)]
+    docs = spark.createDataFrame(rows, DOCS + ", source string, lang string").withColumn("topic", F.lit("t"))
+    left_out = {"source": {"s1": 1.0}, "lang": {"en": 0.5, "de": 0.5}}  # only s2 has de
+    with pytest.warns(UserWarning, match="off its target"):
+        plan = mixing.cell_probabilities(docs, left_out).toPandas()
+    assert plan["gap"].iloc[0] == pytest.approx(0.5) and plan["probability"].between(0, 1).all()
+    conflict = {"source": {"s1": 0.9, "s2": 0.1}, "lang": {"en": 0.5, "de": 0.5}}
+    with pytest.raises(ValueError, match="not met"):
+        mixing.mix_sources(docs, targets=conflict, most_gap=0.01)
+    met = mixing.cell_probabilities(docs, {"source": {"s1": 0.5, "s2": 0.5}, "lang": {"en": 0.5, "de": 0.5}}, most_gap=1e-6).toPandas()
+    assert met["gap"].iloc[0] < 1e-6
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "a b c", "s", "en") for i in range(40)], DOCS + ", source string, lang string")
+    docs = docs.select("*", F.lit(1).alias("a.b"), F.lit("own").alias("__tm_weight"), F.lit("own").alias("__row"))
+    kept = mixing.sampled(docs, least=0.5)
+    assert kept.columns == docs.columns and {(r["a.b"], r["__tm_weight"], r["__row"]) for r in kept.collect()} == {(1, "own", "own")}
+    twice = mixing.mix_sources(mixing.mix_sources(docs))
+    assert twice.count() == 40 and twice.columns.count("__tm_weight") == 1
+    long = spark.createDataFrame([(1, "word " * 2_000_000, "s", "en"), (2, "word", "s", "en")], docs.select(*docs.columns[:4]).schema)
+    assert {r["__tm_tokens"] for r in mixing.mix_sources(long).collect()} == {2_000_000, 1}
+
+
 def test_url_intervals(spark):
     entries = spark.createDataFrame(
         [("block", "bad.com", "add", 10), ("block", "bad.com", "remove", 20), ("block", "bad.com", "add", 30), ("allow", "ok.bad.com", "add", 12), ("block", "same.com", "add", 5), ("block", "same.com", "remove", 5)],

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, trimmed
 
@@ -36,13 +37,21 @@ from .common import materialize, trimmed
 class Encoder:
     """Ids of a byte-level BPE file of the ``tokenizers`` library.  The merges run
     in tiktoken over the same vocabulary, which gives the same ids several times
-    as fast; texts with the control characters that the two pattern engines
-    class differently go to ``tokenizers`` itself, and so do texts with the file's
-    added tokens, which are ids of their own, where there are several or any that
-    take in what stands beside them."""
+    as fast.  To ``tokenizers`` itself go texts with the control characters that the
+    two pattern engines class differently, texts with white space longer than
+    ``RUN`` (tiktoken's pattern engine recurses over it and gives up at some hundred
+    thousand) and texts with the file's added tokens, which are ids of their own,
+    where there are several or any that take in what stands beside them.
 
+    A long text is encoded in parts, cut where an ASCII letter or digit is followed
+    by a space or a line end: there the pattern ends a piece whatever follows, so
+    the parts' ids are those of the whole, and memory follows the part."""
+
+    RUN, PART = 10_000, 1 << 20
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     odd = re.compile("[\x1c-\x1f\x85᠎​-‏ - ⁠﻿]")
+    space = re.compile(r"\s+")
+    seam = re.compile(r"[A-Za-z0-9](?=[ \n])")
 
     def __init__(self, path: str) -> None:
         import tiktoken
@@ -58,6 +67,7 @@ class Encoder:
         alone = len(added) < 2 and not any(t.lstrip or t.rstrip or t.single_word for t in tokens.values())
         if not alone:
             self.odd = re.compile("|".join([self.odd.pattern, *map(re.escape, added)]))
+        self.parted = alone and not any(self.space.search(t) for t in added)  # no added token reaches over a cut
 
         class Merges(tiktoken.Encoding):
             def encode_ordinary(self, text: str) -> list[int]:  # of a text as tokenizers reads it, added tokens included
@@ -65,17 +75,32 @@ class Encoder:
 
         self.fast = Merges("file", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens=added)
 
+    def _long_space(self, text: str) -> bool:
+        return len(text) > self.RUN and any(m.end() - m.start() > self.RUN for m in self.space.finditer(text))
+
     def __call__(self, text: str) -> list[int]:
-        if self.odd.search(text):
+        if self.odd.search(text) or self._long_space(text):
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
+    def array(self, text: str, end_id: int) -> np.ndarray:
+        """The ids and the end id."""
+        parts, start = [], 0
+        while self.parted and len(text) - start > 2 * self.PART:
+            seam = self.seam.search(text, start + self.PART)
+            if not seam:
+                break
+            parts.append(np.array(self(text[start : seam.end()]), "<u4"))
+            start = seam.end()
+        parts.append(np.array([*self(text[start:] if start else text), end_id], "<u4"))
+        return np.concatenate(parts)
+
 
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, end_id: int = 2) -> DataFrame:
     """(id, piece, start, length, ids_crc32, task, nth): a row per piece, with the
     task that made it and its rank among that task's pieces of its length."""
     source = docs.select(id_col, text_col)
-    head = source.select(id_col).schema.simpleString()[len("struct<") : -1].replace(":", " ", 1)
+    kind = T.StructType([source.schema[id_col], T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "task", "nth"))])
 
     def cut(batches):
         from pyspark import TaskContext
@@ -85,7 +110,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         for batch in batches:
             row, piece, start, size, crc, nth = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
-                ids = np.array([*encode(text.as_py() or ""), end_id], "<u4")
+                ids = encode.array(text.as_py() or "", end_id)
                 raw, n = ids.tobytes(), len(ids)
                 first = n % length or length
                 edges = [0, *range(first, n + 1, length)]
@@ -103,7 +128,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 names=[id_col, "piece", "start", "length", "ids_crc32", "task", "nth"],
             )
 
-    return source.mapInArrow(trimmed(cut), f"{head}, piece int, start long, length long, ids_crc32 long, task long, nth long")
+    return source.mapInArrow(trimmed(cut), kind)
 
 
 # --------------------------------------------------------------------- planning
@@ -263,6 +288,5 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             columns = [*batch.columns[:5], pa.array(sequence), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    head = ranked.select(id_col, "piece", "start", "length", "ids_crc32").schema.simpleString()[len("struct<") : -1]
-    head = ", ".join(x.replace(":", " ", 1) for x in head.split(","))
-    return ranked.mapInArrow(trimmed(place), f"{head}, sequence_id long, offset long")
+    kind = T.StructType([*ranked.schema.fields[:5], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return ranked.mapInArrow(trimmed(place), kind)
