@@ -19,11 +19,17 @@ of all rows is no hot spot.
 Defined results: null categories are the category ``(none)``; a null or empty
 text has 0 tokens and its cell's probability (that of a cell without tokens is
 1); rows with equal ids are drawn together; targets name shares of categories
-that occur (others are ignored and the rest rescaled).
+that occur (others are ignored and the rest rescaled), and a category left out of
+given targets gets the share 0.  Targets that no weights meet at once (one
+dimension leaves out what another asks for) are met as nearly as the rounds come,
+and the plan's ``gap`` is the largest distance between a category's share and its
+target; ``most_gap`` makes a larger one an error.  Columns ``__tm_*`` of the input are
+replaced.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -37,6 +43,8 @@ DIMENSIONS = ("source", "lang", "topic")
 #: renormalised: below 1 it lifts small categories.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 1.0}
 NONE = "(none)"
+#: What ``mix_sources`` adds.
+ADDED = ("tokens", *DIMENSIONS, "weight", "probability", "sampled")
 
 
 def n_tokens(text: Column) -> Column:
@@ -49,10 +57,6 @@ def form_topic(text: Column, tokens: Column) -> Column:
     return F.when(symbols * 10 > tokens, "markup").when(tokens < 100, "short").when(tokens < 600, "medium").otherwise("long")
 
 
-def _keys() -> list[Column]:
-    return [F.coalesce(F.col(f"`{d}`").cast("string"), F.lit(NONE)).alias(f"__tm_{d}") for d in DIMENSIONS]
-
-
 def with_cells(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``__tm_tokens`` and the cell columns ``__tm_<dimension>``."""
     out = docs.withColumn("__tm_tokens", n_tokens(F.col(text_col)))
@@ -68,7 +72,8 @@ def with_cells(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, powers: Mapping[str, float] = POWERS, rounds: int = 30, tolerance: float = 1e-9) -> DataFrame:
     """``cells(__tm_source, __tm_lang, __tm_topic, tokens)`` with ``weight``: raked
-    shares that sum to 1.  One small table is written each round."""
+    shares that sum to 1 if the targets can be met, and ``gap``.  One small table is
+    written each round."""
     spark = cells.sparkSession
     live = cells.where("tokens > 0")
     total = live.agg(F.sum("tokens").alias("total"))
@@ -87,7 +92,14 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     local = (lambda df: df.coalesce(1)) if few else (lambda df: df)
     state = local(materialize(state, "cells"))
     wanted = {d: local(w) for d, w in wanted.items()}
-    return _fit(state, wanted, local, rounds, tolerance)
+    state = _fit(state, wanted, local, rounds, tolerance)
+    gaps = None
+    for d, want in wanted.items():
+        key = f"__tm_{d}"
+        one = want.join(state.groupBy(key).agg(F.sum("weight").alias("have")), key, "left").agg(F.max(F.abs(F.col("want") - F.coalesce("have", F.lit(0.0)))).alias("gap"))
+        gaps = one if gaps is None else gaps.unionByName(one)
+    gap = gaps.agg(F.coalesce(F.max("gap"), F.lit(0.0)).alias("gap"))  # one row
+    return materialize(state.crossJoin(F.broadcast(gap)), "raked")
 
 
 def _fit(state: DataFrame, wanted: Mapping[str, DataFrame], local: Callable[[DataFrame], DataFrame], rounds: int, tolerance: float) -> DataFrame:
@@ -96,7 +108,7 @@ def _fit(state: DataFrame, wanted: Mapping[str, DataFrame], local: Callable[[Dat
         for d in DIMENSIONS:
             key = f"__tm_{d}"
             have = step.groupBy(key).agg(F.sum("weight").alias("have"))
-            factor = wanted[d].join(have, key).select(key, (F.col("want") / F.col("have")).alias("factor"))
+            factor = wanted[d].join(have, key).select(key, F.try_divide("want", "have").alias("factor"))
             step = step.join(factor, key, "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))).drop("factor")
         step = local(materialize(step, "cells"))
         moved = step.agg(F.max(F.abs(F.col("weight") - F.col("before")))).first()[0]
@@ -145,14 +157,20 @@ def calibrate(raked: DataFrame, least: float, rounds: int = 30, tolerance: float
     return every.drop("expected", "over", "weight").withColumnRenamed("raked", "weight")
 
 
-def cell_probabilities(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, powers: Mapping[str, float] = POWERS, text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """(cell columns, tokens, weight, probability), a row per cell."""
+def cell_probabilities(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, powers: Mapping[str, float] = POWERS, text_col: str = "text", least: float = 0.0, most_gap: float | None = None) -> DataFrame:
+    """(cell columns, tokens, weight, probability, gap), a row per cell."""
     keys = [f"__tm_{d}" for d in DIMENSIONS]
     counted = with_cells(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c in (*DIMENSIONS, text_col)]), text_col)
     cells = materialize(counted.groupBy(*keys).agg(F.sum("__tm_tokens").alias("tokens")), "mix-cells")
     raked = rake(cells, targets, powers)
-    found = calibrate(raked, least).select(*keys, "weight", "probability")
-    return materialize(cells.join(found, keys, "left").select(*keys, "tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("probability", F.lit(1.0)).alias("probability")), "mix-plan")
+    gap = raked.agg(F.max("gap")).first()[0] or 0.0
+    if most_gap is not None and gap > most_gap:
+        raise ValueError(f"the targets are not met: a category's share is {gap:.6f} off")
+    if gap > 1e-3:
+        warnings.warn(f"mixing: a category's share is {gap:.6f} off its target", stacklevel=2)
+    found = calibrate(raked.drop("gap"), least).select(*keys, "weight", "probability")
+    columns = [F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("probability", F.lit(1.0)).alias("probability"), F.lit(gap).alias("gap")]
+    return materialize(cells.join(found, keys, "left").select(*keys, "tokens", *columns), "mix-plan")
 
 
 def draw(id_col: Column, seed: int = 1) -> Column:
@@ -161,9 +179,18 @@ def draw(id_col: Column, seed: int = 1) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: Mapping[str, Mapping[str, float]] | None = None, powers: Mapping[str, float] = POWERS, seed: int = 1, least: float = 0.0) -> DataFrame:
-    """``docs`` with ``__tm_*`` cell columns, ``weight``, ``probability`` and ``sampled``."""
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: Mapping[str, Mapping[str, float]] | None = None, powers: Mapping[str, float] = POWERS, seed: int = 1, least: float = 0.0, most_gap: float | None = None) -> DataFrame:
+    """``docs`` with the columns ``__tm_source``, ``__tm_lang``, ``__tm_topic``,
+    ``__tm_tokens``, ``__tm_weight``, ``__tm_probability`` and ``__tm_sampled``."""
     keys = [f"__tm_{d}" for d in DIMENSIONS]
-    plan = cell_probabilities(docs, targets, powers, text_col, least)
+    docs = docs.drop(*[f"__tm_{c}" for c in ADDED])
+    plan = cell_probabilities(docs, targets, powers, text_col, least, most_gap)
     plan = plan.select(*keys, F.col("weight").alias("__tm_weight"), F.col("probability").alias("__tm_probability"))
     return with_cells(docs, text_col).join(plan, keys).withColumn("__tm_sampled", draw(F.col(id_col), seed) < F.col("__tm_probability"))
+
+
+def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The drawn rows with their own columns, whatever these are called."""
+    narrow = {id_col, text_col, *(d for d in DIMENSIONS if d in docs.columns)}
+    rows = docs.select(F.struct("*").alias("__row"), *[F.col(f"`{c}`") for c in sorted(narrow)])
+    return mix_sources(rows, id_col, text_col, **settings).where("__tm_sampled").select("__row.*")
