@@ -36,8 +36,9 @@ from .common import slices, text_buffer, trimmed
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` must end in what repeats, if anything does; its last group, if
-    it has one, or else the whole match must have ``least`` characters."""
+    """``pattern`` must end in what repeats, or in fixed text, at whose first
+    occurrence a match then ends; its last group, if it has one, or else the whole
+    match must have ``least`` characters."""
 
     kind: str
     pattern: str
@@ -55,7 +56,8 @@ MORE_RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 16),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 34),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x0A\x0D]*"),  # also a key that is cut off
+    Rule("pem_block", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=:,\x09\x0A\x0D\x20-]*-----END [A-Z ]*PRIVATE KEY-----"),
 )
 RULES = BASE_RULES + MORE_RULES
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
