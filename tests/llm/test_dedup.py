@@ -121,6 +121,20 @@ def test_signature_estimates_similarity():
         assert (1 - (similarity / 100) ** rows) ** bands <= 1e-6
 
 
+def test_signatures_of_parts_are_those_of_the_whole():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (0, 3, 900, 40, 0, 77, 500)]
+    assert (near_dups.signatures(sets, limit=64) == near_dups.super_minhash(sets)).all()
+
+
+def test_near_duplicates_of_long_texts(spark):
+    rng = random.Random(13)
+    words = [f"w{rng.randint(0, 10**9)}" for _ in range(400_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-20_000], "end"])), (3, " " * 1_000_000), (4, "x" * 1_000_000)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dups.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: (399_996, 1), 2: (379_997, 1), 3: (0, 3), 4: (1, 4)}
+
+
 @pytest.mark.parametrize("few", [0, 20, 10**6])
 def test_components_of_chains_and_stars(spark, few):
     rng = random.Random(3)

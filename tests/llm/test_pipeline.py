@@ -87,11 +87,11 @@ def test_empty_documents_pass_all_stages(spark, tmp_path):
 
 
 def test_extra_columns_survive(spark):
-    docs = spark.createDataFrame([r for r in documents() if r[1]], COLUMNS).withColumn("row", F.lit(1)).withColumn("label", F.lit("x"))
+    docs = spark.createDataFrame([r for r in documents() if r[1]], COLUMNS).withColumn("row", F.lit(1)).withColumn("label", F.lit("x")).withColumn("__tm_row", F.lit(7)).withColumn("a.b", F.lit("y"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, "")
-        assert docs.columns == [*COLUMNS.replace(" long", "").replace(" string", "").split(", "), "row", "label"], name
-    assert docs.where("label <> 'x'").count() == 0
+        assert docs.columns == [*COLUMNS.replace(" long", "").replace(" string", "").split(", "), "row", "label", "__tm_row", "a.b"], name
+    assert docs.where("label <> 'x' or __tm_row <> 7 or `a.b` <> 'y'").count() == 0
 
 
 @pytest.mark.parametrize("rule", secrets.RULES, ids=lambda r: r.kind)

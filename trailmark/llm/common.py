@@ -18,6 +18,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import re
 import shutil
 import tempfile
 import uuid
@@ -170,6 +171,20 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_parts(raw: bytes, limit: int = 4 << 20):
+    """A text as it is, or, if it is long, in parts cut between words."""
+    start = 0
+    while len(raw) - start > limit:
+        found = _SPACE.search(raw, start + limit)
+        stop = found.start() if found else len(raw)
+        yield raw[start:stop]
+        start = stop
+    yield raw[start:]
+
+
 def word_stream(data: np.ndarray, offsets: np.ndarray, hashes: WordHashes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of each row and the rows'
     offsets among them.  bytes.split() splits at exactly those bytes and
@@ -179,10 +194,11 @@ def word_stream(data: np.ndarray, offsets: np.ndarray, hashes: WordHashes, lower
     if lower:
         raw = raw.lower()
     for i in range(len(offsets) - 1):
-        words = raw[offsets[i] : offsets[i + 1]].split()
-        counts[i + 1] = len(words)
-        if words:
-            parts.append(hashes.of(words))
+        for part in word_parts(raw[offsets[i] : offsets[i + 1]]):
+            words = part.split()
+            counts[i + 1] += len(words)
+            if words:
+                parts.append(hashes.of(words))
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.cumsum(counts)
 
 

@@ -26,7 +26,6 @@ training rows every probability is one half a bit.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from itertools import repeat
 from math import lgamma, log, pi
@@ -36,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, text_buffer, trimmed
+from .common import materialize, slices, text_buffer, trimmed, word_parts
 
 DEPTH = 5
 SUBTREE = 3  # depth below which a subtree is weighted as a whole
@@ -88,20 +87,6 @@ def code_parts(data: np.ndarray, offsets: np.ndarray, limit: int):
             yield a, b, code, np.array([0, len(code)])
 
 
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
-
-
-def word_parts(raw: bytes, limit: int = 16 << 20):
-    """A text as it is, or, if it is long, in parts cut between words."""
-    start = 0
-    while len(raw) - start > limit:
-        found = _SPACE.search(raw, start + limit)
-        stop = found.start() if found else len(raw)
-        yield raw[start:stop]
-        start = stop
-    yield raw[start:]
-
-
 def _count(batches):
     """(kind, gram, word, n, d): counts of grams (kind 0) and words (kind 1) in
     training rows; grams of other rows come with n = 0."""

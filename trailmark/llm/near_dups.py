@@ -34,6 +34,8 @@ document of its own; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -97,6 +99,25 @@ def super_minhash(sets: list[np.ndarray], m: int = SIGNATURE) -> np.ndarray:
     return best
 
 
+def signatures(sets: list[np.ndarray], m: int = SIGNATURE, limit: int = 1 << 16) -> np.ndarray:
+    """``super_minhash`` with memory for about ``limit`` elements at a time: the places of
+    a larger set are the least of those of its parts."""
+    out = np.empty((len(sets), m), np.uint64)
+    start = 0
+    while start < len(sets):
+        stop, size = start + 1, len(sets[start])
+        while stop < len(sets) and size + len(sets[stop]) <= limit:
+            size += len(sets[stop])
+            stop += 1
+        if size <= limit:
+            out[start:stop] = super_minhash(sets[start:stop], m)
+        else:
+            parts = (super_minhash([sets[start][i : i + limit]], m) for i in range(0, size, limit))
+            out[start:stop] = reduce(np.minimum, parts)
+        start = stop
+    return out
+
+
 def band_shape(similarity: int, m: int = SIGNATURE, miss: float = 1e-6) -> tuple[int, int]:
     """(bands, rows of each): the longest bands that keep a pair at the threshold."""
     t = similarity / 100
@@ -116,7 +137,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, similarity: in
             for a, b in slices(offsets, 300_000):
                 part, inner = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 sets = shingle_sets(part, inner, k, hashes)
-                signature = super_minhash(sets)[:, : bands * rows].reshape(len(sets), bands, rows)
+                signature = signatures(sets)[:, : bands * rows].reshape(len(sets), bands, rows)
                 key = np.zeros((len(sets), bands), np.uint64) + np.arange(bands, dtype=np.uint64)
                 for r in range(rows):
                     key = mix(key * _C1 + signature[:, :, r])
@@ -253,29 +274,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select(F.col("id").alias(id_col), "row", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _drop(docs: DataFrame, id_col: str, text_col: str, k: int, similarity: int) -> DataFrame:
-    found = materialize(near_duplicates(docs, id_col, text_col, k, similarity), "near-duplicates")
-    gone = materialize(found.where("not kept").select("row").distinct(), "dropped-rows").withColumnRenamed("row", "__tm_row")
-    again = found.where(F.col("kept") & F.col(id_col).isNotNull()).groupBy("row").agg(F.count("*").alias("c")).where("c > 1").select("row")
-    every = docs.withColumn("__tm_row", row_key(id_col, text_col))
-    bits = materialize(key_bits(gone, "__tm_row"), "dropped-bits")  # most rows stay where they are
-    left = split_by_bits(every, bits, "__tm_row", False).unionByName(split_by_bits(every, bits, "__tm_row", True).join(gone, "__tm_row", "left_anti"))
-    again = materialize(again, "repeated-rows").withColumnRenamed("row", "__tm_row")
+def _drop(rows: DataFrame, k: int, similarity: int) -> DataFrame:
+    """``rows(id, text, row)`` with one row of each component; whatever ``row`` holds stays."""
+    found = materialize(near_duplicates(rows, "id", "text", k, similarity), "near-duplicates")
+    gone = materialize(found.where("not kept").select("row").distinct(), "dropped-rows").withColumnRenamed("row", "key")
+    again = found.where(F.col("kept") & F.col("id").isNotNull()).groupBy("row").agg(F.count("*").alias("c")).where("c > 1").select(F.col("row").alias("key"))
+    every = rows.select("row", "id", "text", row_key("id", "text").alias("key"))
+    bits = materialize(key_bits(gone, "key"), "dropped-bits")  # most rows stay where they are
+    left = split_by_bits(every, bits, "key", False).unionByName(split_by_bits(every, bits, "key", True).join(gone, "key", "left_anti").select(*every.columns))
+    again = materialize(again, "repeated-rows")
     if not again.isEmpty():
-        once = left.join(again, "__tm_row", "left_semi").dropDuplicates(["__tm_row"])
-        left = left.join(again, "__tm_row", "left_anti").unionByName(once)
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+        once = left.join(again, "key", "left_semi").dropDuplicates(["key"])
+        left = left.join(again, "key", "left_anti").unionByName(once)
+    return left.select("row")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: int = 80) -> DataFrame:
     """``docs`` with one document of each component: that of the smallest id, once if
     its row is repeated.  Rows without an id group and link by a key of their text
-    that comes after all ids below 2**62, and equal texts among them are one row."""
-    missing = F.col(id_col).isNull()
-    if docs.where(missing).isEmpty():
-        return _drop(docs, id_col, text_col, k, similarity)
-    unnamed = missing & F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")  # texts without words link with nothing
-    once = materialize(docs.where(unnamed).dropDuplicates([text_col]), "unnamed")
-    key = F.when(unnamed, F.xxhash64(text_col).bitwiseAND((1 << 62) - 1) + F.lit(1 << 62)).otherwise(F.col(id_col).cast("long"))
-    keyed = docs.where(~unnamed).unionByName(once).withColumn("__tm_id", key)
-    return _drop(keyed, "__tm_id", text_col, k, similarity).drop("__tm_id")
+    that comes after all ids below 2**62, and equal texts among them are one row.
+    Columns keep their names, whatever these are."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    missing = F.col("id").isNull()
+    if not rows.where(missing).isEmpty():
+        unnamed = missing & F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")  # texts without words link with nothing
+        once = materialize(rows.where(unnamed).dropDuplicates(["text"]), "unnamed")
+        key = F.when(unnamed, F.xxhash64("text").bitwiseAND((1 << 62) - 1) + F.lit(1 << 62)).otherwise(F.col("id"))
+        rows = rows.where(~unnamed).unionByName(once).withColumn("id", key)
+    return _drop(rows, k, similarity).select("row.*")
