@@ -38,7 +38,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The documents drawn for the target weights; rare categories don't bring the
     sample below ``LEAST`` of the tokens."""
     prepare(spark)
-    return mixing.mix_sources(docs, least=LEAST).where("__tm_sampled").select(*docs.columns)
+    return mixing.sampled(docs, least=LEAST)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
