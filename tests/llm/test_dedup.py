@@ -271,14 +271,39 @@ def test_scores_are_those_of_the_tree(spark):
     total, distinct = sum(words.values()), len(words)
     docs = spark.createDataFrame(rows, DOCS).withColumn("gram", F.lit("clash")).repartition(3)
     model = lm.train(docs)
-    for slices, frequent in ((10**6, 1000), (500, 1)):
-        got = {r["doc_id"]: r for r in lm.score_texts(docs, model, slice_grams=slices, frequent=frequent).collect()}
-        for i, t in rows:
+    # of the training table, and of texts that the model has not seen: new bytes, new contexts, new words
+    others = [(i, t) for i, t in [*rows[:9], (70, "never seen é"), (71, "QQ aB xyz " * 9), (72, "\u4e2d\u6587"), (73, "z" * 25), (74, "z" * 25), (75, None)]]
+    assert len({r[0] for r in others}) == len(others)
+    out |= {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in others}
+    more = spark.createDataFrame(others, DOCS).repartition(2)
+    for table, of, grams, frequent in ((docs, rows, 10**6, 1000), (docs, rows, 300, 5), (more, others, 10**6, 1000), (more, others, 0, 0)):
+        got = {r["doc_id"]: r for r in lm.score_texts(table, model, frequent_grams=grams, frequent=frequent).collect()}
+        assert len(got) == len(of)
+        for i, t in of:
             tokens = [*low(t).split(), b" "]
             r = got[i]
             assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out[i], len(tokens), sum(words[w] > 0 for w in tokens), total)
             assert r["base_score"] == pytest.approx(sum(log10((words[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in tokens))
-            assert r["score"] == pytest.approx(score(t), rel=1e-6)
+            assert r["score"] == pytest.approx(score(t), rel=1e-9)
+
+
+def test_probabilities_after_a_context_sum_to_one(spark):
+    rng = random.Random(16)
+    docs = spark.createDataFrame([(i, "".join(rng.choice("abc \n") for _ in range(60))) for i in range(30)], DOCS)
+    model = lm.train(docs)
+    contexts = [b"abcab", b"zzzab", b"\xff\xff\xff\xffa", b"\xe4\xb8\xad\xe6\x96", b"qqqqq"]
+    codes = [sum(b << (8 * (j + 1)) for j, b in enumerate(c)) | x for c in contexts for x in range(256)]  # the most recent byte highest
+    grams = model.grams.unionByName(spark.createDataFrame([(c, 0, 0) for c in codes], "gram long, n long, m long")).groupBy("gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    got = {r["gram"]: r["score"] for r in lm.gram_scores(grams, group=100).collect()}
+    for i in range(len(contexts)):
+        assert sum(10 ** got[c] for c in codes[256 * i : 256 * i + 256]) == pytest.approx(1, abs=1e-9)
+
+
+def test_most_frequent_is_bounded(spark):
+    table = spark.createDataFrame([(i, 1 + i * i // 7) for i in range(1000)], "gram long, m long")
+    for limit in (0, 1, 10, 500, 1000, 5000):
+        n = table.where(lm.most_frequent(table, limit)).count()
+        assert n <= limit and n >= min(limit, 1000) * 0.5 - 5
 
 
 def test_scores_of_an_empty_table(spark):

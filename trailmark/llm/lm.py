@@ -14,9 +14,11 @@ few keys sent; counts are summed by partial aggregation.  A gram's code holds th
 most recent context byte highest, so a subtree is a range of codes.  Whole
 subtrees of the three most recent bytes are weighted together, many to a group;
 the levels above follow by aggregation upwards, and the weights that they leave
-to each subtree by joins downwards.  Every gram of the corpus, seen in training or not, gets its log probability, so scoring is a
-lookup.  The table is looked up in slices of bounded size; words likewise: the most frequent ones (a bounded number) by broadcast,
-the rest by a shuffle join.
+to each subtree by joins downwards.  A gram without training counts changes no
+weight and gets the mixture of the contexts that are known, so the grams of any
+texts are scored beside those of the training rows, and scoring a text is a
+lookup.  The grams and words that occur most, at most a fixed number, are
+broadcast; a text's others are counted and meet their scores in a shuffle join.
 
 Lower-casing of A-Z applies to both scores.  Defined results: a null or empty
 text has one token, its end, and is scored as the end byte alone; a null id
@@ -88,38 +90,48 @@ def code_parts(data: np.ndarray, offsets: np.ndarray, limit: int):
 
 
 def _count(batches):
-    """(kind, gram, word, n, d): counts of grams (kind 0) and words (kind 1) in
-    training rows; grams of other rows come with n = 0."""
+    """(kind, gram, word, n, m): of grams (kind 0) and words (kind 1) the counts in
+    training rows, which may be 0, and in all rows."""
 
     def out(grams, words):
         if grams is not None and len(grams[0]):
             k = len(grams[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(grams[0]), pa.nulls(k, pa.binary()), pa.array(grams[1])], names=["kind", "gram", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(grams[0]), pa.nulls(k, pa.binary()), pa.array(grams[1]), pa.array(grams[2])], names=["kind", "gram", "word", "n", "m"])
         if words:
-            k = len(words)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["kind", "gram", "word", "n"])
+            k, (n, m) = len(words[1]), words
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(list(m), pa.binary()), pa.array([n[w] for w in m], pa.int64()), pa.array(list(m.values()), pa.int64())],
+                names=["kind", "gram", "word", "n", "m"],
+            )
 
-    codes, counts, words = np.zeros(0, np.int64), np.zeros(0, np.int64), Counter()
+    none = np.zeros(0, np.int64)
+    codes, counts, totals, known, every = none, none, none, Counter(), Counter()
     for batch in batches:
         data, offsets = text_buffer(batch.column(0))
         train = ~np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
         for a, b, code, at in code_parts(data, offsets, 4 << 20):
             weight = np.repeat(train[a:b], np.diff(at))
             seen, n = np.unique(code[weight], return_counts=True)
-            other = np.unique(code[~weight])
+            other, m = np.unique(code[~weight], return_counts=True)
             merged, inverse = np.unique(np.concatenate([codes, seen, other]), return_inverse=True)
-            codes, counts = merged, np.bincount(inverse, np.concatenate([counts, n, np.zeros(len(other))]), len(merged)).astype(np.int64)
+            n_of = np.concatenate([counts, n, np.zeros(len(other), np.int64)])
+            m_of = np.concatenate([totals, n, m])
+            codes, counts, totals = merged, np.bincount(inverse, n_of, len(merged)).astype(np.int64), np.bincount(inverse, m_of, len(merged)).astype(np.int64)
             if len(codes) > 1_000_000:
-                yield from out((codes, counts), None)
-                codes, counts = codes[:0], counts[:0]
-        for i in np.flatnonzero(train).tolist():
+                yield from out((codes, counts, totals), None)
+                codes, counts, totals = none, none, none
+        for i, learns in enumerate(train.tolist()):
             for part in word_parts(data[offsets[i] : offsets[i + 1]].tobytes().lower()):
-                words.update(part.split())
-            words[END_TOKEN] += 1
-            if len(words) > 300_000:
-                yield from out(None, words)
-                words = Counter()
-    yield from out((codes, counts), words)
+                words = part.split()
+                every.update(words)
+                if learns:
+                    known.update(words)
+            every[END_TOKEN] += 1
+            known[END_TOKEN] += learns
+            if len(every) > 300_000:
+                yield from out(None, (known, every))
+                known, every = Counter(), Counter()
+    yield from out((codes, counts, totals), (known, every))
 
 
 # ------------------------------------------------------------------------- tree
@@ -200,7 +212,7 @@ def _scored(grams: pa.Table, above: pa.Table) -> pa.Table:
     """Log probabilities of some whole subtrees' grams.  above: for every top node
     the weight left for it by its ancestors, and their share of a one."""
     if not grams.num_rows:
-        return pa.table({"gram": np.zeros(0, np.int64), "score": np.zeros(0)})
+        return pa.table({"gram": np.zeros(0, np.int64), "m": np.zeros(0, np.int64), "score": np.zeros(0)})
     code, levels = _levels(grams)
     node, left, ones = _arrays(above, "node", "left", "ones")
     _, bit = _bit_nodes(code, 0)
@@ -216,11 +228,11 @@ def _scored(grams: pa.Table, above: pa.Table) -> pa.Table:
     order = np.argsort(node)
     at = order[np.searchsorted(node, levels[0].key, sorter=order)][levels[0].of]
     mixture = np.where(bit == 1, ones[at], 1 - left[at] - ones[at]) + left[at] * mixture
-    return pa.table({"gram": code, "score": np.log10(mixture).sum(axis=1)})
+    return pa.table({"gram": code, "m": grams["m"].combine_chunks(), "score": np.log10(mixture).sum(axis=1)})
 
 
 def gram_scores(grams: DataFrame, group: int = 200_000) -> DataFrame:
-    """``grams(gram, n)`` to (gram, score): the log10 probability of the byte.
+    """``grams(gram, n, m)`` to (gram, m, score): the log10 probability of the byte.
     Subtrees are spread over groups of about ``group`` grams."""
     groups = F.lit(max(1, -(-grams.count() // group)))
     bucket = lambda context: F.pmod(F.xxhash64(context), groups)
@@ -239,7 +251,7 @@ def gram_scores(grams: DataFrame, group: int = 200_000) -> DataFrame:
         )
         down = level.withColumn("up", parent).join(passed, "up").select("node", "left", "ones", "n0", "n1", "ends")
     above = down.select("node", "left", "ones", bucket(F.shiftright("node", 8)).alias("bucket"))
-    return keyed.groupBy("bucket").cogroup(above.groupBy("bucket")).applyInArrow(_scored, "gram long, score double")
+    return keyed.groupBy("bucket").cogroup(above.groupBy("bucket")).applyInArrow(_scored, "gram long, m long, score double")
 
 
 # ---------------------------------------------------------------------- scoring
@@ -253,7 +265,7 @@ class Lookup:
     def __init__(self, codes: np.ndarray, scores: np.ndarray) -> None:
         self.bits = max(4, int(2 * len(codes)).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)  # codes are not negative
-        self.values = np.zeros(1 << self.bits, np.float32)
+        self.values = np.zeros(1 << self.bits)
         slot, left = self._slot(codes), np.arange(len(codes))
         while len(left):
             free = self.keys[slot] == -1
@@ -265,108 +277,149 @@ class Lookup:
     def _slot(self, codes: np.ndarray) -> np.ndarray:
         return ((codes.view(np.uint64) * self._spread) >> np.uint64(64 - self.bits)).view(np.int64)
 
-    def add(self, codes: np.ndarray, to: np.ndarray) -> None:
-        """Adds the scores of the codes that the table holds."""
+    def add(self, codes: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """Adds the scores of the codes that the table holds; the places of others."""
         slot = self._slot(codes)
         keys = self.keys.take(slot)
         hit = keys == codes
         to += np.where(hit, self.values.take(slot), 0.0)
-        left = np.flatnonzero(~hit & (keys != -1))
-        slot = slot[left]
+        left = np.flatnonzero(~hit)
+        slot, keys = slot[left], keys[left]
+        absent = [left[keys == -1]]
+        left, slot = left[keys != -1], slot[keys != -1]
         while len(left):
             slot = (slot + 1) & (len(self.keys) - 1)
             keys = self.keys.take(slot)
             hit = keys == codes[left]
             to[left[hit]] += self.values.take(slot[hit])
+            absent.append(left[keys == -1])
             go = ~hit & (keys != -1)
             left, slot = left[go], slot[go]
+        return np.concatenate(absent)
 
 
 class Model:
-    """Trained counts: ``scores(gram, score)``, ``words(word, n)`` and totals."""
+    """Trained counts: ``grams(gram, n, m)``, ``words(word, n, m)`` and totals.  The tables
+    hold the grams and words of all rows of the training call, with n = 0 where no
+    training row has them."""
 
-    def __init__(self, scores: DataFrame, words: DataFrame, tokens: int, distinct: int) -> None:
-        self.scores, self.words, self.tokens, self.distinct = scores, words, tokens, distinct
+    def __init__(self, source: DataFrame, grams: DataFrame, words: DataFrame, tokens: int, distinct: int) -> None:
+        self.source, self.grams, self.words, self.tokens, self.distinct = source, grams, words, tokens, distinct
 
+    def scores(self, docs: DataFrame, text_col: str) -> DataFrame:
+        """(gram, m, score) of all grams of ``docs`` at least."""
+        grams = self.grams
+        if docs is not self.source:  # the grams of other texts, seen in training or not
+            counted = docs.select(F.col(text_col).alias("text"), F.lit(True).alias("out")).mapInArrow(trimmed(_count), COUNTED)
+            more = counted.where("kind = 0").select("gram", "n", "m")
+            grams = materialize(grams.select("gram", "n", F.lit(0).cast("long").alias("m")).unionByName(more).groupBy("gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "lm-more-grams")
+        return materialize(gram_scores(grams), "lm-scores")
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    source = docs.select(F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("out"))
-    counted = materialize(source.mapInArrow(trimmed(_count), "kind int, gram long, word binary, n long"), "lm-partial")
-    grams = materialize(counted.where("kind = 0").groupBy("gram").agg(F.sum("n").alias("n")), "lm-grams")
-    words = materialize(counted.where("kind = 1").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    return Model(materialize(gram_scores(grams), "lm-scores"), words, int(total[0]), int(total[1]))
 
+COUNTED = "kind int, gram long, word binary, n long, m long"
 
-def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", slice_grams: int = 2_000_000, frequent: int = 1 << 18, resident: int = 2) -> DataFrame:
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    source = docs.select(F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("out"))
+    counted = materialize(source.mapInArrow(trimmed(_count), COUNTED), "lm-partial")
+    grams = materialize(counted.where("kind = 0").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "lm-grams")
+    words = materialize(counted.where("kind = 1").groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "lm-words")
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    return Model(docs, grams, words, int(total[0]), int(total[1]))
+
+
+def most_frequent(table: DataFrame, limit: int) -> Column:
+    """A condition on ``m`` that at most ``limit`` rows meet: those above a count, found
+    from a histogram of a few hundred places."""
+    place = F.floor(F.log2(F.greatest("m", F.lit(1)).cast("double")) * 16)
+    held, least = 0, float("inf")
+    for row in table.groupBy(place.alias("place")).agg(F.count("*").alias("c"), F.min("m").alias("least")).orderBy(F.desc("place")).collect():
+        held += row["c"]
+        if held > limit:
+            break
+        least = row["least"]
+    return F.col("m") >= F.lit(least)
+
+
+def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", frequent_grams: int = 1 << 20, frequent: int = 1 << 18) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes,
-    bits_per_byte).  slice_grams and frequent bound what one broadcast holds, and
-    resident how many slices a worker keeps between batches."""
+    bits_per_byte) of any texts.  frequent_grams and frequent bound the entries that
+    are broadcast."""
     context = docs.sparkSession.sparkContext
-    n = model.scores.count()
-    parts = max(1, -(-n // slice_grams))
-    tables = []
-    for part in range(parts):  # the driver holds one slice at a time
-        rows = model.scores.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == part).toArrow()
-        gram, value = np.asarray(rows["gram"].combine_chunks()), np.asarray(rows["score"].combine_chunks())
-        tables.append(context.broadcast(Lookup(gram, value)))
-        del rows, gram, value
-    common = model.words.orderBy(F.desc("n"), "word").limit(frequent)
-    rows = common.toArrow()
+    scores, words = model.scores(docs, text_col), model.words
+    often, common = most_frequent(scores, frequent_grams), most_frequent(words, frequent)
+    rows = scores.where(often).select("gram", "score").toArrow()
+    table = context.broadcast(Lookup(*_arrays(rows, "gram", "score")))
+    rows = words.where(common).select("word", "n").toArrow()
     known = context.broadcast((rows["word"].to_pylist(), rows["n"].to_numpy().astype(float)))
+    del rows
     floor = 0.1 * (model.distinct + 1) + model.tokens
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("out"))
     head = source.select("id").schema["id"].dataType.simpleString()
-    tokens = model.tokens
+    # a row of kind 0 for each text; its rare words (1) and grams (2) with their numbers
+    names = ["kind", "row", "id", "held_out", "n_tokens", "known", "base", "score", "n_bytes", "word", "gram", "k"]
+    types = [pa.int32(), pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    schema = f"kind int, row long, id {head}, held_out boolean, n_tokens long, known long, base double, score double, n_bytes long, word binary, gram long, k long"
 
     def score(batches):
+        from pyspark import TaskContext
+
         frequent_words, counts = known.value
         values = np.log10((counts + 0.1) / floor)
-        place, unknown = {w: i for i, w in enumerate(frequent_words)}, repeat(-1)
+        place, unknown, lookup = {w: i for i, w in enumerate(frequent_words)}, repeat(-1), table.value
+        learned = counts > 0
+        first = TaskContext.get().partitionId() << 36
+
+        def out(ids_type, n, **columns):
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t or ids_type) for c, t in zip(names, types)], names=names)
+
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             ids, outs = batch.column(0), batch.column(2)
             rows = batch.num_rows
+            number = first + np.arange(rows)
+            first += rows
             total = np.zeros(rows)
             for a, b, code, at in code_parts(data, offsets, 2 << 20):
                 found = np.zeros(len(code))
-                for table in tables:
-                    table.value.add(code, found)
-                    if len(tables) > resident:
-                        del table._value  # a worker holds one slice at a time
+                absent = lookup.add(code, found)
                 total[a:b] += np.add.reduceat(found, at[:-1])
-            n_tokens, n_known, base, rare = np.ones(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows), []
+                if len(absent):
+                    row = a + np.searchsorted(at, absent, "right") - 1
+                    pairs, k = np.unique(np.stack([row, code[absent]]), axis=1, return_counts=True)
+                    yield out(ids.type, len(k), kind=np.full(len(k), 2), row=number[pairs[0]], gram=pairs[1], k=k)
+            n_tokens, n_known, base = np.ones(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows)
             end = place.get(END_TOKEN)
+            rare: list[tuple[int, bytes, int]] = []
             for i in range(rows):
-                others: Counter = Counter()
                 if end is None:
-                    others[END_TOKEN] = 1
+                    rare.append((number[i], END_TOKEN, 1))
                 else:
-                    n_known[i], base[i] = 1, values[end]
+                    n_known[i], base[i] = learned[end], values[end]
                 for part in word_parts(data[offsets[i] : offsets[i + 1]].tobytes().lower()):
-                    words = part.split()
-                    seen = np.fromiter(map(place.get, words, unknown), np.int64, len(words))
+                    found_words = part.split()
+                    seen = np.fromiter(map(place.get, found_words, unknown), np.int64, len(found_words))
                     hit = seen >= 0
-                    n_tokens[i] += len(words)
-                    n_known[i] += int(hit.sum())
+                    n_tokens[i] += len(found_words)
+                    n_known[i] += int(learned[seen[hit]].sum())
                     base[i] += values[seen[hit]].sum()
-                    others.update(words[j] for j in np.flatnonzero(~hit).tolist())
-                rare.append([{"word": w, "k": k} for w, k in others.items()])
-            yield pa.RecordBatch.from_arrays(
-                [ids, outs, pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(total), pa.array(np.diff(offsets)), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])))],
-                names=["id", "held_out", "n_tokens", "known", "base", "score", "n_bytes", "rare"],
-            )
-
-    schema = f"id {head}, held_out boolean, n_tokens long, known long, base double, score double, n_bytes long, rare array<struct<word:binary,k:long>>"
-    scored = materialize(source.mapInArrow(trimmed(score), schema), "lm-scored").withColumn("row", F.monotonically_increasing_id())
-    others = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k")
-    counts = model.words.join(common.select("word"), "word", "left_anti").select("word", F.col("n").alias("c"))
-    c = F.coalesce("c", F.lit(0))
-    rest = others.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("k") * F.log10((c + 0.1) / F.lit(floor))).alias("more"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("also"))
-    return (
-        scored.drop("rare").join(rest, "row", "left")
-        .select(
-            F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-            (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score", "n_bytes", (-F.col("score") / F.log10(F.lit(2.0)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
-        )
+                    rare += [(number[i], w, k) for w, k in Counter(found_words[j] for j in np.flatnonzero(~hit).tolist()).items()]
+                if rare and (len(rare) > 100_000 or i + 1 == rows):
+                    row, word, k = zip(*rare)
+                    yield out(ids.type, len(k), kind=np.full(len(k), 1), row=row, word=word, k=k)
+                    rare = []
+            yield out(ids.type, rows, kind=np.zeros(rows, np.int32), row=number, id=ids, held_out=outs, n_tokens=n_tokens, known=n_known, base=base, score=total, n_bytes=np.diff(offsets))
+
+    scored = materialize(source.mapInArrow(trimmed(score), schema), "lm-scored")
+    c = F.coalesce("n", F.lit(0))
+    rare_words = scored.where("kind = 1").select("row", "word", "k").join(words.where(~common).select("word", "n"), "word", "left")
+    rare_words = rare_words.select("row", (F.col("k") * F.log10((c + 0.1) / F.lit(floor))).alias("base"), F.when(c > 0, F.col("k")).otherwise(0).alias("known"), F.lit(0.0).alias("score"))
+    rare_grams = scored.where("kind = 2").select("row", "gram", "k").join(scores.where(~often).select("gram", "score"), "gram")
+    rare_grams = rare_grams.select("row", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"), (F.col("k") * F.col("score")).alias("score"))
+    rest = rare_words.unionByName(rare_grams).groupBy("row").agg(F.sum("base").alias("more_base"), F.sum("known").alias("more_known"), F.sum("score").alias("more_score"))
+    plus = lambda a, b, zero: F.col(a) + F.coalesce(b, F.lit(zero))
+    done = scored.where("kind = 0").join(rest, "row", "left").select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", plus("known", "more_known", 0).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
+        plus("base", "more_base", 0.0).alias("base_score"), plus("score", "more_score", 0.0).alias("score"), "n_bytes",
     )
+    return done.withColumn("bits_per_byte", -F.col("score") / F.log10(F.lit(2.0)) / F.greatest("n_bytes", F.lit(1)))
