@@ -16,8 +16,11 @@ in the sorted order, checked byte by byte against hash collisions, tell which
 suffixes agree to the right; prefix hashes, also checked, which agree to the
 left.  A string is repeated if another suffix agrees with it on both sides.
 
-An owner with more than ``most`` distinct stretches is not gathered in one task:
-its strings are counted by their hashes with partial aggregation instead.
+The stretches of one owner are compared in one task.  Those of an owner with more
+than ``most`` of them are first cut into their single strings, which are merged in
+the same way as stretches; strings that differ are then no more alike, so nothing
+is left to sort.  Equal stretches and strings are told by 128-bit digests of their
+bytes, which come with the owner's hash.
 
 Defined results: a null or empty text, or one shorter than ``width``, is kept
 whole; strings are judged on the input; repeated rows repeat each other's
@@ -31,19 +34,25 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    trimmed, binary_buffer, gram_hashes, in_filter, key_bits, key_filter, materialize, minimisers, mix, prefix_sums, range_hash, row_key, slices, split_by_bits, text_buffer, whole_groups,
+    trimmed, binary_buffer, bits_for, gram_hashes, in_filter, key_bits, key_filter, materialize, minimisers, mix, prefix_sums, range_hash, row_key, slices, split_by_bits, text_buffer,
+    whole_groups,
 )
 
 WIDTH = 200
 GRAM = 50
 SLICE = 1 << 19
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_SECOND = np.uint64(0xD1342543DE82EF95)
-_SECOND_INV = np.uint64(pow(int(_SECOND), -1, 1 << 64))
+
+
+def _digests(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """128-bit digests of slices of ``data``, shaped (slices, 2)."""
+    raw = data.tobytes()
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(start.tolist(), stop.tolist())), np.int64).reshape(-1, 2)
 
 
 def _owners(data: np.ndarray, offsets: np.ndarray, width: int, gram: int):
@@ -84,26 +93,25 @@ def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
 
 
 def _stretches(docs: DataFrame, filter_: np.ndarray, width: int, gram: int) -> DataFrame:
-    """(h, row, first, at, n, stretch, bytes): where the owner's strings begin, how
-    far in the owner lies, how many strings it owns, a hash of the bytes."""
+    """(h, row, first, at, n, s1, s2, bytes): where the owner's strings begin, how
+    far in the owner lies, how many strings it owns, a digest of the bytes."""
 
     def scan(batches):
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
             for part, inner, numbers, place in _parts(data, offsets, width):
-                sums, grams, (owner, lo, hi, row) = _owners(part, inner, width, gram)
+                _, grams, (owner, lo, hi, row) = _owners(part, inner, width, gram)
                 hit = in_filter(filter_, grams[owner])
                 owner, lo, hi, row = owner[hit], lo[hit], hi[hit], row[hit]
                 n = hi - lo + 1
-                second = prefix_sums(_VALUES[part] >> np.uint64(7), _SECOND_INV)
-                whole = mix(mix(range_hash(sums, lo, hi + width)) + mix(range_hash(second, lo, hi + width, _SECOND)) + n.astype(np.uint64))
+                whole = _digests(part, lo, hi + width)
                 rows = batch.column(1).take(pa.array(numbers[row]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[owner].view(np.int64)), rows, pa.array(lo - inner[row] + place), pa.array(owner - lo), pa.array(n), pa.array(whole.view(np.int64)), _gather(part, lo, n + width - 1)],
-                    names=["h", "row", "first", "at", "n", "stretch", "bytes"],
+                    [pa.array(grams[owner].view(np.int64)), rows, pa.array(lo - inner[row] + place), pa.array(owner - lo), pa.array(n), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()), _gather(part, lo, n + width - 1)],
+                    names=["h", "row", "first", "at", "n", "s1", "s2", "bytes"],
                 )
 
-    return docs.select("text", "row").mapInArrow(trimmed(scan), "h long, row long, first long, at long, n long, stretch long, bytes binary")
+    return docs.select("text", "row").mapInArrow(trimmed(scan), "h long, row binary, first long, at long, n long, s1 long, s2 long, bytes binary")
 
 
 # ----------------------------------------------------------------- suffix sort
@@ -225,17 +233,19 @@ def _plain(group, data, edges, n, width):
 # -------------------------------------------------------------------- operator
 
 
-def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most: int = 20_000) -> DataFrame:
+def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most: int = 4_000) -> DataFrame:
     """``docs(row, text)`` to (row, first, n): starts of repeated strings."""
-    shared = _fingerprints(docs, width, gram).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    filter_ = key_filter(shared, "h")
+    shared = materialize(_fingerprints(docs, width, gram).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "suffix-shared")
+    filter_ = key_filter(shared, "h", bits_for(shared.count()))
+    same = ["h", "s1", "s2"]
     found = materialize(_stretches(docs, filter_, width, gram).withColumn("occurrence", F.xxhash64("row", "first")), "suffix-stretches")
-    distinct = materialize(found.groupBy("h", "stretch").agg(F.count("*").alias("copies"), F.min("occurrence").alias("holder")), "suffix-distinct")
-    copied = found.select("h", "stretch", "row", "first", "n").join(distinct.where("copies > 1").select("h", "stretch"), ["h", "stretch"]).select("row", "first", "n")
+    distinct = materialize(found.groupBy(*same).agg(F.count("*").alias("copies"), F.min("occurrence").alias("holder")), "suffix-distinct")
+    copied = found.select(*same, "row", "first", "n").join(distinct.where("copies > 1").select(*same), same).select("row", "first", "n")
 
     sizes = distinct.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-    holders = materialize(distinct.join(sizes, "h").select("h", "stretch", F.col("holder").alias("occurrence"), "size"), "suffix-holders")
-    held = split_by_bits(found, materialize(key_bits(holders, "occurrence"), "holder-bits"), "occurrence", True).join(holders, ["h", "stretch", "occurrence"])
+    holders = materialize(distinct.join(sizes, "h").select(*same, F.col("holder").alias("occurrence"), "size"), "suffix-holders")
+    bits = bits_for(holders.count())
+    held = split_by_bits(found, materialize(key_bits(holders, "occurrence", bits), "holder-bits"), "occurrence", True, bits).join(holders, [*same, "occurrence"])
 
     def compare(batches):
         for chunk in whole_groups(batches):
@@ -253,7 +263,7 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most:
 
     columns = ["h", "row", "first", "at", "n", "bytes"]
     normal = held.where(F.col("size") <= most).select(columns).repartition("h").sortWithinPartitions("h")
-    compared = normal.mapInArrow(trimmed(compare), "row long, first long, n long")
+    compared = normal.mapInArrow(trimmed(compare), "row binary, first long, n long")
 
     def unpack(batches):
         for batch in batches:
@@ -261,24 +271,24 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most:
             data, edges = binary_buffer(batch.column(5))
             start = np.repeat(edges[:-1], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             which = np.repeat(np.arange(len(n)), n)
-            one = mix(range_hash(prefix_sums(_VALUES[data]), start, start + width))
-            two = mix(range_hash(prefix_sums(_VALUES[data] >> np.uint64(7), _SECOND_INV), start, start + width, _SECOND))
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column(1).take(pa.array(which)), pa.array(first[which] + start - edges[which])], names=["w1", "w2", "row", "first"])
+            same = _digests(data, start, start + width)
+            yield pa.RecordBatch.from_arrays([pa.array(same[:, 0].copy()), pa.array(same[:, 1].copy()), batch.column(1).take(pa.array(which)), pa.array(first[which] + start - edges[which])], names=["w1", "w2", "row", "first"])
 
-    strings = held.where(F.col("size") > most).select(columns).mapInArrow(trimmed(unpack), "w1 long, w2 long, row long, first long")
+    strings = held.where(F.col("size") > most).select(columns).mapInArrow(trimmed(unpack), "w1 long, w2 long, row binary, first long")
     twice = strings.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
     counted = strings.join(twice, ["w1", "w2"]).select("row", "first", F.lit(1).cast("long").alias("n"))
     return copied.unionByName(compared).unionByName(counted)
 
 
-def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, most: int = 20_000) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, most: int = 4_000) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) of every row."""
     source = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     ranges = repeated_ranges(source, width, gram, most)
     packed = materialize(ranges.groupBy("row").agg(F.collect_set(F.struct("first", "n")).alias("cut")), "suffix-cuts")
-    hit = materialize(key_bits(packed, "row"), "cut-bits")  # texts without a cut need not move
-    joined = split_by_bits(source, hit, "row", True).join(packed, "row", "left").select("id", "text", "cut")
-    whole = split_by_bits(source, hit, "row", False).select("id", "text", F.lit(None).cast(packed.schema["cut"].dataType).alias("cut"))
+    bits = bits_for(packed.count())
+    hit = materialize(key_bits(packed, "xxhash64(row)", bits), "cut-bits")  # texts without a cut need not move
+    joined = split_by_bits(source, hit, "xxhash64(row)", True, bits).join(packed, "row", "left").select("id", "text", "cut")
+    whole = split_by_bits(source, hit, "xxhash64(row)", False, bits).select("id", "text", F.lit(None).cast(packed.schema["cut"].dataType).alias("cut"))
     kind = f"id {source.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
     def cut(batches):
