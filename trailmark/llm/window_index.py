@@ -5,19 +5,22 @@ by its smallest gram of ``gram`` words (see ``common.minimisers``), so equal
 windows have equal owners at equal places, and the owners' hashes are the
 fingerprints that the index holds: about two per ``width - gram + 2`` words.
 
-The index is a log of sorted immutable runs (fingerprint, smallest document).
-A batch of documents is fingerprinted into a new run; the run is merge-joined
-with the history; fingerprints that an earlier document holds are verified on
-the words of all documents that hold them; then the new run is appended, and runs
-of like size are compacted into one.  Batches come in order of document id, so
-history is what has a smaller id; within a batch the smallest id counts.
-
-Verification compares owner and window hashes, 128 bits together.  An owner with
-the windows around it is a *stretch*; equal stretches are merged by partial
-aggregation first, so a passage in a third of all documents is a few rows, and
-only the first holders of an owner's different stretches are compared window by
-window: in the task of the owner, or, if more than ``most`` stretches share an
-owner, by partial minima over the windows.
+The index is a log of sorted immutable runs.  A run has a row for every different
+stretch (an owner with the windows around it) of its documents: fingerprint, a
+128-bit hash of the stretch's words, the smallest document.  A batch of documents is
+fingerprinted into a new run, which is merge-joined with the history; then runs of
+like size are compacted into one.  Batches come in order of document id, so history
+is what has a smaller id; within a batch the smallest id counts.
+
+What the join finds is verified.  A stretch that an earlier document holds whole goes
+by its hash.  Where an owner has different stretches, their windows are compared by
+hashes of 128 bits of their own; of the history only the documents that first hold
+stretches of such owners are read again, so a batch costs what it has in common with
+the history, and a passage in a third of all documents is a few rows.  The first
+holders' windows are compared in the task of the owner, or, if more than ``most``
+stretches share an owner, by partial minima over the windows.
+
+``save`` and ``load`` keep an index between sessions; its runs are files already.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` unchanged.  Defined results: a null or empty
 text, or one shorter than a window, keeps all its words; windows are judged on
@@ -29,15 +32,16 @@ table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import (
-    trimmed, WordHashes, binary_buffer, gram_hashes, in_filter, key_bits, key_filter, materialize, minimisers, mix, new_path, prefix_sums, range_hash, row_key, slices, split_by_bits, text_buffer,
-    whole_groups, word_stream,
+    trimmed, WordHashes, binary_buffer, bits_for, gram_hashes, in_filter, key_bits, key_filter, materialize, minimisers, mix, new_path, prefix_sums, range_hash, row_key, slices, split_by_bits,
+    text_buffer, whole_groups, word_parts, word_streams,
 )
 
 WIDTH = 50
@@ -46,64 +50,75 @@ _SECOND = np.uint64(0xD1342543DE82EF95)
 _SECOND_INV = np.uint64(pow(int(_SECOND), -1, 1 << 64))
 
 
-def _owners(data, offsets, hashes, width, gram):
-    stream, at = word_stream(data, offsets, hashes, lower=False)
-    sums = prefix_sums(stream)
-    grams = mix(gram_hashes(sums, gram))
-    return stream, at, sums, grams, minimisers(grams, at, gram, width)
+class _Owners:
+    """The owners of some texts' windows and hashes of any runs of their words."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, hashes: WordHashes, width: int, gram: int) -> None:
+        first, second, self.at = word_streams(data, offsets, hashes, lower=False)
+        self.sums, self.more = prefix_sums(first), prefix_sums(second, _SECOND_INV)
+        self.grams = mix(gram_hashes(self.sums, gram))
+        self.owner, self.lo, self.hi, self.row = minimisers(self.grams, self.at, gram, width)
+
+    def only(self, hit: np.ndarray) -> None:
+        self.owner, self.lo, self.hi, self.row = self.owner[hit], self.lo[hit], self.hi[hit], self.row[hit]
+
+    @property
+    def h(self) -> np.ndarray:
+        return self.grams[self.owner]
+
+    def hashes(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits over the words from start to stop."""
+        n = (stop - start).astype(np.uint64)
+        return mix(range_hash(self.sums, start, stop) + n).view(np.int64), mix(range_hash(self.more, start, stop, _SECOND) + n).view(np.int64)
 
 
 def fingerprints(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """``docs(id, text)`` to (h, id): the owners of the documents' windows."""
+    """``docs(id, text)`` to (h, s1, s2, id): the stretches of the documents."""
 
     def scan(batches):
         hashes = WordHashes()
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             for a, b in slices(offsets, 1 << 20):
-                _, _, _, grams, (owner, _, _, row) = _owners(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], hashes, width, gram)
-                ids = batch.column(0).slice(a, b - a).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(grams[owner].view(np.int64)), ids], names=["h", "id"])
+                o = _Owners(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], hashes, width, gram)
+                s1, s2 = o.hashes(o.lo, o.hi + width)
+                ids = batch.column(0).slice(a, b - a).take(pa.array(o.row))
+                yield pa.RecordBatch.from_arrays([pa.array(o.h.view(np.int64)), pa.array(s1), pa.array(s2), ids], names=["h", "s1", "s2", "id"])
 
-    return docs.select("id", "text").mapInArrow(trimmed(scan), "h long, id long")
+    return docs.select("id", "text").mapInArrow(trimmed(scan), "h long, s1 long, s2 long, id long")
 
 
 def stretches(docs: DataFrame, filter_: np.ndarray, width: int, gram: int) -> DataFrame:
-    """(h, id, row, first, n, stretch, windows): owners that pass the filter, the
-    place and number of their windows, a hash of the whole stretch, and the
-    windows' hashes."""
+    """(h, s1, s2, id, row, first, n, windows): owners that pass the filter, the hash of
+    the stretch, the place and number of its windows, and their hashes."""
 
     def scan(batches):
         hashes = WordHashes()
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             for a, b in slices(offsets, 1 << 20):
-                stream, at, sums, grams, (owner, lo, hi, row) = _owners(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], hashes, width, gram)
-                hit = in_filter(filter_, grams[owner])
-                owner, lo, hi, row = owner[hit], lo[hit], hi[hit], row[hit]
-                n = hi - lo + 1
-                second = prefix_sums(mix(stream), _SECOND_INV)
-                start = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                windows = mix(range_hash(sums, start, start + width) + mix(range_hash(second, start, start + width, _SECOND)))
-                whole = mix(mix(range_hash(sums, lo, hi + width)) + mix(range_hash(second, lo, hi + width, _SECOND)) + n.astype(np.uint64))
-                edges = np.concatenate([[0], np.cumsum(n * 8)]).astype(np.int32)
-                rows = pa.array(row)
+                o = _Owners(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], hashes, width, gram)
+                o.only(in_filter(filter_, o.h))
+                s1, s2 = o.hashes(o.lo, o.hi + width)
+                n = o.hi - o.lo + 1
+                start = np.repeat(o.lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                windows = np.stack(o.hashes(start, start + width), axis=1)
+                edges = np.concatenate([[0], np.cumsum(n * 16)]).astype(np.int32)
+                rows = pa.array(o.row)
+                packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(windows.tobytes())])
+                ids, keys = (batch.column(c).slice(a, b - a).take(rows) for c in (0, 2))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(grams[owner].view(np.int64)), batch.column(0).slice(a, b - a).take(rows), batch.column(2).slice(a, b - a).take(rows), pa.array(lo - at[row]), pa.array(n),
-                        pa.array(whole.view(np.int64)), pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(windows.tobytes())]),
-                    ],
-                    names=["h", "id", "row", "first", "n", "stretch", "windows"],
-                )
+                    [pa.array(o.h.view(np.int64)), pa.array(s1), pa.array(s2), ids, keys, pa.array(o.lo - o.at[o.row]), pa.array(n), packed], names=["h", "s1", "s2", "id", "row", "first", "n", "windows"]
+                )
 
-    return docs.select("id", "text", "row").mapInArrow(trimmed(scan), "h long, id long, row long, first long, n long, stretch long, windows binary")
+    return docs.select("id", "text", "row").mapInArrow(trimmed(scan), "h long, s1 long, s2 long, id long, row binary, first long, n long, windows binary")
 
 
 def _flat(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch of stretches (h, id, row, first, n, windows) every window: its hash,
-    its stretch and its place in the document."""
+    """Of a batch of stretches (h, id, row, first, n, windows) every window: its hashes
+    (windows, 2), its stretch and its place in the document."""
     first, n = np.asarray(batch.column(3)), np.asarray(batch.column(4))
-    windows = binary_buffer(batch.column(5))[0].view(np.int64)
+    windows = binary_buffer(batch.column(5))[0].view(np.int64).reshape(-1, 2)
     which = np.repeat(np.arange(len(n)), n)
     return windows, which, first[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
 
@@ -114,9 +129,9 @@ def _later(batches):
         h, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         windows, which, place = _flat(batch)
         group = np.cumsum(np.append(0, h[1:] != h[:-1]))[which]
-        order = np.lexsort((ids[which], windows, group))
+        order = np.lexsort((ids[which], windows[:, 1], windows[:, 0], group))
         w, g, i = windows[order], group[order], ids[which][order]
-        start = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (g[1:] != g[:-1])))
+        start = np.flatnonzero(np.append(True, (w[1:] != w[:-1]).any(axis=1) | (g[1:] != g[:-1])))
         least = np.repeat(i[start], np.diff(np.append(start, len(order))))
         hit = np.sort(order[i > least])
         which, place = which[hit], place[hit]
@@ -125,78 +140,110 @@ def _later(batches):
 
 
 def _unpacked(batches):
-    """Stretches to their windows: (h, w, id, row, place)."""
+    """Stretches to their windows: (h, w1, w2, id, row, place)."""
     for batch in batches:
         windows, which, place = _flat(batch)
         take = pa.array(which)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(windows.copy()), batch.column(1).take(take), batch.column(2).take(take), pa.array(place)], names=["h", "w", "id", "row", "place"])
+        columns = [batch.column(0).take(take), pa.array(windows[:, 0].copy()), pa.array(windows[:, 1].copy()), batch.column(1).take(take), batch.column(2).take(take), pa.array(place)]
+        yield pa.RecordBatch.from_arrays(columns, names=["h", "w1", "w2", "id", "row", "place"])
+
+
+SAME = ["h", "s1", "s2"]
+RUN = "h long, s1 long, s2 long, least long"
 
 
 class FingerprintIndex:
     """The log of runs.  ``add`` takes batches whose ids are larger than all before
-    and returns the word ranges to remove."""
+    and returns the word ranges to remove.  history: the texts of the documents that
+    the index holds already, if it was loaded."""
 
-    def __init__(self, width: int = WIDTH, gram: int = GRAM, fanout: int = 2, most: int = 20_000) -> None:
+    def __init__(self, width: int = WIDTH, gram: int = GRAM, fanout: int = 2, most: int = 4_000, history: DataFrame | None = None) -> None:
         self.width, self.gram, self.fanout, self.most = width, gram, fanout, most
-        self.runs: list[tuple[int, DataFrame]] = []  # (level, run), newest last
-        self.documents: DataFrame | None = None
-
-    def _run(self, rows: DataFrame, label: str) -> DataFrame:
+        self.runs: list[tuple[int, str, DataFrame]] = []  # (level, path, run), newest last
+        self.documents = history
+
+    def save(self, path: str) -> None:
+        """Writes which runs there are; the runs stay where they are."""
+        runs = [{"level": level, "path": place} for level, place, _ in self.runs]
+        spark = self.runs[0][2].sparkSession if self.runs else SparkSession.active()
+        line = json.dumps({"width": self.width, "gram": self.gram, "fanout": self.fanout, "most": self.most, "runs": runs})
+        spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, history: DataFrame) -> FingerprintIndex:
+        """``history(id, row, text)``: the documents added so far."""
+        held = json.loads(spark.read.text(path).first()[0])
+        index = cls(held["width"], held["gram"], held["fanout"], held["most"], history)
+        index.runs = [(r["level"], r["path"], spark.read.schema(RUN).parquet(r["path"])) for r in held["runs"]]
+        return index
+
+    def _run(self, rows: DataFrame, level: int) -> tuple[int, str, DataFrame]:
         """A sorted immutable run: ranges of fingerprints, in order."""
-        path = new_path(rows.sparkSession, label)
+        path = new_path(rows.sparkSession, f"run-{level}")
         rows.sortWithinPartitions("h").write.option("compression", "zstd").parquet(path)
-        return rows.sparkSession.read.schema(rows.schema).parquet(path)
+        return level, path, rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+    def _compact(self) -> None:
+        """Merges runs of like size; runs once they are read again, not before."""
+        while len(self.runs) >= self.fanout and len({level for level, _, _ in self.runs[-self.fanout :]}) == 1:
+            level, _, merged = self.runs[-self.fanout]
+            for _, _, run in self.runs[-self.fanout + 1 :]:
+                merged = merged.unionByName(run)
+            self.runs[-self.fanout :] = [self._run(merged.groupBy(*SAME).agg(F.min("least").alias("least")), level + 1)]
 
     def add(self, docs: DataFrame) -> DataFrame:
         """``docs(id, row, text)`` to (row, first, n): ranges of removed words."""
-        batch = fingerprints(docs, self.width, self.gram).groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-        batch = self._run(batch, "run")
-        held = None
-        for _, run in self.runs:
-            held = run if held is None else held.unionByName(run)
-        if held is None:
-            shared = batch.where("least < most")
-        else:
-            before = batch.select("h").join(held, "h").groupBy("h").agg(F.min("least").alias("before"))
-            shared = batch.join(before, "h", "left").where("least < most or before is not null")
-        shared = materialize(shared.select("h"), "shared")
-        history = self.documents
-        self.documents = docs if history is None else history.unionByName(docs)
-        ranges = self._verify(docs, history, shared)
-        self.runs.append((0, batch.select("h", "least")))
         self._compact()
+        batch = fingerprints(docs, self.width, self.gram).groupBy(*SAME).agg(F.min("id").alias("least"), F.max("id").alias("last"))
+        level, path, batch = self._run(batch, 0)
+        found = [batch.select(*SAME, "least", "last", F.lit(True).alias("new"))]
+        for _, _, run in self.runs:
+            before = run.join(batch.select("h").distinct(), "h", "left_semi")
+            found.append(before.select(*SAME, "least", F.col("least").alias("last"), F.lit(False).alias("new")))
+        every = found[0]
+        for one in found[1:]:
+            every = every.unionByName(one)
+        # every stretch of the batch's owners: its first holder, and whether it begins in this batch
+        firsts = every.groupBy(*SAME).agg(F.min("least").alias("least"), F.max("last").alias("last"), F.max("new").alias("new"), F.min("new").alias("fresh"))
+        owners = firsts.groupBy("h").agg(F.count("*").alias("size"), F.max(F.col("least") < F.col("last")).alias("again"), F.max("fresh").alias("fresh"))
+        # owners of repeated stretches; owners of different stretches, of which one at least is new, are open
+        owners = materialize(owners.where("again or (fresh and size > 1)").withColumn("open", F.col("fresh") & (F.col("size") > 1)), "owners")
+        firsts = materialize(firsts.join(owners.select("h", "open", "size"), "h"), "firsts")
+        ranges = self._verify(docs, firsts, owners)
+        self.documents = docs if self.documents is None else self.documents.unionByName(docs)
+        self.runs.append((level, path, batch.select(*SAME, "least")))
         return ranges
 
-    def _compact(self) -> None:
-        while len(self.runs) >= self.fanout and len({level for level, _ in self.runs[-self.fanout :]}) == 1:
-            level = self.runs[-1][0]
-            merged = self.runs[-self.fanout][1]
-            for _, run in self.runs[-self.fanout + 1 :]:
-                merged = merged.unionByName(run)
-            self.runs[-self.fanout :] = [(level + 1, self._run(merged.groupBy("h").agg(F.min("least").alias("least")), "compacted"))]
-
-    def _verify(self, docs: DataFrame, history: DataFrame | None, shared: DataFrame) -> DataFrame:
-        filter_ = key_filter(shared, "h")
-        found = stretches(docs, filter_, self.width, self.gram).withColumn("new", F.lit(True))
-        if history is not None:
-            found = found.unionByName(stretches(history, filter_, self.width, self.gram).withColumn("new", F.lit(False)))
-        found = materialize(found.withColumn("place", F.xxhash64("row", "first")), "stretches")
-        narrow = found.drop("windows")
-        firsts = materialize(narrow.groupBy("h", "stretch").agg(F.min("id").alias("holder"), F.max("id").alias("last")), "firsts")
-        repeated = firsts.where("holder < last").select("h", "stretch", "holder")
-        again = narrow.where("new").join(repeated, ["h", "stretch"]).where("id > holder").select("row", "first", "n")
-        # only owners with different stretches are compared window by window
-        sizes = firsts.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-        holders = narrow.join(firsts.join(sizes, "h").select("h", "stretch", "holder", "size"), ["h", "stretch"]).where("id = holder")
-        holders = materialize(holders.select("h", "place", "size"), "holders")
-        held = split_by_bits(found.select("h", "id", "row", "first", "n", "windows", "place"), materialize(key_bits(holders, "place"), "holder-bits"), "place", True)
-        held = held.join(holders.distinct(), ["h", "place"])
+    def holders(self, firsts: DataFrame) -> DataFrame | None:
+        """The documents of the history that must be read again."""
+        if self.documents is None:
+            return None
+        wanted = materialize(firsts.where("open and not fresh").select(F.col("least").alias("id")).distinct(), "history-holders")
+        size = bits_for(wanted.count())
+        bits = materialize(key_bits(wanted.select(F.xxhash64("id").alias("k")), "k", size), "history-bits")
+        return split_by_bits(self.documents, bits, "xxhash64(id)", True, size)
+
+    def _verify(self, docs: DataFrame, firsts: DataFrame, owners: DataFrame) -> DataFrame:
+        filter_ = key_filter(owners, "h", bits_for(owners.count()))
+        found = materialize(stretches(docs, filter_, self.width, self.gram), "stretches")
+        repeated = firsts.where("new and least < last").select(*SAME, "least")
+        again = found.select(*SAME, "id", "row", "first", "n").join(repeated, SAME).where("id > least").select("row", "first", "n")
+        # only first holders of open owners' stretches are compared window by window
+        open_ = firsts.where("open").select(*SAME, F.col("least").alias("id"), "size", "fresh")
         columns = ["h", "id", "row", "first", "n", "windows"]
+        held = found.join(open_.where("fresh"), [*SAME, "id"]).select(*columns, "size")
+        past = self.holders(firsts)
+        if past is not None:
+            hot = owners.where("open").select("h")
+            old = stretches(past, key_filter(hot, "h", bits_for(hot.count())), self.width, self.gram)
+            held = held.unionByName(old.join(open_.where("not fresh"), [*SAME, "id"]).select(*columns, "size"))
+        held = materialize(held, "held")
         normal = held.where(F.col("size") <= self.most).select(columns).repartition("h").sortWithinPartitions("h")
-        compared = normal.mapInArrow(trimmed(_later), "row long, first long, n long")
-        windows = held.where(F.col("size") > self.most).select(columns).mapInArrow(trimmed(_unpacked), "h long, w long, id long, row long, place long")
-        earliest = windows.groupBy("h", "w").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "w", "least")
-        counted = windows.join(earliest, ["h", "w"]).where("id > least").select("row", F.col("place").alias("first"), F.lit(1).cast("long").alias("n"))
+        compared = normal.mapInArrow(trimmed(_later), "row binary, first long, n long")
+        windows = held.where(F.col("size") > self.most).select(columns).mapInArrow(trimmed(_unpacked), "h long, w1 long, w2 long, id long, row binary, place long")
+        same = ["h", "w1", "w2"]
+        earliest = windows.groupBy(*same).agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(*same, "least")
+        counted = windows.join(earliest, same).where("id > least").select("row", F.col("place").alias("first"), F.lit(1).cast("long").alias("n"))
         # rows of the history come again, as they came in their own batch; sets take no notice
         return again.unionByName(compared).unionByName(counted)
 
@@ -205,24 +252,35 @@ def remove_ranges(docs: DataFrame, ranges: DataFrame, width: int) -> DataFrame:
     """``docs(id, row, text)`` and window starts (row, first, n) to (id, n_words,
     n_removed, kept_sha256, kept): the words left, joined by one space."""
     packed = materialize(ranges.groupBy("row").agg(F.collect_set(F.struct("first", "n")).alias("cut")), "cuts")
-    hit = materialize(key_bits(packed, "row"), "cut-bits")
+    size = bits_for(packed.count())
+    hit = materialize(key_bits(packed, "xxhash64(row)", size), "cut-bits")
     source = docs.select("id", "text", "row")
-    joined = split_by_bits(source, hit, "row", True).join(packed, "row", "left").select("id", "text", "cut")
-    whole = split_by_bits(source, hit, "row", False).select("id", "text", F.lit(None).cast(packed.schema["cut"].dataType).alias("cut"))
+    joined = split_by_bits(source, hit, "xxhash64(row)", True, size).join(packed, "row", "left").select("id", "text", "cut")
+    whole = split_by_bits(source, hit, "xxhash64(row)", False, size).select("id", "text", F.lit(None).cast(packed.schema["cut"].dataType).alias("cut"))
 
     def cut(batches):
         for batch in batches:
             n_words, n_removed, digest, kept = [], [], [], []
-            for text, ranges_ in zip(batch.column(1), batch.column(2)):
-                words = (text.as_py() or "").encode().split()
-                gone = np.zeros(len(words) + 1, np.int32)
+            data, offsets = text_buffer(batch.column(1))
+            for i, ranges_ in enumerate(batch.column(2)):
+                steps: dict[int, int] = {}
                 for r in ranges_.as_py() or ():
-                    gone[r["first"]] += 1
-                    gone[r["first"] + r["n"] - 1 + width] -= 1
-                gone = np.cumsum(gone)[:-1] > 0
-                left = b" ".join(w for w, g in zip(words, gone.tolist()) if not g) if gone.any() else b" ".join(words)
-                n_words.append(len(words))
-                n_removed.append(int(gone.sum()))
+                    for place, change in ((r["first"], 1), (r["first"] + r["n"] - 1 + width, -1)):
+                        steps[place] = steps.get(place, 0) + change
+                where = np.array(sorted(steps), np.int64)
+                depth = np.cumsum([0, *(steps[x] for x in where.tolist())])
+                total, removed, out = 0, 0, []
+                for part in word_parts(data[offsets[i] : offsets[i + 1]].tobytes()):
+                    words = part.split()
+                    gone = depth[np.searchsorted(where, np.arange(total, total + len(words)), "right")] > 0
+                    total += len(words)
+                    left = [w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words
+                    if left:
+                        out.append(b" ".join(left))
+                    removed += int(gone.sum())
+                left = b" ".join(out)
+                n_words.append(total)
+                n_removed.append(removed)
                 digest.append(hashlib.sha256(left).hexdigest())
                 kept.append(left.decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept_sha256", "kept"])
@@ -231,7 +289,7 @@ def remove_ranges(docs: DataFrame, ranges: DataFrame, width: int) -> DataFrame:
     return joined.mapInArrow(trimmed(cut), kind).unionByName(whole.mapInArrow(trimmed(cut), kind))
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, batches: int = 2) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, batches: int = 4) -> DataFrame:
     """All of a table through the index, in ``batches`` ranges of ids: (id, n_words,
     n_removed, kept_sha256, kept)."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
