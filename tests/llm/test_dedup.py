@@ -162,7 +162,7 @@ def plain_windows(rows, width):
     return out
 
 
-@pytest.mark.parametrize("batches,most", [(1, 1000), (3, 1000), (2, 1)])
+@pytest.mark.parametrize("batches,most", [(1, 1000), (10, 1000), (2, 1)])
 def test_windows(spark, batches, most, monkeypatch):
     rows = corpus(11, n=50, length=80)
     start = window_index.FingerprintIndex.__init__
@@ -172,6 +172,42 @@ def test_windows(spark, batches, most, monkeypatch):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == plain_windows(rows, 10)
 
 
+def test_a_stored_index_goes_on(spark, tmp_path):
+    rows = corpus(14, n=40, length=80)
+    docs = spark.createDataFrame(rows, DOCS).select(F.col("doc_id").alias("id"), common.row_key().alias("row"), "text")
+    old, new = docs.where("id < 30"), docs.where("id >= 30")
+    index = window_index.FingerprintIndex(10, 4)
+    first = common.materialize(index.add(old), "t")
+    index.save(str(tmp_path / "index"))
+    again = window_index.FingerprintIndex.load(spark, str(tmp_path / "index"), old)
+    ranges = first.unionByName(again.add(new))
+    got = window_index.remove_ranges(docs, ranges, 10).collect()
+    assert {r["id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == plain_windows(rows, 10)
+
+
+def test_only_holders_of_open_owners_are_read_again(spark):
+    """New documents that share nothing, or only whole stretches, with the history cost no reading of it."""
+    words = lambda seed, n: " ".join(f"w{random.Random(seed * 1000 + i).randint(0, 10**9)}" for i in range(n))
+    old = [(i, words(i, 200)) for i in range(20)]
+    index = window_index.FingerprintIndex(10, 4)
+    frame = lambda rows: spark.createDataFrame(rows, DOCS).select(F.col("doc_id").alias("id"), common.row_key().alias("row"), "text")
+    index.add(frame(old)).count()
+    seen = []
+    holders = window_index.FingerprintIndex.holders
+    index.holders = lambda firsts: seen.append(holders(index, firsts)) or seen[-1]
+    index.add(frame([(100, words(77, 200)), (101, old[3][1])])).count()
+    assert seen[-1].count() == 0
+    index.add(frame([(200, "new " + old[5][1])])).count()
+    assert [r["id"] for r in seen[-1].select("id").collect()] == [5]
+
+
+def test_windows_of_long_texts(spark):
+    text = " ".join(map(str, range(300_000)))
+    rows = [(1, text), (2, text + " end"), (3, " " * 1_000_000), (4, "x" * 6_000_000)]
+    got = window_index.dedup_substrings(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in got} == {1: (300_000, 0), 2: (300_001, 300_000), 3: (0, 0), 4: (1, 0)}
+
+
 def test_windows_edge_rows(spark):
     text = " ".join(map(str, range(60)))
     rows = [(1, text), (1, text), (2, text + " more"), (None, text), (3, None), (4, " ".join(map(str, range(30)))), (0, "x")]

@@ -79,7 +79,9 @@ def release_memory() -> None:
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    """128 bits, as binary."""
+    name = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
+    return F.unhex(F.md5(F.concat(F.length(name).cast("string"), F.lit(":"), name, F.coalesce(F.col(text_col), F.lit("")))))
 
 
 # ---------------------------------------------------------------- text access
@@ -157,18 +159,33 @@ def gram_hashes(sums: np.ndarray, k: int, base: np.uint64 = _B) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """Word (bytes) -> 64-bit hash, remembered for a bounded number of words."""
+    """Word (bytes) to two independent 64-bit hashes, remembered for a bounded number
+    of words."""
 
-    limit = 120_000
+    def __init__(self, limit: int = 120_000) -> None:
+        super().__init__()
+        self.limit = limit
+        self.first, self.second = np.zeros(limit, np.uint64), np.zeros(limit, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+        place = self[word] = len(self)
+        both = xxhash.xxh3_128_intdigest(word)
+        self.first[place], self.second[place] = both >> 64, both & 0xFFFFFFFFFFFFFFFF
+        return place
+
+    def both(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for i in range(0, len(words), self.limit // 2):
+            some = words[i : i + self.limit // 2]
+            if len(self) + len(some) > self.limit:  # as many may be new
+                self.clear()
+            place = np.fromiter(map(self.__getitem__, some), np.int64, len(some))
+            out.append((self.first[place], self.second[place]))
+        none = np.zeros(0, np.uint64)
+        return tuple(np.concatenate([none, *(x[k] for x in out)]) for k in (0, 1))
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return self.both(words)[0]
 
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -185,11 +202,12 @@ def word_parts(raw: bytes, limit: int = 4 << 20):
     yield raw[start:]
 
 
-def word_stream(data: np.ndarray, offsets: np.ndarray, hashes: WordHashes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of each row and the rows'
+def word_streams(data: np.ndarray, offsets: np.ndarray, hashes: WordHashes, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of the words ``[^\\x20\\x09-\\x0D]+`` of each row and the rows'
     offsets among them.  bytes.split() splits at exactly those bytes and
     bytes.lower() changes A-Z only."""
-    parts, counts = [], np.zeros(len(offsets), np.int64)
+    none = np.zeros(0, np.uint64)
+    parts, counts = [(none, none)], np.zeros(len(offsets), np.int64)
     raw = data.tobytes()
     if lower:
         raw = raw.lower()
@@ -198,8 +216,13 @@ def word_stream(data: np.ndarray, offsets: np.ndarray, hashes: WordHashes, lower
             words = part.split()
             counts[i + 1] += len(words)
             if words:
-                parts.append(hashes.of(words))
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.cumsum(counts)
+                parts.append(hashes.both(words))
+    return np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts]), np.cumsum(counts)
+
+
+def word_stream(data: np.ndarray, offsets: np.ndarray, hashes: WordHashes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    first, _, at = word_streams(data, offsets, hashes, lower)
+    return first, at
 
 
 # ---------------------------------------------------------- minimiser sampling
@@ -289,6 +312,11 @@ def binary_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 BITS = 1 << 25
 
 
+def bits_for(keys: int, most: int = 1 << 28) -> int:
+    """The size of a filter for so many keys: sixteen bits a key, up to 32 MB."""
+    return min(most, 1 << max(16, (16 * keys).bit_length()))
+
+
 def key_bits(keys: DataFrame, column: str, bits: int = BITS) -> DataFrame:
     """A one-hash Bloom filter over a long column as a table (w, b) of 64-bit words:
     ``bits / 64`` rows at most, whatever the number of keys.  It only saves work:

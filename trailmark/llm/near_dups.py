@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, key_bits, materialize, mix, row_key, slices, split_by_bits, text_buffer, trimmed, word_stream
+from .common import WordHashes, bits_for, components, key_bits, materialize, mix, row_key, slices, split_by_bits, text_buffer, trimmed, word_stream
 
 SIGNATURE = 252
 _C1, _C2, _C3 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -150,7 +150,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, similarity: in
                     names=["id", "row", "n", "hi", "lo", "bands"],
                 )
 
-    return source.mapInArrow(trimmed(sketch), "id long, row long, n long, hi long, lo long, bands array<long>")
+    return source.mapInArrow(trimmed(sketch), "id long, row binary, n long, hi long, lo long, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
@@ -177,9 +177,10 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: int) -> Dat
 
 def _texts_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The texts of some ids; a filter of fixed size spares most others the shuffle."""
-    bits = materialize(key_bits(nodes.select(F.xxhash64("node").alias("h")), "h"), "node-bits")
+    size = bits_for(nodes.count())
+    bits = materialize(key_bits(nodes.select(F.xxhash64("node").alias("h")), "h", size), "node-bits")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("long")).alias("h"))
-    return split_by_bits(source, bits, "h", True).select("id", "text").join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
+    return split_by_bits(source, bits, "h", True, size).select("id", "text").join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
 
 
 def crossing_pairs(nodes: DataFrame, texts: DataFrame, k: int, similarity: int, slots: int = 1 << 21) -> DataFrame:
@@ -280,8 +281,10 @@ def _drop(rows: DataFrame, k: int, similarity: int) -> DataFrame:
     gone = materialize(found.where("not kept").select("row").distinct(), "dropped-rows").withColumnRenamed("row", "key")
     again = found.where(F.col("kept") & F.col("id").isNotNull()).groupBy("row").agg(F.count("*").alias("c")).where("c > 1").select(F.col("row").alias("key"))
     every = rows.select("row", "id", "text", row_key("id", "text").alias("key"))
-    bits = materialize(key_bits(gone, "key"), "dropped-bits")  # most rows stay where they are
-    left = split_by_bits(every, bits, "key", False).unionByName(split_by_bits(every, bits, "key", True).join(gone, "key", "left_anti").select(*every.columns))
+    size = bits_for(gone.count())
+    bits = materialize(key_bits(gone, "xxhash64(key)", size), "dropped-bits")  # most rows stay where they are
+    inside = split_by_bits(every, bits, "xxhash64(key)", True, size).join(gone, "key", "left_anti").select(*every.columns)
+    left = split_by_bits(every, bits, "xxhash64(key)", False, size).unionByName(inside)
     again = materialize(again, "repeated-rows")
     if not again.isEmpty():
         once = left.join(again, "key", "left_semi").dropDuplicates(["key"])
