@@ -97,19 +97,21 @@ def _count(batches):
         if grams is not None and len(grams[0]):
             k = len(grams[0])
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(grams[0]), pa.nulls(k, pa.binary()), pa.array(grams[1]), pa.array(grams[2])], names=["kind", "gram", "word", "n", "m"])
-        if words:
-            k, (n, m) = len(words[1]), words
+        if words and words[0]:
+            every, out_ = words
+            k, m = len(every), np.fromiter(every.values(), np.int64, len(every))
+            n = m - np.fromiter(map(out_.__getitem__, every), np.int64, k)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(list(m), pa.binary()), pa.array([n[w] for w in m], pa.int64()), pa.array(list(m.values()), pa.int64())],
+                [pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(list(every), pa.binary()), pa.array(n), pa.array(m)],
                 names=["kind", "gram", "word", "n", "m"],
             )
 
     none = np.zeros(0, np.int64)
-    codes, counts, totals, known, every = none, none, none, Counter(), Counter()
+    codes, counts, totals, every, held = none, none, none, Counter(), Counter()  # words of all rows, and of those held out
     for batch in batches:
         data, offsets = text_buffer(batch.column(0))
         train = ~np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
-        for a, b, code, at in code_parts(data, offsets, 4 << 20):
+        for a, b, code, at in code_parts(data, offsets, 1 << 20):
             weight = np.repeat(train[a:b], np.diff(at))
             seen, n = np.unique(code[weight], return_counts=True)
             other, m = np.unique(code[~weight], return_counts=True)
@@ -124,14 +126,14 @@ def _count(batches):
             for part in word_parts(data[offsets[i] : offsets[i + 1]].tobytes().lower()):
                 words = part.split()
                 every.update(words)
-                if learns:
-                    known.update(words)
+                if not learns:
+                    held.update(words)
             every[END_TOKEN] += 1
-            known[END_TOKEN] += learns
-            if len(every) > 300_000:
-                yield from out(None, (known, every))
-                known, every = Counter(), Counter()
-    yield from out((codes, counts, totals), (known, every))
+            held[END_TOKEN] += not learns
+            if len(every) > 150_000:
+                yield from out(None, (every, held))
+                every, held = Counter(), Counter()
+    yield from out((codes, counts, totals), (every, held))
 
 
 # ------------------------------------------------------------------------- tree
@@ -380,7 +382,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             number = first + np.arange(rows)
             first += rows
             total = np.zeros(rows)
-            for a, b, code, at in code_parts(data, offsets, 2 << 20):
+            for a, b, code, at in code_parts(data, offsets, 1 << 20):
                 found = np.zeros(len(code))
                 absent = lookup.add(code, found)
                 total[a:b] += np.add.reduceat(found, at[:-1])
