@@ -35,13 +35,15 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def word_list(c: Column) -> Column:
+def word_list(c: Column, fold: str = "none") -> Column:
     """Lower-case words in order."""
-    return F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(folded(F.lower(text_or_empty(c)), fold), F.lit(WORD), F.lit(0))
 
 
-def lexical_terms(c: Column) -> Column:
-    """Words without stopwords; all words if nothing else is there."""
+def lexical_terms(c: Column, fold: str = "none") -> Column:
+    """Words without stopwords; all words if nothing else is there; folded after that."""
+    if fold != "none":
+        return F.transform(lexical_terms(c), lambda w: folded(w, fold))
     stop = F.array(*map(F.lit, STOPWORDS))
     return let(word_list(c), lambda w: let(F.filter(w, lambda x: ~F.array_contains(stop, x)), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(w)))
 
@@ -73,6 +75,29 @@ def _ascii_map() -> tuple[str, str]:
     return "".join(left), "".join(right)
 
 
+def _fold_map(full: bool) -> tuple[str, str]:
+    """Letters that are one letter and marks: all of them, or those with one mark only.
+    Marks that stand alone, deleted by ``full``, come last."""
+    left, right = [], []
+    for code in range(0xC0, 0x1F00):
+        parts = unicodedata.normalize("NFD", chr(code))
+        marks = [c for c in parts[1:] if unicodedata.combining(c)]
+        if len(parts) > 1 and len(marks) == len(parts) - 1 and (full or len(marks) == 1):
+            left.append(chr(code))
+            right.append(parts[0])
+    return "".join(left) + ("".join(map(chr, range(0x300, 0x370))) if full else ""), "".join(right)
+
+
+FOLDS = ("none", "single", "full")
+
+
+def folded(c: Column, fold: str = "none") -> Column:
+    """Accents dropped: nowhere, from letters with one mark, or from all."""
+    if fold not in FOLDS:
+        raise ValueError(f"unknown fold {fold!r}")
+    return c if fold == "none" else F.translate(c, *_fold_map(fold == "full"))
+
+
 def slug(c: Column) -> Column:
     """ASCII letters and digits of a text, accents dropped, in lower case."""
     left, right = _ascii_map()
@@ -124,7 +149,8 @@ def subsequence_at(haystack: Column, needle: Column) -> Column:
 
 
 def answer_fragments(answer: Column) -> Column:
-    """Token lists of an answer's pieces, longest first, distinct, two tokens at least."""
+    """Token lists of an answer's pieces, longest first, distinct, two tokens at least.
+    The two patterns for what opens a list item are fixed values."""
     pieces = F.split(F.regexp_replace(text_or_empty(answer), r"([.!?;])\s+", "$1\u0001"), "[\u0001\n]+", -1)
 
     def clean(x: Column) -> Column:
@@ -142,5 +168,9 @@ def stable_seed(id_col: Column, seed: int) -> Column:
 
 
 def synthetic_id(content: Column, context: Column) -> Column:
-    """The content as id, or one derived from the whole context if it is blank."""
-    return F.coalesce(F.nullif(F.trim(text_or_empty(content)), F.lit("")), F.concat(F.lit("context_"), F.substring(F.sha1(F.to_json(context)), 1, 16)))
+    """The content as id, or one derived from the whole context (a map of strings, read
+    in the order of its keys) if it is blank."""
+    entries = F.array_sort(F.transform(F.map_entries(context), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+    pair = lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), F.coalesce(F.concat(F.lit('"'), F.regexp_replace(e["value"], r'(["\\\\])', r"\\$1"), F.lit('"')), F.lit("null")))
+    whole = F.concat(F.lit("{"), F.array_join(F.transform(entries, pair), ", "), F.lit("}"))
+    return F.coalesce(F.nullif(F.trim(text_or_empty(content)), F.lit("")), F.concat(F.lit("context_"), F.substring(F.sha1(whole), 1, 16)))

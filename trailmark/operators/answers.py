@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .lexical import best
 
+#: What joins the parts of training texts and the ids to generate.
+SO_FAR, POSTERIOR, DOC_MARK = "\nEvidence so far: ", "\nPosterior evidence: ", " <DOC> "
+#: Methods whose training queries carry the facts of earlier hops.
+HISTORY_METHODS = ("mdr", "m3", "baleen", "mopo")
 #: The instruction of each prompt method.
 INSTRUCTIONS = {
     "ask_to_understand": "Answer the legal question by asking yourself focused sub-questions about each passage before producing the final answer.",
@@ -34,12 +38,19 @@ def enrich_contexts(examples: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def downstream_examples(queries: DataFrame, rankings: DataFrame, corpus: DataFrame, answers: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, question, answer, contexts) from the first ``k`` of each ranking."""
+    """(query_id, question, answer, contexts) from the first ``k`` of each ranking.  A
+    ranked document that the corpus lacks, or a query without an answer, fails."""
     top = rankings.where(F.col("rank") <= k).select("query_id", "doc_id", "rank")
-    needed = corpus.join(top.select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = top.join(needed.select("doc_id", "title", "text"), "doc_id")
+    needed = corpus.join(top.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "title", "text", F.lit(True).alias("held"))
+    rows = top.join(needed, "doc_id", "left").withColumn("rank", _or_fail("held", "rank", "document missing from the corpus: ", "doc_id"))
     contexts = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "title", "text"))).alias("contexts"))
-    return queries.select("query_id", F.col("text").alias("question")).join(answers.select("query_id", "answer"), "query_id").join(contexts, "query_id", "left")
+    asked = queries.select("query_id", F.col("text").alias("question")).join(answers.select("query_id", "answer"), "query_id", "left")
+    return asked.withColumn("answer", _or_fail("answer", "answer", "no answer for query ", "query_id")).join(contexts, "query_id", "left")
+
+
+def _or_fail(test: str, value: str, message: str, name: str) -> Column:
+    """``value`` where ``test`` is not null, else an error that names the row."""
+    return F.when(F.col(test).isNull(), F.raise_error(F.concat(F.lit(message), F.col(name).cast("string")))).otherwise(F.col(value))
 
 
 # ----------------------------------------------------------------------- prompts
@@ -183,20 +194,25 @@ def overlap_spans(passages: DataFrame, answers: DataFrame) -> DataFrame:
 
 def hop_training_rows(positives: DataFrame, corpus: DataFrame, epoch: int, method: str = "mdr") -> DataFrame:
     """``positives(query_id, question, doc_ids)``: one row per query for an epoch.  The
-    target hop rotates; all methods but ``dense`` add the facts of earlier hops."""
+    target hop rotates over the positives that the corpus holds; the methods of
+    ``HISTORY_METHODS`` add the facts of earlier hops."""
+    rows = positives.select("query_id", "question", F.posexplode("doc_ids").alias("pos", "doc_id"))
+    held = rows.join(corpus.select("doc_id"), "doc_id", "left_semi")
+    kept = held.groupBy("query_id", "question").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "doc_id"))), lambda x: x["doc_id"]).alias("doc_ids"))
     hop = F.lit(epoch) % F.size("doc_ids")
-    base = positives.where(F.size("doc_ids") > 0).select("query_id", "question", "doc_ids", hop.alias("hop"))
+    base = kept.select("query_id", "question", "doc_ids", hop.alias("hop"))
+    target = F.get("doc_ids", F.col("hop")).alias("positive_id")
     if method == "dense":
-        return base.select("query_id", F.col("question").alias("query"), F.col("question").alias("posterior_query"), F.get("doc_ids", F.col("hop")).alias("positive_id"), F.col("hop").cast("long").alias("hop"))
+        return base.select("query_id", F.col("question").alias("query"), F.col("question").alias("posterior_query"), target, F.col("hop").cast("long").alias("hop"))
     used = base.select("query_id", "question", "hop", F.posexplode(F.slice("doc_ids", F.lit(1), F.col("hop") + 1)).alias("pos", "doc_id"))
     facts = used.join(corpus.select("doc_id", F.col("text").alias("body")), "doc_id").select("query_id", "pos", "hop", T.concise_fact(F.col("body"), F.col("question")).alias("fact"))
     grouped = facts.groupBy("query_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("pos") < F.col("hop"), F.struct("pos", "fact")))), lambda x: x["fact"]), " ").alias("before"),
         F.max(F.when(F.col("pos") == F.col("hop"), F.col("fact"))).alias("target"),
     )
-    query = F.when(F.col("hop") > 0, F.concat("question", F.lit("\nEvidence so far: "), "before")).otherwise(F.col("question"))
-    joined = base.join(grouped, "query_id").withColumn("query", query)
-    return joined.select("query_id", "query", F.concat("query", F.lit("\nPosterior evidence: "), "target").alias("posterior_query"), F.get("doc_ids", F.col("hop")).alias("positive_id"), F.col("hop").cast("long").alias("hop"))
+    carried = F.when(F.col("hop") > 0, F.concat("question", F.lit(SO_FAR), "before")).otherwise(F.col("question")) if method in HISTORY_METHODS else F.col("question")
+    joined = base.join(grouped, "query_id").withColumn("query", carried)
+    return joined.select("query_id", "query", F.concat("query", F.lit(POSTERIOR), "target").alias("posterior_query"), target, F.col("hop").cast("long").alias("hop"))
 
 
 def contrastive_loss(scores: DataFrame, temperature: float = 0.05) -> DataFrame:
@@ -226,15 +242,38 @@ def distillation_kl(scores: DataFrame, weight: float = 0.1) -> DataFrame:
     return rows.groupBy("query_id").agg((F.sum(F.exp(lt) * (lt - ls)) * weight).alias("kl"))
 
 
+def span_passage_loss(logits: DataFrame, labels: DataFrame, passages: DataFrame, weight: float = 0.25) -> DataFrame:
+    """``logits(batch, id, position, start_logit, end_logit)``, ``labels(batch, id, start,
+    end)`` and ``passages(batch, id, logit, label)`` of the passages in use: by batch the
+    mean cross entropy of start and end, halved together, the mean binary cross entropy
+    of all passages, and their weighted sum: (batch, loss, span_loss, passage_loss)."""
+    top = logits.groupBy("batch", "id").agg(F.max("start_logit").alias("ms"), F.max("end_logit").alias("me"))
+    joined = logits.join(top, ["batch", "id"]).join(labels.select("batch", "id", "start", "end"), ["batch", "id"])
+    side = lambda logit, peak, at: F.log(F.sum(F.exp(F.col(logit) - F.col(peak)))) + F.max(peak) - F.max(F.when(F.col("position") == F.col(at), F.col(logit)))
+    spans = joined.groupBy("batch", "id").agg(((side("start_logit", "ms", "start") + side("end_logit", "me", "end")) / 2).alias("ce"))
+    x, y = F.col("logit"), F.col("label").cast("double")
+    flags = passages.groupBy("batch").agg(F.avg(F.greatest(x, F.lit(0.0)) - x * y + F.log1p(F.exp(-F.abs(x)))).alias("passage_loss"))
+    both = spans.groupBy("batch").agg(F.avg("ce").alias("span_loss")).join(flags, "batch")
+    return both.select("batch", (F.col("span_loss") + weight * F.col("passage_loss")).alias("loss"), "span_loss", "passage_loss")
+
+
 def moving_average(teacher: Column, student: Column, momentum: float = 0.999) -> Column:
     return teacher * momentum + student * (1 - momentum)
 
 
 def joined_targets(positives: DataFrame) -> DataFrame:
     """``positives(query_id, doc_ids)``: the ids that a generator is to write."""
-    return positives.select("query_id", F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), " <DOC> ").alias("target"))
+    return positives.select("query_id", F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), DOC_MARK).alias("target"))
 
 
 def epoch_order(rows: DataFrame, id_col: str, seed: int, epoch: int) -> DataFrame:
-    """A seeded permutation per epoch, as ``position``."""
-    return rows.withColumn("position", F.row_number().over(Window.orderBy(F.xxhash64(id_col, F.lit(seed + epoch)), id_col)).cast("long"))
+    """A seeded permutation per epoch, as ``position`` from 1: the order of a hash of seed,
+    epoch and id.  The hash's first bits cut it into ranges of like size; a range's rows
+    are numbered on their own, after as many rows as the ranges before it hold."""
+    digits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed + epoch}:"), F.col(id_col).cast("string"))), 1, 15), 16, 10).cast("long")
+    marked = rows.withColumn("__h", digits).withColumn("__range", F.shiftright("__h", 48))
+    counts = marked.groupBy("__range").agg(F.count("*").alias("n"))  # 4,096 rows at most
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(counts.select("__range", before.alias("__before")))
+    number = F.row_number().over(Window.partitionBy("__range").orderBy("__h", id_col))
+    return marked.join(offsets, "__range").withColumn("position", F.col("__before") + number).drop("__h", "__range", "__before")

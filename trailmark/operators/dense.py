@@ -6,49 +6,77 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..functions import text as T
 from ..functions import vectors as V
 from .lexical import top_k
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 512, same_ids: bool = False) -> DataFrame:
-    """(query_id, doc_id, score, rank): the ``k`` largest inner products, exactly.
+def _first_k(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """The places of each query's ``k`` highest scores, ties to the smaller id."""
+    order = np.lexsort((np.unique(ids, return_inverse=True)[1], -score, q))
+    return order[np.arange(len(order)) - np.searchsorted(q[order], q[order], "left") < k]
 
-    ``queries(query_id, v)`` are read in blocks and each block meets every partition
-    of ``vectors(doc_id, v)`` as one matrix product whose own top ``k`` go on, so what
-    is shuffled is k rows per query and partition.  same_ids leaves a row out of its
-    own list."""
-    found = None
+
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 1 << 16, same_ids: bool = False) -> DataFrame:
+    """(query_id, doc_id, score, rank): the ``k`` largest inner products, exactly, for ids
+    of any type.
+
+    ``queries(query_id, v)`` are read in blocks of a bounded size, each of which needs
+    one pass over ``vectors(doc_id, v)``.  A partition keeps each query's own top ``k``
+    as it goes through its vectors, so what is shuffled is k rows per query and
+    partition.  same_ids leaves a row out of its own list."""
     ordered = queries.select("query_id", F.col("v").cast("array<double>").alias("v"))
-    n = ordered.count()
-    blocks = max(1, -(-n // block))
+    rows = vectors.select("doc_id", F.col("v").cast("array<double>").alias("v"))
+    kind = StructType([ordered.schema["query_id"], rows.schema["doc_id"], StructField("score", DoubleType())])
+    blocks = max(1, -(-ordered.count() // block))
+    found = None
     for part in range(blocks):
-        rows = ordered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == part).toArrow()
-        ids = np.asarray(rows["query_id"].combine_chunks(), np.int64)
-        matrix = np.asarray(rows["v"].combine_chunks().flatten(), np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+        asked = ordered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == part).toArrow()
+        names = asked["query_id"].combine_chunks()
+        matrix = np.asarray(asked["v"].combine_chunks().flatten(), np.float64).reshape(len(names), -1) if len(names) else np.zeros((0, 1))
+        shared = vectors.sparkSession.sparkContext.broadcast((names, matrix))
 
         def search(batches, shared=shared):
-            ids, matrix = shared.value
+            names, matrix = shared.value
+            own = names.to_numpy(zero_copy_only=False)
+            best, docs = (np.zeros(0, np.int64), None, np.zeros(0)), None
             for batch in batches:
-                docs = np.asarray(batch.column(0), np.int64)
-                if not len(docs) or not len(ids):
+                docs = batch.column(0)
+                ids = docs.to_numpy(zero_copy_only=False)
+                if not len(ids) or not len(own):
                     continue
-                values = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(docs), -1)
-                score = np.round(matrix @ values.T, 6)
-                if same_ids:
-                    score[ids[:, None] == docs[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(docs, score.shape), -score), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(ids)), order.shape[1])
-                picked = score[rows, order.ravel()]
-                live = np.isfinite(picked)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows][live]), pa.array(docs[order.ravel()][live]), pa.array(picked[live])], names=["query_id", "doc_id", "score"])
-
-        some = vectors.select("doc_id", F.col("v").cast("array<double>").alias("v")).mapInArrow(search, "query_id long, doc_id long, score double")
+                values = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(ids), -1)
+                held = [best] if best[1] is not None else []
+                for i in range(0, len(own), 512):
+                    score = np.round(matrix[i : i + 512] @ values.T, 6)
+                    if same_ids:
+                        score[own[i : i + 512, None] == ids[None, :]] = -np.inf
+                    least = -np.partition(-score, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+                    q, d = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+                    held.append((q + i, ids[d], score[q, d]))
+                q, d, x = (np.concatenate(c) for c in zip(*held))
+                first = _first_k(q, d, x, k)
+                best = q[first], d[first], x[first]
+            if best[1] is not None:
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(best[0])), pa.array(best[1], docs.type), pa.array(best[2])], names=["query_id", "doc_id", "score"])
+
+        some = rows.mapInArrow(search, kind)
         found = some if found is None else found.unionAll(some)
     return top_k(found, k)
 
 
+def hashed_vectors(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 64) -> DataFrame:
+    """(id, v): counts of a text's words in ``size`` places by a hash of the word, scaled
+    to length 1.  A stand-in for a neural encoder; a text without words has no vector."""
+    place = F.conv(F.substring(F.md5("word"), 1, 4), 16, 10).cast("int") % size
+    words = rows.select(F.col(id_col), F.explode(T.word_list(F.col(text_col))).alias("word")).select(id_col, place.alias("place"))
+    counts = words.groupBy(id_col, "place").agg(F.count("*").cast("double").alias("c"))
+    grouped = counts.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("place", "c"))).alias("m"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("n"))
+    return grouped.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("n")).alias("v"))
+
+
 def maxsim_rerank(ranked: DataFrame, query_tokens: DataFrame, doc_tokens: DataFrame, head: int = 20) -> DataFrame:
     """The first ``head`` of each list in the order of focused MaxSim, then the rest as
     it was: ``query_tokens(query_id, q)``, ``doc_tokens(doc_id, d)``: token vectors."""

@@ -146,7 +146,3 @@ def decode_spans(logits: DataFrame, top: int = 20, longest: int = 512) -> DataFr
     pairs = pairs.withColumn("score", F.round(F.col("start_logit") + F.col("end_logit"), 6))
     order = Window.partitionBy("id").orderBy(F.desc("score"), "rs", "re")
     return pairs.withColumn("r", F.row_number().over(order)).where("r = 1").select("id", "span_start", "span_end", "score")
-
-
-def multiset_overlap(a: Counter, b: Counter) -> int:
-    return sum((a & b).values())

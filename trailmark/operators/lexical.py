@@ -21,11 +21,16 @@ class LexicalIndex:
     postings: DataFrame
     lengths: DataFrame
     vocabulary: DataFrame
+    fold: str = "none"
 
     def persist(self) -> LexicalIndex:
         self.postings, self.lengths, self.vocabulary = self.postings.persist(), self.lengths.persist(), self.vocabulary.persist()
         return self
 
+    def unpersist(self) -> None:
+        for part in (self.postings, self.lengths, self.vocabulary):
+            part.unpersist()
+
 
 def top_k(scored: DataFrame, k: int, group: str = "query_id", item: str = "doc_id", digits: int | None = 6) -> DataFrame:
     """The ``k`` highest scores of each group with ``rank`` from 1, ties to the smaller
@@ -36,16 +41,17 @@ def top_k(scored: DataFrame, k: int, group: str = "query_id", item: str = "doc_i
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame, fold: str = "none") -> DataFrame:
     """The distinct lexical terms of all queries."""
-    return queries.select(F.explode(T.lexical_terms(F.col("text"))).alias("term")).distinct()
+    return queries.select(F.explode(T.lexical_terms(F.col("text"), fold)).alias("term")).distinct()
 
 
-def build_index(passages: DataFrame, only: DataFrame | None = None) -> LexicalIndex:
-    """``passages(doc_id, title, text)``; all words are indexed, stopwords too.  With
+def build_index(passages: DataFrame, only: DataFrame | None = None, fold: str = "none") -> LexicalIndex:
+    """``passages(doc_id, title, text)``; all words are indexed, stopwords too, folded
+    as ``functions.text.folded`` says, and queries are folded alike.  With
     ``only(term)`` other words are counted in the lengths but get no postings: enough
     for the queries with these terms, and no other word is shuffled."""
-    fields = passages.select("doc_id", T.word_list(F.col("title")).alias("a"), T.word_list(F.col("text")).alias("b"))
+    fields = passages.select("doc_id", T.word_list(F.col("title"), fold).alias("a"), T.word_list(F.col("text"), fold).alias("b"))
     title = fields.select("doc_id", F.explode("a").alias("term"), F.lit(1).alias("in_title"))
     body = fields.select("doc_id", F.explode("b").alias("term"), F.lit(0).alias("in_title"))
     words = title.unionAll(body)
@@ -53,13 +59,13 @@ def build_index(passages: DataFrame, only: DataFrame | None = None) -> LexicalIn
         words = words.join(only, "term", "left_semi")
     postings = words.groupBy("term", "doc_id").agg(F.sum("in_title").alias("tf_title"), F.sum(1 - F.col("in_title")).alias("tf_text"))
     lengths = fields.select("doc_id", (F.size("a") + F.size("b")).cast("long").alias("length"))
-    return LexicalIndex(postings, lengths, postings.groupBy("term").agg(F.count("*").alias("df")))
+    return LexicalIndex(postings, lengths, postings.groupBy("term").agg(F.count("*").alias("df")), fold)
 
 
 def bm25(queries: DataFrame, index: LexicalIndex, k: int = 10, max_terms: int | None = 4, title_weight: float = 2.0, text_weight: float = 1.0, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, rank) of ``queries(query_id, text)``: field-weighted
     BM25 over the ``max_terms`` rarest of each query's distinct terms."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(T.lexical_terms(F.col("text")))).alias("term"))
+    terms = queries.select("query_id", F.explode(F.array_distinct(T.lexical_terms(F.col("text"), index.fold))).alias("term"))
     known = terms.join(index.vocabulary, "term")
     if max_terms is not None:
         rare = Window.partitionBy("query_id").orderBy("df", "term")

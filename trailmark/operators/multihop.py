@@ -11,6 +11,8 @@ from ..functions import text as T
 from .dense import m3_fuse, rrf_fuse
 from .lexical import best
 
+#: Fixed value: what stands before the facts of earlier hops.
+SO_FAR = "\nEvidence so far: "
 #: The parts of the reasoning prompt.
 REASONING_HEAD = "Given the legal question and retrieved evidence, write only the next concise reasoning sentence needed to find another relevant legal passage. Do not answer yet.\nQuestion: "
 REASONING_EVIDENCE = "\nEvidence:\n"
@@ -18,26 +20,30 @@ REASONING = "\nReasoning so far: "
 REASONING_END = "\nNext sentence:"
 
 Retriever = Callable[[DataFrame], DataFrame]
-#: A reasoner takes (query_id, text, evidence) and gives (query_id, line).
+#: A reasoner takes (query_id, text, evidence, prompt) and gives (query_id, line): the
+#: text that it writes, of which the first line counts.
 Reasoner = Callable[[DataFrame], DataFrame]
 
 
 def hop_queries(state: DataFrame) -> DataFrame:
     """The question and its last three facts."""
     recent = F.slice("history", F.greatest(F.size("history") - 2, F.lit(1)), 3)
-    asked = F.when(F.size("history") > 0, F.concat("text", F.lit("\nEvidence so far: "), F.array_join(recent, " "))).otherwise(F.col("text"))
+    asked = F.when(F.size("history") > 0, F.concat("text", F.lit(SO_FAR), F.array_join(recent, " "))).otherwise(F.col("text"))
     return state.select("query_id", asked.alias("text"))
 
 
-def greedy_hops(queries: DataFrame, retrieve: Retriever, passages: DataFrame, hops: int = 3, rerank: Callable[[DataFrame], DataFrame] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> list[DataFrame]:
+def greedy_hops(queries: DataFrame, retrieve: Retriever, passages: DataFrame, hops: int = 3, rerank: Callable[[DataFrame, DataFrame], DataFrame] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> list[DataFrame]:
     """The ranking of every hop.  After each hop the best document not seen before
     gives a fact, which the next hop's query carries.  ``rerank`` reorders every
-    hop's list; ``keep`` makes an intermediate table durable."""
-    state = queries.select("query_id", "text", F.array().cast("array<bigint>").alias("seen"), F.array().cast("array<string>").alias("history"))
+    hop's list, given the list and the hop's queries; ``keep`` makes an intermediate
+    table durable.  Ids may be of any type."""
+    none = F.array().cast(f"array<{passages.schema['doc_id'].dataType.simpleString()}>")
+    state = queries.select("query_id", "text", none.alias("seen"), F.array().cast("array<string>").alias("history"))
     lists: list[DataFrame] = []
     for hop in range(hops):
-        ranked = retrieve(hop_queries(state))
-        ranked = keep(rerank(ranked) if rerank else ranked)
+        asked = hop_queries(state)
+        ranked = retrieve(asked)
+        ranked = keep(rerank(ranked, asked) if rerank else ranked)
         lists.append(ranked)
         if hop + 1 == hops:
             break
@@ -60,26 +66,34 @@ def fuse_hops(lists: list[DataFrame], method: str = "mdr", depth: int = 100) ->
 
 
 def extractive_reasoner(rows: DataFrame) -> DataFrame:
-    """A stand-in for a generator: the first line of the evidence's best sentence."""
-    return rows.select("query_id", F.get(F.split(T.concise_fact(F.col("evidence"), F.col("text")), "\n"), F.lit(0)).alias("line"))
+    """A stand-in for a generator: the evidence's two best sentences."""
+    return rows.select("query_id", T.concise_fact(F.col("evidence"), F.col("text")).alias("line"))
 
 
-def reasoning_prompt(question: Column, passages: Column, reasoning: Column) -> Column:
-    """The text that a generator would get."""
+def reasoning_prompt(question: Column, evidence: Column, reasoning: Column) -> Column:
+    """The text that a generator gets."""
     so_far = F.when(reasoning != "", F.concat(F.lit(REASONING), reasoning)).otherwise(F.lit(""))
-    return F.concat(F.lit(REASONING_HEAD), question, F.lit(REASONING_EVIDENCE), F.array_join(passages, "\n"), so_far, F.lit(REASONING_END))
+    return F.concat(F.lit(REASONING_HEAD), question, F.lit(REASONING_EVIDENCE), evidence, so_far, F.lit(REASONING_END))
 
 
 def interleaved_reasoning(queries: DataFrame, retrieve: Retriever, passages: DataFrame, hops: int = 3, reasoner: Reasoner = extractive_reasoner, evidence: int = 4, depth: int = 100, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """Retrieve, reason one line over the best passages, retrieve again with it."""
+    """Retrieve, reason one line over the best passages that were not shown before, and
+    retrieve again with the question and that line; all lists are fused.
+    ``passages(doc_id, title, text)``: a passage is shown as title and fact."""
     ranked = keep(retrieve(queries))
     lists = [ranked]
+    none = F.array().cast(f"array<{passages.schema['doc_id'].dataType.simpleString()}>")
+    state = queries.select("query_id", "text", none.alias("used"), F.lit("").alias("reasoning"))
     for _ in range(max(1, hops - 1)):
-        top = ranked.where(F.col("rank") <= evidence).join(passages.select("doc_id", F.col("text").alias("body")), "doc_id").join(queries, "query_id")
-        facts = top.select("query_id", "text", "rank", T.concise_fact(F.col("body"), F.col("text")).alias("fact"))
-        gathered = facts.groupBy("query_id", "text").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "fact"))), lambda x: x["fact"]), "\n").alias("evidence"))
-        lines = reasoner(gathered)
-        asked = queries.join(lines, "query_id").select("query_id", F.concat_ws(" ", "text", "line").alias("text"))
-        ranked = keep(retrieve(asked))
+        top = ranked.where(F.col("rank") <= evidence).join(state.select("query_id", "text", "used"), "query_id").where(~F.array_contains("used", F.col("doc_id")))
+        shown = top.join(passages.select("doc_id", "title", F.col("text").alias("body")), "doc_id")
+        line = F.concat(T.text_or_empty(F.col("title")), F.lit(": "), T.concise_fact(F.col("body"), F.col("text")))
+        in_order = F.array_sort(F.collect_list(F.struct("rank", "doc_id", line.alias("line"))))
+        seen = shown.groupBy("query_id").agg(in_order.alias("s")).select("query_id", F.transform("s", lambda x: x["doc_id"]).alias("new"), F.array_join(F.transform("s", lambda x: x["line"]), "\n").alias("evidence"))
+        asked = state.join(seen, "query_id", "left").withColumn("evidence", T.text_or_empty(F.col("evidence")))
+        asked = keep(asked.withColumn("prompt", reasoning_prompt(F.col("text"), F.col("evidence"), F.col("reasoning"))))
+        lines = reasoner(asked.select("query_id", "text", "evidence", "prompt")).select("query_id", F.get(F.split(F.trim("line"), "\n"), F.lit(0)).alias("line"))
+        state = keep(asked.join(lines, "query_id", "left").select("query_id", "text", F.concat("used", F.coalesce("new", none)).alias("used"), T.text_or_empty(F.col("line")).alias("reasoning")))
+        ranked = keep(retrieve(state.select("query_id", F.concat("text", F.lit(" "), "reasoning").alias("text"))))
         lists.append(ranked)
     return rrf_fuse(*lists, depth=depth)

@@ -37,8 +37,9 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def words_sql(c: str) -> str:
-    return f"regexp_extract_all(lower(coalesce({c}, '')), '{W}')"
+def words_sql(c: str, fold: bool = False) -> str:
+    lower = f"lower(coalesce({c}, ''))"
+    return f"regexp_extract_all({f'strip_accents({lower})' if fold else lower}, '{W}')"
 
 
 def lexical_sql(c: str) -> str:
@@ -54,18 +55,22 @@ def lexical_terms_vocab(spark, d):
     return lexical.vocabulary(views.table(spark, d, "documents"))
 
 
-INDEX_SQL = f"""
-words AS MATERIALIZED (SELECT doc_id, unnest({words_sql('title')}) AS term, 1 AS t, 0 AS b FROM passages UNION ALL SELECT doc_id, unnest({words_sql('text')}), 0, 1 FROM passages),
+def index_sql(fold: bool = False) -> str:
+    return f"""
+words AS MATERIALIZED (SELECT doc_id, unnest({words_sql('title', fold)}) AS term, 1 AS t, 0 AS b FROM passages UNION ALL SELECT doc_id, unnest({words_sql('text', fold)}), 0, 1 FROM passages),
 postings AS MATERIALIZED (SELECT term, doc_id, sum(t) AS tf_title, sum(b) AS tf_text FROM words GROUP BY term, doc_id),
 lengths AS MATERIALIZED (SELECT p.doc_id, count(w.term) AS length FROM passages p LEFT JOIN words w USING (doc_id) GROUP BY p.doc_id),
 stats AS (SELECT count(*)::DOUBLE AS n, avg(length) AS mean FROM lengths),
 vocab AS MATERIALIZED (SELECT term, count(*) AS df FROM postings GROUP BY term)"""
 
 
-def bm25_sql(name: str, source: str, k: int = 10, max_terms: int = 4) -> str:
+INDEX_SQL = index_sql()
+
+
+def bm25_sql(name: str, source: str, k: int = 10, max_terms: int = 4, fold: bool = False) -> str:
     """CTEs that end in ``name(query_id, doc_id, score, rank)``."""
     return f"""
-{name}_t AS (SELECT query_id, term, df, row_number() OVER (PARTITION BY query_id ORDER BY df, term) AS r FROM (SELECT DISTINCT query_id, unnest({lexical_sql('text')}) AS term FROM {source}) JOIN vocab USING (term)),
+{name}_t AS (SELECT query_id, term, df, row_number() OVER (PARTITION BY query_id ORDER BY df, term) AS r FROM (SELECT DISTINCT query_id, {'strip_accents(term)' if fold else 'term'} AS term FROM (SELECT query_id, unnest({lexical_sql('text')}) AS term FROM {source})) JOIN vocab USING (term)),
 {name}_i AS (SELECT query_id, term, CASE WHEN ln((n - df + 5e-1) / (df + 5e-1)) > 0 THEN ln((n - df + 5e-1) / (df + 5e-1)) ELSE 1e-6 END AS idf, mean FROM {name}_t, stats WHERE r <= {max_terms}),
 {name}_s AS (SELECT query_id, doc_id, round(sum(idf * w * 22e-1 / (w + 12e-1 * (25e-2 + 75e-2 * length / mean))), 6) AS score
   FROM {name}_i JOIN (SELECT term, doc_id, 2e0 * tf_title + tf_text AS w FROM postings) USING (term) JOIN lengths USING (doc_id) GROUP BY query_id, doc_id),
@@ -94,6 +99,18 @@ def bm25_unpruned(spark, d):
     return lexical.bm25(views.queries(spark, d), _benchmark_index(spark, d), max_terms=None).select(*RANKED)
 
 
+@query("bm25_full_index", f"{with_('passages', 'queries')},{INDEX_SQL},{bm25_sql('b', 'queries')} SELECT query_id, doc_id, score, rank FROM b")
+def bm25_full_index(spark, d):
+    """Through an index of all words, as for queries that are not known beforehand."""
+    return lexical.bm25(views.queries(spark, d), _index(spark, d)).select(*RANKED)
+
+
+@query("bm25_folded", f"{with_('passages', 'queries')},{index_sql(True)},{bm25_sql('b', 'queries', fold=True)} SELECT query_id, doc_id, score, rank FROM b")
+def bm25_folded(spark, d):
+    q = views.queries(spark, d)
+    return lexical.bm25(q, lexical.build_index(views.passages(spark, d), lexical.query_terms(q, "full"), "full")).select(*RANKED)
+
+
 @query(
     "okapi_negatives",
     f"""{with_('passages', 'queries', 'qrels')},
@@ -223,10 +240,15 @@ def m3_fusion(spark, d):
 
 
 def _ircot_sql() -> str:
+    """A passage is shown once, with its title; a query whose passages were all shown
+    before goes on without evidence."""
+
     def step(i: int) -> str:
+        shown = " UNION ALL ".join(f"SELECT query_id, doc_id FROM c{j} WHERE rank <= 4" for j in range(1, i)) or "SELECT query_id, doc_id FROM c1 WHERE false"
         return f"""
-e{i} AS (SELECT r.query_id, any_value(q.text) AS text, string_agg({fact_sql('p.text', 'q.text')}, chr(10) ORDER BY r.rank) AS evidence FROM c{i} r JOIN passages p USING (doc_id) JOIN queries q USING (query_id) WHERE r.rank <= 4 GROUP BY r.query_id),
-l{i} AS MATERIALIZED (SELECT query_id, text || ' ' || split_part({fact_sql('evidence', 'text')}, chr(10), 1) AS text FROM e{i}),{bm25_sql(f'c{i + 1}', f'l{i}')}"""
+e{i} AS (SELECT r.query_id, string_agg(p.title || ': ' || {fact_sql('p.text', 'q.text')}, chr(10) ORDER BY r.rank) AS evidence FROM c{i} r JOIN passages p USING (doc_id) JOIN queries q USING (query_id)
+  WHERE r.rank <= 4 AND (r.query_id, r.doc_id) NOT IN ({shown}) GROUP BY r.query_id),
+l{i} AS MATERIALIZED (SELECT query_id, text || ' ' || trim(split_part(trim({fact_sql("coalesce(evidence, '')", 'text')}), chr(10), 1)) AS text FROM queries LEFT JOIN e{i} USING (query_id)),{bm25_sql(f'c{i + 1}', f'l{i}')}"""
 
     return f"{with_('passages', 'queries')},{INDEX_SQL},{bm25_sql('c1', 'queries')},{step(1)},{step(2)},{rrf_sql('f', 'c1', 'c2', 'c3')} SELECT query_id, doc_id, score, rank FROM f"
 
@@ -238,6 +260,85 @@ def ircot_stub(spark, d):
     return multihop.interleaved_reasoning(views.queries(spark, d), lambda q: lexical.bm25(q, index).select(*RANKED), p, keep=lambda df: df.persist()).select(*RANKED)
 
 
+# ------------------------------------------- encoded texts, with ids that are strings
+
+NAMED_SQL = f"""
+passages AS MATERIALIZED (SELECT 'doc/' || doc_id AS doc_id, split_part(text, chr(10), 1) AS title, substr(text, length(split_part(text, chr(10), 1)) + 2) AS text FROM documents),
+{views.SQL["queries"]}"""
+
+
+def encoded_sql(name: str, source: str, id_: str) -> str:
+    """``name(id, b, v)``: what hashed_vectors gives, a row per place that is not 0."""
+    return f"""
+{name}_c AS (SELECT {id_}, ('0x' || substr(md5(t), 1, 4))::INT % 64 AS b, count(*)::DOUBLE AS c FROM (SELECT {id_}, unnest({words_sql('text')}) AS t FROM {source}) GROUP BY ALL),
+{name} AS MATERIALIZED (SELECT {id_}, b, c / sqrt(sum(c * c) OVER (PARTITION BY {id_})) AS v FROM {name}_c)"""
+
+
+def encoded_search_sql(name: str, asked: str, k: int = 30) -> str:
+    return f"""
+{name}_s AS (SELECT query_id, doc_id, round(coalesce(sum(a.v * b.v), 0), 6) AS score FROM (SELECT DISTINCT query_id FROM {asked}) JOIN (SELECT DISTINCT doc_id FROM enc) ON true LEFT JOIN {asked} a USING (query_id) LEFT JOIN enc b USING (doc_id, b) GROUP BY ALL),
+{name} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {name}_s) WHERE rank <= {k})"""
+
+
+def _named(spark, d):
+    return views.passages(spark, d).withColumn("doc_id", F.concat(F.lit("doc/"), "doc_id"))
+
+
+def _encoded_search(spark, d, k=30):
+    """Passages and queries through the hashed stand-in for an encoder."""
+    vectors = dense.hashed_vectors(_named(spark, d)).persist()
+    return vectors, lambda q: dense.dense_search(dense.hashed_vectors(q, "query_id"), vectors, k).select(*RANKED)
+
+
+@query("dense_encoded", f"WITH {NAMED_SQL},{encoded_sql('enc', 'passages', 'doc_id')},{encoded_sql('qv', 'queries', 'query_id')},{encoded_search_sql('dn', 'qv')} SELECT query_id, doc_id, score, rank FROM dn")
+def dense_encoded(spark, d):
+    return _encoded_search(spark, d)[1](views.queries(spark, d))
+
+
+@query(
+    "hybrid_dense_bm25",
+    f"WITH {NAMED_SQL},{encoded_sql('enc', 'passages', 'doc_id')},{encoded_sql('qv', 'queries', 'query_id')},{encoded_search_sql('dn', 'qv')},{INDEX_SQL},{bm25_sql('bm', 'queries', 30)},{rrf_sql('f', 'dn', 'bm')} SELECT query_id, doc_id, score, rank FROM f",
+)
+def hybrid_dense_bm25(spark, d):
+    q = views.queries(spark, d)
+    index = lexical.build_index(_named(spark, d), lexical.query_terms(q))
+    return dense.hybrid(_encoded_search(spark, d)[1](q), lexical.bm25(q, index, 30)).select(*RANKED)
+
+
+def _baleen_sql(hops: int = 3) -> str:
+    def unit(name: str, source: str, id_: str) -> str:  # four tokens of sixteen places each
+        return f"{name} AS MATERIALIZED (SELECT {id_}, b // 16 AS i, b % 16 AS j, v / sqrt(sum(v * v) OVER (PARTITION BY {id_}, b // 16)) AS v FROM {source})"
+
+    out = [f"WITH {NAMED_SQL},{encoded_sql('enc', 'passages', 'doc_id')}, {unit('dtok', 'enc', 'doc_id')}, q1 AS (SELECT query_id, text FROM queries)"]
+    for h in range(1, hops + 1):
+        out.append(f"""{encoded_sql(f'v{h}', f'q{h}', 'query_id')},{encoded_search_sql(f'd{h}', f'v{h}')}, {unit(f't{h}', f'v{h}', 'query_id')},
+x{h} AS (SELECT query_id, doc_id, i, coalesce(max(s), 0) AS m FROM (SELECT query_id, doc_id, unnest(range(4)) AS i FROM d{h} WHERE rank <= 20) r
+  LEFT JOIN (SELECT c.query_id, c.doc_id, a.i, e.i AS k, sum(a.v * e.v) AS s FROM d{h} c JOIN t{h} a USING (query_id) JOIN dtok e ON e.doc_id = c.doc_id AND e.j = a.j WHERE c.rank <= 20 GROUP BY ALL) USING (query_id, doc_id, i) GROUP BY ALL),
+y{h} AS (SELECT query_id, doc_id, round(sum(m), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY m DESC) AS r FROM x{h}) WHERE r <= 2 GROUP BY ALL),
+h{h} AS MATERIALIZED (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM y{h} UNION ALL SELECT query_id, doc_id, rank FROM d{h} WHERE rank > 20)""")
+        if h < hops:
+            seen = " UNION ALL ".join(f"SELECT query_id, doc_id FROM n{j}" for j in range(1, h)) or "SELECT query_id, doc_id FROM h1 WHERE false"
+            facts = ", ".join(f"f{j}.fact" for j in range(1, h + 1))
+            joins = " ".join(f"LEFT JOIN f{j} USING (query_id)" for j in range(1, h + 1))
+            out.append(f"""n{h} AS MATERIALIZED (SELECT query_id, arg_min(doc_id, rank) AS doc_id FROM h{h} WHERE (query_id, doc_id) NOT IN ({seen}) GROUP BY query_id),
+f{h} AS MATERIALIZED (SELECT n.query_id, {fact_sql('p.text', 'q.text')} AS fact FROM n{h} n JOIN passages p USING (doc_id) JOIN queries q USING (query_id)),
+q{h + 1} AS MATERIALIZED (SELECT q.query_id, CASE WHEN coalesce({facts}) IS NULL THEN text ELSE text || chr(10) || 'Evidence so far: ' || concat_ws(' ', {facts}) END AS text FROM queries q {joins})""")
+    return ", ".join(out) + f",{rrf_sql('f', *[f'h{h}' for h in range(1, hops + 1)])} SELECT query_id, doc_id, score, rank FROM f"
+
+
+@query("baleen_hops", _baleen_sql())
+def baleen_hops(spark, d):
+    """Every hop's list goes through late interaction with the hop's own query."""
+    vectors, search = _encoded_search(spark, d)
+    tokens = views.token_vectors(vectors, "d")
+
+    def rerank(ranked, asked):
+        return dense.maxsim_rerank(ranked, views.token_vectors(dense.hashed_vectors(asked, "query_id"), "q"), tokens)
+
+    lists = multihop.greedy_hops(views.queries(spark, d), search, _named(spark, d), rerank=rerank, keep=lambda df: df.persist())
+    return multihop.fuse_hops(lists).select(*RANKED)
+
+
 # -------------------------------------------------------------------- metrics
 
 
@@ -364,16 +465,17 @@ def resolve_kept(spark, d):
 @query(
     "global_corpus",
     f"""{with_('passages', 'qrels')},
-u AS (SELECT doc_id % 400 AS doc_id, doc_id AS pos, 1 AS p, title, lang AS url FROM passages JOIN documents USING (doc_id)
-  UNION ALL SELECT DISTINCT doc_id % 400, doc_id, 0, '', source FROM documents SEMI JOIN qrels USING (doc_id)),
+u AS (SELECT doc_id // 3 AS doc_id, doc_id AS pos, 1 AS p, title, lang AS url FROM passages JOIN documents USING (doc_id)
+  UNION ALL SELECT DISTINCT doc_id // 3, doc_id, 0, '', source FROM documents SEMI JOIN qrels USING (doc_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p, pos) AS r FROM u),
 t AS (SELECT doc_id, arg_min(title, r) FILTER (title <> '') AS title, arg_min(url, r) FILTER (url <> '') AS url FROM r GROUP BY doc_id)
 SELECT r.doc_id, r.pos, t.title, t.url FROM r JOIN t USING (doc_id) WHERE r.r = 1""",
 )
 def global_corpus(spark, d):
+    """Three documents of an id, so that the result grows with the table."""
     docs = views.table(spark, d, "documents").select("doc_id", "lang", "source")
-    own = views.passages(spark, d).join(docs, "doc_id").select((F.col("doc_id") % 400).alias("doc_id"), F.col("doc_id").alias("pos"), "title", F.col("lang").alias("url"))
-    gold = docs.join(views.qrels(spark, d).select("doc_id"), "doc_id", "left_semi").select((F.col("doc_id") % 400).alias("doc_id"), F.col("doc_id").alias("pos"), F.lit("").alias("title"), F.col("source").alias("url"))
+    own = views.passages(spark, d).join(docs, "doc_id").select(F.expr("doc_id div 3").alias("doc_id"), F.col("doc_id").alias("pos"), "title", F.col("lang").alias("url"))
+    gold = docs.join(views.qrels(spark, d).select("doc_id"), "doc_id", "left_semi").select(F.expr("doc_id div 3").alias("doc_id"), F.col("doc_id").alias("pos"), F.lit("").alias("title"), F.col("source").alias("url"))
     return corpus.global_corpus(own, gold)
 
 
@@ -653,6 +755,28 @@ def bce_kl_loss(spark, d):
     return A.relevance_bce(s).join(kl, "query_id").select("query_id", F.round("bce", 6).alias("bce"), F.round("kl", 6).alias("kl"))
 
 
+@query(
+    "span_passage_loss",
+    """WITH e AS (SELECT vec_id AS id, vec_id % 20 AS batch, embedding::DOUBLE[] AS v FROM embeddings),
+l AS (SELECT id, batch, unnest(range(64)) AS p, unnest(v) AS s, unnest(list_reverse(v)) AS t FROM e),
+c AS (SELECT id, batch, (ln(sum(exp(s))) - max(s) FILTER (p = id % 64) + ln(sum(exp(t))) - max(t) FILTER (p = id * 7 % 64)) / 2 AS ce FROM l GROUP BY id, batch),
+f AS (SELECT batch, i, v[i * 16 + 1] AS x, ((id + i) % 3 = 0)::INT AS y FROM e, (SELECT unnest(range(4)) AS i)),
+b AS (SELECT batch, avg(greatest(x, 0) - x * y + ln(1 + exp(-abs(x)))) AS bce FROM f GROUP BY batch)
+SELECT batch, round(avg(ce) + 25e-2 * any_value(bce), 6) AS loss, round(avg(ce), 6) AS span_loss, round(any_value(bce), 6) AS passage_loss FROM c JOIN b USING (batch) GROUP BY batch""",
+)
+def span_passage_loss(spark, d):
+    e = views.vectors(spark, d).select(F.col("doc_id").alias("id"), (F.col("doc_id") % 20).alias("batch"), "v")
+    logits = e.select("batch", "id", F.posexplode(F.arrays_zip("v", F.reverse("v").alias("r"))).alias("position", "x")).select("batch", "id", "position", F.col("x.v").alias("start_logit"), F.col("x.r").alias("end_logit"))
+    labels = e.select("batch", "id", (F.col("id") % 64).alias("start"), (F.col("id") * 7 % 64).alias("end"))
+    passages = e.select("batch", "id", "v", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).select("batch", "id", F.get("v", F.col("i") * 16).alias("logit"), ((F.col("id") + F.col("i")) % 3 == 0).alias("label"))
+    return A.span_passage_loss(logits, labels, passages).select("batch", *[F.round(c, 6).alias(c) for c in ("loss", "span_loss", "passage_loss")])
+
+
+@query("epoch_order", "SELECT doc_id, row_number() OVER (ORDER BY ('0x' || substr(md5('45:' || doc_id), 1, 15))::BIGINT, doc_id) AS position FROM documents")
+def epoch_order(spark, d):
+    return A.epoch_order(views.table(spark, d, "documents").select("doc_id"), "doc_id", 42, 3).select("doc_id", "position")
+
+
 @query("gmr_targets", f"{with_('queries', 'qrels', 'positives')} SELECT query_id, array_to_string(list_transform(doc_ids, lambda x: x::VARCHAR), ' <DOC> ') AS target FROM positives")
 def gmr_targets(spark, d):
     return A.joined_targets(views.positives(spark, d))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,9 +27,18 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containment judgements.  The item list is the bounded side of the join."""
+    """Containment judgements: a text that holds an item's text holds its longest inner
+    word, by which the two are joined before the test.  Items of fewer than three words
+    have no word that must be whole and are tested everywhere."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-    return docs.join(queries(spark, sf_dir), F.contains("body", "text")).select("query_id", "doc_id", F.lit(1).alias("gain"))
+    words = T.word_list(F.col("text"))
+    inner = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    items = queries(spark, sf_dir).select("query_id", "text", F.array_max(inner)["w"].alias("word"))
+    keyed = items.where("word is not null")
+    found = docs.select("doc_id", F.explode(F.array_distinct(T.word_list(F.col("body")))).alias("word")).join(keyed.select("query_id", "word"), "word")
+    likely = docs.join(found.select("query_id", "doc_id"), "doc_id").join(keyed.select("query_id", "text"), "query_id")
+    short = docs.join(items.where("word is null").select("query_id", "text"), F.contains("body", "text"))
+    return likely.where(F.contains("body", "text")).select("query_id", "doc_id").unionByName(short.select("query_id", "doc_id")).withColumn("gain", F.lit(1))
 
 
 def graded_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:

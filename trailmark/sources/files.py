@@ -27,10 +27,13 @@ def write_jsonl(rows: DataFrame, path: str, mode: str = "errorifexists") -> None
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
-    """Four tab-separated columns, the second ignored; of repeated rows the last file
-    position is not defined, so the highest gain counts."""
+    """Four tab-separated columns, the second ignored; of repeated rows the last in the
+    file counts (of several files: the file of the last name).  Rows keep their order
+    through the file's blocks: a row's place is its file, its block and its number."""
     rows = spark.read.schema(QRELS).option("sep", "\t").option("mode", "FAILFAST").option("quote", "").csv(path)
-    return rows.groupBy("query_id", "doc_id").agg(F.max("gain").alias("gain"))
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n"))
+    placed = rows.select("query_id", "doc_id", "gain", place.alias("place"))
+    return placed.groupBy("query_id", "doc_id").agg(F.max_by("gain", "place").alias("gain"))
 
 
 def write_qrels(qrels: DataFrame, path: str, mode: str = "errorifexists", ordered: bool = True) -> None:
@@ -49,7 +52,11 @@ def read_tree(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFr
     """(path, stem, value) of every matching file below a folder, path relative."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
     full = files.select("value", F.col("_metadata.file_path").alias("full"))
-    inside = F.regexp_replace("full", "^.*?" + path.rstrip("/").replace(".", r"\.") + "/", "")
+    root = F.lit(path.rstrip("/") + "/")
+    at = F.instr("full", root)  # a folder's name may hold any character
+    if "://" not in path:
+        full = full.withColumn("full", F.url_decode(F.regexp_replace("full", r"\+", "%2B")))
+    inside = F.when(at > 0, F.substr("full", at + F.length(root))).otherwise(F.col("full"))
     return full.select(inside.alias("path"), F.regexp_replace(F.element_at(F.split("full", "/"), -1), r"\.json$", "").alias("stem"), "value")
 
 
