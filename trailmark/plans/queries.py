@@ -619,7 +619,52 @@ def span_exact(spark, d):
     return A.exact_spans(A.build_passages(views.qa_contexts(spark, d)), _answers(spark, d)).where("method = 'exact'")
 
 
-@query("span_fragment_or_words")
+def spans_sql(source: str) -> str:
+    """CTEs that end in ``spans(query_id, start, end, method)`` from ``source(query_id,
+    global_start, tokens, answer)``: whole answers, then fragments, then words alone."""
+    pieces = r"regexp_split_to_array(regexp_replace(coalesce(answer, ''), '([.!?;])\s+', '\1' || chr(1), 'g'), '[' || chr(1) || chr(10) || ']+')"
+    clean = r"trim(regexp_replace(trim(regexp_replace(x, '^\s*[-+•*]\s*', '')), '^\s*\(?\d+[.)]\s*', ''))"
+    word = r"regexp_matches({0}, '^[\p{{L}}\p{{N}}_]')"
+    return rf"""
+za AS MATERIALIZED (SELECT DISTINCT query_id, answer, regexp_extract_all(coalesce(answer, ''), '{WM}') AS a,
+  list_sort(list_transform(list_filter(list_distinct(list_transform({pieces}, lambda x: regexp_extract_all({clean}, '{WM}'))), lambda t: len(t) >= 2), lambda t: struct_pack(n := -len(t), t := t))) AS f FROM {source}),
+zt AS MATERIALIZED (SELECT s.query_id, global_start AS g, tokens, list_filter(range(0, len(tokens)), lambda i: {word.format('tokens[i + 1]')}) AS wp FROM {source} s),
+zw AS (SELECT query_id, g, wp, list_transform(wp, lambda i: tokens[i + 1]) AS w FROM zt),
+o AS (
+  SELECT query_id, 0 AS tier, 0 AS k, g, g + {FIND.format(h='tokens', n='a')} AS s, g + {FIND.format(h='tokens', n='a')} + len(a) - 1 AS e FROM zt JOIN za USING (query_id) WHERE len(a) BETWEEN 1 AND len(tokens)
+  UNION ALL SELECT query_id, 1, k, g, g + {FIND.format(h='tokens', n='t')}, g + {FIND.format(h='tokens', n='t')} + len(t) - 1 FROM zt JOIN (SELECT query_id, unnest(f).t AS t, unnest(range(len(f))) AS k FROM za) USING (query_id) WHERE len(t) <= len(tokens)
+  UNION ALL SELECT query_id, 2, 0, g, g + wp[p + 1], g + wp[p + n] FROM (SELECT query_id, g, wp, len(x) AS n, {FIND.format(h='w', n='x')} AS p FROM zw JOIN (SELECT query_id, list_filter(a, lambda v: {word.format('v')}) AS x FROM za) USING (query_id) WHERE len(x) BETWEEN 1 AND len(w))),
+spans AS MATERIALIZED (SELECT query_id, s::BIGINT AS start, e::BIGINT AS "end", ['exact', 'fragment', 'subsequence'][tier + 1] AS method
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, k, g, s, e) AS r FROM o WHERE s IS NOT NULL) WHERE r = 1)"""
+
+
+def overlap_sql(source: str) -> str:
+    """CTEs that end in ``overlap(query_id, start, end, overlap_score)``: every window of
+    every width, its tokens counted against the answer's."""
+    return f"""
+oz AS MATERIALIZED (SELECT query_id, global_start AS g, tokens, regexp_extract_all(coalesce(answer, ''), '{WM}') AS a FROM {source}),
+oc AS MATERIALIZED (SELECT query_id, t, count(*) AS ca FROM (SELECT query_id, unnest(a) AS t FROM (SELECT query_id, any_value(a) AS a FROM oz GROUP BY query_id)) GROUP BY ALL),
+om AS (SELECT query_id, g, len(a) AS n, len(tokens) AS m, least(len(tokens), greatest(1, least(1536, 2 * len(a)))) AS most FROM oz WHERE len(a) > 0),
+ow AS (SELECT DISTINCT query_id, g, n, m, width FROM (SELECT query_id, g, n, m, unnest([greatest(1, n // 2), greatest(1, n - 16), n, least(most, n + 16), most]) AS width FROM om) WHERE width <= m),
+os AS MATERIALIZED (SELECT *, unnest(range(0, m - width + 1)) AS s FROM ow),
+op AS (SELECT p.query_id, g, pos, t, ca FROM (SELECT query_id, g, unnest(range(0, len(tokens))) AS pos, unnest(tokens) AS t FROM oz) p JOIN oc USING (query_id, t)),
+oh AS (SELECT query_id, g, width, s, sum(least(cw, ca)) AS shared FROM (SELECT w.query_id, w.g, width, s, t, ca, count(*) AS cw FROM os w JOIN op p ON p.query_id = w.query_id AND p.g = w.g AND p.pos >= w.s AND p.pos < w.s + w.width GROUP BY ALL) GROUP BY ALL),
+ofs AS (SELECT query_id, g, s, width, 2e0 * coalesce(shared, 0) / (n + width) AS f FROM os LEFT JOIN oh USING (query_id, g, width, s) UNION ALL SELECT query_id, g, 0, 1, 0 FROM oz WHERE len(a) = 0),
+ob AS (SELECT *, row_number() OVER (PARTITION BY query_id, g ORDER BY f DESC, width, s) AS r FROM ofs),
+overlap AS MATERIALIZED (SELECT query_id, start, "end", overlap_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap_score DESC, "end" - start, start) AS r
+  FROM (SELECT query_id, (g + s)::BIGINT AS start, (g + s + width - 1)::BIGINT AS "end", round(f, 6) AS overlap_score FROM ob WHERE r = 1)) WHERE r = 1)"""
+
+
+ANSWERED = "za0 AS (SELECT b.query_id, b.global_start, b.tokens, qa.answer FROM built b JOIN qa USING (query_id) WHERE answer IS NOT NULL)"
+
+
+@query(
+    "span_fragment_or_words",
+    f"""{with_('passages', 'queries', 'qrels', 'positives')},
+ctx AS (SELECT x.query_id, x.ctx, x.doc_id, p.text FROM (SELECT query_id, unnest(range(len(doc_ids))) AS ctx, unnest(doc_ids) AS doc_id FROM positives) x JOIN passages p USING (doc_id)),{PASSAGE_SQL},
+za0 AS (SELECT b.query_id, b.global_start, b.tokens, question || chr(10) || 'A line that no passage holds.' AS answer FROM built b JOIN positives USING (query_id)),{spans_sql('za0')}
+SELECT * FROM spans""",
+)
 def span_fragment_or_words(spark, d):
     """Benchmark items as answers inside the documents that hold them, with another
     sentence after them, so that fragments and word matches are needed."""
@@ -629,7 +674,7 @@ def span_fragment_or_words(spark, d):
     return A.exact_spans(built, p.select("query_id", F.concat("question", F.lit("\nA line that no passage holds.")).alias("answer")))
 
 
-@query("span_best_overlap")
+@query("span_best_overlap", f"{with_('ctx', 'qa')},{PASSAGE_SQL},{ANSWERED},{overlap_sql('za0')} SELECT * FROM overlap")
 def span_best_overlap(spark, d):
     return A.overlap_spans(A.build_passages(views.qa_contexts(spark, d)), _answers(spark, d))
 
@@ -661,10 +706,21 @@ def rouge_l(spark, d):
     return pairs.select("conv_id", F.round(evaluation.rouge_l_long(F.col("x.p"), F.col("x.r")), 6).alias("rouge_l"))
 
 
-@query("meteor_exact")
+#: The k-th occurrence of a token on one side meets the k-th on the other.
+METEOR_SQL = r"""
+mp AS MATERIALIZED (SELECT query_id, list_filter(string_split(trim(regexp_replace(lower(prediction), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS p, list_filter(string_split(trim(regexp_replace(lower(reference), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS r FROM pairs),
+m1 AS (SELECT query_id, i, t, row_number() OVER (PARTITION BY query_id, t ORDER BY i) AS k FROM (SELECT query_id, unnest(p) AS t, unnest(range(len(p))) AS i FROM mp)),
+m2 AS (SELECT query_id, j, t, row_number() OVER (PARTITION BY query_id, t ORDER BY j) AS k FROM (SELECT query_id, unnest(r) AS t, unnest(range(len(r))) AS j FROM mp)),
+m3 AS (SELECT query_id, i - lag(i) OVER w = 1 AND j - lag(j) OVER w = 1 AS joined FROM m1 JOIN m2 USING (query_id, t, k) WINDOW w AS (PARTITION BY query_id ORDER BY i)),
+m4 AS (SELECT query_id, count(*)::DOUBLE AS n, count(*) FILTER (joined IS NOT TRUE) AS chunks FROM m3 GROUP BY query_id),
+scores AS (SELECT query_id, CASE WHEN p = r THEN 1 WHEN n IS NULL THEN 0 ELSE (n / len(p)) * (n / len(r)) / (9e-1 * (n / len(p)) + 1e-1 * (n / len(r))) * (1 - 5e-1 * pow(chunks / n, 3)) END AS meteor FROM mp LEFT JOIN m4 USING (query_id))"""
+PAIRS = "pairs AS (SELECT query_id, answer AS prediction, question AS reference FROM qa WHERE answer IS NOT NULL AND question IS NOT NULL)"
+
+
+@query("meteor_exact", f"{with_('qa')}, {PAIRS},{METEOR_SQL} SELECT query_id, round(meteor, 9) AS meteor FROM scores")
 def meteor_exact(spark, d):
     qa = views.qa_samples(spark, d).where("question is not null and answer is not null")
-    return qa.select("query_id", F.round(evaluation.meteor_exact(F.col("answer"), F.col("question")), 6).alias("meteor"))
+    return qa.select("query_id", F.round(evaluation.meteor_exact(F.col("answer"), F.col("question")), 9).alias("meteor"))
 
 
 @query(
@@ -851,17 +907,38 @@ def _extractive(spark, d):
     return pipelines.extractive_examples(contexts, _answers(spark, d))
 
 
-@query("extractive_examples")
+EXTRACTIVE_SQL = f"""{with_('ctx', 'qa')},{PASSAGE_SQL},{ANSWERED},{spans_sql('za0')},
+zr AS (SELECT * FROM za0 WHERE query_id NOT IN (SELECT query_id FROM spans)),{overlap_sql('zr')},
+label AS (SELECT query_id, start, "end", method, 1e0 AS overlap_score FROM spans UNION ALL SELECT query_id, start, "end", 'best_overlap', overlap_score FROM overlap),
+held AS (SELECT query_id, count(*) AS n_passages, count(DISTINCT ctx) FILTER (ctx % 4 <> 1) AS input_context_count FROM built GROUP BY query_id),
+pos AS (SELECT query_id, count(DISTINCT doc_id) AS n FROM ctx WHERE ctx % 4 <> 1 GROUP BY query_id),
+ex AS (SELECT qa.query_id, coalesce(start, 0) AS start_position, coalesce("end", 0) AS end_position, coalesce(method, 'best_overlap') AS label_method, coalesce(overlap_score, 0) AS overlap_score,
+  n_passages, input_context_count, coalesce(pos.n >= 2, false) AND input_context_count >= 2 AS multihop FROM qa JOIN held USING (query_id) LEFT JOIN pos USING (query_id) LEFT JOIN label USING (query_id) WHERE answer IS NOT NULL)"""
+
+
+@query("extractive_examples", f"{EXTRACTIVE_SQL} SELECT * FROM ex")
 def extractive_examples(spark, d):
-    return _extractive(spark, d).select("query_id", "start_position", "end_position", "label_method", F.round("overlap_score", 6).alias("overlap_score"), F.size("passages").alias("n_passages"), "input_context_count", "multihop")
+    columns = [F.round("overlap_score", 6).alias("overlap_score"), F.size("passages").cast("long").alias("n_passages")]
+    return _extractive(spark, d).select("query_id", "start_position", "end_position", "label_method", *columns, "input_context_count", "multihop")
 
 
-@query("label_counts")
+@query(
+    "label_counts",
+    f"""{EXTRACTIVE_SQL} SELECT count(*) AS samples, count(*) FILTER (label_method = 'exact') AS exact, count(*) FILTER (label_method = 'fragment') AS fragment, count(*) FILTER (label_method = 'subsequence') AS subsequence,
+  count(*) FILTER (label_method = 'best_overlap') AS best_overlap, count(*) FILTER (overlap_score = 0) AS zero_overlap, count(*) FILTER (input_context_count < 2) AS fewer_than_two_contexts, count(*) FILTER (multihop) AS multihop FROM ex""",
+)
 def label_counts(spark, d):
     return pipelines.label_counts(_extractive(spark, d))
 
 
-@query("answer_metrics")
+@query(
+    "answer_metrics",
+    f"""{with_('qa').replace('WITH', 'WITH RECURSIVE', 1)}, {PAIRS},{METEOR_SQL},
+t(query_id, i, line) AS (SELECT query_id, 0, list_transform(range(0, len(r) + 1), lambda x: 0) FROM mp
+  UNION ALL SELECT query_id, i + 1, list_reduce(list_concat([[0]], list_transform(range(1, len(r) + 1), lambda j: [j])), lambda acc, x: list_append(acc, CASE WHEN r[x[1]] = p[i + 1] THEN line[x[1]] + 1 ELSE greatest(line[x[1] + 1], acc[-1]) END)) FROM t JOIN mp USING (query_id) WHERE i < len(p)),
+lcs AS (SELECT query_id, CASE WHEN len(p) = 0 OR len(r) = 0 THEN (len(p) = len(r))::INT::DOUBLE ELSE 2e0 * line[-1] / (len(p) + len(r)) END AS rouge FROM t JOIN mp USING (query_id) WHERE i = len(p))
+SELECT count(*) AS num_examples, round(coalesce(avg(rouge), 0), 6) AS rouge_l, round(coalesce(avg(meteor), 0), 6) AS meteor, NULL::DOUBLE AS bertscore_f1 FROM lcs JOIN scores USING (query_id)""",
+)
 def answer_metrics(spark, d):
     qa = views.qa_samples(spark, d).where("question is not null and answer is not null")
     m = pipelines.answer_metrics(qa.select("query_id", F.col("answer").alias("prediction"), F.col("question").alias("reference")))
