@@ -374,6 +374,33 @@ def test_neighbours_reach_recall(spark):
     assert [got[150][k][0] for k in range(1, 6)] == [100, 101, 102, 103, 104]  # ties to the smaller id
 
 
+def test_leaves_below_parts_reach_recall(spark):
+    """More parts than one partition may have: parts of parts."""
+    x = vectors(3, 5000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    leaves = neighbours.fit_leaves(df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), sample=1000, most_parts=8)
+    assert leaves.top.parts == 8 and leaves.count > 40 and len(leaves.below) == 8
+    got = defaultdict(set)
+    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0, sample=1000, most_parts=8).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = 0
+    for q in range(0, 5000, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        found += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert found / 500 >= 0.9
+    query, leaf = leaves.route(unit[::50], None)
+    assert len(leaf) < 0.6 * 100 * leaves.count
+
+
+def test_small_tables_are_partitioned_too(spark):
+    x = vectors(4, 400)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    leaves = neighbours.fit_leaves(df)
+    assert leaves.count == 20 and 1 <= leaves.top.visits < 20
+
+
 def test_neighbours_edge_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [1.0]), (7, []), (50, [1.0, 0.0]), (50, [2.0, 0.0]), (100, None), (None, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("q", F.lit("clash"))

@@ -9,6 +9,11 @@ probable parts, in which all rows are compared exactly in double precision.  The
 number of parts a query visits is the least that reaches ``target`` of the true
 neighbours on held-out sample vectors.
 
+There are about as many parts as the square root of the table's rows, at any size.
+Where that is more than ``most_parts``, every part is partitioned once more in the same
+way, on a sample of its own rows, and a query visits several parts of each of its
+parts.  Networks are fitted in tasks, on ``sample`` rows at most each.
+
 A part with more rows than ``block`` is split by a hash of the row's id, as are a
 part's queries, so no task holds an unbounded group; nearest rows are merged from
 partial top lists.  A query that finds fewer than ``k`` rows visits all parts.
@@ -21,6 +26,9 @@ smaller id; fewer than ``k`` candidates give shorter lists.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,8 +36,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, trimmed
 
-#: Bound of the sample that the partition and the network are fitted on.
+#: Bound of the sample that a partition and its network are fitted on.
 SAMPLE = 10_000
+#: Parts of one partition: at most so many, and so many sample vectors for each.
+PARTS, PER_PART = 256, 20
 
 
 def usable(vector: Column) -> Column:
@@ -151,10 +161,10 @@ class Partitions:
         return np.argsort(-chance, axis=1, kind="stable")[:, :n]
 
     @staticmethod
-    def fit(sample: np.ndarray, parts: int, k: int = 5, graph_k: int = 10, target: float = 0.97) -> Partitions:
+    def fit(sample: np.ndarray, parts: int, k: int = 5, graph_k: int = 10, target: float = 0.95) -> Partitions:
         x = np.unique(_unit(sample), axis=0) if len(sample) else sample  # copies teach nothing
         x = x[np.random.default_rng(5).permutation(len(x))]
-        parts = min(parts, max(1, len(x) // 50))
+        parts = min(parts, max(1, len(x) // PER_PART))
         if parts < 2:
             return Partitions(None, 1, 1)
         graph = neighbour_graph(x, graph_k)
@@ -173,56 +183,120 @@ class Partitions:
         return Partitions(Router.fit(x, wish), parts, max(1, int(np.argmax(found >= target))))
 
 
+class Leaves:
+    """One partition, or a partition of partitions: a leaf is a part of a part."""
+
+    def __init__(self, top: Partitions, below: dict[int, Partitions]) -> None:
+        self.top, self.below = top, below
+        self.width = max((m.parts for m in below.values()), default=1)
+        self.count = top.parts if not below else sum(below[p].parts if p in below else 1 for p in range(top.parts))
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each vector."""
+        part = self.top.ranked(x, 1)[:, 0]
+        leaf = part * self.width
+        for p in np.unique(part).tolist():
+            if p in self.below:
+                rows = np.flatnonzero(part == p)
+                leaf[rows] += self.below[p].ranked(x[rows], 1)[:, 0]
+        return leaf
+
+    def route(self, x: np.ndarray, visits: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, leaf) of the leaves to visit; visits: parts of every partition, or
+        as many as each was fitted for."""
+        first = self.top.ranked(x, visits or self.top.visits)
+        query, part = np.repeat(np.arange(len(x)), first.shape[1]), first.ravel()
+        if not self.below:
+            return query, part
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for p in np.unique(part).tolist():
+            rows = query[part == p]
+            model = self.below.get(p)
+            inner = model.ranked(x[rows], visits or model.visits) if model else np.zeros((len(rows), 1), np.int64)
+            out.append((np.repeat(rows, inner.shape[1]), p * self.width + inner.ravel()))
+        return np.concatenate([q for q, _ in out]), np.concatenate([f for _, f in out])
+
+
 # ------------------------------------------------------------------- operator
 
 
-def fit_partitions(vectors: DataFrame, id_col: str, vector_col: str, sample: int = SAMPLE, rows_per_part: int = 1000, most_parts: int = 256) -> tuple[Partitions, int]:
-    """Partitions from ``sample`` rows, those of the smallest hashes of their ids;
-    their number follows the table's size."""
+def _fitted(parts: int, sample: int, target: float):
+    """Vectors (v) of one task, at most ``sample`` of them, to a pickled partition."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [_matrix(b.column(0)) for b in batches if b.num_rows]
+        x = np.concatenate(held)[:sample] if held else np.zeros((0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Partitions.fit(x, parts, target=target))], pa.binary())], names=["model"])
+
+    return fit
+
+
+def fit_leaves(vectors: DataFrame, sample: int = SAMPLE, most_parts: int = PARTS, target: float = 0.95) -> Leaves:
+    """``vectors(id, v)``: about as many leaves as the root of the number of rows.  A sample
+    holds the rows of the smallest hashes of their ids."""
     n = vectors.count()
-    chosen = vectors.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(vector_col).toArrow()
-    return Partitions.fit(_matrix(chosen.column(0)), min(most_parts, max(1, n // rows_per_part))), n
+    wanted = max(1, round(n**0.5))
+    chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").coalesce(1)
+    inner = -(-wanted // most_parts)
+    aim = target if inner == 1 else target**0.5
+    row = chosen.mapInArrow(trimmed(_fitted(min(wanted, most_parts), sample, aim)), "model binary").first()
+    top = pickle.loads(row[0]) if row else Partitions(None, 1, 1)
+    if inner == 1 or top.parts < 2:
+        return Leaves(top, {})
 
+    def place(batches):
+        for batch in batches:
+            x = _matrix(batch.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array(top.ranked(_unit(x), 1)[:, 0] if len(x) else [], pa.int32()), batch.column(0), batch.column(1)], names=["part", "id", "v"])
+
+    def below(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        (model,) = _fitted(inner, sample, aim)(iter(table.select(["v"]).combine_chunks().to_batches()))
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "model": model.column(0)})
+
+    placed = vectors.select("id", "v").mapInArrow(trimmed(place), "part int, id long, v array<double>")
+    sizes = placed.groupBy("part").agg(F.count("*").alias("rows"))
+    few = placed.join(F.broadcast(sizes), "part").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(float(sample << 30)) / F.col("rows"))  # sizes: a row per part
+    rows = few.select("part", "v").groupBy("part").applyInArrow(below, "part int, model binary").collect()
+    return Leaves(top, {r["part"]: pickle.loads(r["model"]) for r in rows})
 
-def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, sample: int = SAMPLE, block: int = 20_000, visits: int | None = None) -> DataFrame:
+
+def nearest(
+    vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, sample: int = SAMPLE, block: int = 20_000, visits: int | None = None, most_parts: int = PARTS, target: float = 0.95
+) -> DataFrame:
     """(query_id, rank, id, score) of the ``k`` nearest rows found for every row that
     ``queries`` selects."""
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), queries.alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
     sizes = source.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     source = source.where(F.size("v") == (sizes["d"] if sizes else 0))
-    model, _ = fit_partitions(source, "id", "v", sample)
-    n_visits = visits or model.visits
+    fitted = fit_leaves(source.select("id", "v"), sample, most_parts, target)
+    shared = vectors.sparkSession.sparkContext.broadcast(fitted)
 
     def place(batches):
         for batch in batches:
             x = _matrix(batch.column(1))
-            part = model.ranked(_unit(x), 1)[:, 0] if len(x) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(part, pa.int32())], names=["id", "v", "q", "part"])
+            leaf = shared.value.place(_unit(x)) if len(x) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(leaf, pa.int32())], names=["id", "v", "q", "leaf"])
 
-    index = materialize(source.mapInArrow(trimmed(place), "id long, v array<double>, q boolean, part int"), "ann-index")
+    index = materialize(source.mapInArrow(trimmed(place), "id long, v array<double>, q boolean, leaf int"), "ann-index")
     asked = index.where("q").select("id", "v")
 
-    def route(n: int):
-        def routed(batches):
-            for batch in batches:
-                x = _matrix(batch.column(1))
-                ranked = model.ranked(_unit(x), n) if len(x) else np.zeros((0, 1), np.int64)
-                rows = pa.array(np.repeat(np.arange(len(x)), ranked.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(ranked.ravel(), pa.int32())], names=["id", "v", "part"])
-
-        return routed
+    def route(batches):
+        for batch in batches:
+            x = _matrix(batch.column(1))
+            row, leaf = shared.value.route(_unit(x), visits) if len(x) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            rows = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(leaf, pa.int32())], names=["id", "v", "leaf"])
 
-    held = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # a row per part
-    blocks = F.create_map(*[F.lit(x) for p in range(model.parts) for x in (p, max(1, -(-held.get(p, 0) // block)))])
-    stored = index.select("part", F.pmod(F.xxhash64("id"), blocks[F.col("part")]).cast("int").alias("slot"), "id", "v")
+    blocks = materialize(index.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "ann-blocks")  # a row per leaf
+    stored = index.join(F.broadcast(blocks), "leaf").select("leaf", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("slot"), "id", "v")
 
-    def search(some: DataFrame, n: int) -> DataFrame:
-        sent = some.mapInArrow(trimmed(route(n)), "id long, v array<double>, part int")
-        copies = F.sequence(F.lit(0), blocks[F.col("part")].cast("int") - 1)
+    def search(sent: DataFrame, lots: int) -> DataFrame:
+        """``sent(id, v, leaf)`` against the leaves' rows."""
+        copies = F.sequence(F.lit(0), F.col("blocks") - 1)
         lot = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(lots)).cast("int")
-        sent = sent.select("part", F.explode(copies).alias("slot"), lot.alias("lot"), "id", "v")
+        sent = sent.join(F.broadcast(blocks), "leaf").select("leaf", F.explode(copies).alias("slot"), lot.alias("lot"), "id", "v")
         spread = stored.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
-        keys = ["part", "slot", "lot"]
+        keys = ["leaf", "slot", "lot"]
         return sent.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(compare, "query_id long, vec long, score double")
 
     def compare(asked_: pa.Table, rows: pa.Table) -> pa.Table:
@@ -247,15 +321,16 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
         joined = [np.concatenate(p) if p else np.zeros(0) for p in out]
         return pa.table({"query_id": pa.array(joined[0].astype(np.int64)), "vec": pa.array(joined[1].astype(np.int64)), "score": pa.array(joined[2].astype(np.float64))})
 
-    lots = max(1, -(-asked.count() * n_visits // (model.parts * block)))  # splits of a part's queries
+    sent = materialize(asked.mapInArrow(trimmed(route), "id long, v array<double>, leaf int"), "ann-routed")
+    lots = max(1, -(-sent.count() // (fitted.count * block)))  # splits of a leaf's queries
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec")
-    found = materialize(search(asked, n_visits).dropDuplicates().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "ann-found")
-    if n_visits < model.parts:
-        full = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
-        short = materialize(asked.join(full, "id", "left_anti"), "ann-short")
-        if not short.isEmpty():
-            whole = search(short, model.parts).dropDuplicates().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-            found = found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(whole)
+    first = lambda found: found.dropDuplicates().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    found = materialize(first(search(sent, lots)), "ann-found")
+    full = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
+    short = materialize(asked.join(full, "id", "left_anti"), "ann-short")
+    if not short.isEmpty():  # these go to every leaf
+        everywhere = short.crossJoin(F.broadcast(blocks.select("leaf")))
+        found = found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(first(search(everywhere, 1)))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("vec").alias(id_col), "score")
 
 
