@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import audit, corpus, evaluation, lexical, multihop
-from .plans import pipelines
+from .functions import text
+from .operators import answers as qa_examples
+from .operators import audit, corpus
+from .plans import pipelines, stages
 from .session import local_session, ship
 from .sources import files
 
-PASSAGES = "doc_id string, text string, title string, url string, source_file string, section_type string, section_number string"
-QUERIES = "query_id string, query string, positive_doc_ids array<string>, source_qa_id string"
+QA_RUN = (
+    "retrieval_method string, retrieval_seed int, reader_checkpoint string, reader_method string, reader_model_name string, split string, track string, top_k_contexts int, max_passage_tokens int, "
+    "num_examples long, mean_retrieved_contexts double, queries_sha256 string, rouge_l double, meteor double, bertscore_f1 double"
+)
 
 
 def filter_multihop(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -22,23 +26,92 @@ def filter_multihop(spark: SparkSession, a: argparse.Namespace) -> None:
     files.write_jsonl(corpus.min_contexts(rows, a.min_contexts), a.output)
 
 
+def create_from_structured(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Samples, passages and judgements from QA files and structured documents."""
+    stages.create_from_structured(spark, a.input_dir, a.structured_dir, a.output)
+
+
+def create_samples(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Samples, passages and judgements from QA files and context files."""
+    stages.create_samples(spark, a.input_dir, a.contexts_dir, a.output)
+
+
+def prepare(spark: SparkSession, a: argparse.Namespace) -> None:
+    """One corpus and the tracks' queries and judgements."""
+    stages.prepare(spark, a.ir_dir, a.structured_dir, a.output)
+
+
+def prepare_abstractive(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Examples for readers that write answers."""
+    stages.prepare_abstractive(spark, a.qa_dir, a.ir_dir, a.output, a.distractors, a.seed)
+
+
+def prepare_extractive(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Passages and span labels for readers that mark answers."""
+    if a.max_passages < 2 or a.passage_tokens < 1:
+        raise SystemExit("at least two passages of at least one token")
+    stages.prepare_extractive(spark, a.qa_dir, a.ir_dir, a.structured_dir, a.output, a.max_passages, a.passage_tokens, a.distractors, a.seed)
+
+
+def _of_split(rows: DataFrame, a: argparse.Namespace) -> DataFrame:
+    """The rows of ``--split``; the test split is read only if it is asked for twice."""
+    if a.split == "test" and not a.final:
+        raise SystemExit("the test split needs --final")
+    return rows.where(F.col("split") == a.split) if a.split and "split" in rows.columns else rows
+
+
 def retrieve(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Rank passages for queries with a lexical method."""
-    if not 1 <= a.top_k <= a.search_depth:
-        raise SystemExit("search-depth must be at least top-k, and top-k at least 1")
-    passages = files.read_jsonl(spark, a.corpus, PASSAGES)
-    queries = files.read_jsonl(spark, a.queries, QUERIES).select("query_id", F.col("query").alias("text"))
-    if a.method in ("hops", "m3"):  # hop state holds ids of one type
-        ids = passages.select("doc_id").distinct().withColumn("n", F.xxhash64("doc_id"))
-        passages = passages.join(ids, "doc_id").withColumn("name", F.col("doc_id")).withColumn("doc_id", F.col("n")).drop("n")
-    index = lexical.build_index(passages).persist()
-    search = lambda q: lexical.bm25(q, index, a.search_depth).select("query_id", "doc_id", "score", "rank")
-    if a.method == "bm25":
-        ranked = search(queries)
-    else:
-        ranked = multihop.fuse_hops(multihop.greedy_hops(queries, search, passages, a.max_hops, keep=lambda df: df.persist()), a.method, a.search_depth)
-        ranked = ranked.join(passages.select("doc_id", "name"), "doc_id").withColumn("doc_id", F.col("name")).drop("name")
-    files.write_jsonl(files.nest_rankings(ranked.where(F.col("rank") <= a.top_k)), a.output)
+    """Rank passages for queries."""
+    if not 1 <= a.top_k <= a.search_depth or a.max_hops < 1:
+        raise SystemExit("search-depth must be at least top-k, top-k and max-hops at least 1")
+    passages = files.read_jsonl(spark, a.corpus, stages.PASSAGES)
+    queries = _of_split(files.read_jsonl(spark, a.queries, stages.SAMPLES), a).select("query_id", F.col("query").alias("text"))
+    ranked = stages.rank(a.method, queries, passages, a.search_depth, a.max_hops, fold=a.fold)
+    nested = files.nest_rankings(ranked.where(F.col("rank") <= a.top_k))
+    none = F.array().cast(nested.schema["results"].dataType)
+    files.write_jsonl(queries.select("query_id").join(nested, "query_id", "left").select("query_id", F.coalesce("results", none).alias("results")), a.output)
+
+
+def evaluate_qa(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Read the ranked passages and score the answers."""
+    queries = _of_split(files.read_jsonl(spark, a.queries, stages.SAMPLES), a)
+    qa = queries.join(stages.read_qa(spark, a.qa_dir).select("split", "source_qa_id", "question", "answer"), ["split", "source_qa_id"], "left")
+    asked = qa.select("query_id", F.coalesce("question", F.lit("")).alias("text"))
+    rankings = files.read_jsonl(spark, a.rankings, files.RANKINGS)
+    predictions, means = stages.evaluate_reader(asked, rankings, files.read_jsonl(spark, a.corpus, stages.PASSAGES), qa, a.top_k, a.reader_method)
+    files.write_jsonl(predictions, f"{a.output}/predictions")
+    own = {"retrieval_method": a.retrieval_method, "retrieval_seed": a.seed, "reader_checkpoint": "extractive stand-in", "reader_method": a.reader_method, "reader_model_name": "", "split": a.split, "track": a.track, "top_k_contexts": a.top_k}
+    digests = [audit.table_fingerprint(t, c).select(F.hex("digest").alias(n)) for t, c, n in ((rankings.withColumn("results", F.to_json("results")), ["query_id", "results"], "rankings_digest"), (queries, ["query_id", "query"], "queries_sha256"))]
+    files.write_manifest(means.select(*[F.lit(v).alias(k) for k, v in own.items()], "*").crossJoin(digests[0]).crossJoin(digests[1]), f"{a.output}/metrics")  # one row each
+
+
+def evaluate_extractive(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Decode spans from a model's logits and score them."""
+    logits = files.read_jsonl(spark, a.logits, "id string, passage long, position long, start_logit double, end_logit double")
+    examples = _of_split(files.read_jsonl(spark, a.examples, "query_id string, flat_tokens array<string>, answer string"), a)
+    predictions, means = stages.evaluate_spans(logits, examples)
+    files.write_jsonl(predictions, f"{a.output}/predictions")
+    files.write_manifest(means, f"{a.output}/metrics")
+
+
+def summarize_qa(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Reader metrics of several runs side by side."""
+    runs = files.read_jsonl(spark, a.runs, QA_RUN)
+    columns = ["split", "retrieval_method", "retrieval_seed", "num_examples", "top_k_contexts", "mean_retrieved_contexts", "rouge_l", "meteor", "bertscore_f1"]
+    files.write_comparison(stages.summarize_readers(runs, {"track": a.track, "top_k_contexts": a.top_k}), columns, a.output)
+
+
+def summarize_extractive(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Means and deviations of span models over seeds, after checking their runs."""
+    root = a.runs.rstrip("/")
+    run = lambda df: df.withColumn("run", F.element_at(F.split("path", "/"), -2))
+    tree = lambda pattern: run(files.read_tree(spark, root, pattern))
+    settings = tree("run_args.json").select("run", F.from_json("value", "map<string,string>").alias("m"))
+    args = settings.select("run", F.col("m")["method"].alias("method"), F.col("m")["seed"].alias("seed"), F.explode("m").alias("name", "value"))
+    complete = spark.createDataFrame([(p.split("/")[-2],) for p in files.names(spark, f"{root}/*/COMPLETE")], "run string")
+    held = tree("*_metrics.json").select("run", F.regexp_extract("path", r"([^/]+)_metrics\.json$", 1).alias("split"), F.from_json("value", "method string, num_examples long, data string, metrics map<string,double>").alias("m"))
+    metrics = held.join(settings.select("run", F.col("m")["seed"].alias("seed")), "run").select("run", "split", "m.method", "seed", "m.num_examples", "m.data", F.explode("m.metrics").alias("metric", "value"))
+    files.write_comparison(stages.summarize_extractive(args, complete, metrics).orderBy("split", "method", "metric"), ["split", "method", "metric", "n", "mean", "std"], a.output)
 
 
 def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -48,8 +121,8 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def validate(spark: SparkSession, a: argparse.Namespace) -> None:
     """Check queries, judgements and corpus against each other."""
-    queries, qrels = files.read_jsonl(spark, a.queries, QUERIES), files.read_qrels(spark, a.qrels)
-    audit.require(audit.validate(queries, qrels, files.read_jsonl(spark, a.corpus, PASSAGES)))
+    queries, qrels = files.read_jsonl(spark, a.queries, stages.SAMPLES), files.read_qrels(spark, a.qrels)
+    audit.require(audit.validate(queries, qrels, files.read_jsonl(spark, a.corpus, stages.PASSAGES)))
 
 
 def tracks(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -71,13 +144,28 @@ def summarize(spark: SparkSession, a: argparse.Namespace) -> None:
 
 COMMANDS = {
     "filter-multihop": (filter_multihop, ["input", "output"]),
+    "create-from-structured": (create_from_structured, ["input-dir", "structured-dir", "output"]),
+    "create-samples": (create_samples, ["input-dir", "contexts-dir", "output"]),
+    "prepare": (prepare, ["ir-dir", "structured-dir", "output"]),
+    "prepare-abstractive": (prepare_abstractive, ["qa-dir", "ir-dir", "output"]),
+    "prepare-extractive": (prepare_extractive, ["qa-dir", "ir-dir", "structured-dir", "output"]),
     "retrieve": (retrieve, ["corpus", "queries", "output"]),
     "evaluate": (evaluate, ["rankings", "qrels", "output"]),
+    "evaluate-qa": (evaluate_qa, ["rankings", "queries", "corpus", "qa-dir", "output"]),
+    "evaluate-extractive": (evaluate_extractive, ["logits", "examples", "output"]),
+    "evaluate-answers": (answers, ["predictions", "output"]),
     "validate": (validate, ["corpus", "queries", "qrels"]),
     "tracks": (tracks, ["qrels", "output"]),
-    "evaluate-answers": (answers, ["predictions", "output"]),
     "summarize": (summarize, ["runs", "output"]),
+    "summarize-qa": (summarize_qa, ["runs", "output"]),
+    "summarize-extractive": (summarize_extractive, ["runs", "output"]),
 }
+#: Options of several commands: (flag, default, commands).
+NUMBERS = (
+    ("--distractors", 0, ["prepare-abstractive", "prepare-extractive"]), ("--seed", 42, ["prepare-abstractive", "prepare-extractive", "evaluate-qa"]),
+    ("--max-passages", 6, ["prepare-extractive"]), ("--passage-tokens", 256, ["prepare-extractive"]),
+    ("--top-k", 100, ["retrieve"]), ("--search-depth", 100, ["retrieve"]), ("--max-hops", 3, ["retrieve"]), ("--top-k", 10, ["evaluate-qa", "summarize-qa"]), ("--min-contexts", 2, ["filter-multihop"]),
+)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -88,12 +176,18 @@ def parser() -> argparse.ArgumentParser:
         for path in paths:
             sub.add_argument(f"--{path}", required=True)
         sub.set_defaults(run=run)
-    subs.choices["filter-multihop"].add_argument("--min-contexts", type=int, default=2)
-    subs.choices["tracks"].add_argument("--track", choices=["all_matched", "true_multihop"], default="true_multihop")
-    r = subs.choices["retrieve"]
-    r.add_argument("--method", choices=["bm25", "hops", "m3"], default="bm25")
-    for flag, default in (("--top-k", 100), ("--search-depth", 100), ("--max-hops", 3)):
-        r.add_argument(flag, type=int, default=default)
+    for flag, default, commands in NUMBERS:
+        for name in commands:
+            subs.choices[name].add_argument(flag, type=int, default=default)
+    for name in ("tracks", "evaluate-qa", "summarize-qa"):
+        subs.choices[name].add_argument("--track", choices=stages.TRACKS, default="true_multihop")
+    for name in ("retrieve", "evaluate-qa", "evaluate-extractive"):
+        subs.choices[name].add_argument("--split", choices=["train", "dev", "test"])
+        subs.choices[name].add_argument("--final", action="store_true", help="allow the test split")
+    subs.choices["retrieve"].add_argument("--method", choices=stages.METHODS, default="bm25")
+    subs.choices["retrieve"].add_argument("--fold", choices=text.FOLDS, default="none")
+    subs.choices["evaluate-qa"].add_argument("--reader-method", choices=sorted(qa_examples.INSTRUCTIONS), default="pathfid")
+    subs.choices["evaluate-qa"].add_argument("--retrieval-method", default="bm25")
     return main_
 
 

@@ -52,7 +52,7 @@ def all_or_nothing(sample_refs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("doc_id").isNotNull(), F.struct("pos", "doc_id")))), lambda x: x["doc_id"])).alias("doc_ids"),
     )
     kept = grouped.where(F.size("missing_links") == 0).select("sample_id", "doc_ids")
-    dropped = grouped.where(F.size("missing_links") > 0).select("sample_id", F.lit("unresolved_context").alias("reason"), "missing_links")
+    dropped = grouped.where(F.size("missing_links") > 0).select("sample_id", F.lit("missing_structured_context").alias("reason"), "missing_links")
     return kept, dropped
 
 
@@ -89,12 +89,16 @@ def corpus_records(requests: DataFrame, documents: DataFrame) -> DataFrame:
     """``requests(source_id, article)`` against ``documents(source_id, path, title, url,
     header, sections)``: passages, with the full document where the article is absent
     (which keeps its article id)."""
-    joined = requests.join(documents, "source_id")
-    found = find_article(F.col("sections"), F.col("article"))
-    section = joined.withColumn("found", found)
+    return passage_records(requests.join(documents, "source_id"))
+
+
+def passage_records(rows: DataFrame, *more: str) -> DataFrame:
+    """The same of ``rows(article, path, title, url, header, sections)``, with columns
+    ``more`` kept."""
+    section = rows.withColumn("found", find_article(F.col("sections"), F.col("article")))
     has_number = F.coalesce(F.col("article"), F.lit("")) != ""
     return section.select(
-        F.when(has_number, F.concat("path", F.lit("#dieu="), "article")).otherwise(F.concat("path", F.lit("#document"))).alias("doc_id"),
+        *more, F.when(has_number, F.concat("path", F.lit("#dieu="), "article")).otherwise(F.concat("path", F.lit("#document"))).alias("doc_id"),
         F.coalesce("found", flatten_document(F.col("header"), F.col("sections"))).alias("text"),
         "title", "url", F.col("path").alias("source_file"),
         F.when(F.col("found").isNotNull(), "article").otherwise("document").alias("section_type"),

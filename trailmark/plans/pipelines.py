@@ -32,15 +32,16 @@ def abstractive_examples(samples: DataFrame, qa: DataFrame, negatives: DataFrame
     return rows.join(lists, "query_id", "left").withColumn("candidate_doc_ids", F.concat("positive_doc_ids", F.coalesce("negatives", empty))).drop("negatives")
 
 
-def extractive_examples(contexts: DataFrame, qa: DataFrame, most: int = 6, size: int = 256) -> DataFrame:
-    """``contexts(query_id, ctx, doc_id, text, is_positive)`` and ``qa(query_id, question,
+def extractive_examples(contexts: DataFrame, qa: DataFrame, most: int = 6, size: int = 256, keep: Callable[[DataFrame], DataFrame] = lambda df: df.persist()) -> DataFrame:
+    """``keep`` holds tables that are read several times.
+    ``contexts(query_id, ctx, doc_id, text, is_positive)`` and ``qa(query_id, question,
     answer)``: passages, the span label of the first method that finds one, and
     ``multihop``: two positives and two positive contexts left in the input."""
-    built = answers.build_passages(contexts, most, size).persist()
+    built = keep(answers.build_passages(contexts, most, size))
     exact = answers.exact_spans(built, qa).withColumn("overlap_score", F.lit(1.0))
     rest = qa.join(exact.select("query_id"), "query_id", "left_anti")
     close = answers.overlap_spans(built, rest).withColumn("method", F.lit("best_overlap"))
-    label = exact.unionByName(close.select(exact.columns))
+    label = keep(exact.unionByName(close.select(exact.columns)))
     marked = answers.answer_passages(built, label.select("query_id", "start", "end", F.col("overlap_score").alias("score")))
     origin = contexts.select("query_id", "ctx", "is_positive")
     items = built.select("query_id", "ctx", "doc_id", "chunk_index", "global_start", "global_end").join(marked.drop("global_end"), ["query_id", "ctx", "chunk_index", "global_start"]).join(origin, ["query_id", "ctx"])
@@ -48,11 +49,13 @@ def extractive_examples(contexts: DataFrame, qa: DataFrame, most: int = 6, size:
     grouped = items.groupBy("query_id").agg(
         F.array_sort(F.collect_list(passage)).alias("passages"), F.countDistinct(F.when(F.col("is_positive"), F.col("ctx"))).alias("input_context_count")
     )
+    in_order = F.array_sort(F.collect_list(F.struct("global_start", "tokens")))
+    flat = built.groupBy("query_id").agg(F.flatten(F.transform(in_order, lambda x: x["tokens"])).alias("flat_tokens"))
     positives = contexts.where("is_positive").groupBy("query_id").agg(F.array_sort(F.collect_set("doc_id")).alias("positive_doc_ids"))
-    joined = qa.join(grouped, "query_id").join(positives, "query_id", "left").join(label, "query_id", "left")
+    joined = qa.join(grouped, "query_id").join(flat, "query_id").join(positives, "query_id", "left").join(label, "query_id", "left")
     two = (F.size("positive_doc_ids") >= 2) & (F.col("input_context_count") >= 2)
     return joined.select(
-        "query_id", "question", "answer", "passages", F.coalesce("start", F.lit(0)).alias("start_position"), F.coalesce("end", F.lit(0)).alias("end_position"),
+        "query_id", "question", "answer", "passages", "flat_tokens", F.coalesce("start", F.lit(0)).alias("start_position"), F.coalesce("end", F.lit(0)).alias("end_position"),
         F.coalesce("method", F.lit("best_overlap")).alias("label_method"), F.coalesce("overlap_score", F.lit(0.0)).alias("overlap_score"), "positive_doc_ids", "input_context_count",
         F.coalesce(two, F.lit(False)).alias("multihop"),
     )

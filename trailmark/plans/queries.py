@@ -452,7 +452,7 @@ def _sample_refs(spark, d):
     return resolved.select((F.col("ref_id") / 4).cast("long").alias("sample_id"), F.col("ref_id").alias("pos"), "url", "doc_id")
 
 
-@query("resolve_rejects", f"{REFS_SQL} SELECT ref_id // 4 AS sample_id, 'unresolved_context' AS reason, list(url ORDER BY ref_id) FILTER (doc_id IS NULL) AS missing_links FROM resolved GROUP BY ref_id // 4 HAVING count(*) > count(doc_id)")
+@query("resolve_rejects", f"{REFS_SQL} SELECT ref_id // 4 AS sample_id, 'missing_structured_context' AS reason, list(url ORDER BY ref_id) FILTER (doc_id IS NULL) AS missing_links FROM resolved GROUP BY ref_id // 4 HAVING count(*) > count(doc_id)")
 def resolve_rejects(spark, d):
     return corpus.all_or_nothing(_sample_refs(spark, d))[1]
 

@@ -32,14 +32,17 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     through the file's blocks: a row's place is its file, its block and its number."""
     rows = spark.read.schema(QRELS).option("sep", "\t").option("mode", "FAILFAST").option("quote", "").csv(path)
     place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n"))
-    placed = rows.select("query_id", "doc_id", "gain", place.alias("place"))
-    return placed.groupBy("query_id", "doc_id").agg(F.max_by("gain", "place").alias("gain"))
+    keys = ["query_id", "doc_id", *[c for c in rows.columns if c == "split"]]
+    placed = rows.select(*keys, "gain", place.alias("place"))
+    return placed.groupBy(*keys).agg(F.max_by("gain", "place").alias("gain"))
 
 
-def write_qrels(qrels: DataFrame, path: str, mode: str = "errorifexists", ordered: bool = True) -> None:
-    rows = qrels.select("query_id", F.lit("0").alias("iteration"), "doc_id", "gain")
-    rows = rows.orderBy("query_id", "doc_id") if ordered else rows
-    rows.write.mode(mode).option("sep", "\t").option("quote", "").csv(path)
+def write_qrels(qrels: DataFrame, path: str, mode: str = "errorifexists", ordered: bool = True, partition: str | None = None) -> None:
+    by = [partition] if partition else []
+    rows = qrels.select(*by, "query_id", F.lit("0").alias("iteration"), "doc_id", "gain")
+    rows = rows.orderBy(*by, "query_id", "doc_id") if ordered else rows
+    writer = rows.write.mode(mode)
+    (writer.partitionBy(*by) if by else writer).option("sep", "\t").option("quote", "").csv(path)
 
 
 def read_object_file(spark: SparkSession, path: str, value_schema: str = QA_FILE) -> DataFrame:
@@ -60,6 +63,12 @@ def read_tree(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFr
     return full.select(inside.alias("path"), F.regexp_replace(F.element_at(F.split("full", "/"), -1), r"\.json$", "").alias("stem"), "value")
 
 
+def names(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern; for the few files of a folder of runs."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return [str(s.getPath()) for s in place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place) or []]
+
+
 def has_known_field(value, fields: list[str]):
     """Whether a JSON object holds one of some fields at least."""
     return F.arrays_overlap(F.json_object_keys(value), F.array(*map(F.lit, fields)))
