@@ -8,6 +8,7 @@ partial sums, so neither a frequent term nor a popular document is gathered.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,13 +24,11 @@ class LexicalIndex:
     vocabulary: DataFrame
     fold: str = "none"
 
-    def persist(self) -> LexicalIndex:
-        self.postings, self.lengths, self.vocabulary = self.postings.persist(), self.lengths.persist(), self.vocabulary.persist()
-        return self
-
-    def unpersist(self) -> None:
-        for part in (self.postings, self.lengths, self.vocabulary):
-            part.unpersist()
+    def stored(self, keep: Callable[[DataFrame], DataFrame]) -> LexicalIndex:
+        """Its tables written by ``keep``, postings sorted by term, so that row groups of
+        other terms can be skipped; the vocabulary follows from what is written."""
+        postings = keep(self.postings.repartition("term").sortWithinPartitions("term", "doc_id"))
+        return LexicalIndex(postings, keep(self.lengths), keep(postings.groupBy("term").agg(F.count("*").alias("df"))), self.fold)
 
 
 def top_k(scored: DataFrame, k: int, group: str = "query_id", item: str = "doc_id", digits: int | None = 6) -> DataFrame:

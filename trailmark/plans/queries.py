@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import answers as A
 from ..operators import audit, corpus, dense, docids, evaluation, lexical, multihop
-from ..session import ship
+from ..session import durable, ship
 from . import pipelines, views
 from .views import with_
 
@@ -197,7 +197,7 @@ def rrf_sql(name: str, *lists: str, depth: int = 100) -> str:
 
 @query("rrf_hybrid", f"{with_('passages', 'queries')},{INDEX_SQL},{bm25_sql('a', 'queries')},{bm25_sql('b', 'queries', max_terms=10**6)},{rrf_sql('f', 'a', 'b')} SELECT query_id, doc_id, score, rank FROM f")
 def rrf_hybrid(spark, d):
-    index, q = _benchmark_index(spark, d).persist(), views.queries(spark, d)
+    index, q = _benchmark_index(spark, d).stored(durable(spark)), views.queries(spark, d)
     return dense.hybrid(lexical.bm25(q, index), lexical.bm25(q, index, max_terms=None)).select(*RANKED)
 
 
@@ -225,8 +225,9 @@ q3 AS (SELECT q.query_id, CASE WHEN f1.fact IS NULL AND f2.fact IS NULL THEN tex
 
 
 def _hops(spark, d):
-    index, p = _index(spark, d).persist(), views.passages(spark, d)
-    return multihop.greedy_hops(views.queries(spark, d), lambda q: lexical.bm25(q, index).select(*RANKED), p, keep=lambda df: df.persist())
+    keep = durable(spark)
+    index, p = _index(spark, d).stored(keep), views.passages(spark, d)
+    return multihop.greedy_hops(views.queries(spark, d), lambda q: lexical.bm25(q, index).select(*RANKED), p, keep=keep)
 
 
 @query("multihop_lexical", f"{_hops_sql()},{rrf_sql('f', 'h1', 'h2', 'h3')} SELECT query_id, doc_id, score, rank FROM f")
@@ -256,8 +257,9 @@ l{i} AS MATERIALIZED (SELECT query_id, text || ' ' || trim(split_part(trim({fact
 @query("ircot_stub", _ircot_sql())
 def ircot_stub(spark, d):
     """Interleaved reasoning with the extractive stand-in for a generator."""
-    index, p = _index(spark, d).persist(), views.passages(spark, d)
-    return multihop.interleaved_reasoning(views.queries(spark, d), lambda q: lexical.bm25(q, index).select(*RANKED), p, keep=lambda df: df.persist()).select(*RANKED)
+    keep = durable(spark)
+    index, p = _index(spark, d).stored(keep), views.passages(spark, d)
+    return multihop.interleaved_reasoning(views.queries(spark, d), lambda q: lexical.bm25(q, index).select(*RANKED), p, keep=keep).select(*RANKED)
 
 
 # ------------------------------------------- encoded texts, with ids that are strings
@@ -286,7 +288,7 @@ def _named(spark, d):
 
 def _encoded_search(spark, d, k=30):
     """Passages and queries through the hashed stand-in for an encoder."""
-    vectors = dense.hashed_vectors(_named(spark, d)).persist()
+    vectors = durable(spark)(dense.hashed_vectors(_named(spark, d)))
     return vectors, lambda q: dense.dense_search(dense.hashed_vectors(q, "query_id"), vectors, k).select(*RANKED)
 
 
@@ -335,7 +337,7 @@ def baleen_hops(spark, d):
     def rerank(ranked, asked):
         return dense.maxsim_rerank(ranked, views.token_vectors(dense.hashed_vectors(asked, "query_id"), "q"), tokens)
 
-    lists = multihop.greedy_hops(views.queries(spark, d), search, _named(spark, d), rerank=rerank, keep=lambda df: df.persist())
+    lists = multihop.greedy_hops(views.queries(spark, d), search, _named(spark, d), rerank=rerank, keep=durable(spark))
     return multihop.fuse_hops(lists).select(*RANKED)
 
 
@@ -904,7 +906,8 @@ def abstractive_examples(spark, d):
 
 def _extractive(spark, d):
     contexts = views.qa_contexts(spark, d).withColumn("is_positive", F.col("ctx") % 4 != 1)
-    return pipelines.extractive_examples(contexts, _answers(spark, d))
+    keep = durable(spark)
+    return pipelines.extractive_examples(keep(contexts), keep(_answers(spark, d)), keep=keep)
 
 
 EXTRACTIVE_SQL = f"""{with_('ctx', 'qa')},{PASSAGE_SQL},{ANSWERED},{spans_sql('za0')},

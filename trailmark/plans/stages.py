@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answers, audit, corpus, dense, evaluation, lexical, multihop
+from ..session import durable
 from ..sources import files
 from . import pipelines, readers
 
@@ -43,19 +44,6 @@ def _structured(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     return files.structured_documents(files.read_tree(spark, folder), corpus.STRUCTURE_KINDS)
 
 
-def durable(folder: str) -> Callable[[DataFrame], DataFrame]:
-    """Writes tables below a folder and reads them back, so that neither lost executors nor
-    later steps compute them again."""
-    done: list[str] = []
-
-    def keep(rows: DataFrame) -> DataFrame:
-        done.append(f"{folder}/{len(done)}")
-        rows.write.mode("overwrite").parquet(done[-1])
-        return rows.sparkSession.read.schema(rows.schema).parquet(done[-1])
-
-    return keep
-
-
 def _write(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("split").option("ignoreNullFields", "false").json(path)
 
@@ -77,7 +65,7 @@ def create_from_structured(spark: SparkSession, input_dir: str, structured_dir:
     resolved = corpus.resolve_references(refs.select("ref_id", F.coalesce("c.link", F.lit("")).alias("url")), documents.select(F.col("path").alias("doc_id"), "stem"))
     number = F.col("c.`điều`")
     passage = F.concat("path", F.when(F.coalesce(number, F.lit("")) != "", F.concat(F.lit("#dieu="), number)).otherwise(F.lit("#document")))
-    keep = durable(f"{output}/_work")
+    keep = durable(spark, f"{output}/_work")
     found = keep(refs.join(resolved.select("ref_id", F.col("doc_id").alias("path")), "ref_id").withColumn("doc_id", passage))
     kept, dropped = corpus.all_or_nothing(found.select("sample_id", "pos", F.coalesce("c.link", F.lit("")).alias("url"), "doc_id"))
     size = F.size("contexts").cast("long")
@@ -179,7 +167,7 @@ def prepare_abstractive(spark: SparkSession, qa_dir: str, ir_dir: str, output: s
     samples, qa, passages = _inputs(spark, qa_dir, ir_dir)
     negatives = _negatives(samples, qa, passages, distractors, seed, lexical.okapi_negatives)
     named = lambda df: df.withColumn("source_qa_id", F.concat_ws("\x1f", "split", "source_qa_id"))
-    keep = durable(f"{output}/_work")
+    keep = durable(spark, f"{output}/_work")
     rows = pipelines.abstractive_examples(named(samples), named(qa).drop("split"), negatives if negatives is None else keep(negatives))
     counts = samples.select("query_id", "split", "source_context_count", "structured_context_count")
     rows = keep(rows.join(counts, "query_id").withColumn("source_qa_id", F.element_at(F.split("source_qa_id", "\x1f"), -1)))
@@ -190,7 +178,7 @@ def prepare_abstractive(spark: SparkSession, qa_dir: str, ir_dir: str, output: s
 def prepare_extractive(spark: SparkSession, qa_dir: str, ir_dir: str, structured_dir: str, output: str, most: int = 6, size: int = 256, distractors: int = 0, seed: int = 42) -> None:
     """Passages and span labels; of a whole-document context the article that shares most
     with the question stands for it."""
-    keep = durable(f"{output}/_work")
+    keep = durable(spark, f"{output}/_work")
     samples, qa, passages = _inputs(spark, qa_dir, ir_dir)
     overlap = lambda q, p, positives, n: lexical.overlap_negatives(q, lexical.build_index(p), positives, n)
     negatives = _negatives(samples, qa, passages, distractors, seed, overlap)
@@ -223,14 +211,15 @@ METHODS = ("bm25", "dense", "hybrid", "mdr", "m3", "mopo", "baleen", "ircot", "h
 Encoder = Callable[[DataFrame, str], DataFrame]
 
 
-def rank(method: str, queries: DataFrame, passages: DataFrame, depth: int = 100, hops: int = 3, encode: Encoder = dense.hashed_vectors, fold: str = "none", keep: Callable[[DataFrame], DataFrame] = lambda df: df.persist()) -> DataFrame:
+def rank(method: str, queries: DataFrame, passages: DataFrame, depth: int = 100, hops: int = 3, encode: Encoder = dense.hashed_vectors, fold: str = "none") -> DataFrame:
     """(query_id, doc_id, score, rank) by any method; ``encode`` is where a model plugs in,
     and the default is a hash of the words."""
     columns = ["query_id", "doc_id", "score", "rank"]
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
+    keep = durable(queries.sparkSession)
     if method in ("bm25", "hybrid", "ircot", "hops"):
-        index = lexical.build_index(passages, fold=fold).persist()
+        index = lexical.build_index(passages, fold=fold).stored(keep)
         search = lambda q: lexical.bm25(q, index, depth).select(*columns)
     if method == "bm25":
         return search(queries)
@@ -256,8 +245,9 @@ def evaluate_reader(queries: DataFrame, rankings: DataFrame, passages: DataFrame
     audit.require(lacking)
     examples = answers.downstream_examples(queries, files.flatten_rankings(rankings), passages, qa, k)
     none = F.array().cast(examples.schema["contexts"].dataType)
-    examples = examples.withColumn("contexts", F.coalesce("contexts", none)).persist()
-    predictions = readers.predict(examples, method, reader, k)
+    keep = durable(queries.sparkSession)
+    examples = keep(examples.withColumn("contexts", F.coalesce("contexts", none)))
+    predictions = keep(readers.predict(examples, method, reader, k))
     means = pipelines.answer_metrics(predictions)
     return predictions, means.crossJoin(F.broadcast(examples.agg(F.round(F.avg(F.size("contexts")), 4).alias("mean_retrieved_contexts"))))  # one row each
 
