@@ -15,12 +15,9 @@ Conventions
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import re
-import shutil
-import tempfile
 import uuid
 
 import numpy as np
@@ -30,23 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="trailmark-")
-        atexit.register(shutil.rmtree, _own_dirs[app], True)
-    return _own_dirs[app]
-
+from ..session import shared_dir
 
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/trailmark/{label}-{uuid.uuid4().hex}"
