@@ -111,7 +111,7 @@ def _count(batches):
     for batch in batches:
         data, offsets = text_buffer(batch.column(0))
         train = ~np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
-        for a, b, code, at in code_parts(data, offsets, 1 << 20):
+        for a, b, code, at in code_parts(data, offsets, 1 << 19):
             weight = np.repeat(train[a:b], np.diff(at))
             seen, n = np.unique(code[weight], return_counts=True)
             other, m = np.unique(code[~weight], return_counts=True)
@@ -382,7 +382,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             number = first + np.arange(rows)
             first += rows
             total = np.zeros(rows)
-            for a, b, code, at in code_parts(data, offsets, 1 << 20):
+            for a, b, code, at in code_parts(data, offsets, 1 << 19):
                 found = np.zeros(len(code))
                 absent = lookup.add(code, found)
                 total[a:b] += np.add.reduceat(found, at[:-1])
