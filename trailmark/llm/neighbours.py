@@ -161,7 +161,7 @@ class Partitions:
         return np.argsort(-chance, axis=1, kind="stable")[:, :n]
 
     @staticmethod
-    def fit(sample: np.ndarray, parts: int, k: int = 5, graph_k: int = 10, target: float = 0.95) -> Partitions:
+    def fit(sample: np.ndarray, parts: int, k: int = 5, graph_k: int = 10, target: float = 0.96) -> Partitions:
         x = np.unique(_unit(sample), axis=0) if len(sample) else sample  # copies teach nothing
         x = x[np.random.default_rng(5).permutation(len(x))]
         parts = min(parts, max(1, len(x) // PER_PART))
@@ -231,7 +231,7 @@ def _fitted(parts: int, sample: int, target: float):
     return fit
 
 
-def fit_leaves(vectors: DataFrame, sample: int = SAMPLE, most_parts: int = PARTS, target: float = 0.95) -> Leaves:
+def fit_leaves(vectors: DataFrame, sample: int = SAMPLE, most_parts: int = PARTS, target: float = 0.96) -> Leaves:
     """``vectors(id, v)``: about as many leaves as the root of the number of rows.  A sample
     holds the rows of the smallest hashes of their ids."""
     n = vectors.count()
@@ -261,7 +261,7 @@ def fit_leaves(vectors: DataFrame, sample: int = SAMPLE, most_parts: int = PARTS
 
 
 def nearest(
-    vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, sample: int = SAMPLE, block: int = 20_000, visits: int | None = None, most_parts: int = PARTS, target: float = 0.95
+    vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, sample: int = SAMPLE, block: int = 20_000, visits: int | None = None, most_parts: int = PARTS, target: float = 0.96
 ) -> DataFrame:
     """(query_id, rank, id, score) of the ``k`` nearest rows found for every row that
     ``queries`` selects."""
