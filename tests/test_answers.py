@@ -1,5 +1,6 @@
 """QA examples: joins, prompts, passages, span labels, training rows."""
 
+import math
 import random
 from collections import Counter
 
@@ -144,3 +145,41 @@ def test_corpus_keeps_gold_first(spark):
     gold = spark.createDataFrame([("a", 9, "", "")], "doc_id string, pos int, title string, url string")
     got = {r["doc_id"]: r for r in corpus.global_corpus(own, gold).collect()}
     assert got["a"]["pos"] == 9 and got["a"]["title"] == "older" and got["a"]["url"] == "u" and got["b"]["title"] == "b"
+
+
+def test_training_rows_rotate_over_what_the_corpus_holds(spark):
+    corpus = spark.createDataFrame([("d1", "First fact."), ("d3", "Third fact.")], "doc_id string, text string")
+    asked = spark.createDataFrame([("q", "question", ["d1", "gone", "d3"]), ("none", "question", ["gone"])], "query_id string, question string, doc_ids array<string>")
+    (row,) = A.hop_training_rows(asked, corpus, 1).collect()
+    assert (row["positive_id"], row["hop"], row["query"]) == ("d3", 1, "question\nEvidence so far: First fact.")
+    assert row["posterior_query"] == row["query"] + "\nPosterior evidence: Third fact."
+    assert A.hop_training_rows(asked, corpus, 2).first()["positive_id"] == "d1"
+    assert A.hop_training_rows(asked, corpus, 1, "gmr").first()["query"] == "question"
+    (plain,) = A.hop_training_rows(asked, corpus, 1, "dense").collect()
+    assert (plain["query"], plain["positive_id"]) == ("question", "d3")
+
+
+def test_span_passage_loss(spark):
+    start, end = [0.2, 1.5, -0.3], [0.1, 0.4, 2.0]
+    ce = lambda x, i: math.log(sum(map(math.exp, x))) - x[i]
+    bce = lambda x, y: math.log1p(math.exp(-x if y else x))
+    logits = spark.createDataFrame([(0, i, p, s, e) for i in (1, 2) for p, (s, e) in enumerate(zip(start, end))], "batch int, id int, position int, start_logit double, end_logit double")
+    labels = spark.createDataFrame([(0, 1, 1, 2), (0, 2, 0, 0)], "batch int, id int, start int, end int")
+    passages = spark.createDataFrame([(0, 1, 0.5, 1), (0, 1, -2.0, 0), (0, 2, 3.0, 0)], "batch int, id int, logit double, label int")
+    row = A.span_passage_loss(logits, labels, passages).first()
+    span = ((ce(start, 1) + ce(end, 2)) / 2 + (ce(start, 0) + ce(end, 0)) / 2) / 2
+    flags = (bce(0.5, 1) + bce(-2.0, 0) + bce(3.0, 0)) / 3
+    assert (row["span_loss"], row["passage_loss"], row["loss"]) == (pytest.approx(span), pytest.approx(flags), pytest.approx(span + 0.25 * flags))
+
+
+def test_epoch_order_is_a_permutation(spark):
+    rows = spark.range(0, 500, 1, 4).withColumnRenamed("id", "doc_id")
+    one = {r["doc_id"]: r["position"] for r in A.epoch_order(rows, "doc_id", 42, 1).collect()}
+    assert sorted(one.values()) == list(range(1, 501))
+    assert one == {r["doc_id"]: r["position"] for r in A.epoch_order(rows.repartition(2), "doc_id", 42, 1).collect()}
+    assert one != {r["doc_id"]: r["position"] for r in A.epoch_order(rows, "doc_id", 42, 2).collect()}
+
+
+def test_moving_average(spark):
+    row = spark.createDataFrame([(1.0, 3.0)], "t double, s double").select(A.moving_average(F.col("t"), F.col("s"), 0.9).alias("x")).first()
+    assert row["x"] == pytest.approx(1.2)

@@ -162,3 +162,74 @@ def test_partial_index_ranks_alike(spark):
     full = lexical.bm25(queries, lexical.build_index(p)).orderBy("query_id", "rank").collect()
     part = lexical.bm25(queries, lexical.build_index(p, lexical.query_terms(queries))).orderBy("query_id", "rank").collect()
     assert full == part and len(full) > 10
+
+
+def test_dense_search_takes_any_ids(spark):
+    docs = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [-1.0, 0.0]), ("aa", [1.0, 0.0])], "doc_id string, v array<double>").repartition(3)
+    asked = spark.createDataFrame([("q", [0.9, 0.1]), ("a", [0.0, 1.0])], "query_id string, v array<double>")
+    got = {(r["query_id"], r["rank"]): r["doc_id"] for r in dense.dense_search(asked, docs, 2).collect()}
+    assert got == {("q", 1): "a", ("q", 2): "aa", ("a", 1): "b", ("a", 2): "a"}  # ties to the smaller id
+    assert {r["doc_id"] for r in dense.dense_search(asked.where("query_id = 'a'"), docs, 2, same_ids=True).collect()} == {"b", "aa"}
+    blocks = {(r["query_id"], r["rank"]): r["doc_id"] for r in dense.dense_search(asked, docs, 2, block=1).collect()}
+    assert blocks == got and dense.dense_search(asked.where("false"), docs, 2).count() == 0
+
+
+def test_dense_search_keeps_the_best_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        docs = spark.range(0, 200, 1, 3).selectExpr("id as doc_id", "array(cast((id * 37) % 101 as double), 1d) as v")
+        asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, v array<double>")
+        got = [r["doc_id"] for r in dense.dense_search(asked, docs, 6).orderBy("rank").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(range(200), key=lambda i: (-((i * 37) % 101), i))[:6]
+
+
+def test_hashed_vectors(spark):
+    rows = spark.createDataFrame([(1, "A b a"), (2, "b, A; a"), (3, "other words"), (4, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r["v"] for r in dense.hashed_vectors(rows).collect()}
+    assert set(got) == {1, 2, 3} and got[1] == got[2] != got[3] and math.fsum(x * x for x in got[1]) == pytest.approx(1)
+
+
+def test_folding(spark):
+    assert [r[0] for r in spark.createDataFrame([("người đường é",)], "t string").select(F.explode(T.word_list(F.col("t"), "full"))).collect()] == ["nguoi", "đuong", "e"]
+    assert spark.createDataFrame([("người é",)], "t string").select(T.word_list(F.col("t"), "single")).first()[0] == ["nguời", "e"]  # two marks stay
+    docs = spark.createDataFrame([(1, "", "nguoi lao dong"), (2, "", "other")], "doc_id long, title string, text string")
+    asked = spark.createDataFrame([("q", "người lao")], "query_id string, text string")
+    assert lexical.bm25(asked, lexical.build_index(docs, fold="full")).first()["doc_id"] == 1
+    with pytest.raises(ValueError):
+        T.folded(F.col("t"), "other")
+
+
+def test_reasoning_shows_each_passage_once(spark):
+    docs = spark.createDataFrame([("d1", "One", "alpha bravo."), ("d2", "Two", "bravo charlie."), ("d3", "Three", "delta echo.")], "doc_id string, title string, text string")
+    asked = spark.createDataFrame([("q", "alpha"), ("none", "zulu")], "query_id string, text string")
+    index, prompts = lexical.build_index(docs), []
+
+    def reasoner(rows):
+        prompts.append({r["query_id"]: r["prompt"] for r in rows.collect()})
+        return rows.select("query_id", F.lit("bravo\nnot this").alias("line"))
+
+    got = multihop.interleaved_reasoning(asked, lambda q: lexical.bm25(q, index).select("query_id", "doc_id", "score", "rank"), docs, hops=3, reasoner=reasoner)
+    assert {r["doc_id"] for r in got.where("query_id = 'q'").collect()} == {"d1", "d2"}
+    assert "One: alpha bravo." in prompts[0]["q"] and "Reasoning so far" not in prompts[0]["q"]
+    assert "Two: bravo charlie." in prompts[1]["q"] and "One:" not in prompts[1]["q"] and "\nReasoning so far: bravo\n" in prompts[1]["q"]
+    assert prompts[0]["none"].endswith("\nEvidence:\n\nNext sentence:")
+
+
+def test_hops_rerank_with_their_own_queries(spark):
+    docs = spark.createDataFrame([("d1", "alpha bravo."), ("d2", "bravo charlie.")], "doc_id string, text string")
+    asked = spark.createDataFrame([("q", "alpha")], "query_id string, text string")
+    index, seen = lexical.build_index(docs.withColumn("title", F.lit(""))), []
+
+    def rerank(ranked, queries):
+        seen.append(queries.first()["text"])
+        return ranked
+
+    lists = multihop.greedy_hops(asked, lambda q: lexical.bm25(q, index).select("query_id", "doc_id", "score", "rank"), docs, 2, rerank=rerank)
+    assert seen == ["alpha", "alpha\nEvidence so far: alpha bravo."] and len(lists) == 2
+
+
+def test_compatibility_forms_count_as_one(spark):
+    rows = spark.createDataFrame([("ﬁne Ａ", "fine a")], "p string, r string")
+    assert rows.select(evaluation.rouge_l(F.col("p"), F.col("r")).alias("a")).first()["a"] == 1.0

@@ -1,10 +1,12 @@
 """Files: round trips and strictness."""
 
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from trailmark.functions import text as T
 from trailmark.operators import corpus, lexical
 from trailmark.sources import files
 
@@ -24,6 +26,18 @@ def test_qrels(spark, tmp_path):
     assert sorted(files.read_qrels(spark, str(tmp_path / "q")).collect()) == sorted(qrels.collect())
 
 
+def test_the_last_of_repeated_judgements_counts(spark, tmp_path):
+    (tmp_path / "q.tsv").write_text("q\t0\td\t2\nq\t0\te\t1\nq\t0\td\t0\n")
+    assert {r["doc_id"]: r["gain"] for r in files.read_qrels(spark, str(tmp_path / "q.tsv")).collect()} == {"d": 0, "e": 1}
+
+
+def test_ids_of_contexts_without_content(spark):
+    rows = spark.createDataFrame([(" x ", {"b": "1"}), ("", {"b": 'say "1"', "a": None}), (None, {"a": None, "b": 'say "1"'})], "content string, context map<string,string>")
+    ids = [r[0] for r in rows.select(T.synthetic_id(F.col("content"), F.col("context"))).collect()]
+    whole = json.dumps({"a": None, "b": 'say "1"'}, sort_keys=True)
+    assert ids == ["x", "context_" + hashlib.sha1(whole.encode()).hexdigest()[:16], ids[1]]
+
+
 def test_object_file(spark, tmp_path):
     (tmp_path / "qa.json").write_text(json.dumps({"s1": {"question": "q", "answer": "a", "contexts": {"c": {"content": "x", "link": "l", "document": "d", "điều": "5"}}}}))
     row = files.read_object_file(spark, str(tmp_path / "qa.json")).select("key", "value.question", F.col("value.contexts")["c"]["điều"].alias("n")).first()

@@ -1,12 +1,14 @@
-"""Text functions: Column in, Column out, all inside Catalyst."""
+"""Text functions: Column in, Column out, inside Catalyst but for one."""
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The word pattern in Java's terms; a word or one punctuation mark.
 WORD = r"[\p{L}\p{N}_]+"
@@ -132,9 +134,15 @@ def concise_fact(text: Column, question: Column, max_chars: int = 500) -> Column
     return F.substring(chosen, 1, max_chars)
 
 
+@F.pandas_udf(StringType())
+def nfkc(texts: pd.Series) -> pd.Series:
+    """Compatibility composition, which no built-in function has."""
+    return texts.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
+
+
 def normalized(c: Column) -> Column:
-    """Lower case with single spaces (NFC input; no compatibility folding)."""
-    return F.trim(F.regexp_replace(F.lower(text_or_empty(c)), r"\s+", " "))
+    """Compatibility composed, in lower case, with single spaces."""
+    return F.trim(F.regexp_replace(F.lower(nfkc(text_or_empty(c))), r"\s+", " "))
 
 
 def normalized_tokens(c: Column) -> Column:
