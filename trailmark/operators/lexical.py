@@ -25,9 +25,9 @@ class LexicalIndex:
     fold: str = "none"
 
     def stored(self, keep: Callable[[DataFrame], DataFrame]) -> LexicalIndex:
-        """Its tables written by ``keep``, postings sorted by term, so that row groups of
-        other terms can be skipped; the vocabulary follows from what is written."""
-        postings = keep(self.postings.repartition("term").sortWithinPartitions("term", "doc_id"))
+        """Its tables written by ``keep``, each file's postings sorted by term, so that row
+        groups of other terms can be skipped; the vocabulary follows from what is written."""
+        postings = keep(self.postings.sortWithinPartitions("term", "doc_id"))
         return LexicalIndex(postings, keep(self.lengths), keep(postings.groupBy("term").agg(F.count("*").alias("df"))), self.fold)
 
 
