@@ -385,4 +385,5 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret
                     batch = batch.set_column(at, batch.schema.field(at), pa.array(sizes, batch.column(at).type))
             yield batch
 
-    return docs.mapInArrow(trimmed(scan), docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs_columns))])  # names with dots don't pass as they are
+    return plain.mapInArrow(trimmed(scan), plain.schema).toDF(*docs_columns)
