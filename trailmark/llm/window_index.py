@@ -289,9 +289,9 @@ def remove_ranges(docs: DataFrame, ranges: DataFrame, width: int) -> DataFrame:
     return joined.mapInArrow(trimmed(cut), kind).unionByName(whole.mapInArrow(trimmed(cut), kind))
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, batches: int = 4) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, batches: int = 3) -> DataFrame:
     """All of a table through the index, in ``batches`` ranges of ids: (id, n_words,
-    n_removed, kept_sha256, kept)."""
+    n_removed, kept_sha256, kept).  The third batch meets a compacted run."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     known = source.where("id is not null")
     bounds = known.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
