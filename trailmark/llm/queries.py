@@ -279,3 +279,111 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neighbours import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+# --------------------------------------------- 11: conversation structure repair
+
+
+def _repair_sql() -> str:
+    """Costs and edits behind every row, from the last row on: for each state the cheapest
+    (cost, letters, lines), which is the least by cost, then by letters."""
+
+    def written(role: str, text: str, behind: str) -> str:
+        return f"{{'c': {{c}} + {behind}.c, 'a': '{{l}}' || {behind}.a, 'r': [{role} || ':' || {text}] || {behind}.r}}"
+
+    def arc(letter: str, cost: str, role: str, text: str, behind: str) -> str:
+        return written(role, text, behind).replace("{c}", cost).replace("{l}", letter)
+
+    def least(options: list[str]) -> str:
+        return f"list_sort([{', '.join(options)}])[1]"
+
+    far = "{'c': 1000000000000, 'a': '~', 'r': []::VARCHAR[]}"
+    nxt = {"p": "u", "s": "u", "u": "a", "a": "u"}
+    name = {"u": "'user'", "a": "'assistant'"}
+
+    def read(q: str) -> str:  # arcs that read the row
+        options = [f"{{'c': 3 + {q}.c, 'a': 'D' || {q}.a, 'r': {q}.r}}"]
+        moves = {"p": "su", "s": "u", "u": "a", "a": "u"}[q]
+        for initial in moves:
+            kept = arc("K", "cut", "role", "text", initial)
+            options.append(f"CASE WHEN NOT gone AND substr(role, 1, 1) = '{initial}' THEN {kept} ELSE {far} END")
+        options.append(f"CASE WHEN NOT gone THEN {arc('R', '(2 + cut)', name[nxt[q]], 'text', nxt[q])} ELSE {far} END")
+        return least(options)
+
+    def inserted(q: str) -> str:  # with insertions before it
+        return least([q, arc("I", "2", name[nxt[q]], "''", nxt[q])])
+
+    none = "{'c': 0, 'a': '', 'r': []::VARCHAR[]}"
+    user_end = "{'c': 2, 'a': 'I', 'r': ['assistant:']}"
+    system_end = "{'c': 4, 'a': 'II', 'r': ['user:', 'assistant:']}"
+    crc = "xor(list_reduce([4294967295] || list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+    space = r"[\x20\x09-\x0D]"
+    return rf"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+fate AS MATERIALIZED (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS fate FROM conversations, t),
+hurt AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, fate FROM fate WHERE fate <> 0),
+twice AS (SELECT conv_id, turn, role, text FROM hurt UNION ALL SELECT conv_id, turn, role, text FROM hurt WHERE fate = 3),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM twice),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS bare, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+rows_ AS MATERIALIZED (SELECT *, bare OR again AS gone, (NOT bare AND NOT again AND NOT regexp_matches(text, '[.!?]{space}*$'))::BIGINT AS cut FROM seen),
+stats AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (bare) AS blank, count(*) FILTER (again AND NOT bare) AS duplicate, sum(cut) AS truncated,
+  count(*) FILTER (before IS NOT NULL AND substr(before, 1, 1) || substr(role, 1, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY conv_id),
+walk(conv_id, i, p, s, u, a) AS (
+  SELECT conv_id, n, {none}, {system_end}, {user_end}, {none} FROM stats
+  UNION ALL
+  SELECT conv_id, i - 1, {inserted('p')}, {inserted('s')}, u, {inserted('a')} FROM (
+    SELECT conv_id, i, p, s, {inserted('u')} AS u, a FROM (
+      SELECT w.conv_id, w.i, {read('p')} AS p, {read('s')} AS s, {read('u')} AS u, {read('a')} AS a
+      FROM walk w JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i))),
+done AS (SELECT conv_id, p.c AS cost, p.a AS audit, sha256(array_to_string(p.r, chr(10))) AS sha FROM walk WHERE i = 0)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN stats ON stats.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+@query("op11_conversation_repair", _repair_sql())
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import damage, report
+
+    turns = table(spark, sf_dir, "conversations")
+    return report(damage(turns), turns)
+
+
+# --------------------------------------------------- 12: ranked lexical search
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op12_lexical_search",
+    rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS w FROM documents),
+p AS MATERIALIZED (SELECT term, r, any_value(doc_id) AS doc_id, count(*) AS tf, any_value(n) AS n FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY term, r),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS docs, sum(len(w))::BIGINT AS tokens FROM d),
+v AS MATERIALIZED (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, s GROUP BY term, docs),
+q AS (SELECT i, item_id, term, count(*) AS times FROM (SELECT i, item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM (SELECT row_number() OVER () AS i, * FROM benchmark)) GROUP BY ALL),
+m AS (SELECT i, item_id, r, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // tokens))))::BIGINT AS score FROM q JOIN v USING (term) JOIN p USING (term), s GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM m WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 10
+""",
+)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .impacts import build_index, search
+
+    return search(table(spark, sf_dir, "benchmark"), build_index(table(spark, sf_dir, "documents")))
+
+
+# ------------------------------------------------------------ 13: personal data
+
+
+@query("op13_personal_data")
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .personal import BASE_KINDS, find_personal
+
+    found = find_personal(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    return found.select("doc_id", *[of(k) for k in BASE_KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
