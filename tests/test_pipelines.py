@@ -47,18 +47,6 @@ def test_answer_metrics(spark):
         pipelines.answer_metrics(rows.withColumn("reference", F.lit(None).cast("string"))).collect()
 
 
-def test_stage_runs_once(spark, tmp_path):
-    calls = []
-
-    def build():
-        calls.append(1)
-        return spark.range(3)
-
-    path = str(tmp_path / "stage")
-    assert pipelines.stage(spark, path, build).count() == pipelines.stage(spark, path, build).count() == 3
-    assert calls == [1]
-
-
 def test_comparison_checks_invariants(spark):
     runs = spark.createDataFrame([("m", 1, "h", "dev"), ("n", 1, "h", "dev")], "method string, seed int, corpus string, split string")
     assert pipelines.comparison(runs, ["corpus"], ["split"], {"seed": 1}).count() == 2

@@ -1,5 +1,6 @@
 """Retrieval, fusion, hops, metrics and audits on small literal cases."""
 
+import hashlib
 import math
 
 import pytest
@@ -100,6 +101,76 @@ def test_trie(spark):
     assert got == {"root": {2}, "mid": {3, 4}, "leaf": {1, 9}, "again": {2}, "off": {1}}
 
 
+def plain_decode(tokens, score, separator, end, beams, steps):
+    """Token by token, with forced tokens written at once."""
+    ids = {tuple(t) for t in tokens if t}
+
+    def allowed(part):
+        out = sorted({t[len(part)] for t in ids if len(t) > len(part) and t[: len(part)] == part})
+        return out + ([separator, end] if part in ids else []) or [end]
+
+    def part_of(generated):
+        at = len(generated) - generated[::-1].index(separator) if separator in generated else 0
+        return tuple(generated[at:])
+
+    held = [(0.0, [], False)]
+    for _ in range(steps):
+        out = [h for h in held if h[2]]
+        for total, generated, done in held:
+            if done:
+                continue
+            options = allowed(part_of(generated))
+            for token in options:
+                now = generated + [token]
+                while token not in (separator, end) and len(more := allowed(part_of(now))) == 1 and more[0] != end:
+                    now = now + more
+                out.append((total + (score(generated, token) if len(options) > 1 else 0.0), now, token == end))
+        held = sorted(out, key=lambda h: (-h[0], h[1]))[:beams]
+    return [(i + 1, h[1], h[0]) for i, h in enumerate(held)]
+
+
+@pytest.mark.parametrize("beams, steps", [(1, 6), (3, 4)])
+def test_decoding_matches_a_plain_one(spark, beams, steps):
+    tokens = [[2, 3], [2, 4], [2, 4, 5, 6, 7], [8], [8, 3, 3], []]
+    ids = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(tokens)], "doc_id string, tokens array<int>")
+    value = lambda q: lambda generated, token: -float((7 * q + 3 * len(generated) + token * token) % 11)
+
+    def score(options):
+        return options.withColumn("gain", -((7 * F.col("query_id") + 3 * F.size("generated") + F.col("token") * F.col("token")) % 11).cast("double"))
+
+    asked = spark.createDataFrame([(q, "x") for q in range(5)], "query_id int, text string")
+    got = {}
+    for r in docids.decode(asked, docids.trie_edges(ids), score, 1, 0, beams, steps).orderBy("query_id", "beam").collect():
+        got.setdefault(r["query_id"], []).append((r["beam"], r["generated"], r["total"]))
+    assert got == {q: plain_decode(tokens, value(q), 1, 0, beams, steps) for q in range(5)}
+
+
+def test_trie_has_no_forced_steps(spark):
+    ids = spark.createDataFrame([("a", [2, 3, 4]), ("b", [2, 3, 5]), ("c", [2, 3])], "doc_id string, tokens array<int>")
+    got = {(tuple(r["prefix"]), tuple(r["run"]), r["options"]) for r in docids.trie_edges(ids).collect()}
+    assert got == {((), (2, 3), 1), ((2, 3), (4,), 4), ((2, 3), (5,), 4), ((2, 3), (-1,), 4), ((2, 3, 4), (-1,), 2), ((2, 3, 5), (-1,), 2)}
+
+
+def test_generated_sequences_resolve(spark):
+    ids = spark.createDataFrame([("Doc A", [3, 4]), ("b", [3]), ("c", [5, 6])], "doc_id string, tokens array<int>")
+    written = spark.createDataFrame([("q", [3, 4, 1, 5, 6, 1, 3, 4, 2, 3]), ("cut", [3, 1, 5]), ("none", [2])], "query_id string, generated array<int>")
+    got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in docids.resolve_ids(docids.decoded_ids(written, ids, 1, 2), ids).collect()}
+    assert got == {("q", 1): ("Doc A", 2.0), ("q", 2): ("c", 1.0), ("cut", 1): ("b", 1.0)}
+
+
+def test_spelling_out_a_ranking(spark):
+    docs = spark.createDataFrame([("x/é",), ("x/a",), ("x/ab",), ("y",)], "doc_id string")
+    ids = docs.select("doc_id", docids.byte_tokens("doc_id").alias("tokens"))
+    assert ids.where("doc_id = 'x/é'").first()["tokens"] == [b + 3 for b in "x/é".encode()]
+    hits = spark.createDataFrame([("q", "x/ab", 1), ("q", "x/é", 2), ("q", "x/a", 3), ("p", "y", 1)], "query_id string, doc_id string, rank long")
+    asked = spark.createDataFrame([("q", ""), ("p", ""), ("none", "")], "query_id string, text string")
+    best = docids.decode(asked, docids.trie_edges(ids), docids.spelled(hits, ids, 1, 2), 1, 2)
+    got = {}
+    for r in docids.resolve_ids(docids.decoded_ids(best, ids, 1, 2), ids).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    assert got["q"] == ["x/ab", "x/é", "x/a"] and got["p"] == ["y"] and len(got["none"]) == 1
+
+
 def test_maxsim(spark):
     rows = spark.createDataFrame([([[1.0, 0.0], [0.0, 1.0]], [[1.0, 0.0], [1.0, 0.0]]), ([[1.0, 0.0], [0.0, 1.0]], [[0.0, 1.0], [0.0, 1.0]])], "q array<array<double>>, d array<array<double>>")
     scores = [r[0] for r in rows.select(V.focused_maxsim(F.col("q"), F.col("d"))).collect()]
@@ -147,6 +218,15 @@ def test_rouge_forms_agree(spark):
     assert [r["b"] for r in got] == pytest.approx([4 / 7, 1, 0, 1, 0])
 
 
+def test_fingerprints_count_repetitions(spark):
+    def of(rows):
+        return audit.table_fingerprint(spark.createDataFrame(rows, "a string, b string"), ["a", "b"]).first()["digest"]
+
+    one, two = [("1", "1"), ("1", "1"), ("5", "5")], [("2", "2"), ("2", "2"), ("5", "5")]
+    assert of(one) != of(two) and of(one) == of(one[::-1]) and of(one) != of(one[1:])
+    assert len({of([("a\x1fb", "c")]), of([("a", "b\x1fc")]), of([(None, "c")]), of([("∅", "c")]), of([("", "c")]), of([("-", "c")]), of([])}) == 7
+
+
 def test_seed_summary(spark):
     runs = spark.createDataFrame([("m", 1, "x", 1.0), ("m", 2, "x", 3.0), ("m", 1, "y", 1.0), ("n", 1, "x", 2.0)], "method string, seed int, metric string, value double")
     got = {(r["method"], r["metric"]): (r["mean"], r["std"]) for r in audit.summarize_seeds(runs).collect()}
@@ -156,22 +236,26 @@ def test_seed_summary(spark):
     assert audit.table_fingerprint(runs, runs.columns).first() == audit.table_fingerprint(runs.orderBy(F.desc("value")), runs.columns).first()
 
 
-def test_partial_index_ranks_alike(spark):
-    p = passages(spark, [(i, f"t{i % 3}", f"alpha w{i} w{i % 4} beta" if i % 2 else f"w{i % 5} gamma") for i in range(30)])
-    queries = spark.createDataFrame([(1, "w1 w3 alpha"), (2, "gamma t1"), (3, "absent")], "query_id long, text string")
-    full = lexical.bm25(queries, lexical.build_index(p)).orderBy("query_id", "rank").collect()
-    part = lexical.bm25(queries, lexical.build_index(p, lexical.query_terms(queries))).orderBy("query_id", "rank").collect()
-    assert full == part and len(full) > 10
-
-
 def test_dense_search_takes_any_ids(spark):
     docs = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [-1.0, 0.0]), ("aa", [1.0, 0.0])], "doc_id string, v array<double>").repartition(3)
     asked = spark.createDataFrame([("q", [0.9, 0.1]), ("a", [0.0, 1.0])], "query_id string, v array<double>")
     got = {(r["query_id"], r["rank"]): r["doc_id"] for r in dense.dense_search(asked, docs, 2).collect()}
     assert got == {("q", 1): "a", ("q", 2): "aa", ("a", 1): "b", ("a", 2): "a"}  # ties to the smaller id
     assert {r["doc_id"] for r in dense.dense_search(asked.where("query_id = 'a'"), docs, 2, same_ids=True).collect()} == {"b", "aa"}
-    blocks = {(r["query_id"], r["rank"]): r["doc_id"] for r in dense.dense_search(asked, docs, 2, block=1).collect()}
-    assert blocks == got and dense.dense_search(asked.where("false"), docs, 2).count() == 0
+    tiles = {(r["query_id"], r["rank"]): r["doc_id"] for r in dense.dense_search(asked, docs, 2, tile_bytes=16).collect()}
+    assert tiles == got and dense.dense_search(asked, docs.where("false"), 2).count() == 0 and dense.dense_search(asked.where("false"), docs, 2).count() == 0
+
+
+def test_dense_search_meets_in_tiles(spark):
+    vectors = spark.range(3000).selectExpr("id as doc_id", "array(cast((id * 37) % 101 as double), cast(id % 7 as double)) as v")
+    asked = vectors.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+    found = dense.dense_search(asked, vectors, 4, tile_bytes=2048)
+    plan = found._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    rows = {r["doc_id"]: r["v"] for r in vectors.collect()}
+    for q in (0, 1700, 2900):
+        want = sorted((-sum(a * b for a, b in zip(rows[q], v)), i) for i, v in rows.items())[:4]
+        assert [(-r["score"], r["doc_id"]) for r in found.where(F.col("query_id") == q).orderBy("rank").collect()] == want
 
 
 def test_dense_search_keeps_the_best_over_batches(spark):
@@ -188,6 +272,8 @@ def test_dense_search_keeps_the_best_over_batches(spark):
 def test_hashed_vectors(spark):
     rows = spark.createDataFrame([(1, "A b a"), (2, "b, A; a"), (3, "other words"), (4, "")], "doc_id long, text string")
     got = {r["doc_id"]: r["v"] for r in dense.hashed_vectors(rows).collect()}
+    places = [int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % 64 for w in ("a", "b", "a")]
+    assert got[1] == pytest.approx([places.count(i) / math.sqrt(sum(places.count(j) ** 2 for j in set(places))) for i in range(64)])
     assert set(got) == {1, 2, 3} and got[1] == got[2] != got[3] and math.fsum(x * x for x in got[1]) == pytest.approx(1)
 
 

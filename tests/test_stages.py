@@ -1,13 +1,14 @@
 """Every command from input files to outputs."""
 
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from trailmark.__main__ import main
 from trailmark.operators import answers
-from trailmark.plans import stages
+from trailmark.plans import experiments, readers, stages
 from trailmark.sources import files
 
 
@@ -80,17 +81,82 @@ def test_prepared_corpus_and_tracks(made, spark):
 def test_retrieval_by_every_method(made, spark, method):
     args = ["retrieve", "--corpus", made("exp/corpus"), "--queries", made("exp/all_matched/queries"), "--output", made(f"rank-{method}"), "--method", method, "--split", "dev", "--top-k", "3", "--max-hops", "2"]
     main(args, spark)
-    rows = {r["query_id"]: [x["doc_id"] for x in r["results"]] for r in files.read_jsonl(spark, made(f"rank-{method}"), files.RANKINGS).collect()}
+    rows = {r["query_id"]: [x["doc_id"] for x in r["results"]] for r in files.read_jsonl(spark, made(f"rank-{method}/rankings"), files.RANKINGS).collect()}
     assert set(rows) == {"dev_7", "dev_8"} and all(len(v) == len(set(v)) <= 3 for v in rows.values())
     assert "sub+(x)/labour-law-10.json#dieu=2" in rows["dev_7"]
 
 
+def test_rankings_are_scored_and_described(made, spark):
+    for name, method in (("a", "bm25"), ("b", "dense")):
+        main(["retrieve", "--corpus", made("exp/corpus"), "--queries", made("exp/all_matched/queries"), "--qrels", made("exp/all_matched/qrels"), "--output", made(f"scored/{name}"), "--method", method, "--split", "dev", "--store", made("kept"), "--track", "all_matched"], spark)
+    a, b = (json.loads(spark.read.text(made(f"scored/{x}/metrics")).first()[0]) for x in "ab")
+    assert a["num_queries"] == b["num_queries"] == 2 and a["recall@10"] == 1.0 and a.get("model") is None and b["model"] == "hashed_vectors"
+    assert {k: a[k] for k in ("split", "track", "seed", "search_depth")} == {"split": "dev", "track": "all_matched", "seed": 42, "search_depth": 100} and a["runtime_seconds"] > 0
+    assert all(a[f"{x}_fingerprint"] == b[f"{x}_fingerprint"] and len(a[f"{x}_fingerprint"]) == 64 for x in ("corpus", "queries", "qrels"))
+    main(["summarize-runs", "--runs", made("scored/*/metrics"), "--track", "all_matched", "--output", made("scored-table")], spark)
+    rows = spark.read.csv(made("scored-table"), sep="\t", header=True).collect()
+    assert {r["method"] for r in rows} == {"bm25", "dense"} and float(rows[0]["recall@10"]) > 0
+    with pytest.raises(ValueError):
+        main(["summarize-runs", "--runs", made("scored/*/metrics"), "--track", "true_multihop", "--output", made("no")], spark)
+    with pytest.raises(ValueError, match="only_in|qrels|train"):  # judgements of another split
+        main(["retrieve", "--corpus", made("exp/corpus"), "--queries", made("exp/all_matched/queries"), "--qrels", made("exp/all_matched/qrels"), "--output", made("no"), "--method", "bm25"][:-2] + ["--split", "train", "--qrels", made("exp/all_matched/qrels/split=dev")], spark)
+
+
+def test_arguments_are_checked(made, spark):
+    for args in (["retrieve", "--corpus", "c", "--queries", "q", "--output", "o", "--top-k", "0"], ["retrieve", "--corpus", "c", "--queries", "q", "--output", "o", "--top-k", "9", "--search-depth", "3"],
+                 ["evaluate-qa", "--rankings", "r", "--queries", "q", "--corpus", "c", "--qa-dir", "d", "--output", "o", "--max-source-length", "255"], ["filter-multihop", "--input", "i", "--output", "o", "--min-contexts", "0"],
+                 ["prepare-extractive", "--qa-dir", "q", "--ir-dir", "i", "--structured-dir", "s", "--output", "o", "--max-passages", "1"], ["run", "--qa-dir", "q", "--structured-dir", "s", "--output", "o", "--splits", "test"]):
+        with pytest.raises(SystemExit):
+            main(args, spark)
+
+
+def test_experiment_redoes_what_depends_on_a_change(root, spark, tmp_path):
+    for name in ("qa", "laws"):
+        shutil.copytree(root / name, tmp_path / name)
+    args = ["--qa-dir", str(tmp_path / "qa"), "--structured-dir", str(tmp_path / "laws"), "--output", str(tmp_path / "out")]
+
+    def steps(qa_top_k=2, methods=("bm25", "dense")):
+        made_ = experiments.retrieval_experiment(args[1], args[3], args[5], methods, (1,), ("dev",), "all_matched", 3, 10, 2, qa_top_k=qa_top_k)
+        return {n for n, what in experiments.run_steps(spark, made_).items() if what == "done"}, {s.name for s in made_}
+
+    done, every = steps()
+    assert done == every and len(every) == 8
+    table = spark.read.csv(f"{args[5]}/comparison/table", sep="\t", header=True)
+    assert {r["method"] for r in table.collect()} == {"bm25", "dense"} and "recall@10" in table.columns
+    assert steps()[0] == set()
+    assert steps(qa_top_k=1)[0] == {n for n in every if n.startswith("read ")} | {"compare readers"}  # a reader's setting
+    more = steps(qa_top_k=1, methods=("bm25", "dense", "hybrid"))[0]
+    assert more == {"retrieve all_matched_hybrid_seed1_dev", "read all_matched_hybrid_seed1_dev", "compare", "compare readers"}
+    path = tmp_path / "laws" / "land-law-20.json"
+    path.write_text(path.read_text().replace("needs a permit", "needs one permit"))
+    assert steps(qa_top_k=1, methods=("bm25", "dense", "hybrid"))[0] >= every
+    shutil.rmtree(tmp_path / "out/runs/all_matched_dense_seed1_dev/_step")  # it stopped before its end
+    assert "retrieve all_matched_dense_seed1_dev" in steps(qa_top_k=1, methods=("bm25", "dense", "hybrid"))[0]
+    with pytest.raises(ValueError, match="needs"):
+        experiments.run_steps(spark, [experiments.Step("x", str(tmp_path / "x"), lambda s: None, ("y",))])
+    main(["run", *args, "--track", "all_matched", "--top-k", "3", "--search-depth", "10", "--max-hops", "2", "--seeds", "1", "--qa-top-k", "1", "--methods", "bm25"], spark)
+
+
+def test_prompts_keep_to_the_budget(spark):
+    rows = spark.createDataFrame([("q", "what", "a", [("d1", "t", "one two  three\nfour five"), ("d2", "t", "one\n two")])], "query_id string, question string, answer string, contexts array<struct<doc_id:string,title:string,text:string>>")
+    seen = []
+
+    def reader(prompts):
+        seen.append(prompts.first()["source"])
+        return prompts.select("query_id", F.lit("x").alias("prediction"))
+
+    readers.predict(rows, "msg", reader, 2, answers.passage_budget(2, 260, 3)).collect()
+    assert answers.passage_budget(2, 260, 3) == 1 and answers.passage_budget(10) == 147
+    readers.predict(rows, "msg", reader, 2, 3).collect()
+    assert "t\none\n" in seen[0] + "\n" and "one two three" in seen[1] and "four" not in seen[1] and "one\n two" in seen[1]
+
+
 def test_test_split_needs_final(made, spark):
     args = ["retrieve", "--corpus", made("exp/corpus"), "--queries", made("exp/all_matched/queries"), "--output", made("rank-test"), "--split", "test"]
     with pytest.raises(SystemExit, match="--final"):
         main(args, spark)
     main([*args, "--final"], spark)
-    assert files.read_jsonl(spark, made("rank-test"), files.RANKINGS).count() == 1
+    assert files.read_jsonl(spark, made("rank-test/rankings"), files.RANKINGS).count() == 1
 
 
 def test_abstractive_stage(made, spark):
@@ -117,7 +183,7 @@ def test_extractive_stage_and_evaluation(made, spark, tmp_path):
 
 def test_reader_evaluation_and_summary(made, spark, tmp_path):
     main(["retrieve", "--corpus", made("exp/corpus"), "--queries", made("exp/all_matched/queries"), "--output", made("ranked"), "--split", "dev"], spark)
-    args = ["evaluate-qa", "--rankings", made("ranked"), "--queries", made("exp/all_matched/queries"), "--corpus", made("exp/corpus"), "--qa-dir", made("qa"), "--split", "dev", "--top-k", "2"]
+    args = ["evaluate-qa", "--rankings", made("ranked/rankings"), "--queries", made("exp/all_matched/queries"), "--corpus", made("exp/corpus"), "--qa-dir", made("qa"), "--split", "dev", "--top-k", "2"]
     main([*args, "--output", made("read")], spark)
     predictions = {r["query_id"]: r for r in spark.read.json(made("read/predictions")).collect()}
     assert predictions["dev_7"]["reference"] == "Wages are paid monthly." and "Wages are paid monthly." in predictions["dev_7"]["prediction"]
@@ -126,7 +192,7 @@ def test_reader_evaluation_and_summary(made, spark, tmp_path):
     assert row["split"] == "dev" and int(row["num_examples"]) == 2
     with pytest.raises(ValueError):
         main(["summarize-qa", "--runs", made("read/metrics"), "--top-k", "9", "--output", str(tmp_path / "no")], spark)
-    lacking = files.read_jsonl(spark, made("ranked"), files.RANKINGS).where("query_id <> 'dev_7'")
+    lacking = files.read_jsonl(spark, made("ranked/rankings"), files.RANKINGS).where("query_id <> 'dev_7'")
     q = spark.createDataFrame([("dev_7", "x")], "query_id string, text string")
     with pytest.raises(ValueError, match="without ranking"):
         stages.evaluate_reader(q, lacking, files.read_jsonl(spark, made("exp/corpus"), stages.PASSAGES), q.withColumn("answer", F.lit("a")))

@@ -10,18 +10,26 @@ from pyspark.sql import functions as F
 from .functions import text
 from .operators import answers as qa_examples
 from .operators import audit, corpus
-from .plans import pipelines, stages
+from .plans import experiments, pipelines, stages
 from .session import local_session, ship
 from .sources import files
 
 QA_RUN = (
     "retrieval_method string, retrieval_seed int, reader_checkpoint string, reader_method string, reader_model_name string, split string, track string, top_k_contexts int, max_passage_tokens int, "
-    "num_examples long, mean_retrieved_contexts double, queries_sha256 string, rouge_l double, meteor double, bertscore_f1 double"
+    "num_examples long, mean_retrieved_contexts double, rankings_fingerprint string, queries_fingerprint string, rouge_l double, meteor double, bertscore_f1 double"
 )
 
 
+def _at_least(a: argparse.Namespace, **least: int) -> None:
+    """Refuses options below what makes sense."""
+    for name, low in least.items():
+        if getattr(a, name) < low:
+            raise SystemExit(f"--{name.replace('_', '-')} must be at least {low}")
+
+
 def filter_multihop(spark: SparkSession, a: argparse.Namespace) -> None:
     """Samples with enough contexts."""
+    _at_least(a, min_contexts=1)
     rows = files.read_object_file(spark, a.input).select("key", "value.question", "value.answer", F.map_values("value.contexts").alias("contexts"))
     files.write_jsonl(corpus.min_contexts(rows, a.min_contexts), a.output)
 
@@ -43,13 +51,13 @@ def prepare(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def prepare_abstractive(spark: SparkSession, a: argparse.Namespace) -> None:
     """Examples for readers that write answers."""
+    _at_least(a, distractors=0)
     stages.prepare_abstractive(spark, a.qa_dir, a.ir_dir, a.output, a.distractors, a.seed)
 
 
 def prepare_extractive(spark: SparkSession, a: argparse.Namespace) -> None:
     """Passages and span labels for readers that mark answers."""
-    if a.max_passages < 2 or a.passage_tokens < 1:
-        raise SystemExit("at least two passages of at least one token")
+    _at_least(a, max_passages=2, passage_tokens=1, distractors=0)
     stages.prepare_extractive(spark, a.qa_dir, a.ir_dir, a.structured_dir, a.output, a.max_passages, a.passage_tokens, a.distractors, a.seed)
 
 
@@ -60,29 +68,43 @@ def _of_split(rows: DataFrame, a: argparse.Namespace) -> DataFrame:
     return rows.where(F.col("split") == a.split) if a.split and "split" in rows.columns else rows
 
 
+def _depths(a: argparse.Namespace) -> None:
+    _at_least(a, top_k=1, max_hops=1)
+    if a.top_k > a.search_depth:
+        raise SystemExit("--search-depth must be at least --top-k")
+
+
 def retrieve(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Rank passages for queries."""
-    if not 1 <= a.top_k <= a.search_depth or a.max_hops < 1:
-        raise SystemExit("search-depth must be at least top-k, top-k and max-hops at least 1")
+    """Rank passages for queries; with judgements, score the rankings."""
+    _depths(a)
     passages = files.read_jsonl(spark, a.corpus, stages.PASSAGES)
     queries = _of_split(files.read_jsonl(spark, a.queries, stages.SAMPLES), a).select("query_id", F.col("query").alias("text"))
-    ranked = stages.rank(a.method, queries, passages, a.search_depth, a.max_hops, fold=a.fold)
-    nested = files.nest_rankings(ranked.where(F.col("rank") <= a.top_k))
-    none = F.array().cast(nested.schema["results"].dataType)
-    files.write_jsonl(queries.select("query_id").join(nested, "query_id", "left").select("query_id", F.coalesce("results", none).alias("results")), a.output)
+    qrels = _of_split(files.read_qrels(spark, a.qrels), a).select("query_id", "doc_id", "gain") if a.qrels else None
+    stages.retrieval_run(a.method, queries, passages, a.output, qrels, a.top_k, a.search_depth, a.max_hops, fold=a.fold, store=a.store, split=a.split, track=a.track, seed=a.seed)
 
 
 def evaluate_qa(spark: SparkSession, a: argparse.Namespace) -> None:
     """Read the ranked passages and score the answers."""
-    queries = _of_split(files.read_jsonl(spark, a.queries, stages.SAMPLES), a)
-    qa = queries.join(stages.read_qa(spark, a.qa_dir).select("split", "source_qa_id", "question", "answer"), ["split", "source_qa_id"], "left")
-    asked = qa.select("query_id", F.coalesce("question", F.lit("")).alias("text"))
-    rankings = files.read_jsonl(spark, a.rankings, files.RANKINGS)
-    predictions, means = stages.evaluate_reader(asked, rankings, files.read_jsonl(spark, a.corpus, stages.PASSAGES), qa, a.top_k, a.reader_method)
-    files.write_jsonl(predictions, f"{a.output}/predictions")
-    own = {"retrieval_method": a.retrieval_method, "retrieval_seed": a.seed, "reader_checkpoint": "extractive stand-in", "reader_method": a.reader_method, "reader_model_name": "", "split": a.split, "track": a.track, "top_k_contexts": a.top_k}
-    digests = [audit.table_fingerprint(t, c).select(F.hex("digest").alias(n)) for t, c, n in ((rankings.withColumn("results", F.to_json("results")), ["query_id", "results"], "rankings_digest"), (queries, ["query_id", "query"], "queries_sha256"))]
-    files.write_manifest(means.select(*[F.lit(v).alias(k) for k, v in own.items()], "*").crossJoin(digests[0]).crossJoin(digests[1]), f"{a.output}/metrics")  # one row each
+    _at_least(a, top_k=1, max_source_length=256, max_passage_tokens=1)
+    samples = _of_split(files.read_jsonl(spark, a.queries, stages.SAMPLES), a)
+    rankings, passages = files.read_jsonl(spark, a.rankings, files.RANKINGS), files.read_jsonl(spark, a.corpus, stages.PASSAGES)
+    stages.reader_run(
+        samples, rankings, passages, stages.read_qa(spark, a.qa_dir), a.output, a.top_k, a.reader_method, a.max_source_length, a.max_passage_tokens, retrieval_method=a.retrieval_method, retrieval_seed=a.seed,
+        split=a.split, track=a.track,
+    )
+
+
+def run(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A whole experiment: every method, seed and split; what is there already is kept."""
+    _depths(a)
+    _at_least(a, qa_top_k=1, max_source_length=256, max_passage_tokens=1)
+    if "test" in a.splits and not a.final:
+        raise SystemExit("the test split needs --final")
+    steps = experiments.retrieval_experiment(
+        a.qa_dir, a.structured_dir, a.output, a.methods, a.seeds, a.splits, a.track, a.top_k, a.search_depth, a.max_hops, a.fold, a.qa_top_k, a.reader_method, a.max_source_length, a.max_passage_tokens
+    )
+    for name, what in experiments.run_steps(spark, steps).items():
+        print(f"{what}: {name}")
 
 
 def evaluate_extractive(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -97,8 +119,13 @@ def evaluate_extractive(spark: SparkSession, a: argparse.Namespace) -> None:
 def summarize_qa(spark: SparkSession, a: argparse.Namespace) -> None:
     """Reader metrics of several runs side by side."""
     runs = files.read_jsonl(spark, a.runs, QA_RUN)
-    columns = ["split", "retrieval_method", "retrieval_seed", "num_examples", "top_k_contexts", "mean_retrieved_contexts", "rouge_l", "meteor", "bertscore_f1"]
-    files.write_comparison(stages.summarize_readers(runs, {"track": a.track, "top_k_contexts": a.top_k}), columns, a.output)
+    files.write_comparison(stages.summarize_readers(runs, {"track": a.track, "top_k_contexts": a.top_k}), stages.QA_TABLE, a.output)
+
+
+def summarize_runs(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Metrics of several retrieval runs side by side, after checking what they read."""
+    runs = spark.read.json(a.runs)
+    files.write_comparison(stages.summarize_runs(runs, {"track": a.track, "search_depth": a.search_depth}), [c for c in stages.IR_TABLE if c in runs.columns], a.output)
 
 
 def summarize_extractive(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -157,14 +184,17 @@ COMMANDS = {
     "validate": (validate, ["corpus", "queries", "qrels"]),
     "tracks": (tracks, ["qrels", "output"]),
     "summarize": (summarize, ["runs", "output"]),
+    "summarize-runs": (summarize_runs, ["runs", "output"]),
     "summarize-qa": (summarize_qa, ["runs", "output"]),
+    "run": (run, ["qa-dir", "structured-dir", "output"]),
     "summarize-extractive": (summarize_extractive, ["runs", "output"]),
 }
 #: Options of several commands: (flag, default, commands).
 NUMBERS = (
-    ("--distractors", 0, ["prepare-abstractive", "prepare-extractive"]), ("--seed", 42, ["prepare-abstractive", "prepare-extractive", "evaluate-qa"]),
+    ("--distractors", 0, ["prepare-abstractive", "prepare-extractive"]), ("--seed", 42, ["prepare-abstractive", "prepare-extractive", "evaluate-qa", "retrieve"]),
     ("--max-passages", 6, ["prepare-extractive"]), ("--passage-tokens", 256, ["prepare-extractive"]),
-    ("--top-k", 100, ["retrieve"]), ("--search-depth", 100, ["retrieve"]), ("--max-hops", 3, ["retrieve"]), ("--top-k", 10, ["evaluate-qa", "summarize-qa"]), ("--min-contexts", 2, ["filter-multihop"]),
+    ("--top-k", 100, ["retrieve", "run"]), ("--search-depth", 100, ["retrieve", "run", "summarize-runs"]), ("--max-hops", 3, ["retrieve", "run"]), ("--top-k", 10, ["evaluate-qa", "summarize-qa"]),
+    ("--qa-top-k", 10, ["run"]), ("--max-source-length", 2048, ["evaluate-qa", "run"]), ("--max-passage-tokens", 256, ["evaluate-qa", "run"]), ("--min-contexts", 2, ["filter-multihop"]),
 )
 
 
@@ -179,14 +209,22 @@ def parser() -> argparse.ArgumentParser:
     for flag, default, commands in NUMBERS:
         for name in commands:
             subs.choices[name].add_argument(flag, type=int, default=default)
-    for name in ("tracks", "evaluate-qa", "summarize-qa"):
+    for name in ("tracks", "evaluate-qa", "summarize-qa", "summarize-runs", "retrieve", "run"):
         subs.choices[name].add_argument("--track", choices=stages.TRACKS, default="true_multihop")
     for name in ("retrieve", "evaluate-qa", "evaluate-extractive"):
         subs.choices[name].add_argument("--split", choices=["train", "dev", "test"])
         subs.choices[name].add_argument("--final", action="store_true", help="allow the test split")
     subs.choices["retrieve"].add_argument("--method", choices=stages.METHODS, default="bm25")
-    subs.choices["retrieve"].add_argument("--fold", choices=text.FOLDS, default="none")
-    subs.choices["evaluate-qa"].add_argument("--reader-method", choices=sorted(qa_examples.INSTRUCTIONS), default="pathfid")
+    subs.choices["retrieve"].add_argument("--qrels", help="score the rankings against these judgements")
+    subs.choices["retrieve"].add_argument("--store", help="keep index and vectors here for later runs")
+    for name in ("retrieve", "run"):
+        subs.choices[name].add_argument("--fold", choices=text.FOLDS, default="none")
+    for name in ("evaluate-qa", "run"):
+        subs.choices[name].add_argument("--reader-method", choices=sorted(qa_examples.INSTRUCTIONS), default="pathfid")
+    subs.choices["run"].add_argument("--methods", nargs="+", choices=stages.METHODS, default=["bm25"])
+    subs.choices["run"].add_argument("--seeds", nargs="+", type=int, default=[42])
+    subs.choices["run"].add_argument("--splits", nargs="+", choices=["train", "dev", "test"], default=["dev"])
+    subs.choices["run"].add_argument("--final", action="store_true", help="allow the test split")
     subs.choices["evaluate-qa"].add_argument("--retrieval-method", default="bm25")
     return main_
 

@@ -87,6 +87,16 @@ def passage_budget(k: int, max_source: int = 2048, max_passage: int = 256) -> in
     return min(max_passage, max(1, (max_source - 256) // k - 32))
 
 
+def cut_contexts(contexts: Column, budget: int) -> Column:
+    """Contexts (array of struct with text) whose texts end after ``budget`` tokens, which
+    are words between white space; a shorter text stays as it is."""
+
+    def cut(text: Column) -> Column:
+        return T.let(F.filter(F.split(T.text_or_empty(text), r"\s+", -1), lambda w: w != ""), lambda w: F.when(F.size(w) > budget, F.array_join(F.slice(w, 1, budget), " ")).otherwise(text))
+
+    return F.transform(contexts, lambda c: c.withField("text", cut(c["text"])))
+
+
 # ---------------------------------------------------------------------- passages
 
 
@@ -142,14 +152,18 @@ def exact_spans(passages: DataFrame, answers: DataFrame) -> DataFrame:
     return best_.select("query_id", F.col("o.s").cast("long").alias("start"), F.col("o.e").cast("long").alias("end"), method.alias("method"))
 
 
+#: The longest window, and how much shorter or longer than the answer two are.
+LONGEST, NEAR = 1536, 16
+
+
 def overlap_window(answer: list[str], context: list[str]) -> tuple[int, int, float]:
     """The window of a few lengths around the answer's with the highest token F1;
     shorter, then earlier windows win ties."""
     n, m = len(answer), len(context)
     if not n or not m:
         return 0, 0, 0.0
-    longest = min(m, max(1, min(1536, 2 * n)))
-    widths = sorted(w for w in {max(1, n // 2), max(1, n - 16), n, min(longest, n + 16), longest} if w <= m)
+    longest = min(m, max(1, min(LONGEST, 2 * n)))
+    widths = sorted(w for w in {max(1, n // 2), max(1, n - NEAR), n, min(longest, n + NEAR), longest} if w <= m)
     need = Counter(answer)
     top: tuple[float, int, int] = (-1.0, 0, 0)
     for width in widths:

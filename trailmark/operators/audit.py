@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -62,7 +62,25 @@ def row_digest(columns: list[str]) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in columns]), 256)
 
 
+def exact_digest(columns: list[str]) -> Column:
+    """SHA-256 of a row's values in order, each with its length, so that no two rows give
+    one text; a null differs from every value."""
+    value = lambda c: F.col(c).cast("string")
+    return F.sha2(F.concat(*[F.coalesce(F.concat(F.length(value(c)).cast("string"), F.lit(":"), value(c)), F.lit("-")) for c in columns]), 256)
+
+
 def table_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row (rows, digest): independent of row order and partitions."""
-    head = F.conv(F.substring(row_digest(columns), 1, 15), 16, 10).cast("long")
-    return df.agg(F.count("*").alias("rows"), F.bit_xor(head).alias("digest"))
+    """One row (rows, digest) of a table as a multiset: independent of row order and
+    partitions, and each repetition of a row counts.  The digest is the SHA-256 of the
+    number of rows and of four sums, each of 64 bits of every row's SHA-256."""
+    digest = df.select(exact_digest(columns).alias("h"))
+    part = lambda i: F.sum(F.conv(F.substring("h", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)"))
+    sums = digest.agg(F.count("*").alias("rows"), *[F.coalesce(part(i), F.lit(0).cast("decimal(30,0)")).alias(f"s{i}") for i in range(4)])
+    return sums.select("rows", F.sha2(F.concat_ws(":", "rows", *[F.col(f"s{i}").cast("string") for i in range(4)]), 256).alias("digest"))
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, sha256) of the bytes of every file that a path or pattern names; each
+    is read by one task, so they must fit one."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return found.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -19,62 +19,69 @@ def _first_k(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.nd
     return order[np.arange(len(order)) - np.searchsorted(q[order], q[order], "left") < k]
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 1 << 16, same_ids: bool = False) -> DataFrame:
+def _tiles(n: int, most: int, parallel: int) -> int:
+    """How many tiles ``n`` rows make, of ``most`` at most on average, for so many tasks."""
+    return max(1, -(-n // most), min(parallel, n // 256))
+
+
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10, tile_bytes: int = 32 << 20, same_ids: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank): the ``k`` largest inner products, exactly, for ids
     of any type.
 
-    ``queries(query_id, v)`` are read in blocks of a bounded size, each of which needs
-    one pass over ``vectors(doc_id, v)``.  A partition keeps each query's own top ``k``
-    as it goes through its vectors, so what is shuffled is k rows per query and
-    partition.  same_ids leaves a row out of its own list."""
-    ordered = queries.select("query_id", F.col("v").cast("array<double>").alias("v"))
+    Queries and vectors are dealt into tiles of about ``tile_bytes``; each tile of
+    queries meets each tile of vectors in one task, which keeps every query's own top
+    ``k``, so what is shuffled on is k rows per query and tile of vectors.  same_ids
+    leaves a row out of its own list."""
+    asked = queries.select("query_id", F.col("v").cast("array<double>").alias("v"))
     rows = vectors.select("doc_id", F.col("v").cast("array<double>").alias("v"))
-    kind = StructType([ordered.schema["query_id"], rows.schema["doc_id"], StructField("score", DoubleType())])
-    blocks = max(1, -(-ordered.count() // block))
-    found = None
-    for part in range(blocks):
-        asked = ordered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == part).toArrow()
-        names = asked["query_id"].combine_chunks()
-        matrix = np.asarray(asked["v"].combine_chunks().flatten(), np.float64).reshape(len(names), -1) if len(names) else np.zeros((0, 1))
-        shared = vectors.sparkSession.sparkContext.broadcast((names, matrix))
-
-        def search(batches, shared=shared):
-            names, matrix = shared.value
-            own = names.to_numpy(zero_copy_only=False)
-            best, docs = (np.zeros(0, np.int64), None, np.zeros(0)), None
-            for batch in batches:
-                docs = batch.column(0)
-                ids = docs.to_numpy(zero_copy_only=False)
-                if not len(ids) or not len(own):
-                    continue
-                values = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(ids), -1)
-                held = [best] if best[1] is not None else []
-                for i in range(0, len(own), 512):
-                    score = np.round(matrix[i : i + 512] @ values.T, 6)
-                    if same_ids:
-                        score[own[i : i + 512, None] == ids[None, :]] = -np.inf
-                    least = -np.partition(-score, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
-                    q, d = np.nonzero((score >= least[:, None]) & np.isfinite(score))
-                    held.append((q + i, ids[d], score[q, d]))
-                q, d, x = (np.concatenate(c) for c in zip(*held))
-                first = _first_k(q, d, x, k)
-                best = q[first], d[first], x[first]
-            if best[1] is not None:
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(best[0])), pa.array(best[1], docs.type), pa.array(best[2])], names=["query_id", "doc_id", "score"])
-
-        some = rows.mapInArrow(search, kind)
-        found = some if found is None else found.unionAll(some)
-    return top_k(found, k)
+    kind = StructType([asked.schema["query_id"], rows.schema["doc_id"], StructField("score", DoubleType())])
+    width = rows.select(F.size("v")).first()
+    most = max(1, tile_bytes // (8 * max(1, width[0] if width else 1)))
+    of_queries = max(1, -(-asked.count() // most))
+    of_vectors = _tiles(rows.count(), most, max(1, rows.sparkSession.sparkContext.defaultParallelism // of_queries))
+    dealt = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("q", dealt(asked, of_queries)).withColumn("d", every(of_vectors))
+    right = rows.withColumn("d", dealt(rows, of_vectors)).withColumn("q", every(of_queries))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        names, docs = a["query_id"].combine_chunks(), b["doc_id"].combine_chunks()
+        best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if len(names) and len(docs):
+            x, y = (np.asarray(t["v"].combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1) for t in (a, b))
+            own, ids = names.to_numpy(zero_copy_only=False), docs.to_numpy(zero_copy_only=False)
+            held = []
+            step = max(1, tile_bytes // (8 * len(docs)))
+            for i in range(0, len(x), step):
+                score = np.round(x[i : i + step] @ y.T, 6)
+                if same_ids:
+                    score[own[i : i + step, None] == ids[None, :]] = -np.inf
+                least = -np.partition(-score, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+                q, d = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+                score = score[q, d]
+                first = _first_k(q, ids[d], score, k)
+                held.append((q[first] + i, d[first], score[first]))
+            best = tuple(np.concatenate(c) for c in zip(*held))
+        return pa.table({"query_id": names.take(pa.array(best[0])), "doc_id": docs.take(pa.array(best[1])), "score": pa.array(best[2])})
+
+    return top_k(left.groupBy("q", "d").cogroup(right.groupBy("q", "d")).applyInArrow(meet, kind), k)
 
 
 def hashed_vectors(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 64) -> DataFrame:
     """(id, v): counts of a text's words in ``size`` places by a hash of the word, scaled
-    to length 1.  A stand-in for a neural encoder; a text without words has no vector."""
-    place = F.conv(F.substring(F.md5("word"), 1, 4), 16, 10).cast("int") % size
-    words = rows.select(F.col(id_col), F.explode(T.word_list(F.col(text_col))).alias("word")).select(id_col, place.alias("place"))
-    counts = words.groupBy(id_col, "place").agg(F.count("*").cast("double").alias("c"))
-    grouped = counts.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("place", "c"))).alias("m"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("n"))
-    return grouped.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("n")).alias("v"))
+    to length 1, within each row.  A stand-in for a neural encoder; a text without words
+    has no vector."""
+    place = lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % size
+    marks = F.concat(F.lit(","), F.array_join(F.transform(T.word_list(F.col(text_col)), lambda w: place(w).cast("string")), ",,"), F.lit(","))
+    marked = rows.select(F.col(id_col), marks.alias("m")).where(F.length("m") > 2)
+
+    def count(i: Column) -> Column:  # each word left ",place,"
+        mark = F.concat(F.lit(","), i.cast("string"), F.lit(","))
+        return (F.length("m") - F.length(F.replace(F.col("m"), mark, F.lit("")))) / F.length(mark)
+
+    counted = marked.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), count).alias("c"))
+    norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, x: a + x * x))
+    return counted.select(id_col, "c", norm.alias("n")).select(id_col, F.transform("c", lambda x: x / F.col("n")).alias("v"))
 
 
 def maxsim_rerank(ranked: DataFrame, query_tokens: DataFrame, doc_tokens: DataFrame, head: int = 20) -> DataFrame:

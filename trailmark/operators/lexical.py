@@ -1,14 +1,16 @@
 """Lexical retrieval: the inverted index, two BM25 forms, overlap negatives.
 
-The index is three tables: ``postings(term, doc_id, tf_title, tf_text)``,
-``lengths(doc_id, length)`` and ``vocabulary(term, df)``.  Queries are always
-answered as one set: their terms join the postings by equality and scores are
-partial sums, so neither a frequent term nor a popular document is gathered.
+The index is two tables: ``postings(bucket, term, doc_id, tf_title, tf_text, length)``,
+which carry their passage's length, and ``vocabulary(bucket, term, df)``.  Every
+passage has a posting without a term, so the number of passages and their mean
+length come from the postings, too.  Queries are always answered as one set: their
+terms join the postings by equality and scores are partial sums, so neither a
+frequent term nor a popular document is gathered.  In a stored index a term's bucket
+is a partition, and a search opens only the partitions of its queries' terms.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,19 +18,40 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: The term and the bucket of a passage's own posting.
+PASSAGE, PASSAGES = "", -1
+
+
+def bucket_of(term: Column | str, buckets: int) -> Column:
+    """The partition of a term."""
+    term = F.col(term) if isinstance(term, str) else term
+    return F.when(term == PASSAGE, F.lit(PASSAGES)).otherwise(F.pmod(F.xxhash64(term), F.lit(buckets))).cast("int")
+
 
 @dataclass
 class LexicalIndex:
     postings: DataFrame
-    lengths: DataFrame
     vocabulary: DataFrame
     fold: str = "none"
+    buckets: int = 64
+    stored: bool = False
+
+    def statistics(self) -> DataFrame:
+        """One row (n, mean): passages and their mean length."""
+        return self.postings.where(F.col("bucket") == PASSAGES).agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("mean"))
+
+    def words(self) -> DataFrame:
+        """The postings of words."""
+        return self.postings.where(F.col("bucket") != PASSAGES)
 
-    def stored(self, keep: Callable[[DataFrame], DataFrame]) -> LexicalIndex:
-        """Its tables written by ``keep``, each file's postings sorted by term, so that row
-        groups of other terms can be skipped; the vocabulary follows from what is written."""
-        postings = keep(self.postings.sortWithinPartitions("term", "doc_id"))
-        return LexicalIndex(postings, keep(self.lengths), keep(postings.groupBy("term").agg(F.count("*").alias("df"))), self.fold)
+    def near(self, terms: DataFrame) -> LexicalIndex:
+        """The index without the partitions that hold none of ``terms(term)``.  What the driver
+        gets is the numbers of partitions."""
+        if not self.stored:
+            return self
+        wanted = [r[0] for r in terms.select(bucket_of("term", self.buckets).alias("bucket")).distinct().collect()]
+        only = F.col("bucket").isin([*wanted, PASSAGES])
+        return LexicalIndex(self.postings.where(only), self.vocabulary.where(only), self.fold, self.buckets, True)
 
 
 def top_k(scored: DataFrame, k: int, group: str = "query_id", item: str = "doc_id", digits: int | None = 6) -> DataFrame:
@@ -40,41 +63,39 @@ def top_k(scored: DataFrame, k: int, group: str = "query_id", item: str = "doc_i
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def query_terms(queries: DataFrame, fold: str = "none") -> DataFrame:
-    """The distinct lexical terms of all queries."""
-    return queries.select(F.explode(T.lexical_terms(F.col("text"), fold)).alias("term")).distinct()
-
-
-def build_index(passages: DataFrame, only: DataFrame | None = None, fold: str = "none") -> LexicalIndex:
+def build_index(passages: DataFrame, fold: str = "none", buckets: int = 64) -> LexicalIndex:
     """``passages(doc_id, title, text)``; all words are indexed, stopwords too, folded
-    as ``functions.text.folded`` says, and queries are folded alike.  With
-    ``only(term)`` other words are counted in the lengths but get no postings: enough
-    for the queries with these terms, and no other word is shuffled."""
+    as ``functions.text.folded`` says, and queries are folded alike.  Titles and texts
+    are cut into words once."""
     fields = passages.select("doc_id", T.word_list(F.col("title"), fold).alias("a"), T.word_list(F.col("text"), fold).alias("b"))
-    title = fields.select("doc_id", F.explode("a").alias("term"), F.lit(1).alias("in_title"))
-    body = fields.select("doc_id", F.explode("b").alias("term"), F.lit(0).alias("in_title"))
-    words = title.unionAll(body)
-    if only is not None:
-        words = words.join(only, "term", "left_semi")
-    postings = words.groupBy("term", "doc_id").agg(F.sum("in_title").alias("tf_title"), F.sum(1 - F.col("in_title")).alias("tf_text"))
-    lengths = fields.select("doc_id", (F.size("a") + F.size("b")).cast("long").alias("length"))
-    return LexicalIndex(postings, lengths, postings.groupBy("term").agg(F.count("*").alias("df")), fold)
+    entries = lambda words, title: F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(title).alias("in_title")))
+    own = F.array(F.struct(F.lit(PASSAGE).alias("term"), F.lit(0).alias("in_title")))
+    listed = fields.select("doc_id", (F.size("a") + F.size("b")).cast("long").alias("length"), F.concat(own, entries(F.col("a"), 1), entries(F.col("b"), 0)).alias("w"))
+    words = listed.select("doc_id", "length", F.explode("w").alias("w")).select("doc_id", "length", "w.term", "w.in_title")
+    counted = words.groupBy("term", "doc_id").agg(F.sum("in_title").alias("tf_title"), F.sum(1 - F.col("in_title")).alias("tf_text"), F.first("length").alias("length"))
+    postings = counted.select(bucket_of("term", buckets).alias("bucket"), "term", "doc_id", "tf_title", "tf_text", "length")
+    return LexicalIndex(postings, count_terms(postings), fold, buckets)
+
+
+def count_terms(postings: DataFrame) -> DataFrame:
+    """(bucket, term, df) of the words among postings."""
+    return postings.where(F.col("bucket") != PASSAGES).groupBy("bucket", "term").agg(F.count("*").alias("df"))
 
 
 def bm25(queries: DataFrame, index: LexicalIndex, k: int = 10, max_terms: int | None = 4, title_weight: float = 2.0, text_weight: float = 1.0, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, rank) of ``queries(query_id, text)``: field-weighted
     BM25 over the ``max_terms`` rarest of each query's distinct terms."""
     terms = queries.select("query_id", F.explode(F.array_distinct(T.lexical_terms(F.col("text"), index.fold))).alias("term"))
-    known = terms.join(index.vocabulary, "term")
+    index = index.near(terms)
+    known = terms.join(index.vocabulary.select("term", "df"), "term")
     if max_terms is not None:
         rare = Window.partitionBy("query_id").orderBy("df", "term")
         known = known.withColumn("r", F.row_number().over(rare)).where(F.col("r") <= max_terms).drop("r")
-    stats = index.lengths.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("mean"))  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = known.crossJoin(F.broadcast(stats)).select("query_id", "term", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"), "mean")
+    known = known.crossJoin(F.broadcast(index.statistics())).select("query_id", "term", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"), "mean")  # one row
     weight = F.col("tf_title") * title_weight + F.col("tf_text") * text_weight
     part = F.col("idf") * F.col("w") * (k1 + 1) / (F.col("w") + k1 * ((1 - b) + b * F.col("length") / F.col("mean")))
-    matched = known.join(index.postings.select("term", "doc_id", weight.alias("w")), "term").join(index.lengths, "doc_id")
+    matched = known.join(index.words().select("term", "doc_id", weight.alias("w"), "length"), "term")
     return top_k(matched.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")), k)
 
 
@@ -102,7 +123,7 @@ def overlap_negatives(queries: DataFrame, index: LexicalIndex, positives: DataFr
     """(query_id, doc_id, score, rank): passages by the number of distinct shared
     words, without the positives."""
     terms = queries.select("query_id", F.explode(F.array_distinct(T.word_list(F.col("text")))).alias("term"))
-    scored = terms.join(index.postings.select("term", "doc_id"), "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
+    scored = terms.join(index.near(terms).words().select("term", "doc_id"), "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
     return top_k(scored.join(positives.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti"), n)
 
 

@@ -1,5 +1,4 @@
-"""Compositions: prepared examples, saved-run scoring, comparison, and stages that
-are skipped when their table is there."""
+"""Compositions: prepared examples, saved-run scoring, comparison."""
 
 from __future__ import annotations
 
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answers, audit, evaluation
+from ..session import durable
 from ..sources import files
 
 
@@ -32,11 +32,12 @@ def abstractive_examples(samples: DataFrame, qa: DataFrame, negatives: DataFrame
     return rows.join(lists, "query_id", "left").withColumn("candidate_doc_ids", F.concat("positive_doc_ids", F.coalesce("negatives", empty))).drop("negatives")
 
 
-def extractive_examples(contexts: DataFrame, qa: DataFrame, most: int = 6, size: int = 256, keep: Callable[[DataFrame], DataFrame] = lambda df: df.persist()) -> DataFrame:
-    """``keep`` holds tables that are read several times.
+def extractive_examples(contexts: DataFrame, qa: DataFrame, most: int = 6, size: int = 256, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``keep`` holds tables that are read several times; by default it writes them.
     ``contexts(query_id, ctx, doc_id, text, is_positive)`` and ``qa(query_id, question,
     answer)``: passages, the span label of the first method that finds one, and
     ``multihop``: two positives and two positive contexts left in the input."""
+    keep = keep or durable(contexts.sparkSession)
     built = keep(answers.build_passages(contexts, most, size))
     exact = answers.exact_spans(built, qa).withColumn("overlap_score", F.lit(1.0))
     rest = qa.join(exact.select("query_id"), "query_id", "left_anti")
@@ -116,15 +117,6 @@ def corpus_counts(records: DataFrame) -> DataFrame:
     )
 
 
-def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], partition: list[str] | None = None) -> DataFrame:
-    """A stage's table: read if it is complete, else built and written."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        writer = build().write.mode("overwrite")
-        (writer.partitionBy(*partition) if partition else writer).parquet(path)
-    return spark.read.parquet(path)
-
-
 def positive_contexts(examples: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, ctx, doc_id, text, is_positive) of examples' candidates."""
     rows = answers.enrich_contexts(examples, corpus).select("query_id", F.inline("contexts"))

@@ -11,7 +11,9 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import answers as A
 from ..operators import audit, corpus, dense, docids, evaluation, lexical, multihop
-from ..session import durable, ship
+from ..session import durable, shared_dir, ship
+from ..sources import files
+from ..sources.lexical_store import open_index
 from . import pipelines, views
 from .views import with_
 
@@ -77,13 +79,11 @@ def bm25_sql(name: str, source: str, k: int = 10, max_terms: int = 4, fold: bool
 {name} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {name}_s) WHERE rank <= {k})"""
 
 
-def _index(spark, d):
-    return lexical.build_index(views.passages(spark, d))
-
-
-def _benchmark_index(spark, d):
-    """Enough of the index for the benchmark items as queries."""
-    return lexical.build_index(views.passages(spark, d), lexical.query_terms(views.queries(spark, d)))
+def _index(spark, d, fold: str = "none", named: bool = False):
+    """The stored index of a table's documents: made by the first query that needs it, and
+    used by the others as long as the documents are the same."""
+    passages = _named(spark, d) if named else views.passages(spark, d)
+    return open_index(passages, f"{shared_dir(spark)}/trailmark/lexical/{files.config_key(data=d, fold=fold, named=named)}", fold)
 
 
 RANKED = "query_id", "doc_id", "score", "rank"
@@ -91,24 +91,24 @@ RANKED = "query_id", "doc_id", "score", "rank"
 
 @query("bm25_topk", f"{with_('passages', 'queries')},{INDEX_SQL},{bm25_sql('b', 'queries')} SELECT query_id, doc_id, score, rank FROM b")
 def bm25_topk(spark, d):
-    return lexical.bm25(views.queries(spark, d), _benchmark_index(spark, d)).select(*RANKED)
+    return lexical.bm25(views.queries(spark, d), _index(spark, d)).select(*RANKED)
 
 
 @query("bm25_unpruned", f"{with_('passages', 'queries')},{INDEX_SQL},{bm25_sql('b', 'queries', max_terms=10**6)} SELECT query_id, doc_id, score, rank FROM b")
 def bm25_unpruned(spark, d):
-    return lexical.bm25(views.queries(spark, d), _benchmark_index(spark, d), max_terms=None).select(*RANKED)
+    return lexical.bm25(views.queries(spark, d), _index(spark, d), max_terms=None).select(*RANKED)
 
 
 @query("bm25_full_index", f"{with_('passages', 'queries')},{INDEX_SQL},{bm25_sql('b', 'queries')} SELECT query_id, doc_id, score, rank FROM b")
 def bm25_full_index(spark, d):
-    """Through an index of all words, as for queries that are not known beforehand."""
-    return lexical.bm25(views.queries(spark, d), _index(spark, d)).select(*RANKED)
+    """Through an index that is made for this search and not stored."""
+    return lexical.bm25(views.queries(spark, d), lexical.build_index(views.passages(spark, d))).select(*RANKED)
 
 
 @query("bm25_folded", f"{with_('passages', 'queries')},{index_sql(True)},{bm25_sql('b', 'queries', fold=True)} SELECT query_id, doc_id, score, rank FROM b")
 def bm25_folded(spark, d):
     q = views.queries(spark, d)
-    return lexical.bm25(q, lexical.build_index(views.passages(spark, d), lexical.query_terms(q, "full"), "full")).select(*RANKED)
+    return lexical.bm25(q, _index(spark, d, "full")).select(*RANKED)
 
 
 @query(
@@ -197,7 +197,7 @@ def rrf_sql(name: str, *lists: str, depth: int = 100) -> str:
 
 @query("rrf_hybrid", f"{with_('passages', 'queries')},{INDEX_SQL},{bm25_sql('a', 'queries')},{bm25_sql('b', 'queries', max_terms=10**6)},{rrf_sql('f', 'a', 'b')} SELECT query_id, doc_id, score, rank FROM f")
 def rrf_hybrid(spark, d):
-    index, q = _benchmark_index(spark, d).stored(durable(spark)), views.queries(spark, d)
+    index, q = _index(spark, d), views.queries(spark, d)
     return dense.hybrid(lexical.bm25(q, index), lexical.bm25(q, index, max_terms=None)).select(*RANKED)
 
 
@@ -226,7 +226,7 @@ q3 AS (SELECT q.query_id, CASE WHEN f1.fact IS NULL AND f2.fact IS NULL THEN tex
 
 def _hops(spark, d):
     keep = durable(spark)
-    index, p = _index(spark, d).stored(keep), views.passages(spark, d)
+    index, p = _index(spark, d), views.passages(spark, d)
     return multihop.greedy_hops(views.queries(spark, d), lambda q: lexical.bm25(q, index).select(*RANKED), p, keep=keep)
 
 
@@ -258,7 +258,7 @@ l{i} AS MATERIALIZED (SELECT query_id, text || ' ' || trim(split_part(trim({fact
 def ircot_stub(spark, d):
     """Interleaved reasoning with the extractive stand-in for a generator."""
     keep = durable(spark)
-    index, p = _index(spark, d).stored(keep), views.passages(spark, d)
+    index, p = _index(spark, d), views.passages(spark, d)
     return multihop.interleaved_reasoning(views.queries(spark, d), lambda q: lexical.bm25(q, index).select(*RANKED), p, keep=keep).select(*RANKED)
 
 
@@ -302,8 +302,7 @@ def dense_encoded(spark, d):
     f"WITH {NAMED_SQL},{encoded_sql('enc', 'passages', 'doc_id')},{encoded_sql('qv', 'queries', 'query_id')},{encoded_search_sql('dn', 'qv')},{INDEX_SQL},{bm25_sql('bm', 'queries', 30)},{rrf_sql('f', 'dn', 'bm')} SELECT query_id, doc_id, score, rank FROM f",
 )
 def hybrid_dense_bm25(spark, d):
-    q = views.queries(spark, d)
-    index = lexical.build_index(_named(spark, d), lexical.query_terms(q))
+    q, index = views.queries(spark, d), _index(spark, d, named=True)
     return dense.hybrid(_encoded_search(spark, d)[1](q), lexical.bm25(q, index, 30)).select(*RANKED)
 
 
@@ -341,6 +340,82 @@ def baleen_hops(spark, d):
     return multihop.fuse_hops(lists).select(*RANKED)
 
 
+# ------------------------------------------------------------- generated ids
+
+GMR_STEPS, SEPARATOR, END = 7, 10, 11
+
+
+def _gmr_sql(beams: int) -> str:
+    """The trie over ids' digits without forced steps, and ``done(query_id, beam, generated,
+    total)`` of so many beams."""
+    weight = "-('0x' || substr(md5(concat_ws(':', query_id, array_to_string(generated, ','), token)), 1, 4))::INTEGER"
+    return f"""
+known AS (SELECT doc_id, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: c::INTEGER) AS tokens FROM documents),
+places AS MATERIALIZED (SELECT DISTINCT tokens, i, tokens[1:i] AS prefix, coalesce(tokens[i + 1], -1) AS next FROM known, (SELECT unnest(range(20)) AS i) WHERE i <= len(tokens)),
+degree AS MATERIALIZED (SELECT prefix, count(DISTINCT next) + count(DISTINCT next) FILTER (next = -1) AS options FROM places GROUP BY prefix),
+stops AS MATERIALIZED (SELECT tokens, i, prefix, options, lead(i) OVER (PARTITION BY tokens ORDER BY i) AS until FROM places JOIN degree USING (prefix) WHERE i = 0 OR options > 1),
+edges AS MATERIALIZED (SELECT DISTINCT prefix, options, CASE WHEN i = len(tokens) THEN [-1] ELSE tokens[i + 1:until] END AS run FROM stops),
+moves AS MATERIALIZED (SELECT prefix, options, run FROM edges WHERE run <> [-1] UNION ALL SELECT prefix, options, unnest([[{SEPARATOR}], [{END}]]) FROM edges WHERE run = [-1]),
+beam(step, query_id, generated, prefix, total, done) AS (
+  SELECT 0, query_id, []::INTEGER[], []::INTEGER[], 0::BIGINT, false FROM queries
+  UNION ALL
+  SELECT step, query_id, generated, prefix, total, done FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, generated) AS r FROM (
+      SELECT step + 1 AS step, query_id, generated, prefix, total, done FROM beam WHERE done AND step < {GMR_STEPS}
+      UNION ALL
+      SELECT step + 1, query_id, list_concat(generated, run) AS generated, CASE WHEN token IN ({SEPARATOR}, {END}) THEN [] ELSE list_concat(prefix, run) END, total + CASE WHEN options > 1 THEN {weight} ELSE 0 END, token = {END}
+      FROM (SELECT b.*, m.run, m.options, m.run[1] AS token FROM beam b JOIN moves m USING (prefix) WHERE NOT b.done AND b.step < {GMR_STEPS})))
+  WHERE r <= {beams}),
+done AS (SELECT query_id, generated, total, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, generated) AS beam FROM beam WHERE step = {GMR_STEPS})"""
+
+
+def _digit_ids(spark, d):
+    ids = views.table(spark, d, "documents").select(F.col("doc_id"))
+    return ids.withColumn("tokens", F.transform(F.split(F.col("doc_id").cast("string"), ""), lambda c: c.cast("int")))
+
+
+def _hash_score(options):
+    """A score by a hash: any scorer that depends on what was written will do."""
+    key = F.concat_ws(":", "query_id", F.array_join(F.transform("generated", lambda t: t.cast("string")), ","), "token")
+    return options.withColumn("gain", -F.conv(F.substring(F.md5(key), 1, 4), 16, 10).cast("double"))
+
+
+def _generated(spark, d, beams):
+    keep = durable(spark)
+    return docids.decode(views.queries(spark, d), docids.trie_edges(_digit_ids(spark, d)), _hash_score, SEPARATOR, END, beams, GMR_STEPS, keep)
+
+
+GMR_ROWS = "SELECT query_id, beam, array_to_string(generated, ',') AS generated, total FROM done"
+
+
+@query("gmr_greedy", f"{with_('queries').replace('WITH', 'WITH RECURSIVE', 1)},{_gmr_sql(1)} {GMR_ROWS}")
+def gmr_greedy(spark, d):
+    """Greedy decoding along the trie of all documents' ids."""
+    rows = _generated(spark, d, 1)
+    return rows.select("query_id", F.col("beam").cast("long").alias("beam"), F.array_join(F.transform("generated", lambda t: t.cast("string")), ",").alias("generated"), F.col("total").cast("long").alias("total"))
+
+
+@query("gmr_decode", f"{with_('queries').replace('WITH', 'WITH RECURSIVE', 1)},{_gmr_sql(4)} {GMR_ROWS}")
+def gmr_decode(spark, d):
+    """The same with four beams."""
+    rows = _generated(spark, d, 4)
+    return rows.select("query_id", F.col("beam").cast("long").alias("beam"), F.array_join(F.transform("generated", lambda t: t.cast("string")), ",").alias("generated"), F.col("total").cast("long").alias("total"))
+
+
+@query(
+    "gmr_ranked",
+    f"""{with_('queries').replace('WITH', 'WITH RECURSIVE', 1)},{_gmr_sql(4)},
+parts AS (SELECT query_id, unnest(p) AS part, unnest(range(len(p))) AS pos FROM (SELECT query_id, string_split(array_to_string(CASE WHEN generated[-1] = {END} THEN generated[:-2] ELSE generated END, ','), ',{SEPARATOR},') AS p FROM done WHERE beam = 1)),
+hits AS (SELECT query_id, doc_id, min(pos) AS pos FROM parts JOIN documents ON doc_id::VARCHAR = replace(part, ',', '') GROUP BY ALL)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank, (count(*) OVER (PARTITION BY query_id) - row_number() OVER (PARTITION BY query_id ORDER BY pos) + 1)::DOUBLE AS score FROM hits""",
+)
+def gmr_ranked(spark, d):
+    """The best sequence's ids as a ranking."""
+    ids = _digit_ids(spark, d)
+    found = docids.decoded_ids(_generated(spark, d, 4).where("beam = 1"), ids, SEPARATOR, END)
+    return docids.resolve_ids(found, ids.select(F.col("doc_id").cast("string").alias("doc_id"))).select("query_id", F.col("doc_id").cast("long").alias("doc_id"), "rank", "score")
+
+
 # -------------------------------------------------------------------- metrics
 
 
@@ -369,7 +444,7 @@ def _rounded(metrics):
 
 @query("ir_metrics", f"{with_('passages', 'queries', 'qrels')},{INDEX_SQL},{bm25_sql('b', 'queries', k=100)},{metrics_sql('qrels', 'b')}")
 def ir_metrics(spark, d):
-    return _rounded(evaluation.ranking_metrics(views.qrels(spark, d), lexical.bm25(views.queries(spark, d), _benchmark_index(spark, d), k=100)))
+    return _rounded(evaluation.ranking_metrics(views.qrels(spark, d), lexical.bm25(views.queries(spark, d), _index(spark, d), k=100)))
 
 
 @query(
@@ -377,7 +452,7 @@ def ir_metrics(spark, d):
     f"{with_('passages', 'queries', 'qrels')}, graded AS MATERIALIZED (SELECT query_id, doc_id, coalesce(quality + 1 - toxic, 1) AS gain FROM qrels LEFT JOIN labels USING (doc_id)),{INDEX_SQL},{bm25_sql('b', 'queries', k=100)},{metrics_sql('graded', 'b')}",
 )
 def ir_metrics_graded(spark, d):
-    return _rounded(evaluation.ranking_metrics(views.graded_qrels(spark, d), lexical.bm25(views.queries(spark, d), _benchmark_index(spark, d), k=100)))
+    return _rounded(evaluation.ranking_metrics(views.graded_qrels(spark, d), lexical.bm25(views.queries(spark, d), _index(spark, d), k=100)))
 
 
 @query(
@@ -551,7 +626,7 @@ def enrich_contexts(spark, d):
 def downstream_examples(spark, d):
     q = views.queries(spark, d)
     answers = q.select("query_id", F.concat(F.lit("answer "), "query_id").alias("answer"))
-    rows = A.downstream_examples(q, lexical.bm25(q, _benchmark_index(spark, d)), views.passages(spark, d), answers)
+    rows = A.downstream_examples(q, lexical.bm25(q, _index(spark, d)), views.passages(spark, d), answers)
     return rows.select("query_id", "question", "answer", F.inline("contexts"))
 
 
@@ -877,7 +952,9 @@ def fingerprint(spark, d):
 
 @query(
     "table_fingerprint",
-    "SELECT count(*) AS rows, bit_xor(('0x' || substr(sha256(concat_ws(chr(31), coalesce(doc_id::VARCHAR, '∅'), coalesce(source, '∅'), coalesce(text, '∅'))), 1, 15))::BIGINT) AS digest FROM documents",
+    f"""WITH h AS (SELECT sha256(concat({", ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "text"))})) AS h FROM documents),
+s AS (SELECT count(*) AS rows, {", ".join(f"coalesce(sum(('0x' || substr(h, {16 * i + 1}, 16))::UBIGINT::HUGEINT), 0)::VARCHAR AS s{i}" for i in range(4))} FROM h)
+SELECT rows, sha256(concat_ws(':', rows, s0, s1, s2, s3)) AS digest FROM s""",
 )
 def table_fingerprint(spark, d):
     return audit.table_fingerprint(views.table(spark, d, "documents"), ["doc_id", "source", "text"])

@@ -34,10 +34,12 @@ def greedy_settings(name: str, language_ids: Mapping[str, int] | None = None) ->
     return settings
 
 
-def predict(examples: DataFrame, method: str, reader: Reader, most: int | None = None) -> DataFrame:
+def predict(examples: DataFrame, method: str, reader: Reader, most: int | None = None, budget: int | None = None) -> DataFrame:
     """``examples(query_id, question, answer, contexts)`` through a reader:
-    (query_id, question, prediction, reference)."""
-    prompts = examples.select("query_id", answers.build_source(F.col("question"), F.col("contexts"), method, most).alias("source"))
+    (query_id, question, prediction, reference).  ``budget``: the tokens of a passage that
+    the prompt shows."""
+    contexts = F.col("contexts") if budget is None else answers.cut_contexts(F.col("contexts"), budget)
+    prompts = examples.select("query_id", answers.build_source(F.col("question"), contexts, method, most).alias("source"))
     targets = examples.select("query_id", "question", answers.build_target(F.col("answer")).alias("reference"))
     return targets.join(reader(prompts), "query_id").select("query_id", "question", "prediction", "reference")
 

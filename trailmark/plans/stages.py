@@ -6,15 +6,18 @@ in one pass and a reader of one split opens only its files.
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answers, audit, corpus, dense, evaluation, lexical, multihop
-from ..session import durable
+from ..operators import answers, audit, corpus, dense, docids, evaluation, lexical, multihop
+from ..session import durable, shared_dir
 from ..sources import files
+from ..sources.lexical_store import CONTENT, open_index
 from . import pipelines, readers
 
 #: The tracks of an experiment.
@@ -145,7 +148,8 @@ def _inputs(spark: SparkSession, qa_dir: str, ir_dir: str) -> tuple[DataFrame, D
 
 
 def _negatives(samples: DataFrame, qa: DataFrame, passages: DataFrame, n: int, seed: int, find: Callable) -> DataFrame | None:
-    """(query_id, doc_id, rank): within each split, filled up by a seeded order."""
+    """(query_id, doc_id, rank): within each split, filled up by a seeded order.  A split's
+    passages are an index of their own, since its counts and lengths are."""
     asked = samples.join(qa, ["source_qa_id", "split"]).select("split", "query_id", F.col("question").alias("text"), "positive_doc_ids")
     out = None
     for (split,) in asked.select("split").distinct().collect() if n else []:  # a few splits
@@ -206,50 +210,121 @@ def prepare_extractive(spark: SparkSession, qa_dir: str, ir_dir: str, structured
     files.write_manifest(manifest.orderBy("split"), f"{output}/manifest")
 
 
-METHODS = ("bm25", "dense", "hybrid", "mdr", "m3", "mopo", "baleen", "ircot", "hops")
+METHODS = ("bm25", "dense", "hybrid", "mdr", "m3", "mopo", "baleen", "gmr", "ircot", "hops")
 #: An encoder takes (id, text) and the id's name and gives (id, v).
 Encoder = Callable[[DataFrame, str], DataFrame]
-
-
-def rank(method: str, queries: DataFrame, passages: DataFrame, depth: int = 100, hops: int = 3, encode: Encoder = dense.hashed_vectors, fold: str = "none") -> DataFrame:
-    """(query_id, doc_id, score, rank) by any method; ``encode`` is where a model plugs in,
-    and the default is a hash of the words."""
+#: A generator takes queries (query_id, text) and ids (doc_id, tokens) and gives a scorer.
+Generator = Callable[[DataFrame, DataFrame], docids.Scorer]
+#: The tokens between generated ids and behind the last one.
+SEPARATOR, END = 1, 2
+
+
+def rank(
+    method: str, queries: DataFrame, passages: DataFrame, depth: int = 100, hops: int = 3, encode: Encoder = dense.hashed_vectors, fold: str = "none", store: str | None = None,
+    generate: Generator | None = None, beams: int = 1, steps: int = 256,
+) -> DataFrame:
+    """(query_id, doc_id, score, rank) by any method.  ``encode`` and ``generate`` are where
+    models plug in; the defaults are a hash of the words, and spelling out the ids of the
+    lexical ranking.  Index and vectors are kept below ``store`` and used again as long
+    as the passages are the same."""
     columns = ["query_id", "doc_id", "score", "rank"]
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
-    keep = durable(queries.sparkSession)
-    if method in ("bm25", "hybrid", "ircot", "hops"):
-        index = lexical.build_index(passages, fold=fold).stored(keep)
+    spark = queries.sparkSession
+    keep = durable(spark)
+    root = store or f"{shared_dir(spark)}/trailmark/store-{uuid.uuid4().hex}"
+    if method in ("bm25", "hybrid", "ircot", "hops") or method == "gmr" and generate is None:
+        index = open_index(passages, f"{root}/lexical-{fold}", fold)
         search = lambda q: lexical.bm25(q, index, depth).select(*columns)
     if method == "bm25":
         return search(queries)
+    if method == "gmr":
+        ids = keep(passages.select("doc_id", docids.byte_tokens(F.col("doc_id").cast("string")).alias("tokens")))
+        scorer = generate(queries, ids) if generate else docids.spelled(keep(search(queries)), ids, SEPARATOR, END)
+        best = docids.decode(queries, docids.trie_edges(ids), scorer, SEPARATOR, END, beams, steps, keep).where("beam = 1")
+        return docids.resolve_ids(docids.decoded_ids(best, ids, SEPARATOR, END), ids).select(*columns)
     if method == "ircot":
         return multihop.interleaved_reasoning(queries, search, passages, hops, depth=depth, keep=keep).select(*columns)
     if method == "hops":
         return multihop.fuse_hops(multihop.greedy_hops(queries, search, passages, hops, keep=keep), depth=depth).select(*columns)
-    vectors = keep(encode(passages, "doc_id"))
+    name = files.config_key(encoder=getattr(encode, "__qualname__", repr(encode)), corpus=audit.table_fingerprint(passages, CONTENT).first()["digest"])
+    vectors = files.ensure_vectors(spark, passages, lambda rows: encode(rows, "doc_id").withColumnRenamed("v", "embedding"), f"{root}/vectors", name).withColumnRenamed("embedding", "v")
     near = lambda q: dense.dense_search(encode(q, "query_id"), vectors, depth).select(*columns)
     if method == "dense":
         return near(queries)
     if method == "hybrid":
         return dense.hybrid(near(queries), search(queries), depth).select(*columns)
-    parts = lambda df, name: df.withColumn(name, F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("v", (i * F.size("v") / 4).cast("int") + 1, (F.size("v") / 4).cast("int")))).drop("v")
+    parts = lambda df, name: df.withColumn(name, F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("v", (i * F.size("v") / 4).cast("int") + 1, (F.size("v") / 4).cast("int")).cast("array<double>"))).drop("v")
     rerank = (lambda ranked, asked: dense.maxsim_rerank(ranked, parts(encode(asked, "query_id"), "q"), parts(vectors, "d"))) if method == "baleen" else None
     return multihop.fuse_hops(multihop.greedy_hops(queries, near, passages, hops, rerank=rerank, keep=keep), method, depth).select(*columns)
 
 
-def evaluate_reader(queries: DataFrame, rankings: DataFrame, passages: DataFrame, qa: DataFrame, k: int = 10, method: str = "pathfid", reader: readers.Reader = readers.extractive_reader) -> tuple[DataFrame, DataFrame]:
+def retrieval_run(
+    method: str, queries: DataFrame, passages: DataFrame, output: str, qrels: DataFrame | None = None, top_k: int = 100, depth: int = 100, hops: int = 3, encode: Encoder = dense.hashed_vectors,
+    fold: str = "none", store: str | None = None, **own: object,
+) -> None:
+    """Rankings of ``queries(query_id, text)`` in ``output/rankings``, a query without hits
+    among them, and one row of metrics in ``output/metrics``: scores against
+    ``qrels``, if given, which must judge the same queries; ``own`` facts of the run;
+    fingerprints of what it read; the seconds that it took."""
+    begun = time.perf_counter()
+    spark = queries.sparkSession
+    nested = files.nest_rankings(rank(method, queries, passages, depth, hops, encode, fold, store).where(F.col("rank") <= top_k))
+    none = F.array().cast(nested.schema["results"].dataType)
+    files.write_jsonl(queries.select("query_id").join(nested, "query_id", "left").select("query_id", F.coalesce("results", none).alias("results")), f"{output}/rankings", "overwrite")
+    ranked = files.read_jsonl(spark, f"{output}/rankings", files.RANKINGS)
+    row: dict[str, object] = {**own, "method": method, "top_k": top_k, "search_depth": depth, "max_hops": hops, "model": getattr(encode, "__qualname__", repr(encode)) if method not in ("bm25", "ircot", "hops", "gmr") else None}
+    row["corpus_fingerprint"] = audit.table_fingerprint(passages, CONTENT).first()["digest"]
+    row["queries_fingerprint"] = audit.table_fingerprint(queries, ["query_id", "text"]).first()["digest"]
+    if qrels is not None:
+        audit.require(audit.same_queries(ranked, qrels))
+        row["qrels_fingerprint"] = audit.table_fingerprint(qrels, ["query_id", "doc_id", "gain"]).first()["digest"]
+        for m in evaluation.ranking_metrics(qrels, files.flatten_rankings(ranked), tuple(sorted({*evaluation.CUTOFFS, top_k}))).collect():  # a row for each cutoff
+            row["num_queries"] = m["num_queries"]
+            row |= {f"{name}@{m['k']}": m[name] for name in ("recall", "mrr", "ndcg", "map", "complete_evidence")}
+    row["results_per_query_mean"] = ranked.agg(F.round(F.coalesce(F.avg(F.size("results")), F.lit(0.0)), 4)).first()[0]
+    row["runtime_seconds"] = round(time.perf_counter() - begun, 3)
+    files.write_manifest(spark.createDataFrame([row], _row_schema(row)), f"{output}/metrics")
+
+
+def _row_schema(row: dict[str, object]) -> str:
+    kinds = {int: "long", float: "double", bool: "boolean"}
+    return ", ".join(f"`{k}` {kinds.get(type(v), 'string')}" for k, v in row.items())
+
+
+def evaluate_reader(
+    queries: DataFrame, rankings: DataFrame, passages: DataFrame, qa: DataFrame, k: int = 10, method: str = "pathfid", reader: readers.Reader = readers.extractive_reader, max_source: int = 2048,
+    max_passage: int = 256,
+) -> tuple[DataFrame, DataFrame]:
     """``queries(query_id, text)`` with ``rankings(query_id, results)`` through a reader:
-    predictions, and one row of metrics.  A query without a ranking fails."""
+    predictions, and one row of metrics.  Passages are cut so that ``k`` of them fit a
+    prompt of ``max_source`` tokens.  A query without a ranking fails."""
     lacking = queries.join(rankings.select("query_id"), "query_id", "left_anti").select(F.lit("query without ranking").alias("problem"), F.col("query_id").cast("string").alias("id"))
     audit.require(lacking)
     examples = answers.downstream_examples(queries, files.flatten_rankings(rankings), passages, qa, k)
     none = F.array().cast(examples.schema["contexts"].dataType)
     keep = durable(queries.sparkSession)
     examples = keep(examples.withColumn("contexts", F.coalesce("contexts", none)))
-    predictions = keep(readers.predict(examples, method, reader, k))
-    means = pipelines.answer_metrics(predictions)
-    return predictions, means.crossJoin(F.broadcast(examples.agg(F.round(F.avg(F.size("contexts")), 4).alias("mean_retrieved_contexts"))))  # one row each
+    budget = answers.passage_budget(k, max_source, max_passage)
+    predictions = keep(readers.predict(examples, method, reader, k, budget))
+    facts = examples.agg(F.round(F.avg(F.size("contexts")), 4).alias("mean_retrieved_contexts")).withColumn("max_passage_tokens", F.lit(budget))
+    return predictions, pipelines.answer_metrics(predictions).crossJoin(F.broadcast(facts))  # one row each
+
+
+def reader_run(
+    samples: DataFrame, rankings: DataFrame, passages: DataFrame, qa: DataFrame, output: str, k: int = 10, method: str = "pathfid", max_source: int = 2048, max_passage: int = 256,
+    reader: readers.Reader = readers.extractive_reader, **own: object,
+) -> None:
+    """A reader's predictions for ``samples`` in ``output/predictions``, and one row of
+    metrics, with fingerprints of rankings and queries, in ``output/metrics``."""
+    asked = samples.join(qa.select("split", "source_qa_id", "question", "answer"), ["split", "source_qa_id"], "left")
+    queries = asked.select("query_id", F.coalesce("question", F.lit("")).alias("text"))
+    predictions, means = evaluate_reader(queries, rankings, passages, asked, k, method, reader, max_source, max_passage)
+    files.write_jsonl(predictions, f"{output}/predictions", "overwrite")
+    facts = {**own, "reader_checkpoint": "extractive stand-in" if reader is readers.extractive_reader else "", "reader_method": method, "reader_model_name": "", "top_k_contexts": k}
+    facts["rankings_fingerprint"] = audit.table_fingerprint(rankings.withColumn("results", F.to_json("results")), ["query_id", "results"]).first()["digest"]
+    facts["queries_fingerprint"] = audit.table_fingerprint(samples, ["query_id", "query"]).first()["digest"]
+    files.write_manifest(means.select(*[F.lit(v).alias(c) for c, v in facts.items()], "*"), f"{output}/metrics")
 
 
 def evaluate_spans(logits: DataFrame, examples: DataFrame, top: int = 20, longest: int = 512) -> tuple[DataFrame, DataFrame]:
@@ -265,7 +340,8 @@ def evaluate_spans(logits: DataFrame, examples: DataFrame, top: int = 20, longes
 
 
 #: What runs of one split must share, and what may differ between runs.
-QA_SHARED = ["reader_checkpoint", "reader_method", "reader_model_name", "queries_sha256", "num_examples", "max_passage_tokens"]
+QA_SHARED = ["reader_checkpoint", "reader_method", "reader_model_name", "queries_fingerprint", "num_examples", "max_passage_tokens"]
+IR_SHARED = ["corpus_fingerprint", "qrels_fingerprint", "queries_fingerprint", "search_depth", "track", "split"]
 RUN_OWN = ("method", "seed", "trainable_parameters")
 
 
@@ -274,6 +350,16 @@ def summarize_readers(runs: DataFrame, expected: dict[str, object] | None = None
     return pipelines.comparison(runs, [c for c in QA_SHARED if c in runs.columns], ["split"], expected)
 
 
+#: The columns of the tables of reader and of retrieval runs.
+QA_TABLE = ["split", "retrieval_method", "retrieval_seed", "num_examples", "top_k_contexts", "mean_retrieved_contexts", "rouge_l", "meteor", "bertscore_f1"]
+IR_TABLE = ["split", "method", "seed", "num_queries", "recall@1", "recall@5", "recall@10", "recall@20", "recall@100", "mrr@10", "ndcg@10", "map@10", "complete_evidence@100", "results_per_query_mean"]
+
+
+def summarize_runs(runs: DataFrame, expected: dict[str, object] | None = None) -> DataFrame:
+    """Retrieval runs side by side, by split, after checking what they must share."""
+    return pipelines.comparison(runs, [c for c in IR_SHARED if c in runs.columns], ["split"], expected)
+
+
 def summarize_extractive(args: DataFrame, complete: DataFrame, metrics: DataFrame, expected: dict[str, object] | None = None) -> DataFrame:
     """``args(run, method, seed, name, value)``: the settings of every run;
     ``complete(run)``: runs that ended; ``metrics(run, split, method, seed, num_examples,

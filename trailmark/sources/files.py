@@ -136,29 +136,18 @@ def config_key(**settings: object) -> str:
 def ensure_vectors(spark: SparkSession, corpus: DataFrame, encode, root: str, key: str) -> DataFrame:
     """The vector store ``root/key``: encodes only ids that it lacks, so an interrupted
     run goes on where it stopped.  ``encode`` takes (doc_id, text) and gives
-    (doc_id, embedding)."""
+    (doc_id, embedding); an id without a vector is stored with null.  A store that holds
+    ids that the corpus lacks, or an id twice, belongs to another corpus and fails."""
     path = f"{root.rstrip('/')}/{key}"
     schema = f"doc_id {corpus.schema['doc_id'].dataType.simpleString()}, embedding array<float>"
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(path)
     todo = corpus.select("doc_id", T.text_or_empty(F.col("text")).alias("text"))
-    if place.getFileSystem(conf).exists(place):
-        todo = todo.join(spark.read.schema(schema).parquet(path).select("doc_id"), "doc_id", "left_anti")
+    if names(spark, path):
+        held = spark.read.schema(schema).parquet(path).groupBy("doc_id").agg(F.count("*").alias("n"))
+        strange = held.join(corpus.select("doc_id"), "doc_id", "left_anti").select("doc_id").unionAll(held.where("n > 1").select("doc_id")).limit(3).collect()
+        if strange:
+            raise ValueError(f"the vector store {path} is not of this corpus: {[r[0] for r in strange]}")
+        todo = todo.join(held.select("doc_id"), "doc_id", "left_anti")
     if not todo.isEmpty():
-        encode(todo).select("doc_id", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def save_index(index, root: str, key: str) -> None:
-    """Postings sorted by term within partitions, so that row-group statistics prune."""
-    base = f"{root.rstrip('/')}/{key}"
-    index.postings.repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{base}/postings")
-    index.lengths.write.mode("overwrite").parquet(f"{base}/lengths")
-    index.vocabulary.write.mode("overwrite").parquet(f"{base}/vocabulary")
-
-
-def load_index(spark: SparkSession, root: str, key: str):
-    from ..operators.lexical import LexicalIndex
-
-    base = f"{root.rstrip('/')}/{key}"
-    return LexicalIndex(*[spark.read.parquet(f"{base}/{part}") for part in ("postings", "lengths", "vocabulary")])
+        done = todo.select("doc_id").join(encode(todo).select("doc_id", F.col("embedding").cast("array<float>").alias("embedding")), "doc_id", "left")
+        done.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path).where("embedding is not null")
