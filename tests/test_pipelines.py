@@ -81,10 +81,10 @@ def test_command_line(spark, tmp_path):
     main(["validate", "--corpus", at("corpus.jsonl"), "--queries", at("queries.jsonl"), "--qrels", at("qrels.tsv")], spark)
     for method in ("bm25", "hops", "m3"):  # m3 fuses dense hops, so it ranks every passage
         main(["retrieve", "--corpus", at("corpus.jsonl"), "--queries", at("queries.jsonl"), "--output", at(method), "--method", method], spark)
-    assert [r["doc_id"] for r in files.read_jsonl(spark, at("m3"), files.RANKINGS).first()["results"]][0] == "d1"
-    nested = files.read_jsonl(spark, at("hops"), files.RANKINGS).first()
+    assert [r["doc_id"] for r in files.read_jsonl(spark, at("m3/rankings"), files.RANKINGS).first()["results"]][0] == "d1"
+    nested = files.read_jsonl(spark, at("hops/rankings"), files.RANKINGS).first()
     assert nested["results"][0]["doc_id"] == "d1" and {r["doc_id"] for r in nested["results"]} == {"d1", "d2"}
-    main(["evaluate", "--rankings", at("bm25"), "--qrels", at("qrels.tsv"), "--output", at("metrics")], spark)
+    main(["evaluate", "--rankings", at("bm25/rankings"), "--qrels", at("qrels.tsv"), "--output", at("metrics")], spark)
     row = spark.read.csv(at("metrics"), sep="\t", header=True).where("k = 5").first()
     assert float(row["recall"]) == 0.5
     main(["tracks", "--qrels", at("qrels.tsv"), "--output", at("track")], spark)

@@ -119,22 +119,19 @@ def test_experiment_redoes_what_depends_on_a_change(root, spark, tmp_path):
         made_ = experiments.retrieval_experiment(args[1], args[3], args[5], methods, (1,), ("dev",), "all_matched", 3, 10, 2, qa_top_k=qa_top_k)
         return {n for n, what in experiments.run_steps(spark, made_).items() if what == "done"}, {s.name for s in made_}
 
-    done, every = steps()
-    assert done == every and len(every) == 8
+    done, every = steps(methods=("bm25",))
+    assert done == every and len(every) == 6
+    assert steps(methods=("bm25",))[0] == set()
     table = spark.read.csv(f"{args[5]}/comparison/table", sep="\t", header=True)
-    assert {r["method"] for r in table.collect()} == {"bm25", "dense"} and "recall@10" in table.columns
-    assert steps()[0] == set()
-    assert steps(qa_top_k=1)[0] == {n for n in every if n.startswith("read ")} | {"compare readers"}  # a reader's setting
-    more = steps(qa_top_k=1, methods=("bm25", "dense", "hybrid"))[0]
-    assert more == {"retrieve all_matched_hybrid_seed1_dev", "read all_matched_hybrid_seed1_dev", "compare", "compare readers"}
+    assert [r["method"] for r in table.collect()] == ["bm25"] and "recall@10" in table.columns
+    assert steps(qa_top_k=1, methods=("bm25",))[0] == {n for n in every if n.startswith("read ")} | {"compare readers"}  # a reader's setting
+    shutil.rmtree(tmp_path / "out/runs/all_matched_bm25_seed1_dev-read/_step")  # it stopped before its end
+    assert steps(qa_top_k=1)[0] == {"read all_matched_bm25_seed1_dev", "retrieve all_matched_dense_seed1_dev", "read all_matched_dense_seed1_dev", "compare", "compare readers"}
     path = tmp_path / "laws" / "land-law-20.json"
     path.write_text(path.read_text().replace("needs a permit", "needs one permit"))
-    assert steps(qa_top_k=1, methods=("bm25", "dense", "hybrid"))[0] >= every
-    shutil.rmtree(tmp_path / "out/runs/all_matched_dense_seed1_dev/_step")  # it stopped before its end
-    assert "retrieve all_matched_dense_seed1_dev" in steps(qa_top_k=1, methods=("bm25", "dense", "hybrid"))[0]
+    assert steps(qa_top_k=1, methods=("bm25",))[0] == every
     with pytest.raises(ValueError, match="needs"):
         experiments.run_steps(spark, [experiments.Step("x", str(tmp_path / "x"), lambda s: None, ("y",))])
-    main(["run", *args, "--track", "all_matched", "--top-k", "3", "--search-depth", "10", "--max-hops", "2", "--seeds", "1", "--qa-top-k", "1", "--methods", "bm25"], spark)
 
 
 def test_prompts_keep_to_the_budget(spark):

@@ -38,3 +38,30 @@ def focused_maxsim(query: Column, document: Column, fraction: float = 0.4) -> Co
         return F.aggregate(F.slice(F.sort_array(best, asc=False), F.lit(1), keep), F.lit(0.0), lambda s, x: s + x)
 
     return F.get(F.transform(F.array(F.struct(unit(query).alias("q"), unit(document).alias("d"))), lambda p: score(p["q"], p["d"])), F.lit(0))
+
+
+def token_match(prediction: Column, reference: Column, prediction_weights: Column | None = None, reference_weights: Column | None = None) -> Column:
+    """(precision, recall, f1) by greedy matching of token vectors: each of the prediction's
+    tokens with its nearest of the reference's by cosine, and the other way round, averaged
+    by the tokens' weights (all alike, if none are given).  A side without tokens, or
+    without weight, scores 0."""
+    unit = lambda c: F.transform(c, lambda t: F.get(F.transform(F.array(F.greatest(norm(t), F.lit(1e-12))), lambda n: F.transform(t, lambda x: x / n)), F.lit(0)))
+    even = lambda c: F.transform(c, lambda _: F.lit(1.0))
+
+    def side(a: Column, b: Column, weights: Column) -> Column:
+        best = F.transform(a, lambda x: F.array_max(F.transform(b, lambda y: dot(x, y))))
+        total = F.aggregate(weights, F.lit(0.0), lambda s, w: s + w)
+        gained = F.aggregate(F.zip_with(best, weights, lambda x, w: F.coalesce(x, F.lit(0.0)) * w), F.lit(0.0), lambda s, x: s + x)
+        return F.when(total > 0, gained / total).otherwise(F.lit(0.0))
+
+    def score(x: Column) -> Column:
+        return F.struct(side(x["p"], x["r"], x["wp"]).alias("precision"), side(x["r"], x["p"], x["wr"]).alias("recall"))
+
+    def with_f1(x: Column) -> Column:
+        both = x["precision"] + x["recall"]
+        return F.struct(x["precision"].alias("precision"), x["recall"].alias("recall"), F.when(both != 0, 2 * x["precision"] * x["recall"] / both).otherwise(F.lit(0.0)).alias("f1"))
+
+    wp = even(prediction) if prediction_weights is None else prediction_weights
+    wr = even(reference) if reference_weights is None else reference_weights
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    return once(F.struct(unit(prediction).alias("p"), unit(reference).alias("r"), wp.alias("wp"), wr.alias("wr")), lambda x: once(score(x), with_f1))

@@ -113,27 +113,123 @@ def _tokens(text: str | None) -> list[str]:
     return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text or "").lower()).strip().split()
 
 
-def meteor_exact_one(prediction: str | None, reference: str | None, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
-    """METEOR with exact matches only: greedy left-to-right alignment, F-mean and the
-    penalty for scattered chunks."""
-    p, r = _tokens(prediction), _tokens(reference)
-    if p == r:
-        return 1.0
+def _pairs(p: list[tuple[int, str]], r: list[tuple[int, str]]) -> list[tuple[int, int]]:
+    """Equal tokens paired from the end: the last with the last that is free.  What is paired
+    leaves the lists."""
     places: dict[str, list[int]] = {}
-    for i in range(len(r) - 1, -1, -1):
-        places.setdefault(r[i], []).append(i)
-    pairs = [(i, places[token].pop()) for i, token in enumerate(p) if places.get(token)]
+    for j, token in r:
+        places.setdefault(token, []).append(j)
+    out = []
+    for i, token in reversed(p):
+        if places.get(token):
+            out.append((i, places[token].pop()))
+    left, right = {i for i, _ in out}, {j for _, j in out}
+    p[:] = [x for x in p if x[0] not in left]
+    r[:] = [x for x in r if x[0] not in right]
+    return out
+
+
+def meteor_one(prediction: str | None, reference: str | None, stems: bool = False, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
+    """METEOR in stages: equal tokens, then, if wanted, equal stems of those that are left;
+    F-mean and the penalty for scattered chunks."""
+    a, b = _tokens(prediction), _tokens(reference)
+    if a == b:
+        return 1.0
+    p, r = list(enumerate(a)), list(enumerate(b))
+    pairs = _pairs(p, r)
+    if stems:
+        p, r = [(i, stem(t)) for i, t in p], [(j, stem(t)) for j, t in r]
+        pairs += _pairs(p, r)
     if not pairs:
         return 0.0
-    precision, recall = len(pairs) / len(p), len(pairs) / len(r)
+    pairs.sort()
+    precision, recall = len(pairs) / len(a), len(pairs) / len(b)
     mean = precision * recall / (alpha * precision + (1 - alpha) * recall)
-    chunks = 1 + sum(not (b == a + 1 and d == c + 1) for (a, c), (b, d) in zip(pairs, pairs[1:]))
+    chunks = 1 + sum(not (y[0] == x[0] + 1 and y[1] == x[1] + 1) for x, y in zip(pairs, pairs[1:]))
     return mean * (1 - gamma * (chunks / len(pairs)) ** beta)
 
 
 @F.pandas_udf(DoubleType())
 def meteor_exact(prediction: pd.Series, reference: pd.Series) -> pd.Series:
-    return pd.Series([meteor_exact_one(p, r) for p, r in zip(prediction, reference)], dtype="float64")
+    """By equal tokens alone."""
+    return pd.Series([meteor_one(p, r) for p, r in zip(prediction, reference)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def meteor_stem(prediction: pd.Series, reference: pd.Series) -> pd.Series:
+    """By equal tokens, then by equal stems."""
+    return pd.Series([meteor_one(p, r, True) for p, r in zip(prediction, reference)], dtype="float64")
+
+
+#: The endings of Porter's algorithm of 1980, by step.
+_STEP2 = (
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
+    ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+)
+_STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
+_STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+
+
+def _shape(word: str) -> str:
+    """c and v for consonants and vowels; y is a vowel behind a consonant."""
+    out = ""
+    for letter in word:
+        out += "v" if letter in "aeiou" or letter == "y" and out[-1:] == "c" else "c"
+    return out
+
+
+def _measure(word: str) -> int:
+    return len(re.findall("v+c", _shape(word)))
+
+
+def _short(word: str) -> bool:
+    """Ends consonant, vowel, consonant, the last not w, x or y."""
+    return _shape(word)[-3:] == "cvc" and word[-1] not in "wxy"
+
+
+def _doubled(word: str) -> bool:
+    return len(word) > 1 and word[-1] == word[-2] and _shape(word)[-1] == "c"
+
+
+def _longest(word: str, endings) -> str | None:
+    return max((e for e in endings if word.endswith(e)), key=len, default=None)
+
+
+def stem(word: str) -> str:
+    """The stem of a lower-case word by Porter's algorithm; two letters or fewer stay."""
+    if len(word) <= 2:
+        return word
+    for ending, to in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
+        if word.endswith(ending):
+            word = word[: len(word) - len(ending)] + to
+            break
+    if word.endswith("eed"):
+        if _measure(word[:-3]) > 0:
+            word = word[:-1]
+    else:
+        ending = "ed" if word.endswith("ed") else "ing" if word.endswith("ing") else ""
+        if ending and "v" in _shape(word[: -len(ending)]):
+            word = word[: -len(ending)]
+            if word.endswith(("at", "bl", "iz")):
+                word += "e"
+            elif _doubled(word) and word[-1] not in "lsz":
+                word = word[:-1]
+            elif _measure(word) == 1 and _short(word):
+                word += "e"
+    if word.endswith("y") and "v" in _shape(word[:-1]):
+        word = word[:-1] + "i"
+    for endings in (dict(_STEP2), dict(_STEP3)):
+        ending = _longest(word, endings)
+        if ending and _measure(word[: -len(ending)]) > 0:
+            word = word[: -len(ending)] + endings[ending]
+    ending = _longest(word, _STEP4)
+    if ending and _measure(word[: -len(ending)]) > 1 and (ending != "ion" or word[: -len(ending)].endswith(("s", "t"))):
+        word = word[: -len(ending)]
+    if word.endswith("e") and (_measure(word[:-1]) > 1 or _measure(word[:-1]) == 1 and not _short(word[:-1])):
+        word = word[:-1]
+    if _doubled(word) and word.endswith("l") and _measure(word) > 1:
+        word = word[:-1]
+    return word
 
 
 def decode_spans(logits: DataFrame, top: int = 20, longest: int = 512) -> DataFrame:

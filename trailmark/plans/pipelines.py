@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vectors as V
 from ..operators import answers, audit, evaluation
 from ..session import durable
 from ..sources import files
@@ -68,15 +69,42 @@ def label_counts(examples: DataFrame) -> DataFrame:
     return examples.agg(F.count("*").alias("samples"), *methods, F.count_if(F.col("overlap_score") == 0).alias("zero_overlap"), F.count_if(F.col("input_context_count") < 2).alias("fewer_than_two_contexts"), F.count_if("multihop").alias("multihop"))
 
 
-def answer_metrics(predictions: DataFrame) -> DataFrame:
+#: An encoder of tokens takes (id, text) and gives (id, tokens array<string>, vectors
+#: array<array<double>>), a vector for each token.
+TokenEncoder = Callable[[DataFrame], DataFrame]
+
+
+def token_match_scores(predictions: DataFrame, encode: TokenEncoder) -> DataFrame:
+    """``predictions(query_id, prediction, reference)``: (query_id, precision, recall, f1) by
+    greedy matching of token vectors, each token weighted by how few references hold it:
+    ln((references + 1) / (those with it + 1))."""
+    sides = {c: encode(predictions.select(F.col("query_id").alias("id"), F.col(c).alias("text"))).select("id", "tokens", "vectors") for c in ("prediction", "reference")}
+    n = predictions.agg(F.count("*").alias("n"))
+    df = sides["reference"].select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+    def weighted(side: DataFrame, name: str) -> DataFrame:
+        rows = side.select("id", F.posexplode("tokens").alias("at", "token")).join(df, "token", "left").crossJoin(F.broadcast(n))  # one row
+        idf = F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1))
+        lists = rows.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", idf.alias("w")))), lambda x: x["w"]).alias("w"))  # one text's tokens
+        joined = side.join(lists, "id", "left")
+        return joined.select(F.col("id").alias("query_id"), F.col("vectors").alias(name), F.coalesce("w", F.array().cast("array<double>")).alias(f"{name}_w"))
+
+    both = predictions.select("query_id").join(weighted(sides["prediction"], "p"), "query_id").join(weighted(sides["reference"], "r"), "query_id")
+    return both.select("query_id", V.token_match(F.col("p"), F.col("r"), F.col("p_w"), F.col("r_w")).alias("m")).select("query_id", "m.*")
+
+
+def answer_metrics(predictions: DataFrame, encode: TokenEncoder | None = None) -> DataFrame:
     """``predictions(query_id, prediction, reference)``: one row of means; a null side
-    fails, as do unequal lists; no rows give zeros.  ``bertscore_f1`` stays null: its
-    model is not part of this engine."""
+    fails, as do unequal lists; no rows give zeros.  ``bertscore_f1`` is the mean F1 of
+    token matching with a model's vectors; without an encoder it is null."""
     bad = F.col("prediction").isNull() | F.col("reference").isNull()
     p = F.when(bad, F.raise_error(F.lit("a prediction or reference is missing"))).otherwise(F.col("prediction"))
     rows = predictions.select(evaluation.rouge_l_long(p, F.col("reference")).alias("rouge_l"), evaluation.meteor_exact(p, F.col("reference")).alias("meteor"))
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0)).alias(c)
-    return rows.agg(F.count("*").alias("num_examples"), mean("rouge_l"), mean("meteor"), F.lit(None).cast("double").alias("bertscore_f1"))
+    means = rows.agg(F.count("*").alias("num_examples"), mean("rouge_l"), mean("meteor"))
+    if encode is None:
+        return means.withColumn("bertscore_f1", F.lit(None).cast("double"))
+    return means.crossJoin(token_match_scores(predictions, encode).agg(F.avg("f1").alias("bertscore_f1")))  # one row each
 
 
 def rescore(spark: SparkSession, rankings_path: str, qrels_path: str, cutoffs: tuple[int, ...] = evaluation.CUTOFFS) -> DataFrame:

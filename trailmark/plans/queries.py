@@ -14,7 +14,7 @@ from ..operators import audit, corpus, dense, docids, evaluation, lexical, multi
 from ..session import durable, shared_dir, ship
 from ..sources import files
 from ..sources.lexical_store import open_index
-from . import pipelines, views
+from . import model_inputs, pipelines, views
 from .views import with_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -786,8 +786,8 @@ def rouge_l(spark, d):
 #: The k-th occurrence of a token on one side meets the k-th on the other.
 METEOR_SQL = r"""
 mp AS MATERIALIZED (SELECT query_id, list_filter(string_split(trim(regexp_replace(lower(prediction), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS p, list_filter(string_split(trim(regexp_replace(lower(reference), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS r FROM pairs),
-m1 AS (SELECT query_id, i, t, row_number() OVER (PARTITION BY query_id, t ORDER BY i) AS k FROM (SELECT query_id, unnest(p) AS t, unnest(range(len(p))) AS i FROM mp)),
-m2 AS (SELECT query_id, j, t, row_number() OVER (PARTITION BY query_id, t ORDER BY j) AS k FROM (SELECT query_id, unnest(r) AS t, unnest(range(len(r))) AS j FROM mp)),
+m1 AS (SELECT query_id, i, t, row_number() OVER (PARTITION BY query_id, t ORDER BY i DESC) AS k FROM (SELECT query_id, unnest(p) AS t, unnest(range(len(p))) AS i FROM mp)),
+m2 AS (SELECT query_id, j, t, row_number() OVER (PARTITION BY query_id, t ORDER BY j DESC) AS k FROM (SELECT query_id, unnest(r) AS t, unnest(range(len(r))) AS j FROM mp)),
 m3 AS (SELECT query_id, i - lag(i) OVER w = 1 AND j - lag(j) OVER w = 1 AS joined FROM m1 JOIN m2 USING (query_id, t, k) WINDOW w AS (PARTITION BY query_id ORDER BY i)),
 m4 AS (SELECT query_id, count(*)::DOUBLE AS n, count(*) FILTER (joined IS NOT TRUE) AS chunks FROM m3 GROUP BY query_id),
 scores AS (SELECT query_id, CASE WHEN p = r THEN 1 WHEN n IS NULL THEN 0 ELSE (n / len(p)) * (n / len(r)) / (9e-1 * (n / len(p)) + 1e-1 * (n / len(r))) * (1 - 5e-1 * pow(chunks / n, 3)) END AS meteor FROM mp LEFT JOIN m4 USING (query_id))"""
@@ -800,6 +800,31 @@ def meteor_exact(spark, d):
     return qa.select("query_id", F.round(evaluation.meteor_exact(F.col("answer"), F.col("question")), 9).alias("meteor"))
 
 
+@query("meteor_stem")
+def meteor_stem(spark, d):
+    """Equal tokens, then equal stems; SQL has no stemmer."""
+    qa = views.qa_samples(spark, d).where("question is not null and answer is not null")
+    return qa.select("query_id", F.round(evaluation.meteor_stem(F.col("answer"), F.col("question")), 9).alias("meteor"))
+
+
+@query(
+    "token_match",
+    """WITH t AS MATERIALIZED (SELECT vec_id, i, list_transform(embedding[i * 16 + 1:i * 16 + 16]::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding[i * 16 + 1:i * 16 + 16]::DOUBLE[], embedding[i * 16 + 1:i * 16 + 16]::DOUBLE[]))) AS v, (1 + (vec_id + i) % 3)::DOUBLE AS w FROM embeddings, (SELECT unnest(range(4)) AS i)),
+s AS MATERIALIZED (SELECT a.vec_id AS id, a.i, b.i AS j, a.w AS wa, b.w AS wb, list_inner_product(a.v, b.v) AS s FROM t a JOIN t b ON b.vec_id = a.vec_id + 1),
+p AS (SELECT id, sum(m * w) / sum(w) AS p FROM (SELECT id, i, max(s) AS m, any_value(wa) AS w FROM s GROUP BY id, i) GROUP BY id),
+r AS (SELECT id, sum(m * w) / sum(w) AS r FROM (SELECT id, j, max(s) AS m, any_value(wb) AS w FROM s GROUP BY id, j) GROUP BY id)
+SELECT id, round(p, 6) AS "precision", round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM p JOIN r USING (id)""",
+)
+def token_match(spark, d):
+    """Each vector's four tokens against those of the next."""
+    t = views.token_vectors(views.vectors(spark, d), "t")
+    weights = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (1 + (F.col("doc_id") + i) % 3).cast("double"))
+    a = t.select(F.col("doc_id").alias("id"), F.col("t").alias("p"), weights.alias("wp"))
+    b = t.select((F.col("doc_id") - 1).alias("id"), F.col("t").alias("r"), weights.alias("wr"))
+    rows = a.join(b, "id").select("id", V.token_match(F.col("p"), F.col("r"), F.col("wp"), F.col("wr")).alias("m"))
+    return rows.select("id", *[F.round(f"m.{c}", 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
 @query(
     "span_decode",
     """WITH l AS (SELECT vec_id AS id, i // 16 AS passage, i AS position, embedding[i + 1]::DOUBLE AS s, embedding[64 - i]::DOUBLE AS e FROM embeddings, (SELECT unnest(range(64)) AS i)),
@@ -1042,6 +1067,21 @@ def align_subwords(spark, d):
     return pipelines.align_subwords(cut(3, 3, "i"), cut(5, 4, "t")).select("id", "i", F.coalesce("token", F.lit(-1)).alias("token"))
 
 
+@query(
+    "span_input_words",
+    f"""{EXTRACTIVE_SQL}
+SELECT b.query_id, count(*) AS n_passages, sum(len(b.tokens))::BIGINT AS n_words, true AS mapped FROM built b JOIN ex USING (query_id) GROUP BY b.query_id""",
+)
+def span_input_words(spark, d):
+    """Tokenised passages through a public byte-level vocabulary: every word of every passage
+    has a subword that points to it, and every label is found."""
+    import public_tokenizers
+
+    made = durable(spark)(model_inputs.span_inputs(_extractive(spark, d), public_tokenizers.path("byte_bpe_50k.json"), model_inputs.Layout((50256,), (50256,), (50256,), 1 << 14)))
+    words = F.size(F.array_distinct(F.filter("positions", lambda x: x >= 0))).cast("long")
+    return made.groupBy("query_id").agg(F.count("*").alias("n_passages"), F.sum(words).alias("n_words"), F.min("mapped").alias("mapped"))
+
+
 @query("corpus_counts", f"""{with_('sections')}, a AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN '2' WHEN 1 THEN '99' END AS article FROM sections)
 SELECT count(*) AS passages, count(*) FILTER (article = '2' AND len(paragraphs) >= 2) AS article_passages, count(DISTINCT CASE WHEN article = '2' AND len(paragraphs) >= 2 THEN doc_id END) AS distinct_articles, count(DISTINCT doc_id) AS documents FROM a""")
 def corpus_counts(spark, d):
