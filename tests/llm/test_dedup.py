@@ -401,11 +401,34 @@ def test_small_tables_are_partitioned_too(spark):
     assert leaves.count == 20 and 1 <= leaves.top.visits < 20
 
 
+def test_repeated_candidates_are_listed_each(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1, 600)]
+    query = rng.normal(size=8).tolist()
+    rows += [(0, query), (7, query), (7, query), (9, [2 * x for x in query]), (50, rng.normal(size=8).tolist())] + [rows[29]] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0, visits=10**6).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert [v for _, v, _ in sorted(got[0])[:3]] == [7, 7, 9]
+    for q, v in ((i, x) for i, x in rows if i % 50 == 0):
+        cos = lambda x: sum(a * b for a, b in zip(v, x)) / (sum(a * a for a in v) * sum(b * b for b in x)) ** 0.5
+        want = sorted((-round(cos(x), 12), i) for i, x in rows if i != q)[:5]
+        mine = sorted(got[q]) if q != 50 else sorted(got[q])[:10]
+        if q != 50:  # two rows have this id
+            assert [(-round(s, 12), i) for _, i, s in mine] == want
+
+
+def test_query_vectors_go_once_to_a_shelf():
+    shelf, slots = neighbours._shelves(np.array([3, 4, 5, 0, 30, 1]), 10)
+    assert shelf.tolist() == [0, 0, 1, 1, 2, 3] and slots.tolist() == [1, 1, 3, 1]
+
+
 def test_neighbours_edge_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [1.0]), (7, []), (50, [1.0, 0.0]), (50, [2.0, 0.0]), (100, None), (None, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("q", F.lit("clash"))
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0).collect()]
-    assert sorted(set(got)) == [(0, 1, 50), (0, 2, 1), (50, 1, 0), (50, 2, 1)]
+    assert sorted(got) == [(0, 1, 50), (0, 2, 50), (0, 3, 1), (50, 1, 0), (50, 1, 0), (50, 2, 1), (50, 2, 1)]  # every row counts
     assert neighbours.nearest(df.where("false"), F.lit(True)).count() == 0
 
 

@@ -14,14 +14,16 @@ Where that is more than ``most_parts``, every part is partitioned once more in t
 way, on a sample of its own rows, and a query visits several parts of each of its
 parts.  Networks are fitted in tasks, on ``sample`` rows at most each.
 
-A part with more rows than ``block`` is split by a hash of the row's id, as are a
-part's queries, so no task holds an unbounded group; nearest rows are merged from
-partial top lists.  A query that finds fewer than ``k`` rows visits all parts.
+Parts stand together on shelves of ``block`` rows at most; a part with more is split by
+a hash of the row, as are a shelf's queries, so no task holds an unbounded group.  A
+query's vector is sent once to every shelf with some of its parts, and nearest rows are
+merged from partial top lists.  A query that finds fewer than ``k`` rows visits all parts.
 
 Defined results: vectors that are null, empty, zero, of another length than most
 or with null or non-finite components take no part, neither as queries nor as
-candidates; rows that share an id count as the query's own; ties go to the
-smaller id; fewer than ``k`` candidates give shorter lists.
+candidates; rows that share an id count as the query's own, and each row that is
+selected has a list of its own; a candidate that occurs twice is listed twice; ties go
+to the smaller id; fewer than ``k`` candidates give shorter lists.
 """
 
 from __future__ import annotations
@@ -260,77 +262,147 @@ def fit_leaves(vectors: DataFrame, sample: int = SAMPLE, most_parts: int = PARTS
     return Leaves(top, {r["part"]: pickle.loads(r["model"]) for r in rows})
 
 
+def _shelves(rows_of: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shelf of each leaf, and the slots of each shelf.  A shelf is a run of leaves with
+    ``most`` rows together; a leaf with more is a shelf of its own, in slots."""
+    shelf, slots, held = np.zeros(len(rows_of), np.int64), [0], 0
+    for leaf, rows in enumerate(rows_of.tolist()):
+        if held + rows > most and held:
+            slots.append(0)
+            held = 0
+        held += rows
+        shelf[leaf] = len(slots) - 1
+        slots[-1] = max(1, -(-held // most))
+    return shelf, np.array(slots, np.int64)
+
+
 def nearest(
-    vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, sample: int = SAMPLE, block: int = 20_000, visits: int | None = None, most_parts: int = PARTS, target: float = 0.96
+    vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, sample: int = SAMPLE, block: int = 1 << 16, visits: int | None = None, most_parts: int = PARTS, target: float = 0.96
 ) -> DataFrame:
     """(query_id, rank, id, score) of the ``k`` nearest rows found for every row that
-    ``queries`` selects."""
+    ``queries`` selects.
+
+    Leaves stand on shelves of ``block`` rows at most, fewer in small tables, so that all
+    cores have some.  A query's vector goes once to each shelf that holds some of its
+    leaves, with their numbers."""
+    session = vectors.sparkSession
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), queries.alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
     sizes = source.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     source = source.where(F.size("v") == (sizes["d"] if sizes else 0))
     fitted = fit_leaves(source.select("id", "v"), sample, most_parts, target)
-    shared = vectors.sparkSession.sparkContext.broadcast(fitted)
+    shared = session.sparkContext.broadcast(fitted)
 
     def place(batches):
         for batch in batches:
-            x = _matrix(batch.column(1))
+            x = _matrix(batch.column(2))
             leaf = shared.value.place(_unit(x)) if len(x) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(leaf, pa.int32())], names=["id", "v", "q", "leaf"])
-
-    index = materialize(source.mapInArrow(trimmed(place), "id long, v array<double>, q boolean, leaf int"), "ann-index")
-    asked = index.where("q").select("id", "v")
-
-    def route(batches):
-        for batch in batches:
-            x = _matrix(batch.column(1))
-            row, leaf = shared.value.route(_unit(x), visits) if len(x) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            rows = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(leaf, pa.int32())], names=["id", "v", "leaf"])
-
-    blocks = materialize(index.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "ann-blocks")  # a row per leaf
-    stored = index.join(F.broadcast(blocks), "leaf").select("leaf", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("slot"), "id", "v")
-
-    def search(sent: DataFrame, lots: int) -> DataFrame:
-        """``sent(id, v, leaf)`` against the leaves' rows."""
-        copies = F.sequence(F.lit(0), F.col("blocks") - 1)
-        lot = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(lots)).cast("int")
-        sent = sent.join(F.broadcast(blocks), "leaf").select("leaf", F.explode(copies).alias("slot"), lot.alias("lot"), "id", "v")
-        spread = stored.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
-        keys = ["leaf", "slot", "lot"]
-        return sent.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(compare, "query_id long, vec long, score double")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(leaf, pa.int32())], names=["row", "id", "v", "q", "leaf"])
+
+    numbered = source.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "v", "q")
+    index = materialize(numbered.mapInArrow(trimmed(place), "row long, id long, v array<double>, q boolean, leaf int"), "ann-index")
+    counts = np.zeros(fitted.width * fitted.top.parts, np.int64)  # as many as leaves: 65,536 at most
+    for r in index.groupBy("leaf").count().collect():
+        counts[r["leaf"]] = r["count"]
+    shelf_rows = max(min(block, int(counts.sum()) // (4 * session.sparkContext.defaultParallelism)), min(block, 4096))
+    shelf_of, slots = _shelves(counts, shelf_rows)
+    layout = session.sparkContext.broadcast((shelf_of, slots))
+    asked = index.where("q").select("row", "id", "v")
+    keyed = "shelf int, slot int, lot int"
+
+    def keys(shelf: np.ndarray, slot: np.ndarray, lot: np.ndarray) -> list[pa.Array]:
+        return [pa.array(x, pa.int32()) for x in (shelf, slot, lot)]
+
+    def store(lots: int):
+        """Rows at their shelves, once for each lot of queries."""
+
+        def run(batches):
+            shelves, counted = layout.value
+            for batch in batches:
+                leaf, row = np.asarray(batch.column(3)), np.asarray(batch.column(0))
+                shelf = shelves[leaf]
+                slot = row * 2654435761 % (1 << 31) % counted[shelf]
+                for lot in range(lots):
+                    yield pa.RecordBatch.from_arrays([*keys(shelf, slot, np.full(len(shelf), lot)), *batch.columns], names=["shelf", "slot", "lot", "row", "id", "v", "leaf"])
+
+        return index.select("row", "id", "v", "leaf").mapInArrow(run, f"{keyed}, row long, id long, v array<double>, leaf int")
+
+    def route(lots: int, everywhere: bool):
+        """Queries at the shelves of their leaves, in every slot of these."""
+
+        def run(batches):
+            shelves, counted = layout.value
+            for batch in batches:
+                x = _matrix(batch.column(2))
+                if not len(x):
+                    continue
+                if everywhere:
+                    query, leaf = np.divmod(np.arange(len(x) * len(shelves)), len(shelves))
+                else:
+                    query, leaf = shared.value.route(_unit(x), visits)
+                order = np.lexsort((leaf, shelves[leaf], query))
+                query, leaf = query[order], leaf[order]
+                pair = query * len(counted) + shelves[leaf]
+                first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(pair)), pa.int32()), pa.array(leaf, pa.int32()))
+                q, shelf = query[first], shelves[leaf[first]]
+                copy = np.repeat(np.arange(len(q)), counted[shelf])
+                slot = np.arange(len(copy)) - np.repeat(np.cumsum(counted[shelf]) - counted[shelf], counted[shelf])
+                lot = np.asarray(batch.column(0))[q[copy]] % lots
+                taken = pa.array(q[copy])
+                yield pa.RecordBatch.from_arrays(
+                    [*keys(shelf[copy], slot, lot), batch.column(0).take(taken), batch.column(1).take(taken), batch.column(2).take(taken), lists.take(pa.array(copy))],
+                    names=["shelf", "slot", "lot", "row", "id", "v", "leaves"],
+                )
+
+        return run
 
     def compare(asked_: pa.Table, rows: pa.Table) -> pa.Table:
-        q, c = np.asarray(asked_["id"].combine_chunks() if asked_.num_rows else [], np.int64), np.asarray(rows["id"].combine_chunks() if rows.num_rows else [], np.int64)
-        out: list[list[np.ndarray]] = [[], [], []]
-        if len(q) and len(c):
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        if asked_.num_rows and rows.num_rows:
+            q, c, leaf = (np.asarray(t[n].combine_chunks()) for t, n in ((asked_, "id"), (rows, "id"), (rows, "leaf")))
             x, y = _matrix(asked_["v"]), _matrix(rows["v"])
             ux, uy = _unit(x), _unit(y)
-            step = max(1, (16 << 20) // (8 * len(c)))
-            for i in range(0, len(q), step):
-                score = ux[i : i + step] @ uy.T
-                score[q[i : i + step, None] == c[None, :]] = -np.inf
-                least = -np.partition(-score, min(k, len(c)) - 1, axis=1)[:, min(k, len(c)) - 1] - 1e-9
-                a, b = np.nonzero((score >= least[:, None]) & np.isfinite(score))
-                exact = cosine(x[i + a], y[b])
-                order = np.lexsort((c[b], -exact, a))
-                a, b, exact = a[order], b[order], exact[order]
-                first = np.searchsorted(a, a, "left")
-                keep = np.arange(len(a)) - first < k
-                for part, values in zip(out, (q[i + a[keep]], c[b[keep]], exact[keep])):
-                    part.append(values)
-        joined = [np.concatenate(p) if p else np.zeros(0) for p in out]
-        return pa.table({"query_id": pa.array(joined[0].astype(np.int64)), "vec": pa.array(joined[1].astype(np.int64)), "score": pa.array(joined[2].astype(np.float64))})
-
-    sent = materialize(asked.mapInArrow(trimmed(route), "id long, v array<double>, leaf int"), "ann-routed")
-    lots = max(1, -(-sent.count() // (fitted.count * block)))  # splits of a leaf's queries
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec")
-    first = lambda found: found.dropDuplicates().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    found = materialize(first(search(sent, lots)), "ann-found")
-    full = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
-    short = materialize(asked.join(full, "id", "left_anti"), "ann-short")
+            lists = asked_["leaves"].combine_chunks()
+            wanted, of = np.asarray(lists.flatten()), np.repeat(np.arange(len(q)), np.asarray(lists.value_lengths()))
+            by_leaf = np.argsort(leaf, kind="stable")
+            for number in np.unique(leaf).tolist():
+                here = by_leaf[np.searchsorted(leaf[by_leaf], number) : np.searchsorted(leaf[by_leaf], number, "right")]
+                who = of[wanted == number]
+                step = max(1, (16 << 20) // (8 * len(here)))
+                for i in range(0, len(who), step):
+                    some = who[i : i + step]
+                    score = ux[some] @ uy[here].T
+                    score[q[some, None] == c[None, here]] = -np.inf
+                    least = -np.partition(-score, min(k, len(here)) - 1, axis=1)[:, min(k, len(here)) - 1] - 1e-9
+                    a, b = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+                    for part, values in zip(out, (some[a], here[b], cosine(x[some[a]], y[here[b]]))):
+                        part.append(values)
+            a, b, exact = (np.concatenate(p) for p in out)
+            order = np.lexsort((b, c[b], -exact, a))
+            a, b, exact = a[order], b[order], exact[order]
+            keep = np.arange(len(a)) - np.searchsorted(a, a, "left") < k
+            a, b, exact = a[keep], b[keep], exact[keep]
+            row, cand = np.asarray(asked_["row"].combine_chunks())[a], np.asarray(rows["row"].combine_chunks())[b]
+            return pa.table({"row": pa.array(row), "query_id": pa.array(q[a]), "cand": pa.array(cand), "vec": pa.array(c[b]), "score": pa.array(exact)})
+        empty = pa.array([], pa.int64())
+        return pa.table({"row": empty, "query_id": empty, "cand": empty, "vec": empty, "score": pa.array([], pa.float64())})
+
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec", "cand")
+
+    def search(sent: DataFrame, lots: int) -> DataFrame:
+        on = ["shelf", "slot", "lot"]
+        found = sent.groupBy(*on).cogroup(store(lots).groupBy(*on)).applyInArrow(compare, "row long, query_id long, cand long, vec long, score double")
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    def routed(rows: DataFrame, everywhere: bool) -> tuple[DataFrame, int]:
+        lots = max(1, -(-rows.count() // shelf_rows))  # a shelf gets a query once: so many rows at most
+        return rows.mapInArrow(trimmed(route(lots, everywhere)), f"{keyed}, row long, id long, v array<double>, leaves array<int>"), lots
+
+    found = materialize(search(*routed(asked, False)), "ann-found")
+    full = found.groupBy("row").count().where(F.col("count") >= k).select("row")
+    short = materialize(asked.join(full, "row", "left_anti"), "ann-short")
     if not short.isEmpty():  # these go to every leaf
-        everywhere = short.crossJoin(F.broadcast(blocks.select("leaf")))
-        found = found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(first(search(everywhere, 1)))
+        found = found.join(short.select("row"), "row", "left_anti").unionByName(search(*routed(short, True)))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("vec").alias(id_col), "score")
 
 
