@@ -102,6 +102,14 @@ def test_rankings_are_scored_and_described(made, spark):
         main(["retrieve", "--corpus", made("exp/corpus"), "--queries", made("exp/all_matched/queries"), "--qrels", made("exp/all_matched/qrels"), "--output", made("no"), "--method", "bm25"][:-2] + ["--split", "train", "--qrels", made("exp/all_matched/qrels/split=dev")], spark)
 
 
+def test_trained_encoder_ranks(made, spark):
+    data = ["--corpus", made("exp/corpus"), "--queries", made("exp/all_matched/queries"), "--split", "dev"]
+    main(["train-dense", *data, "--output", made("trained"), "--epochs", "2", "--method", "mopo"], spark)
+    main(["retrieve", *data, "--output", made("rank-trained"), "--method", "dense", "--model", made("trained/model"), "--top-k", "3"], spark)
+    assert files.read_jsonl(spark, made("rank-trained/rankings"), files.RANKINGS).where("size(results) = 3").count() == 2
+    assert json.loads(spark.read.text(made("rank-trained/metrics")).first()[0])["model"].startswith("linear-")
+
+
 def test_arguments_are_checked(made, spark):
     for args in (["retrieve", "--corpus", "c", "--queries", "q", "--output", "o", "--top-k", "0"], ["retrieve", "--corpus", "c", "--queries", "q", "--output", "o", "--top-k", "9", "--search-depth", "3"],
                  ["evaluate-qa", "--rankings", "r", "--queries", "q", "--corpus", "c", "--qa-dir", "d", "--output", "o", "--max-source-length", "255"], ["filter-multihop", "--input", "i", "--output", "o", "--min-contexts", "0"],

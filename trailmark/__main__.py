@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import answers as qa_examples
-from .operators import audit, corpus
-from .plans import experiments, pipelines, stages
+from .operators import audit, corpus, dense
+from .plans import experiments, pipelines, stages, training
 from .session import local_session, ship
 from .sources import files
 
@@ -74,13 +74,24 @@ def _depths(a: argparse.Namespace) -> None:
         raise SystemExit("--search-depth must be at least --top-k")
 
 
+def train_dense(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Train the linear encoder on samples and their passages, or go on with it."""
+    _at_least(a, epochs=1, batch_size=1, save_steps=1)
+    samples = _of_split(files.read_jsonl(spark, a.queries, stages.SAMPLES), a)
+    positives = samples.select("query_id", F.col("query").alias("question"), F.array_distinct("positive_doc_ids").alias("doc_ids"))
+    settings = training.Settings(method=a.method, epochs=a.epochs, batch=a.batch_size, save_steps=a.save_steps, seed=a.seed)
+    made = training.train(positives, files.read_jsonl(spark, a.corpus, stages.PASSAGES), a.output, settings)
+    print(f"{made.step} steps" + (f", loss {made.losses[0]:.4f} to {made.losses[-1]:.4f}" if made.losses else ""))
+
+
 def retrieve(spark: SparkSession, a: argparse.Namespace) -> None:
     """Rank passages for queries; with judgements, score the rankings."""
     _depths(a)
+    encode = training.load_encoder(spark, a.model) if a.model else dense.hashed_vectors
     passages = files.read_jsonl(spark, a.corpus, stages.PASSAGES)
     queries = _of_split(files.read_jsonl(spark, a.queries, stages.SAMPLES), a).select("query_id", F.col("query").alias("text"))
     qrels = _of_split(files.read_qrels(spark, a.qrels), a).select("query_id", "doc_id", "gain") if a.qrels else None
-    stages.retrieval_run(a.method, queries, passages, a.output, qrels, a.top_k, a.search_depth, a.max_hops, fold=a.fold, store=a.store, split=a.split, track=a.track, seed=a.seed)
+    stages.retrieval_run(a.method, queries, passages, a.output, qrels, a.top_k, a.search_depth, a.max_hops, encode, a.fold, a.store, split=a.split, track=a.track, seed=a.seed)
 
 
 def evaluate_qa(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -176,6 +187,7 @@ COMMANDS = {
     "prepare": (prepare, ["ir-dir", "structured-dir", "output"]),
     "prepare-abstractive": (prepare_abstractive, ["qa-dir", "ir-dir", "output"]),
     "prepare-extractive": (prepare_extractive, ["qa-dir", "ir-dir", "structured-dir", "output"]),
+    "train-dense": (train_dense, ["corpus", "queries", "output"]),
     "retrieve": (retrieve, ["corpus", "queries", "output"]),
     "evaluate": (evaluate, ["rankings", "qrels", "output"]),
     "evaluate-qa": (evaluate_qa, ["rankings", "queries", "corpus", "qa-dir", "output"]),
@@ -191,7 +203,7 @@ COMMANDS = {
 }
 #: Options of several commands: (flag, default, commands).
 NUMBERS = (
-    ("--distractors", 0, ["prepare-abstractive", "prepare-extractive"]), ("--seed", 42, ["prepare-abstractive", "prepare-extractive", "evaluate-qa", "retrieve"]),
+    ("--distractors", 0, ["prepare-abstractive", "prepare-extractive"]), ("--seed", 42, ["prepare-abstractive", "prepare-extractive", "evaluate-qa", "retrieve", "train-dense"]), ("--epochs", 2, ["train-dense"]), ("--batch-size", 64, ["train-dense"]), ("--save-steps", 50, ["train-dense"]),
     ("--max-passages", 6, ["prepare-extractive"]), ("--passage-tokens", 256, ["prepare-extractive"]),
     ("--top-k", 100, ["retrieve", "run"]), ("--search-depth", 100, ["retrieve", "run", "summarize-runs"]), ("--max-hops", 3, ["retrieve", "run"]), ("--top-k", 10, ["evaluate-qa", "summarize-qa"]),
     ("--qa-top-k", 10, ["run"]), ("--max-source-length", 2048, ["evaluate-qa", "run"]), ("--max-passage-tokens", 256, ["evaluate-qa", "run"]), ("--min-contexts", 2, ["filter-multihop"]),
@@ -211,10 +223,12 @@ def parser() -> argparse.ArgumentParser:
             subs.choices[name].add_argument(flag, type=int, default=default)
     for name in ("tracks", "evaluate-qa", "summarize-qa", "summarize-runs", "retrieve", "run"):
         subs.choices[name].add_argument("--track", choices=stages.TRACKS, default="true_multihop")
-    for name in ("retrieve", "evaluate-qa", "evaluate-extractive"):
+    for name in ("retrieve", "evaluate-qa", "evaluate-extractive", "train-dense"):
         subs.choices[name].add_argument("--split", choices=["train", "dev", "test"])
         subs.choices[name].add_argument("--final", action="store_true", help="allow the test split")
     subs.choices["retrieve"].add_argument("--method", choices=stages.METHODS, default="bm25")
+    subs.choices["retrieve"].add_argument("--model", help="a trained encoder instead of the hashed stand-in")
+    subs.choices["train-dense"].add_argument("--method", choices=training.METHODS, default="dense")
     subs.choices["retrieve"].add_argument("--qrels", help="score the rankings against these judgements")
     subs.choices["retrieve"].add_argument("--store", help="keep index and vectors here for later runs")
     for name in ("retrieve", "run"):
