@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -69,19 +72,20 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10, tile_bytes
 
 def hashed_vectors(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 64) -> DataFrame:
     """(id, v): counts of a text's words in ``size`` places by a hash of the word, scaled
-    to length 1, within each row.  A stand-in for a neural encoder; a text without words
-    has no vector."""
-    place = lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % size
-    marks = F.concat(F.lit(","), F.array_join(F.transform(T.word_list(F.col(text_col)), lambda w: place(w).cast("string")), ",,"), F.lit(","))
-    marked = rows.select(F.col(id_col), marks.alias("m")).where(F.length("m") > 2)
-
-    def count(i: Column) -> Column:  # each word left ",place,"
-        mark = F.concat(F.lit(","), i.cast("string"), F.lit(","))
-        return (F.length("m") - F.length(F.replace(F.col("m"), mark, F.lit("")))) / F.length(mark)
-
-    counted = marked.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), count).alias("c"))
-    norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, x: a + x * x))
-    return counted.select(id_col, "c", norm.alias("n")).select(id_col, F.transform("c", lambda x: x / F.col("n")).alias("v"))
+    to length 1, within each row; a batch's different words are hashed once.  A stand-in
+    for a neural encoder; a text without words has no vector."""
+    read = rows.select(F.col(id_col).alias("id"), T.word_list(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+
+    def run(batches):
+        for batch in batches:
+            n, words = batch.num_rows, batch.column(1).flatten().dictionary_encode()
+            places = np.array([int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % size for w in words.dictionary.to_pylist()], np.int64)
+            owner = np.repeat(np.arange(n), np.asarray(pc.list_value_length(batch.column(1)), np.int64))
+            counts = np.bincount(owner * size + places[np.asarray(words.indices)], minlength=n * size).reshape(n, size).astype(np.float64)
+            v = counts / np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * size, pa.int32()), pa.array(v.ravel()))], names=["id", "v"])
+
+    return read.mapInArrow(run, f"id {read.schema['id'].dataType.simpleString()}, v array<double>").withColumnRenamed("id", id_col)
 
 
 def maxsim_rerank(ranked: DataFrame, query_tokens: DataFrame, doc_tokens: DataFrame, head: int = 20) -> DataFrame:

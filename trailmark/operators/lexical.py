@@ -13,6 +13,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,18 +68,39 @@ def top_k(scored: DataFrame, k: int, group: str = "query_id", item: str = "doc_i
 
 def build_index(passages: DataFrame, fold: str = "none", buckets: int = 64) -> LexicalIndex:
     """``passages(doc_id, title, text)``; all words are indexed, stopwords too, folded
-    as ``functions.text.folded`` says, and queries are folded alike.  Titles and texts
-    are cut into words once."""
+    as ``functions.text.folded`` says, and queries are folded alike.  Ids are unique.
+    Titles and texts are cut into words once."""
     fields = passages.select("doc_id", T.word_list(F.col("title"), fold).alias("a"), T.word_list(F.col("text"), fold).alias("b"))
-    entries = lambda words, title: F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(title).alias("in_title")))
-    own = F.array(F.struct(F.lit(PASSAGE).alias("term"), F.lit(0).alias("in_title")))
-    listed = fields.select("doc_id", (F.size("a") + F.size("b")).cast("long").alias("length"), F.concat(own, entries(F.col("a"), 1), entries(F.col("b"), 0)).alias("w"))
-    words = listed.select("doc_id", "length", F.explode("w").alias("w")).select("doc_id", "length", "w.term", "w.in_title")
-    counted = words.groupBy("term", "doc_id").agg(F.sum("in_title").alias("tf_title"), F.sum(1 - F.col("in_title")).alias("tf_text"), F.first("length").alias("length"))
+    kind = fields.schema["doc_id"].dataType.simpleString()
+    counted = fields.mapInArrow(_counted, f"term string, doc_id {kind}, tf_title long, tf_text long, length long")
     postings = counted.select(bucket_of("term", buckets).alias("bucket"), "term", "doc_id", "tf_title", "tf_text", "length")
     return LexicalIndex(postings, count_terms(postings), fold, buckets)
 
 
+def _counted(batches):
+    """Passages' words, as lists, to their postings, within each batch: a passage is one row,
+    so nothing is shuffled to count its words."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        sides = [batch.column(i) for i in (1, 2)]
+        sizes = [np.asarray(pc.list_value_length(c).fill_null(0), np.int64) for c in sides]
+        words = pa.chunked_array([pa.array([PASSAGE], pa.string()), *[c.flatten().cast(pa.string()) for c in sides]]).combine_chunks().dictionary_encode()
+        codes = np.asarray(words.indices, np.int64)
+        own = np.zeros(n, np.int64)  # the term of the passages themselves has code 0
+        owner = np.concatenate([np.arange(n), *[np.repeat(np.arange(n), s) for s in sizes]])
+        titled = np.concatenate([np.zeros(n), np.ones(sizes[0].sum()), np.zeros(sizes[1].sum())])
+        terms = len(words.dictionary)
+        keys, place = np.unique(owner * terms + np.concatenate([own, codes[1:]]), return_inverse=True)
+        in_title = np.bincount(place, titled).astype(np.int64)
+        row = pa.array(keys // terms)
+        yield pa.RecordBatch.from_arrays(
+            [words.dictionary.take(pa.array(keys % terms)), batch.column(0).take(row), pa.array(in_title), pa.array(np.bincount(place) - in_title), pa.array((sizes[0] + sizes[1])[keys // terms])],
+            names=["term", "doc_id", "tf_title", "tf_text", "length"],
+        )
+
+
 def count_terms(postings: DataFrame) -> DataFrame:
     """(bucket, term, df) of the words among postings."""
     return postings.where(F.col("bucket") != PASSAGES).groupBy("bucket", "term").agg(F.count("*").alias("df"))
