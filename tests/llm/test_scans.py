@@ -322,3 +322,20 @@ def test_url_intervals(spark):
         assert got[200 + t] == (("allow", True) if t >= 12 else got[t])
         assert all(got[100 * i + t] == (None, True) for i in (3, 4, 5, 6))
     assert got[999] == (None, True)
+
+
+def test_url_filter_edge_rows(spark):
+    entries = spark.createDataFrame(
+        [("block", "a.com", "add", 1), ("block", "a.com", "add", 1), ("allow", "x.a.com", "add", 1), ("block", "x.a.com", "add", 1), ("block", "[::1]", "add", 1), ("block", "B.org", "add", 5), ("block", "b.org", "remove", 5), ("block", "1]", "add", 1)],
+        "list string, domain string, action string, at int",
+    )
+    found = [("http://a.com./", ("a.com", "block", False)), ("http://y.a.com..:80/", ("a.com", "block", False)), ("http://x.a.com/", ("x.a.com", "block", False)), ("http://[::1]:8080/", ("[::1]", "block", False)), ("http://[::2]/", (None, None, True)),
+             ("http://b.org", (None, None, True)), ("http://./", (None, None, True)), ("", (None, None, True)), (None, (None, None, True)), ("http://" + "s." * 300 + "a.com/" + "p" * 100_000, ("a.com", "block", False))]
+    rows = [(i if i % 4 else None, u, 9, "k") for i, (u, _) in enumerate(found)] * 2
+    captures = spark.createDataFrame(rows, "host int, url string, kept int, domain string")
+    got = urls.filter_urls(captures, entries, id_col="host", time_col="kept")
+    assert got.columns == ["id", "host", "time", "domain", "verdict", "kept"]
+    want = [(i if i % 4 else None, *w) for i, (_, w) in enumerate(found)] * 2
+    assert sorted(map(str, [(r["id"], r["domain"], r["verdict"], r["kept"]) for r in got.collect()])) == sorted(map(str, want))
+    assert urls.filter_urls(captures.where("false"), entries, id_col="host", time_col="kept").count() == 0
+    assert urls.filter_urls(captures, entries.where("false"), id_col="host", time_col="kept").where("kept").count() == len(rows)

@@ -120,10 +120,10 @@ _LIST_SQL = ", ".join(f"('{a}', '{b}', '{c}', DATE '{d}')" for a, b, c, d in URL
     rf"""
 WITH e(list, domain, action, day) AS (VALUES {_LIST_SQL}),
 v AS (SELECT list, domain, action, day AS f, lead(day) OVER (PARTITION BY list, domain ORDER BY day, action) AS t FROM e),
-p AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
+p AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^/?#\]]*\]|[^/:?#]+)', 1)) AS host,
   (DATE '2024-01-01' + (page_id % 366)::INTEGER)::DATE AS fetched FROM pages),
 m AS (SELECT p.page_id, v.domain, v.list, row_number() OVER (PARTITION BY p.page_id, p.host ORDER BY length(v.domain) DESC, v.list DESC) AS r
-  FROM p JOIN v ON (p.host = v.domain OR ends_with(p.host, '.' || v.domain)) AND v.action = 'add' AND v.f <= p.fetched AND (v.t IS NULL OR p.fetched < v.t))
+  FROM p JOIN v ON (rtrim(p.host, '.') = v.domain OR NOT starts_with(p.host, '[') AND ends_with(rtrim(p.host, '.'), '.' || v.domain)) AND v.action = 'add' AND v.f <= p.fetched AND (v.t IS NULL OR p.fetched < v.t))
 SELECT p.page_id, p.host, p.fetched::VARCHAR AS fetched, m.domain, m.list AS verdict, coalesce(m.list, '') <> 'block' AS kept
 FROM p LEFT JOIN m ON m.page_id = p.page_id AND m.r = 1
 """,
