@@ -405,7 +405,7 @@ def gmr_decode(spark, d):
 @query(
     "gmr_ranked",
     f"""{with_('queries').replace('WITH', 'WITH RECURSIVE', 1)},{_gmr_sql(4)},
-parts AS (SELECT query_id, unnest(p) AS part, unnest(range(len(p))) AS pos FROM (SELECT query_id, string_split(array_to_string(CASE WHEN generated[-1] = {END} THEN generated[:-2] ELSE generated END, ','), ',{SEPARATOR},') AS p FROM done WHERE beam = 1)),
+parts AS (SELECT query_id, unnest(p) AS part, unnest(range(len(p))) AS pos FROM (SELECT query_id, string_split(',' || array_to_string(CASE WHEN generated[-1] = {END} THEN generated[:-2] ELSE generated END, ',') || ',', ',{SEPARATOR},') AS p FROM done WHERE beam = 1)),
 hits AS (SELECT query_id, doc_id, min(pos) AS pos FROM parts JOIN documents ON doc_id::VARCHAR = replace(part, ',', '') GROUP BY ALL)
 SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank, (count(*) OVER (PARTITION BY query_id) - row_number() OVER (PARTITION BY query_id ORDER BY pos) + 1)::DOUBLE AS score FROM hits""",
 )
