@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import text as T
+from . import json_objects
 
 QRELS = "query_id string, iteration string, doc_id string, gain int"
 RANKINGS = "query_id string, results array<struct<doc_id:string,score:double>>"
@@ -46,9 +47,8 @@ def write_qrels(qrels: DataFrame, path: str, mode: str = "errorifexists", ordere
 
 
 def read_object_file(spark: SparkSession, path: str, value_schema: str = QA_FILE) -> DataFrame:
-    """A JSON file that is one object: (file, key, value) per entry."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", value_schema, {"mode": "FAILFAST"}).alias("entries"))
-    return whole.select("file", F.explode("entries").alias("key", "value"))
+    """A JSON file that is one object: (file, key, value) per entry, cut in blocks."""
+    return json_objects.read_object_file(spark, path, value_schema)
 
 
 def read_tree(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
