@@ -463,3 +463,65 @@ def test_long_texts_come_in_parts(spark, monkeypatch):
 
     starts = lambda found: {(r, s + k) for r, s, n in found for k in range(n + 1)}
     assert starts(strings(300)) == starts(strings(1 << 20)) == {(r, s) for r, n in enumerate(np.diff(offsets)) for s in range(n - 39)}
+
+
+@pytest.mark.parametrize("name,kind", [("n_words", "string"), ("doc_id", "decimal(20,0)"), ("kept", "long")])
+def test_windows_with_ids_of_any_type_and_name(spark, name, kind):
+    rows = corpus(11, n=40, length=80)
+    docs = spark.createDataFrame(rows, DOCS).select(F.format_string("%05d", "doc_id").cast(kind).alias(name), "text").repartition(3)
+    got = window_index.dedup_substrings(docs, id_col=name, width=10, gram=4, batches=3).collect()
+    words = "n_words_" if name == "n_words" else "n_words"
+    assert {int(r[name]): (r[words], r["n_removed"], r["kept_sha256"]) for r in got} == plain_windows(rows, 10)
+
+
+@pytest.mark.parametrize("name,kind", [("n_shingles", "string"), ("row", "long")])
+def test_near_duplicates_with_ids_of_any_type_and_name(spark, name, kind):
+    rows = corpus(1)
+    docs = spark.createDataFrame(rows, DOCS).select(F.format_string("%05d", "doc_id").cast(kind).alias(name), "text").repartition(3)
+    plain = near_dups.near_duplicates(spark.createDataFrame(rows, DOCS), k=3, similarity=85).collect()
+    got = near_dups.near_duplicates(docs, name, k=3, similarity=85)
+    assert dict(got.dtypes)["component_id"] == dict(got.dtypes)[name] == {"long": "bigint"}.get(kind, kind)
+    size = "n_shingles_" if name == "n_shingles" else "n_shingles"
+    assert {int(r[name]): (r[size], int(r["component_id"]), r["kept"]) for r in got.collect()} == {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in plain}
+    left = near_dups.drop_near_duplicates(docs, name, k=3, similarity=85)
+    assert left.columns == docs.columns and sorted(int(r[name]) for r in left.collect()) == sorted(r["doc_id"] for r in plain if r["kept"])
+
+
+def test_null_ids_of_another_type(spark):
+    text = " ".join(map(str, range(60)))
+    docs = spark.createDataFrame([("b", text), ("a", text + " more"), (None, text), ("c", None)], "doc_id string, text string")
+    got = window_index.dedup_substrings(docs).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {"a": 0, "b": 60, "c": 0, None: 0}
+    assert {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(docs).collect()} == {"a": "a", "b": "a", "c": "c", None: "a"}
+    assert window_index.dedup_substrings(docs.where("false")).count() == near_dups.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_strings_with_an_id_named_like_a_result(spark):
+    rows = corpus(5, n=20, length=60)
+    docs = spark.createDataFrame(rows, DOCS)
+    got = suffixes.dedup_suffixes(docs.withColumnRenamed("doc_id", "n_bytes"), "n_bytes", width=30, gram=8)
+    assert got.columns[:2] == ["n_bytes", "n_bytes_"]
+    plain = suffixes.dedup_suffixes(docs, width=30, gram=8)
+    assert sorted(map(tuple, got.drop("kept").collect())) == sorted(map(tuple, plain.drop("kept").collect()))
+
+
+def test_the_scan_for_holders_asks_for_ranges_of_ids(spark, tmp_path):
+    """Holders at two ends of the history: two ranges reach the scan."""
+    rows = [(i, " ".join(f"w{random.Random(i * 1000 + j).randint(0, 10**9)}" for j in range(60))) for i in range(50)]
+    frame = lambda rows: spark.createDataFrame(rows, DOCS).select(F.col("doc_id").alias("id"), common.row_key().alias("row"), "text")
+    frame(rows).write.parquet(str(tmp_path / "old"))
+    index = window_index.FingerprintIndex(10, 4)
+    index.add(spark.read.parquet(str(tmp_path / "old"))).count()
+    seen = []
+    holders = window_index.FingerprintIndex.holders
+    index.holders = lambda firsts: seen.append(holders(index, firsts)) or seen[-1]
+    index.add(frame([(100, "new " + rows[2][1]), (101, "new " + rows[47][1])])).count()
+    plan = seen[-1]._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(And(GreaterThanOrEqual(id,2),LessThanOrEqual(id,2)),And(GreaterThanOrEqual(id,47)," in plan  # the plan's text is cut there
+    assert sorted(r["id"] for r in seen[-1].select("id").collect()) == [2, 47]
+
+
+def test_ranges_of_extreme_ids(spark):
+    ids = spark.createDataFrame([(-(1 << 63),), (0,), ((1 << 63) - 1,)], "id long")
+    assert ids.where(window_index._in_spans(ids, -(1 << 63), (1 << 63) - 1)).count() == 3
+    assert ids.where(window_index._in_spans(ids, None, None)).count() == 0

@@ -339,3 +339,10 @@ def test_url_filter_edge_rows(spark):
     assert sorted(map(str, [(r["id"], r["domain"], r["verdict"], r["kept"]) for r in got.collect()])) == sorted(map(str, want))
     assert urls.filter_urls(captures.where("false"), entries, id_col="host", time_col="kept").count() == 0
     assert urls.filter_urls(captures, entries.where("false"), id_col="host", time_col="kept").where("kept").count() == len(rows)
+
+
+def test_quality_with_an_id_named_like_a_feature(spark):
+    docs = spark.createDataFrame([(7, "one two two"), (8, None)], "n_words long, text string")
+    got = quality.score_quality(docs, id_col="n_words")
+    assert got.columns[:2] == ["n_words", "n_words_"]
+    assert {r["n_words"]: r["n_words_"] for r in got.collect()} == {7: 3, 8: 0}

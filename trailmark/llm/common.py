@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..session import shared_dir
 
@@ -65,6 +66,36 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.unhex(F.md5(F.concat(F.length(name).cast("string"), F.lit(":"), name, F.coalesce(F.col(text_col), F.lit("")))))
 
 
+def numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with its ids as longs in ``__tm_id``, and what these stand for: None where
+    ids are whole numbers, which stay; ids of another type are numbered in their order,
+    (number, name), so that the smallest number is the smallest id."""
+    if isinstance(docs.schema[id_col].dataType, IntegralType):
+        return docs.withColumn("__tm_id", F.col(id_col).cast("long")), None
+    ids = docs.select(F.col(id_col).alias("__tm_name")).where("__tm_name is not null").distinct().orderBy("__tm_name")
+    names = materialize(ids.select(F.monotonically_increasing_id().alias("number"), F.col("__tm_name").alias("name")), "id-numbers")
+    own = names.select(F.col("number").alias("__tm_id"), F.col("name").alias("__tm_name"))
+    return docs.join(own, F.col(id_col) == F.col("__tm_name"), "left").drop("__tm_name"), names
+
+
+def renamed(rows: DataFrame, names: DataFrame | None, columns: tuple[str, ...]) -> DataFrame:
+    """``rows`` with the numbers in ``columns`` put back to the ids they stand for."""
+    if names is None:
+        return rows
+    order = rows.columns
+    for c in columns:
+        back = names.select(F.col("number").alias(c), F.col("name").alias("__tm_name"))
+        rows = rows.join(back, c, "left").drop(c).withColumnRenamed("__tm_name", c)
+    return rows.select(order)
+
+
+def with_id(rows: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` with its column ``id`` called ``id_col``; a result of that name gets a
+    trailing underscore."""
+    others = [c for c in rows.columns if c != "id"]
+    return rows.select(F.col("id").alias(id_col), *[F.col(c).alias(f"{c}_" if c.lower() == id_col.lower() else c) for c in others])
+
+
 # ---------------------------------------------------------------- text access
 
 

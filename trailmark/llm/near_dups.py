@@ -29,7 +29,9 @@ words than a shingle form one shingle; a null or empty text has the empty set
 and links with nothing; rows that share an id count as one document with
 several texts; in ``near_duplicates``, which reports ids, rows without one link
 only with rows of equal sets, while ``drop_near_duplicates`` takes each as a
-document of its own; an empty table gives an empty result.
+document of its own; an empty table gives an empty result.  Ids that are no whole
+numbers are numbered in their order first; an id column named like a result keeps its
+name, and the result gets a trailing underscore.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bits_for, components, key_bits, materialize, mix, row_key, slices, split_by_bits, text_buffer, trimmed, word_stream
+from .common import WordHashes, bits_for, components, key_bits, materialize, mix, numbered, renamed, row_key, slices, split_by_bits, text_buffer, trimmed, with_id, word_stream
 
 SIGNATURE = 252
 _C1, _C2, _C3 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -125,10 +127,10 @@ def band_shape(similarity: int, m: int = SIGNATURE, miss: float = 1e-6) -> tuple
     return m // rows, rows
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, similarity: int) -> DataFrame:
-    """(id, row, n, hi, lo, bands): the set's size, its digest and band keys."""
+def sketches(docs: DataFrame, k: int, similarity: int) -> DataFrame:
+    """``docs(id, text, row)`` to (id, row, n, hi, lo, bands): the set's size, its digest
+    and band keys."""
     bands, rows = band_shape(similarity)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row"))
 
     def sketch(batches):
         hashes = WordHashes()
@@ -150,7 +152,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, similarity: in
                     names=["id", "row", "n", "hi", "lo", "bands"],
                 )
 
-    return source.mapInArrow(trimmed(sketch), "id long, row binary, n long, hi long, lo long, bands array<long>")
+    return docs.select("id", "text", "row").mapInArrow(trimmed(sketch), "id long, row binary, n long, hi long, lo long, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
@@ -175,11 +177,11 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: int) -> Dat
     return joined.mapInArrow(trimmed(check), "a long, b long")
 
 
-def _texts_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The texts of some ids; a filter of fixed size spares most others the shuffle."""
     size = bits_for(nodes.count())
     bits = materialize(key_bits(nodes.select(F.xxhash64("node").alias("h")), "h", size), "node-bits")
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("long")).alias("h"))
+    source = docs.select("id", "text", F.xxhash64("id").alias("h"))
     return split_by_bits(source, bits, "h", True, size).select("id", "text").join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
 
 
@@ -243,15 +245,22 @@ def crossing_pairs(nodes: DataFrame, texts: DataFrame, k: int, similarity: int,
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: int = 80) -> DataFrame:
     """(id, row, n_shingles, component_id, kept): ``component_id`` is the smallest
     id reachable over links of ``similarity`` percent or more, ``row`` is
-    ``common.row_key``."""
-    sketch = materialize(sketches(docs, id_col, text_col, k, similarity), "sketches")
+    ``common.row_key``.  Ids are of any type that has an order."""
+    source, names = numbered(docs.select(id_col, text_col), id_col)
+    found = _labelled(source.select(F.col("__tm_id").alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row")), k, similarity)
+    return with_id(renamed(found, names, ("id", "component_id")), id_col)
+
+
+def _labelled(docs: DataFrame, k: int, similarity: int) -> DataFrame:
+    """``docs(id, text, row)`` to (id, row, n_shingles, component_id, kept)."""
+    sketch = materialize(sketches(docs, k, similarity), "sketches")
     classes = materialize(sketch.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("node"), F.first("n").alias("n")), "classes")
     own = sketch.where("n > 0").join(classes.select("hi", "lo", "node"), ["hi", "lo"]).where("id = node")
     banded = own.select("node", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last")
     buckets = materialize(banded.join(shared.select("key", "leader"), "key").distinct(), "buckets")
     nodes = materialize(buckets.select("node").distinct(), "nodes")
-    texts = materialize(_texts_of(docs, nodes, id_col, text_col), "texts")
+    texts = materialize(_texts_of(docs, nodes), "texts")
 
     stars = buckets.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c"))
     stars = stars.groupBy("node").agg(F.max(F.struct("c", "leader")).alias("m")).select(F.col("node").alias("a"), F.col("m.leader").alias("b"))
@@ -272,7 +281,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classed = classes.join(members, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
     rows = sketch.select("id", "row", "n", "hi", "lo").join(classed, ["hi", "lo"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return rows.select(F.col("id").alias(id_col), "row", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return rows.select("id", "row", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def _drop(rows: DataFrame, k: int, similarity: int) -> DataFrame:
@@ -297,7 +306,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     its row is repeated.  Rows without an id group and link by a key of their text
     that comes after all ids below 2**62, and equal texts among them are one row.
     Columns keep their names, whatever these are."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = numbered(docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")[0]
+    rows = rows.select("row", F.col("__tm_id").alias("id"), "text")
     missing = F.col("id").isNull()
     if not rows.where(missing).isEmpty():
         unnamed = missing & F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")  # texts without words link with nothing

@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_id
+
 WORD = r"[^\x20\x09-\x0D]+"
 NOT_SYMBOLS = r"[^#*$%&|<>]+"
 WORDS = "__tm_words"
@@ -171,13 +173,14 @@ REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, reported: tuple[str, ...] = REPORTED) -> DataFrame:
-    """(id, the reported features, rejected_by) of every row."""
+    """(id, the reported features, rejected_by) of every row.  An id column named like one
+    of these keeps its name, and that result gets a trailing underscore."""
     order = cascade_order(docs, rules, text_col, reported)
-    found = _with_words(docs.select(id_col, text_col), text_col)
-    of = features(F.col(text_col), F.col(WORDS))
-    found = found.select(F.col(id_col), F.col(text_col).alias("__tm_text"), WORDS, *[of[c].alias(c) for c in reported])
+    found = _with_words(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__tm_text")), "__tm_text")
+    of = features(F.col("__tm_text"), F.col(WORDS))
+    found = found.select("id", "__tm_text", WORDS, *[of[c].alias(c) for c in reported])
     lazy = {c: x for c, x in features(F.col("__tm_text"), F.col(WORDS)).items() if c not in reported}
-    return found.select(id_col, *reported, verdict(order, {**lazy, **{c: F.col(c) for c in reported}}).alias("rejected_by"))
+    return with_id(found.select("id", *reported, verdict(order, {**lazy, **{c: F.col(c) for c in reported}}).alias("rejected_by")), id_col)
 
 
 def filter_quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

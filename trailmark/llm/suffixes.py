@@ -25,7 +25,8 @@ bytes, which come with the owner's hash.
 Defined results: a null or empty text, or one shorter than ``width``, is kept
 whole; strings are judged on the input; repeated rows repeat each other's
 strings, so they go whole if long enough; an empty table gives an empty result.
-Texts are bytes, so what is kept need not be valid UTF-8.
+Texts are bytes, so what is kept need not be valid UTF-8.  An id column named like a
+result keeps its name, and the result gets a trailing underscore.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import (
     trimmed, binary_buffer, bits_for, gram_hashes, in_filter, key_bits, key_filter, materialize, minimisers, mix, prefix_sums, range_hash, row_key, slices, split_by_bits, text_buffer,
-    whole_groups,
+    whole_groups, with_id,
 )
 
 WIDTH = 200
@@ -312,4 +313,5 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(left)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return joined.mapInArrow(trimmed(cut), kind).unionByName(whole.mapInArrow(trimmed(cut), kind)).withColumnRenamed("id", id_col)
+    every = joined.mapInArrow(trimmed(cut), kind).unionByName(whole.mapInArrow(trimmed(cut), kind))
+    return with_id(every, id_col)

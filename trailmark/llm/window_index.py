@@ -15,8 +15,10 @@ is what has a smaller id; within a batch the smallest id counts.
 What the join finds is verified.  A stretch that an earlier document holds whole goes
 by its hash.  Where an owner has different stretches, their windows are compared by
 hashes of 128 bits of their own; of the history only the documents that first hold
-stretches of such owners are read again, so a batch costs what it has in common with
-the history, and a passage in a third of all documents is a few rows.  The first
+stretches of such owners are compared again, so a batch moves what it has in common with
+the history, and a passage in a third of all documents is a few rows.  The scan for them
+asks for at most ``SPANS`` ranges of ids that hold them all: of a table in order of its ids
+only the row groups of these ranges are read, of another one all.  The first
 holders' windows are compared in the task of the owner, or, if more than ``most``
 stretches share an owner, by partial minima over the windows.
 
@@ -26,26 +28,30 @@ Words are ``[^\\x20\\x09-\\x0D]+`` unchanged.  Defined results: a null or empty
 text, or one shorter than a window, keeps all its words; windows are judged on
 the input; rows that share an id count as one document, so they never remove
 from each other; rows without an id are kept whole and remove nothing; an empty
-table gives an empty result.
+table gives an empty result.  Ids that are no whole numbers are numbered in their order
+first; an id column named like a result keeps its name, and the result gets a trailing
+underscore.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import (
-    trimmed, WordHashes, binary_buffer, bits_for, gram_hashes, in_filter, key_bits, key_filter, materialize, minimisers, mix, new_path, prefix_sums, range_hash, row_key, slices, split_by_bits,
-    text_buffer, whole_groups, word_parts, word_streams,
+    trimmed, WordHashes, binary_buffer, bits_for, gram_hashes, in_filter, key_bits, key_filter, materialize, minimisers, mix, new_path, numbered, prefix_sums, range_hash, renamed, row_key, slices, split_by_bits,
+    text_buffer, whole_groups, with_id, word_parts, word_streams,
 )
 
 WIDTH = 50
 GRAM = 25
+SPANS = 64
 _SECOND = np.uint64(0xD1342543DE82EF95)
 _SECOND_INV = np.uint64(pow(int(_SECOND), -1, 1 << 64))
 
@@ -148,6 +154,17 @@ def _unpacked(batches):
         yield pa.RecordBatch.from_arrays(columns, names=["h", "w1", "w2", "id", "row", "place"])
 
 
+def _in_spans(ids: DataFrame, low: int | None, high: int | None) -> Column:
+    """A condition on ``id`` that a scan can push down: at most ``SPANS`` ranges that hold
+    all of ``ids``, which lie between ``low`` and ``high``."""
+    if low is None:
+        return F.lit(False)
+    width = -(-(high - low + 1) // SPANS)
+    slot = F.floor((F.col("id").cast("decimal(20)") - F.lit(low)) / F.lit(width).cast("decimal(20)"))
+    spans = ids.groupBy(slot.alias("slot")).agg(F.min("id"), F.max("id")).collect()  # SPANS rows at most
+    return reduce(Column.__or__, [F.col("id").between(a, b) for _, a, b in spans])
+
+
 SAME = ["h", "s1", "s2"]
 RUN = "h long, s1 long, s2 long, least long"
 
@@ -219,9 +236,10 @@ class FingerprintIndex:
         if self.documents is None:
             return None
         wanted = materialize(firsts.where("open and not fresh").select(F.col("least").alias("id")).distinct(), "history-holders")
-        size = bits_for(wanted.count())
+        n, low, high = wanted.agg(F.count("*"), F.min("id"), F.max("id")).first()
+        size = bits_for(n)
         bits = materialize(key_bits(wanted.select(F.xxhash64("id").alias("k")), "k", size), "history-bits")
-        return split_by_bits(self.documents, bits, "xxhash64(id)", True, size)
+        return split_by_bits(self.documents.where(_in_spans(wanted, low, high)), bits, "xxhash64(id)", True, size)
 
     def _verify(self, docs: DataFrame, firsts: DataFrame, owners: DataFrame) -> DataFrame:
         filter_ = key_filter(owners, "h", bits_for(owners.count()))
@@ -292,7 +310,8 @@ def remove_ranges(docs: DataFrame, ranges: DataFrame, width: int) -> DataFrame:
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, batches: int = 3) -> DataFrame:
     """All of a table through the index, in ``batches`` ranges of ids: (id, n_words,
     n_removed, kept_sha256, kept).  The third batch meets a compacted run."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    docs, names = numbered(docs.select(id_col, text_col), id_col)
+    source = docs.select(F.col("__tm_id").alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     known = source.where("id is not null")
     bounds = known.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     edges = [None, *sorted({int(b) for b in bounds}), None]
@@ -306,4 +325,4 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             part = part.where(F.col("id") <= high)
         found = materialize(index.add(part), "ranges")
         ranges = found if ranges is None else ranges.unionByName(found)
-    return remove_ranges(source, ranges, width).withColumnRenamed("id", id_col)
+    return with_id(renamed(remove_ranges(source, ranges, width), names, ("id",)), id_col)
