@@ -8,8 +8,8 @@ the blocks of a file, a row for each, tell how every block begins.  The second p
 each block at the commas of depth one.  An entry that spans blocks is put together from
 its pieces, at most two of a block.
 
-The blocks with pieces are read once more for these.  An entry is the unit of memory, not
-a file.  Files that are no single object, or hold an entry that is no JSON, fail with
+All blocks are read a third time for these pieces.  An entry, with the batch it stands in, is
+the unit of memory, not a file.  An empty file has no entries.  Files that are no single object, or hold an entry that is no JSON, fail with
 their name and the place of the block.  An empty object has no entries; each entry of a
 repeated key gives a row."""
 
