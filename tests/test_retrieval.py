@@ -2,7 +2,10 @@
 
 import hashlib
 import math
+import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 from trailmark.functions import text as T
 from trailmark.functions import vectors as V
 from trailmark.operators import audit, dense, docids, evaluation, lexical, multihop
+from trailmark.plans.queries import QUERIES
 
 
 def ranking(spark, rows):
@@ -319,3 +323,22 @@ def test_hops_rerank_with_their_own_queries(spark):
 def test_compatibility_forms_count_as_one(spark):
     rows = spark.createDataFrame([("ﬁne Ａ", "fine a")], "p string, r string")
     assert rows.select(evaluation.rouge_l(F.col("p"), F.col("r")).alias("a")).first()["a"] == 1.0
+
+
+def test_words_are_counted_in_slices():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array([["t"]] * 400), pa.array([["a", "b"] * 500] * 399 + [None])], names=["doc_id", "a", "b"])
+    parts = list(lexical._counted(iter([batch])))
+    assert len(parts) > 1 and all(pc.sum(p.filter(pc.equal(p["term"], ""))["length"]).as_py() <= lexical.MOST_WORDS for p in parts)
+    rows = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    want = [(t, i, n, m, 1001) for i in range(399) for t, n, m in (("", 0, 1), ("t", 1, 0), ("a", 0, 500), ("b", 0, 500))] + [("", 399, 0, 1, 1), ("t", 399, 1, 0, 1)]
+    assert sorted(rows) == sorted(want)
+
+
+def test_queries_bound_arrow_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    QUERIES["bm25_full_index"](spark, "/root/testdata/sf0.001")
+    try:
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 16 << 20
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
