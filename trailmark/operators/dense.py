@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as T
 from ..functions import vectors as V
-from .lexical import top_k
+from .lexical import MOST_WORDS, row_slices, top_k
 
 
 def _first_k(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -72,12 +72,12 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10, tile_bytes
 
 def hashed_vectors(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 64) -> DataFrame:
     """(id, v): counts of a text's words in ``size`` places by a hash of the word, scaled
-    to length 1, within each row; a batch's different words are hashed once.  A stand-in
+    to length 1, within each row; different words of a slice of rows are hashed once.  A stand-in
     for a neural encoder; a text without words has no vector."""
     read = rows.select(F.col(id_col).alias("id"), T.word_list(F.col(text_col)).alias("w")).where(F.size("w") > 0)
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(start, stop - start) for b in batches for start, stop in row_slices(np.asarray(pc.list_value_length(b.column(1)), np.int64), MOST_WORDS)):
             n, words = batch.num_rows, batch.column(1).flatten().dictionary_encode()
             places = np.array([int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % size for w in words.dictionary.to_pylist()], np.int64)
             owner = np.repeat(np.arange(n), np.asarray(pc.list_value_length(batch.column(1)), np.int64))
