@@ -3,6 +3,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -164,3 +165,10 @@ def test_answers_are_matched_by_token_vectors(spark):
     assert got[1]["f1"] == pytest.approx(1) and got[2]["recall"] == pytest.approx(1) and got[2]["precision"] == pytest.approx(idf["a"] / (idf["a"] + idf["c"])) and got[3]["f1"] == 0
     means = pipelines.answer_metrics(rows, encode).first()
     assert means["bertscore_f1"] == pytest.approx(sum(r["f1"] for r in got.values()) / 3) and pipelines.answer_metrics(rows).first()["bertscore_f1"] is None
+
+
+def test_a_batch_is_tokenised_in_slices():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(90)), pa.array(["q" * 100] * 90), pa.array(["w " * 5000] * 89 + [""])], names=["query_id", "question", "text"])
+    parts = list(M._parts(batch, "question", "text"))
+    assert [i for p in parts for i in p["query_id"].to_pylist()] == list(range(90))
+    assert len(parts) > 1 and all(sum(len(q) + len(t) for q, t in zip(p["question"].to_pylist(), p["text"].to_pylist())) <= M.MOST_CHARS for p in parts)

@@ -10,15 +10,21 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.lexical import row_slices
 
 _WORDS = regex.compile(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\x0b\f\r]")
+#: Characters that are tokenised at a time: what a tokenizer returns takes some hundred bytes
+#: a token, so a batch goes through it in slices.
+MOST_CHARS = 1 << 18
 #: What a label is where a batch is padded, which losses leave out.
 IGNORED = -100
 
@@ -35,13 +41,22 @@ def encode(text: Column, path: str) -> Column:
 
     @F.pandas_udf("struct<ids:array<int>,starts:array<int>,ends:array<int>>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        found = _tokenizer(path).encode_batch([x or "" for x in texts], add_special_tokens=False)
-        rows = [(e.ids, [a for a, _ in e.offsets], [b for _, b in e.offsets]) for e in found]
+        texts, rows = [x or "" for x in texts], []
+        for start, stop in row_slices(np.array([len(x) for x in texts], np.int64), MOST_CHARS):
+            found = _tokenizer(path).encode_batch(texts[start:stop], add_special_tokens=False)
+            rows += [(np.array(e.ids, np.int32), *np.array(e.offsets, np.int32).reshape(-1, 2).T) for e in found]
         return pd.DataFrame(rows, columns=["ids", "starts", "ends"])
 
     return run(text)
 
 
+def _parts(batch: pa.RecordBatch, *texts: str):
+    """Slices of a batch whose texts have ``MOST_CHARS`` characters, or one row."""
+    sizes = sum(np.asarray(pc.utf8_length(batch.column(batch.schema.get_field_index(c))), np.int64) for c in texts)
+    for start, stop in row_slices(sizes, MOST_CHARS):
+        yield batch.slice(start, stop - start)
+
+
 def align(words: list[tuple[int, int]], offsets: list[tuple[int, int]]) -> list[list[int]]:
     """For each word the places of the subwords that overlap it, both in order of the
     text; two pointers, so linear in their number and in the overlaps."""
@@ -91,7 +106,7 @@ def span_inputs(examples: DataFrame, path: str, layout: Layout = Layout(), most:
     kind = f"query_id {rows.schema['query_id'].dataType.simpleString()}, passage int, input_ids array<int>, positions array<long>, is_answer_passage boolean, start int, end int"
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole, "question", "text")):
             columns = {c: batch.column(i).to_pylist() for i, c in enumerate(batch.schema.names)}
             tool = _tokenizer(path)
             asked = tool.encode_batch(columns["question"], add_special_tokens=False)
