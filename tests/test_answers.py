@@ -2,12 +2,14 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from trailmark.functions import text as T
 from trailmark.operators import answers as A
 from trailmark.operators import corpus, evaluation
 
@@ -183,3 +185,20 @@ def test_epoch_order_is_a_permutation(spark):
 def test_moving_average(spark):
     row = spark.createDataFrame([(1.0, 3.0)], "t double, s double").select(A.moving_average(F.col("t"), F.col("s"), 0.9).alias("x")).first()
     assert row["x"] == pytest.approx(1.2)
+
+
+def test_subsequences_are_copied_only_where_they_may_begin(spark):
+    """A long needle costs little more than a short one where it can't begin."""
+    many = F.sequence(F.lit(1), F.lit(1536)).cast("array<string>")
+    rows = spark.range(600).select(many.alias("h"), F.array("id").cast("array<string>").alias("first")).select("h", *[F.concat(F.transform("first", lambda x: F.concat(F.lit("-"), x)), F.slice("h", 1, n)).alias(f"n{n}") for n in (1, 700)]).cache()
+    rows.count()
+
+    def seconds(n):
+        found, start = rows.select(T.subsequence_at(F.col("h"), F.col(f"n{n}")).alias("at")), time.perf_counter()
+        assert found.agg(F.count("at")).first()[0] == 0
+        return time.perf_counter() - start
+
+    seconds(1)
+    assert min(seconds(700) for _ in range(2)) < 4 * min(seconds(1) for _ in range(2)) + 0.5
+    cases = spark.createDataFrame([(["a", "b", "a", "c"], ["a", "c"]), (["a"], ["a", "b"]), (["a", "a"], []), ([None, "b"], [None, "b"])], "h array<string>, n array<string>")
+    assert [r[0] for r in cases.select(T.subsequence_at(F.col("h"), F.col("n"))).collect()] == [2, None, None, 0]
