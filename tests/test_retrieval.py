@@ -342,3 +342,31 @@ def test_queries_bound_arrow_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def plan_of(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def scored_cases(spark):
+    docs = passages(spark, [(i, f"w{i % 7}", f"alpha w{i % 5} w{i % 11} " * (1 + i % 3)) for i in range(600)])
+    asked = spark.createDataFrame([(q, f"alpha w{q} w{q + 1}") for q in range(6)], "query_id long, text string")
+    positive = spark.createDataFrame([(q, 5 * q + 1) for q in range(6)], "query_id long, doc_id long")
+    index = lexical.build_index(docs)
+    return {
+        "bm25": lambda: lexical.bm25(asked, index, max_terms=None), "okapi": lambda: lexical.okapi_negatives(asked, docs, positive), "overlap": lambda: lexical.overlap_negatives(asked, index, positive),
+    }
+
+
+@pytest.mark.parametrize("name", ["bm25", "okapi", "overlap"])
+def test_pairs_are_scored_where_their_passages_are(spark, name, monkeypatch):
+    """Pairs are never shuffled, nor postings by pair; other ways to the same give the same."""
+    case = scored_cases(spark)[name]
+    found = case()
+    plan = plan_of(found)
+    assert "hashpartitioning(query_id" in plan and not re.search(r"hashpartitioning\((query_id#\d+L?, doc_id|term#\d+, doc_id)", plan) and "WindowGroupLimit" in plan
+    rows = sorted(found.collect())
+    monkeypatch.setattr(lexical, "PAIRS", 64)
+    assert sorted(case().collect()) == rows
+    monkeypatch.setattr(lexical, "FEW", 0)
+    assert sorted(case().collect()) == rows
