@@ -370,3 +370,12 @@ def test_pairs_are_scored_where_their_passages_are(spark, name, monkeypatch):
     assert sorted(case().collect()) == rows
     monkeypatch.setattr(lexical, "FEW", 0)
     assert sorted(case().collect()) == rows
+
+
+def test_tries_are_not_sent_about(spark):
+    ids = spark.range(3000).select(F.concat(F.lit("d"), "id").alias("doc_id"), docids.byte_tokens(F.concat(F.lit("d"), "id")).alias("tokens"))
+    edges = docids.trie_edges(ids)
+    rows = sorted((tuple(r["prefix"]), tuple(r["run"]), r["options"]) for r in edges.collect())  # the final plan
+    assert rows and "BroadcastHashJoin" not in plan_of(edges)
+    found = docids.resolve_ids(spark.createDataFrame([("q", 0, "D 17")], "query_id string, pos int, candidate string"), ids)
+    assert [r["doc_id"] for r in found.collect()] == ["d17"] and "BroadcastHashJoin" not in plan_of(found)
