@@ -18,13 +18,28 @@ def normalize(a: Column) -> Column:
     return F.transform(a, lambda x: x / norm(a))
 
 
-def pooled_mean(tokens: Column, mask: Column) -> Column:
-    """Mean of the token vectors whose mask is 1, scaled to length 1."""
+def pooled_mean(tokens: Column, mask: Column, least: float = 1e-12) -> Column:
+    """Mean of the token vectors whose mask is 1, scaled to length 1; a length below ``least``
+    counts as ``least``, and if that is 0, a vector of zeros has no direction: NaN."""
     live = F.filter(F.zip_with(tokens, mask, lambda t, m: F.when(m > 0, t)), lambda t: t.isNotNull())
-    zero = F.transform(F.get(tokens, F.lit(0)), lambda x: F.lit(0.0))
-    total = F.aggregate(live, zero, lambda s, t: F.zip_with(s, t, lambda x, y: x + y))
+    none = F.when(F.size(live) > 0, F.lit(-0.0)).otherwise(F.lit(0.0))  # -0.0 + x is x, also if x is -0.0
+    total = F.aggregate(live, F.transform(F.get(tokens, F.lit(0)), lambda x: none), lambda s, t: F.zip_with(s, t, lambda x, y: x + y))
     mean = F.transform(total, lambda x: x / F.greatest(F.size(live), F.lit(1)))
-    return F.get(F.transform(F.array(mean), lambda m: F.transform(m, lambda x: x / F.greatest(norm(m), F.lit(1e-12)))), F.lit(0))
+    return F.get(F.transform(F.array(mean), lambda m: scaled(m, F.greatest(norm(m), F.lit(least)))), F.lit(0))
+
+
+def scaled(v: Column, length: Column) -> Column:
+    """A vector by its length, NaN if that is 0."""
+    return F.get(F.transform(F.array(length), lambda n: F.transform(v, lambda x: F.when(n == 0, F.lit(float("nan"))).otherwise(F.try_divide(x, n)))), F.lit(0))
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded in binary as DuckDB rounds it: half away from zero after scaling, with
+    the sign kept at 0.  ``F.round`` goes by decimal digits and has no -0.0."""
+    size = F.abs(x) * F.lit(float(10**digits))
+    whole = F.floor(size).cast("double")
+    up = F.when(size - whole >= 0.5, whole + 1.0).otherwise(whole) / F.lit(float(10**digits))
+    return F.when(F.isnan(x) | (size >= 2.0**52), x).when(up == 0, x * 0.0).when(x < 0, -up).otherwise(up)
 
 
 def focused_maxsim(query: Column, document: Column, fraction: float = 0.4) -> Column:
