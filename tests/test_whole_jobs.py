@@ -24,3 +24,18 @@ def test_mean_pool_is_its_sql_for_odd_vectors(spark, tmp_path):
     rows = [None, [], [0.0] * 64, [1e-20] * 64, [-1e-9] + [1.0] * 63, [float("inf")] + plain[1:], [float("nan")] + plain[1:], [-0.0] * 48 + [1.0] * 16, plain, plain * 2, plain[:48]]
     got, wanted = both(spark, tmp_path, "mean_pool", embeddings=("vec_id long, embedding array<float>, label int", [(i, v, 0) for i, v in enumerate(rows)]))
     assert got == wanted and len(got) == len(rows)
+
+
+def lexical_tables():
+    """Five words of one question, of which ``echo`` is the most frequent; documents 5 to 16 hold
+    no other of them."""
+    texts = [f"title {w}\n{w} echo" for w in ("alpha", "bravo", "charlie", "delta", "écho")] + ["other\necho and more"] * 12 + ["none\nnothing here"] * 40
+    return {
+        "documents": ("doc_id long, text string", list(enumerate(texts))),
+        "benchmark": ("item_id long, text string", [(0, "alpha bravo charlie delta echo"), (1, "echo"), (2, "unknown")]),
+    }
+
+
+def test_folded_search_takes_all_words(spark, tmp_path):
+    got, wanted = both(spark, tmp_path, "bm25_folded", **lexical_tables())
+    assert got == wanted and any(r.startswith("(0, 5, ") for r in got)
