@@ -39,3 +39,8 @@ def lexical_tables():
 def test_folded_search_takes_all_words(spark, tmp_path):
     got, wanted = both(spark, tmp_path, "bm25_folded", **lexical_tables())
     assert got == wanted and any(r.startswith("(0, 5, ") for r in got)
+
+
+def test_search_without_a_stored_index_takes_all_words(spark, tmp_path):
+    got, wanted = both(spark, tmp_path, "bm25_full_index", **lexical_tables())
+    assert got == wanted and any(r.startswith("(0, 5, ") for r in got)
