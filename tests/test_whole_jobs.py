@@ -44,3 +44,14 @@ def test_folded_search_takes_all_words(spark, tmp_path):
 def test_search_without_a_stored_index_takes_all_words(spark, tmp_path):
     got, wanted = both(spark, tmp_path, "bm25_full_index", **lexical_tables())
     assert got == wanted and any(r.startswith("(0, 5, ") for r in got)
+
+
+def id_tables():
+    """Ids with a choice at most digits: an id takes up to six choices."""
+    return {"documents": ("doc_id long, text string", [(7919 * i % 100003, "x") for i in range(300)]), "benchmark": ("item_id long, text string", [(q, "x") for q in range(12)])}
+
+
+def test_greedy_decoding_goes_on_to_the_end(spark, tmp_path):
+    got, wanted = both(spark, tmp_path, "gmr_greedy", **id_tables())
+    ended = [r.split("'")[1].split(",") for r in got]
+    assert got == wanted and len(got) == 12 and all(r[-1] == "11" for r in ended) and max(r.count("10") for r in ended) > 1
