@@ -55,3 +55,10 @@ def test_greedy_decoding_goes_on_to_the_end(spark, tmp_path):
     got, wanted = both(spark, tmp_path, "gmr_greedy", **id_tables())
     ended = [r.split("'")[1].split(",") for r in got]
     assert got == wanted and len(got) == 12 and all(r[-1] == "11" for r in ended) and max(r.count("10") for r in ended) > 1
+
+
+def test_rankings_by_decoding_hold_ids_of_many_choices(spark, tmp_path):
+    """Every digit is a choice, and no id ends before the ninth."""
+    ids = ["".join("12"[i >> b & 1] for b in range(9)) for i in range(512)]
+    got, wanted = both(spark, tmp_path, "gmr_ranked", documents=("doc_id long, text string", [(int(i), "x") for i in ids]), benchmark=("item_id long, text string", [(q, "x") for q in range(8)]))
+    assert got == wanted and {r.split(",")[0] for r in got} == {f"({q}" for q in range(8)}
