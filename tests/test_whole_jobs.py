@@ -1,9 +1,9 @@
 """Registered queries against their own SQL, on small tables where a cut or an odd row shows."""
 
 import duckdb
-import pytest
 
 import __spark_entry__
+from trailmark.operators import dense
 
 
 def both(spark, folder, name, **tables):
@@ -62,3 +62,17 @@ def test_rankings_by_decoding_hold_ids_of_many_choices(spark, tmp_path):
     ids = ["".join("12"[i >> b & 1] for b in range(9)) for i in range(512)]
     got, wanted = both(spark, tmp_path, "gmr_ranked", documents=("doc_id long, text string", [(int(i), "x") for i in ids]), benchmark=("item_id long, text string", [(q, "x") for q in range(8)]))
     assert got == wanted and {r.split(",")[0] for r in got} == {f"({q}" for q in range(8)}
+
+
+def test_reasoning_ranks_all_that_shares_a_word(spark, tmp_path):
+    """Seventeen passages share a word with the first question, twelve of them the fifth alone."""
+    got, wanted = both(spark, tmp_path, "ircot_stub", **lexical_tables())
+    first = {int(r.split(",")[1]) for r in got if r.startswith("(0, ")}
+    assert got == wanted and first >= {0, 1, 2, 3, *range(5, 17)}
+
+
+def test_fusion_of_whole_lists_leaves_nothing_out(spark):
+    lists = [spark.range(900).selectExpr("id % 3 AS query_id", "id AS doc_id", f"row_number() OVER (PARTITION BY id % 3 ORDER BY hash(id, {i})) AS rank").where(f"query_id < {3 - i}") for i in range(2)]
+    want = sorted(dense.rrf_fuse(*lists, constant=10, depth=5).collect())
+    assert sorted(dense.rrf_fuse_whole(*lists, constant=10, depth=5).collect()) == want and len(want) == 15
+    assert sorted(dense.rrf_fuse_whole(*[x.where("rank < 4") for x in lists], depth=7).collect()) == sorted(dense.rrf_fuse(*[x.where("rank < 4") for x in lists], depth=7).collect())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as T
 from ..functions import vectors as V
-from .lexical import MOST_WORDS, row_slices, top_k
+from .lexical import FEW, MOST_WORDS, row_slices, top_k
 
 
 def _first_k(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -99,6 +100,22 @@ def maxsim_rerank(ranked: DataFrame, query_tokens: DataFrame, doc_tokens: DataFr
     return scored.unionByName(tail)
 
 
+def rrf_fuse_whole(*lists: DataFrame, constant: int = 60, depth: int = 100, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """The first ``depth`` of ``rrf_fuse`` for lists that rank whole corpora and are durable.
+
+    If a list has ``depth`` rows, as many pairs have 1 / (constant + depth) at least.  A pair that
+    stands behind ``last`` in every list has less, and if no list has ``depth`` rows, there is none.
+    So the others alone are fused, with their ranks in all lists, and whole lists are not shuffled."""
+    last = len(lists) * (constant + depth) - constant
+    near = None
+    for one in lists:
+        one = one.where(F.col("rank") <= last).select("query_id", "doc_id")
+        near = one if near is None else near.unionAll(one)
+    near = keep(near.distinct())
+    met = F.broadcast(near) if near.count() <= FEW else near
+    return rrf_fuse(*[one.join(met, ["query_id", "doc_id"], "left_semi") for one in lists], constant=constant, depth=depth)
+
+
 def rrf_fuse(*lists: DataFrame, constant: int = 60, depth: int | None = None) -> DataFrame:
     """Reciprocal rank fusion of (query_id, doc_id, rank) lists."""
     together = None

@@ -76,9 +76,9 @@ def reasoning_prompt(question: Column, evidence: Column, reasoning: Column) -> C
     return F.concat(F.lit(REASONING_HEAD), question, F.lit(REASONING_EVIDENCE), evidence, so_far, F.lit(REASONING_END))
 
 
-def interleaved_reasoning(queries: DataFrame, retrieve: Retriever, passages: DataFrame, hops: int = 3, reasoner: Reasoner = extractive_reasoner, evidence: int = 4, depth: int = 100, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def interleaved_reasoning(queries: DataFrame, retrieve: Retriever, passages: DataFrame, hops: int = 3, reasoner: Reasoner = extractive_reasoner, evidence: int = 4, depth: int = 100, keep: Callable[[DataFrame], DataFrame] = lambda df: df, fuse: Callable[..., DataFrame] = rrf_fuse) -> DataFrame:
     """Retrieve, reason one line over the best passages that were not shown before, and
-    retrieve again with the question and that line; all lists are fused.
+    retrieve again with the question and that line; all lists are fused (by ``fuse``).
     ``passages(doc_id, title, text)``: a passage is shown as title and fact."""
     ranked = keep(retrieve(queries))
     lists = [ranked]
@@ -96,4 +96,4 @@ def interleaved_reasoning(queries: DataFrame, retrieve: Retriever, passages: Dat
         state = keep(asked.join(lines, "query_id", "left").select("query_id", "text", F.concat("used", F.coalesce("new", none)).alias("used"), T.text_or_empty(F.col("line")).alias("reasoning")))
         ranked = keep(retrieve(state.select("query_id", F.concat("text", F.lit(" "), "reasoning").alias("text"))))
         lists.append(ranked)
-    return rrf_fuse(*lists, depth=depth)
+    return fuse(*lists, depth=depth)
