@@ -76,3 +76,10 @@ def test_fusion_of_whole_lists_leaves_nothing_out(spark):
     want = sorted(dense.rrf_fuse(*lists, constant=10, depth=5).collect())
     assert sorted(dense.rrf_fuse_whole(*lists, constant=10, depth=5).collect()) == want and len(want) == 15
     assert sorted(dense.rrf_fuse_whole(*[x.where("rank < 4") for x in lists], depth=7).collect()) == sorted(dense.rrf_fuse(*[x.where("rank < 4") for x in lists], depth=7).collect())
+
+
+def test_hybrid_ranks_whole_lists(spark, tmp_path, monkeypatch):
+    """A passage without a question's rarer words stands in the list by words, too."""
+    monkeypatch.setattr(dense, "PAIRS", 16)  # several tiles
+    got, wanted = both(spark, tmp_path, "hybrid_dense_bm25", **lexical_tables())
+    assert got == wanted and {"doc/" + str(i) for i in range(57)} == {r.split("'")[1] for r in got if r.startswith("(0, ")}

@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as T
 from ..functions import vectors as V
-from .lexical import FEW, MOST_WORDS, row_slices, top_k
+from .lexical import FEW, MOST_WORDS, PAIRS, row_slices, top_k
 
 
 def _first_k(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -28,21 +28,25 @@ def _tiles(n: int, most: int, parallel: int) -> int:
     return max(1, -(-n // most), min(parallel, n // 256))
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10, tile_bytes: int = 32 << 20, same_ids: bool = False) -> DataFrame:
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int | None = 10, tile_bytes: int = 32 << 20, same_ids: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank): the ``k`` largest inner products, exactly, for ids
     of any type.
 
     Queries and vectors are dealt into tiles of about ``tile_bytes``; each tile of
     queries meets each tile of vectors in one task, which keeps every query's own top
-    ``k``, so what is shuffled on is k rows per query and tile of vectors.  same_ids
-    leaves a row out of its own list."""
+    ``k``, so what is shuffled on is k rows per query and tile of vectors.  A ``k`` of None ranks
+    all pairs, of which a task gives ``PAIRS`` on average at most.  same_ids leaves a row out of
+    its own list."""
     asked = queries.select("query_id", F.col("v").cast("array<double>").alias("v"))
     rows = vectors.select("doc_id", F.col("v").cast("array<double>").alias("v"))
     kind = StructType([asked.schema["query_id"], rows.schema["doc_id"], StructField("score", DoubleType())])
     width = rows.select(F.size("v")).first()
     most = max(1, tile_bytes // (8 * max(1, width[0] if width else 1)))
-    of_queries = max(1, -(-asked.count() // most))
-    of_vectors = _tiles(rows.count(), most, max(1, rows.sparkSession.sparkContext.defaultParallelism // of_queries))
+    n, m = asked.count(), rows.count()
+    of_queries = max(1, -(-n // most))
+    of_vectors = _tiles(m, most, max(1, rows.sparkSession.sparkContext.defaultParallelism // of_queries))
+    if k is None:
+        of_vectors = max(of_vectors, -(-n * m // (of_queries * PAIRS)))
     dealt = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.withColumn("q", dealt(asked, of_queries)).withColumn("d", every(of_vectors))
@@ -60,6 +64,10 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10, tile_bytes
                 score = np.round(x[i : i + step] @ y.T, 6)
                 if same_ids:
                     score[own[i : i + step, None] == ids[None, :]] = -np.inf
+                if k is None:
+                    q, d = np.nonzero(np.isfinite(score))
+                    held.append((q + i, d, score[q, d]))
+                    continue
                 least = -np.partition(-score, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
                 q, d = np.nonzero((score >= least[:, None]) & np.isfinite(score))
                 score = score[q, d]
